@@ -65,6 +65,7 @@ def fold(column, modulus: int):
 
 _SPLIT = np.zeros(256, dtype=bool)
 _SPLIT[[32, 9, 10, 11, 12, 13]] = True
+_WORD_BYTE = (~_SPLIT).astype(np.int8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -78,49 +79,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.empty(n, dtype=np.uint64)
-    out[0] = 1
-    have = 1
-    while have < n:
-        step = min(have, n - have)
-        with np.errstate(over="ignore"):
-            out[have : have + step] = out[:step] * np.uint64(pow(base, have, 1 << 64))
-        have += step
-    return out
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_TABLES: dict[int, np.ndarray] = {}
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE_STEP = pow(_BASE, -1, 1 << 64)
+def _powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; the longest table so far is kept."""
+    have = _TABLES.get(base)
+    if have is None or len(have) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        have = np.empty(size, dtype=np.uint64)
+        have[0] = 1
+        done = 1
+        with np.errstate(over="ignore"):
+            while done < size:
+                step = min(done, size - done)
+                have[done : done + step] = have[:step] * np.uint64(pow(base, done, 1 << 64))
+                done += step
+        _TABLES[base] = have
+    return have[:n]
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a UTF-8 text, A to Z lowered, in order; empty if none."""
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of UTF-8 bytes, A to Z lowered, in order, and their starts."""
     if not data:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    inside = ~_SPLIT[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = _WORD_BYTE[raw]
+    edge = np.flatnonzero(np.diff(inside))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), starts
     with np.errstate(over="ignore"):
-        weight = _powers(len(raw) + 1, _BASE)
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * weight[:-1], dtype=np.uint64)))
-        back = _powers(len(raw) + 1, _INVERSE_STEP)
-        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
-
-
-def shingle_set(data: bytes, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles; with fewer words the whole
-    sequence is one shingle; without words none."""
-    words = word_hashes(data)
-    if not len(words):
-        return words
-    width = min(width, len(words))
-    count = len(words) - width + 1
+        total = np.empty(len(raw) + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _BASE), out=total[1:])
+        value = (total[ends] - total[starts]) * _powers(len(raw), _INVERSE)[starts]
+        return mix(value + (ends - starts).astype(np.uint64)), starts
+
+
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its ``width``-word shingles; with fewer
+    words the whole sequence is one shingle; without words none."""
+    out: list[np.ndarray] = []
+    group: list[bytes] = []
+    held = 0
+    for k, text in enumerate(texts):
+        group.append(text)
+        held += len(text)
+        if held > 1 << 20 or k == len(texts) - 1:
+            out.extend(_shingle_group(group, width))
+            group, held = [], 0
+    return out
+
+
+def _shingle_group(texts: list[bytes], width: int) -> list[np.ndarray]:
+    words, starts = word_hashes(b"\n".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    upto = np.searchsorted(starts, ends)
     with np.errstate(over="ignore"):
-        acc = np.full(count, np.uint64(width), dtype=np.uint64)
+        acc = np.full(max(0, len(words) - width + 1), np.uint64(width), dtype=np.uint64)
         for k in range(width):
-            acc = mix(acc * np.uint64(0x100000001B3) + words[k : k + count])
-    return np.unique(acc)
+            acc = mix(acc * np.uint64(0x100000001B3) + words[k : k + len(acc)])
+    out = []
+    first = 0
+    for last in upto.tolist():
+        n = last - first
+        if n >= width:
+            out.append(np.unique(acc[first : last - width + 1]))
+        elif n == 0:
+            out.append(np.zeros(0, dtype=np.uint64))
+        else:
+            with np.errstate(over="ignore"):
+                whole = np.full(1, np.uint64(n), dtype=np.uint64)
+                for w in words[first:last]:
+                    whole = mix(whole * np.uint64(0x100000001B3) + w)
+            out.append(whole)
+        first = last
+    return out

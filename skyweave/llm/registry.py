@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import op1_tokens, op7_toxicity, op8_mixing
+from skyweave.llm import op1_tokens, op5_minhash, op7_toxicity, op8_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_ids": op1_tokens.query, "op7_toxic_segments": op7_toxicity.query, "op8_entropy_mix": op8_mixing.query}
+    return {"op1_token_ids": op1_tokens.query, "op7_toxic_segments": op7_toxicity.query, "op8_entropy_mix": op8_mixing.query, "op5_minhash_components": op5_minhash.query}
 
 
 def oracle_sql() -> dict[str, str]:
