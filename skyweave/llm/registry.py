@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import op1_tokens, op3_decontam, op4_capjoin, op5_minhash, op7_toxicity, op8_mixing, op9_html, op10_substrings
+from skyweave.llm import op1_tokens, op3_decontam, op4_capjoin, op5_minhash, op6_pii, op7_toxicity, op8_mixing, op9_html, op10_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_qgram_decontam": op3_decontam.query,
         "op4_cap_join": op4_capjoin.query,
         "op5_minhash_components": op5_minhash.query,
+        "op6_weak_pii": op6_pii.query,
         "op7_toxic_segments": op7_toxicity.query,
         "op8_entropy_mix": op8_mixing.query,
         "op9_html_text": op9_html.query,
