@@ -1,7 +1,8 @@
 """Personal data by weak supervision: voting labelers, expectation-maximisation, span classifier.
 
-Candidates are the matches of the four base patterns and of looser ones (telephone numbers
-without a plus sign, spelt-out e-mail addresses). Five labelers vote +1, -1 or 0 on each: base
+Candidates are the matches of the four base patterns and of looser ones (telephone and
+card numbers that the base rules lose in longer runs of digits or for want of a plus sign,
+spelt-out e-mail addresses). Five labelers vote +1, -1 or 0 on each: base
 rule with its checks, form, gazetteer, context words, neighbouring characters. Votes are counted
 by pattern over the whole corpus (3^5 patterns a kind at most), expectation-maximisation
 estimates each labeler's reliability and every pattern's posterior, and a logistic span classifier
@@ -36,7 +37,8 @@ _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_LOOSE_PHONE = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])"
+_LOOSE_PHONE = r"(?<![0-9+(.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])"
+_LOOSE_CARD = r"(?<![0-9])[0-9]{13,16}(?![0-9])"
 _LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}"
 
 # Top-level domains, card issuer prefixes, and context words of the gazetteers.
@@ -98,6 +100,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         _matches(text, _CARD, 2, True, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), long_run),
         _matches(text, _PHONE, 3, True, text.contains("+")),
         _matches(text, _LOOSE_PHONE, 3, False, text.rlike(r"[0-9]{3}[-.\x20][0-9]{4}")),
+        _matches(text, _LOOSE_CARD, 2, False, text.rlike(r"[0-9]{13}"), lambda s: _valid("card", s)),
         _matches(text, _LOOSE_EMAIL, 0, False, text.contains("(at)") | text.contains("[at]")),
     ]
     rows = docs.select("doc_id", text_column().alias("_text"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyweave.llm import op1_tokens, op3_decontam, op4_capjoin, op5_minhash, op6_pii, op7_toxicity, op8_mixing, op9_html, op10_substrings
+from skyweave.llm import op1_tokens, op2_quality, op3_decontam, op4_capjoin, op5_minhash, op6_pii, op7_toxicity, op8_mixing, op9_html, op10_substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_tokens.query,
+        "op2_rule_quality": op2_quality.query,
         "op3_qgram_decontam": op3_decontam.query,
         "op4_cap_join": op4_capjoin.query,
         "op5_minhash_components": op5_minhash.query,
