@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from skyweave.llm import op1_tokens, op2_quality, op3_decontam, op4_capjoin, op5_minhash, op6_pii, op7_toxicity, op8_mixing, op9_html, op10_substrings
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_entropy_mix": op8_mixing.query,
         "op9_html_text": op9_html.query,
         "op10_suffix_dedup": op10_substrings.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
