@@ -6,11 +6,11 @@ of equal sets are one class and take part once. Pairs of a bucket are first comp
 signatures, and what may reach the similarity is confirmed on the full sets. Components are
 built by alternating large-star and small-star steps.
 
-No bucket is expanded into all its pairs: first every member is compared with the bucket's
-smallest member; then, in buckets that still hold several components, members are compared
-signature by signature inside one task (in blocks, if the bucket is large) and each emits its
-most similar partners of other components, more of them in each of ``PARTNERS`` rounds, the
-last round without limit. So every pair of a bucket whose signatures allow the similarity is
+No bucket is expanded into pairs: first every member is compared with the bucket's smallest
+member; then the members of buckets that still hold several components meet with their sets in
+one task (in blocks, if the bucket is large), which compares signatures, confirms what they
+allow on the full sets, each pair in the first bucket that it shares, and emits no more than
+one edge for each member. So every pair of a bucket whose signatures allow the similarity is
 confirmed or already connected. A pair at the threshold shares no bucket with probability
 ``(1 - 0.8^ROWS)^BANDS`` = 3e-5, and its signatures miss the screen (five deviations) less often.
 
@@ -38,10 +38,8 @@ BANDS, ROWS = 26, 5
 #: Similarity as a fraction, and the share of equal minima below which a pair is not confirmed.
 SIMILAR = (80, 100)
 SCREEN = 0.62
-#: Partners that a member emits in each round of comparisons inside buckets; None: all.
-PARTNERS = ((0, 4), (4, 64), (64, None))
-#: Members of a bucket that one task compares at once.
-BLOCK = 1500
+#: Members of a bucket, and shingles of all of them, that make up a block.
+BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
 
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).reshape(-1, 1)
@@ -96,14 +94,15 @@ def _describe(width: int):
 
 
 def _sets(width: int):
-    kind = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+    kind = pa.schema([("node", pa.int64()), ("set", pa.binary()), ("sig", pa.binary()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                sets = [s.tobytes() for s in shingle_sets(_text_bytes(batch.column(1)), width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], schema=kind)
+                sets = shingle_sets(_text_bytes(batch.column(1)), width)
+                least = [minima(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([m.astype(np.uint16).tobytes() for m in least], pa.binary()), pa.array([band_keys(m).tobytes() for m in least], pa.binary())], schema=kind)
 
     return run
 
@@ -131,71 +130,119 @@ def _confirmed(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def _bucket_partners(first: int, last: int | None):
-    """Compare the members of each bucket block; rows come sorted by (key, i, j)."""
+def _candidates(comp: np.ndarray, size: np.ndarray, block: np.ndarray, sig: np.ndarray, keys: np.ndarray, here: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that the signatures allow and that share no earlier bucket."""
+    crossing = block.min() != block.max()  # two blocks of a large bucket: only pairs across them
+    left, right = [], []
+    for k in range(0, len(comp), 64):
+        part = slice(k, k + 64)
+        fit = comp[part][:, None] != comp[None, k:]
+        if crossing:
+            fit &= block[part][:, None] != block[None, k:]
+        small, large = np.minimum(size[part][:, None], size[None, k:]), np.maximum(size[part][:, None], size[None, k:])
+        fit &= SIMILAR[1] * small >= SIMILAR[0] * large
+        a, b = np.nonzero(fit)
+        keep = a < b
+        a, b = a[keep] + k, b[keep] + k
+        for at in range(0, len(a), 20_000):
+            x, y = a[at : at + 20_000], b[at : at + 20_000]
+            keep = (sig[x] == sig[y]).sum(axis=1) >= SCREEN * sig.shape[1]
+            x, y = x[keep], y[keep]
+            shared = keys[x] == keys[y]
+            first = shared.argmax(axis=1)
+            keep = shared.any(axis=1) & (keys[x, first] == here)
+            left.append(x[keep])
+            right.append(y[keep])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def _linked(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs reach the similarity on their full sets."""
+    size = np.array([len(s) for s in sets])
+    if len(a) <= 4000:
+        shared = np.empty(len(a), dtype=np.int64)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            both = np.concatenate((sets[x], sets[y]))
+            both.sort(kind="stable")
+            shared[k] = (both[1:] == both[:-1]).sum()
+    else:  # sizes of all intersections at once, some shingles at a time
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(flat, kind="stable")
+        _, code, count = np.unique(flat[order], return_inverse=True, return_counts=True)
+        owner = owner[order]
+        twice = count[code] > 1
+        code, owner = (np.cumsum(count > 1) - 1)[code[twice]], owner[twice]
+        inter = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+            x, y = np.searchsorted(code, (low, low + 4096))
+            has = np.zeros((len(sets), 4096), dtype=np.float32)
+            has[owner[x:y], code[x:y] - low] = 1
+            inter += has @ has.T
+        shared = inter[a, b].astype(np.int64)
+    return SIMILAR[1] * shared >= SIMILAR[0] * (size[a] + size[b] - shared)
+
+
+def _bucket_edges():
+    """Links inside each bucket block; rows come sorted by (key, i, j)."""
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(node: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
-        found = []
-        for k in range(0, len(node), 64):
-            part = slice(k, k + 64)
-            same = np.zeros((len(node[part]), len(node)), dtype=np.uint16)
-            for c in range(sig.shape[1]):
-                same += sig[part, c][:, None] == sig[:, c][None, :]
-            fit = same >= SCREEN * sig.shape[1]
-            fit &= comp[part][:, None] != comp[None, :]
-            small, large = np.minimum(size[part][:, None], size[None, :]), np.maximum(size[part][:, None], size[None, :])
-            fit &= SIMILAR[1] * small >= SIMILAR[0] * large
-            if block.min() != block.max():  # two blocks of a large bucket: only pairs across them
-                fit &= block[part][:, None] != block[None, :]
-            for row in np.flatnonzero(fit.any(axis=1)):
-                others = np.flatnonzero(fit[row])
-                rank = np.lexsort((node[others], -same[row, others].astype(np.int32)))
-                chosen = others[rank[first:last]]
-                found.append(np.stack((np.full(len(chosen), node[k + row]), node[chosen])))
-        return found
+    def bucket(part: pa.Table) -> pa.RecordBatch | None:
+        comp = part.column("comp").to_numpy()
+        if comp.min() == comp.max():
+            return None
+        numbers = lambda c, t: np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=t).reshape(len(comp), -1)
+        sets = [np.frombuffer(s, dtype=np.uint64) for s in part.column("set").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        a, b = _candidates(comp, size, part.column("block").to_numpy(), numbers("sig", np.uint16), numbers("keys", np.int64), part.column("key")[0].as_py())
+        if not len(a):
+            return None
+        good = _linked(sets, a, b)
+        a, b = a[good], b[good]
+        _, group = np.unique(comp, return_inverse=True)
+        root = np.arange(group.max() + 1)
+        while True:  # hook the larger of two linked roots to the smaller, then flatten
+            x, y = root[group[a]], root[group[b]]
+            open_ = x != y
+            if not open_.any():
+                break
+            np.minimum.at(root, np.maximum(x[open_], y[open_]), np.minimum(x[open_], y[open_]))
+            while (root[root] != root).any():
+                root = root[root]
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if not len(moved):
+            return None
+        node = np.zeros(len(root), dtype=np.int64)
+        node[group] = part.column("node").to_numpy()
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def groups(data: pa.Table, final: bool) -> tuple[pa.Table | None, list[np.ndarray]]:
+        def closed(data: pa.Table, final: bool) -> tuple[pa.Table, list[pa.RecordBatch]]:
             marks = np.stack([data.column(c).to_numpy() for c in ("key", "i", "j")])
-            cut = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cut.tolist(), data.num_rows]
-            found = []
-            for a, b in zip(edges[:-1] if final else edges[:-2], edges[1:] if final else edges[1:-1]):
-                part = data.slice(a, b - a)
-                comp = part.column("comp").to_numpy()
-                if b - a > 1 and comp.min() != comp.max():
-                    sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint16).reshape(b - a, -1)
-                    found += compare(part.column("node").to_numpy(), comp, part.column("n").to_numpy(), part.column("block").to_numpy(), sig)
-            return (None if final else data.slice(edges[-2])), found
-
-        def out(found: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.concatenate(found, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], schema=kind)
+            edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1).tolist(), data.num_rows]
+            upto = len(edges) - 1 if final else len(edges) - 2
+            found = [bucket(data.slice(edges[k], edges[k + 1] - edges[k])) for k in range(upto) if edges[k + 1] - edges[k] > 1]
+            return data.slice(edges[upto]), [x for x in found if x is not None]
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = pa.Table.from_batches([batch])
-            held, found = groups(new if held is None else pa.concat_tables([held, new]), False)
-            if found:
-                yield out(found)
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch])
+                held, found = closed(new if held is None else pa.concat_tables([held, new]), False)
+                yield from found
         if held is not None and held.num_rows:
-            _, found = groups(held, True)
-            if found:
-                yield out(found)
+            yield from closed(held, True)[1]
 
     return run
 
 
 def _spread(rows: DataFrame) -> DataFrame:
     """Deal the members of large buckets into blocks, and each member to all pairs of blocks."""
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
     dealt = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "c")
+    return dealt.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "c", "w")
 
 
 def link(docs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
@@ -205,11 +252,11 @@ def link(docs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
     described, p1 = store(rows.mapInArrow(_describe(width), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "minhash")
     known = described.where("n_shingles > 0 and doc_id is not null")
     classes, p2 = store(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")), "classes")
-    buckets = classes.select("node", F.explode("keys").alias("key"))
-    multi = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_m"), F.count(F.lit(1)).alias("c")).where("center < _m").drop("_m")
-    members, p3 = store(buckets.join(multi, "key"), "buckets")
+    buckets = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
+    multi = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_m"), F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w")).where("center < _m").drop("_m")
+    members, p3 = store(buckets.drop("n_shingles").join(multi, "key"), "buckets")
     need = members.select("node").distinct()
-    sets, p4 = store(rows.join(need.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, set binary"), "sets")
+    sets, p4 = store(rows.join(need.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, set binary, sig binary, keys binary"), "sets")
     signatures = classes.select("node", F.col("n_shingles").alias("n"), "sig")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -230,19 +277,15 @@ def link(docs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
     same = known.select("doc_id", "f1", "f2", "n_shingles").join(repeated, "doc_id").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])
     same, at = store(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b").distinct(), "same")
     paths.append(at)
-    for first, last in PARTNERS:
-        comp, at = store(components(links.union(same)), "components")
-        paths.append(at)
-        placed = members.join(comp, "node", "left").select("key", "c", "node", F.coalesce("component", "node").alias("comp"))
-        open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-        active = _spread(placed.join(open_, "key").join(signatures, "node"))
-        dealt = active.select("key", "i", "j", "block", "node", "comp", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-        pairs = dealt.mapInArrow(_bucket_partners(first, last), "a long, b long").distinct()
-        more, at = store(confirm(pairs), "links")
-        paths.append(at)
-        if more.isEmpty() and last is None:
-            break
-        links = links.union(more)
+    comp, at = store(components(links.union(same)), "components")
+    paths.append(at)
+    placed = members.join(comp, "node", "left").select("key", "c", "w", "node", F.coalesce("component", "node").alias("comp"))
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    active = _spread(placed.join(open_, "key")).join(sets, "node").select("key", "i", "j", "block", "node", "comp", "set", "sig", "keys")
+    dealt = active.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    more, at = store(dealt.mapInArrow(_bucket_edges(), "a long, b long").distinct(), "links")
+    paths.append(at)
+    links = links.union(more)
     comp, at = store(components(links.union(same)), "components")
     discard(spark, p3, p4, *paths)
     node = classes.select("f1", "f2", "n_shingles", "node").join(comp, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("c"))
