@@ -1,10 +1,10 @@
 """Suffix-array dedup: remove every byte covered by a string of ``LENGTH`` bytes that also starts
 anywhere else, in another document or in the same one.
 
-1. Anchors. Every string of LENGTH bytes contains a k-gram whose hash is least among its
-   k-grams (ties all count), and equal strings contain equal ones at equal places. So only
-   k-grams chosen by some string are anchors, and only anchors whose hash occurs twice can lie
-   in a repeated string. An anchor's context is every string that contains it.
+1. Anchors. The k-gram of least hash in a string of LENGTH bytes (the first of them) is its
+   anchor; equal strings have equal anchors at equal places. So only strings whose anchor's hash
+   occurs twice can repeat. An anchor's context covers the strings that it is the anchor of;
+   each string is in one context.
 2. Contexts that occur twice as a whole are repeated in all their strings.
 3. The rest, different contexts of one anchor hash, go to shards by anchor hash; all
    occurrences of a string that may repeat meet there. A shard builds the suffix array of its
@@ -35,10 +35,10 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.common import _BASE, _INVERSE, _powers, discard, mix, store, table
 
-LENGTH, K = 200, 64
-SPAN = LENGTH - K  # places of an anchor's string before the anchor
-#: Contexts of one anchor hash in a shard, and bytes of contexts that a suffix array takes.
-BLOCK, SHARD_BYTES = 4000, 3 << 20
+LENGTH, K = 200, 32
+SPAN = LENGTH - K  # an anchor's string begins at most so many bytes before it
+#: Contexts of one anchor hash in a shard, and bytes of contexts at which a suffix array closes.
+BLOCK, SHARD_BYTES = 4000, 900_000
 
 
 # ---------------------------------------------------------------- anchors
@@ -56,14 +56,14 @@ def _windows(x: np.ndarray, w: int, fold, neutral) -> np.ndarray:
     return fold(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, place, anchor hash, context hash) of all anchors of some texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(text number, begin of the context, its length, place of the anchor in it, anchor hash,
+    context hash) of all anchors of some texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n = len(raw)
     if n < LENGTH:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return (np.zeros(0, dtype=np.int64),) * 6
     first = np.cumsum(sizes) - sizes
     with np.errstate(over="ignore"):
         total = np.empty(n + 1, dtype=np.uint64)
@@ -81,14 +81,41 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         # an anchor is the least of some string that contains it
         reach = _windows(np.concatenate((np.zeros(SPAN, dtype=np.uint64), least, np.zeros(SPAN, dtype=np.uint64))), SPAN + 1, np.maximum, np.uint64(0))
         place = np.flatnonzero(reach == h)
+        value = h[place]
         text = np.searchsorted(first, place, side="right") - 1
-        begin, end = np.maximum(place - SPAN, first[text]), np.minimum(place + LENGTH, first[text] + sizes[text])
+        # its strings hold no smaller hash, and no equal one before it
+        low = np.maximum(place - SPAN, _nearest(place, value, -1) + 1)
+        high = np.minimum(place, _nearest(place, value, 1) - SPAN - 1)
+        low, high = np.maximum(low, first[text]), np.minimum(high, first[text] + sizes[text] - LENGTH)
+        some = low <= high
+        place, value, text, begin, end = place[some], value[some], text[some], low[some], high[some] + LENGTH
         context = mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (place - begin).astype(np.uint64))
-    return text, place - first[text], h[place].view(np.int64), context.view(np.int64)
+    return text, begin - first[text], end - begin, place - begin, value.view(np.int64), context.view(np.int64)
+
+
+def _nearest(place: np.ndarray, value: np.ndarray, side: int) -> np.ndarray:
+    """Place of the nearest anchor before (side -1: of equal or smaller value) or after (side 1:
+    of smaller value) each anchor; far outside if there is none within a string's reach."""
+    n = len(place)
+    at = np.arange(n) + side
+    far = -(1 << 40) * -side
+    out = np.full(n, far, dtype=np.int64)
+    open_ = np.arange(n)
+    while len(open_):
+        j = at[open_]
+        inside = (j >= 0) & (j < n)
+        open_, j = open_[inside], j[inside]
+        near = np.abs(place[j] - place[open_]) <= SPAN
+        open_, j = open_[near], j[near]
+        stop = value[j] <= value[open_] if side < 0 else value[j] < value[open_]
+        out[open_[stop]] = place[j[stop]]
+        open_ = open_[~stop]
+        at[open_] += side
+    return out
 
 
 def _anchor_rows():
-    kind = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("rid", pa.int64()), ("pos", pa.int64())])
+    kind = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("len", pa.int16()), ("off", pa.int16())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,8 +127,8 @@ def _anchor_rows():
                 while upto < len(texts) and (upto == k or held + len(texts[upto]) <= 1 << 20):
                     held += len(texts[upto])
                     upto += 1
-                text, place, h, context = anchors(texts[k:upto])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), pa.array(ids[k:upto][text]), pa.array(place)], schema=kind)
+                text, at, size, off, h, context = anchors(texts[k:upto])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(context), pa.array(ids[k:upto][text]), pa.array(at), pa.array(size.astype(np.int16)), pa.array(off.astype(np.int16))], schema=kind)
                 k = upto
 
     return run
@@ -124,37 +151,41 @@ class SuffixArray:
 
     def _refine(self) -> None:
         """Larsson-Sadakane: start from the order of 7-byte prefixes, then sort each group that
-        is still tied by the ranks h further on, doubling h. Each context ends with a mark of
-        its own, below all bytes, so every order is decided within the contexts."""
+        is still tied by the ranks h further on, h growing with what is known. Each context ends
+        with a mark of its own, below all bytes, so every order is decided within the contexts.
+        In small arrays three ranks fit one sort key, so h grows threefold; else it doubles."""
         n = len(self.text)
         padded = np.zeros(n + 7, dtype=np.uint64)
         padded[:n] = self.text
         key = np.zeros(n, dtype=np.uint64)
         for k in range(7):
             key = (key << np.uint64(9)) | np.where(self.left > k, padded[k : k + n] + np.uint64(1), np.uint64(0))
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
         # rank of a group: the place of its first member
         start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank = np.empty(n, dtype=np.int64)
         rank[order] = start
+        triple = n <= 1 << 20
         h = 7
         while True:
             tied = np.flatnonzero(~(new & np.append(new[1:], True)))
             if not len(tied):
                 break
             at = order[tied]
-            ahead = np.where(self.left[at] > h, rank[np.minimum(at + h, n - 1)] + n, self.owner[at])
-            by = np.argsort(rank[at] * (2 * n) + ahead, kind="stable")
-            at, ahead = at[by], ahead[by]
+            key = rank[at]
+            for step in (h, 2 * h) if triple else (h,):
+                ahead = np.where(self.left[at] > step, rank[np.minimum(at + step, n - 1)] + n, self.owner[at])
+                key = key * (2 * n) + ahead
+            by = np.argsort(key)
+            at, key = at[by], key[by]
             order[tied] = at
-            group = rank[at]
-            split = np.concatenate(([True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])))
+            split = np.concatenate(([True], key[1:] != key[:-1]))
             new[tied] |= split
             start = np.maximum.accumulate(np.where(split, tied, 0))
             rank[at] = start
-            h *= 2
+            h *= 3 if triple else 2
         self.order, self.rank = order, rank
 
     def common_prefixes(self) -> np.ndarray:
@@ -223,6 +254,37 @@ def _runs(flags: np.ndarray, array: SuffixArray) -> tuple[np.ndarray, np.ndarray
     return own, begin - array.first[own], end - array.first[own]
 
 
+STEP = 8
+
+
+def may_repeat(h: np.ndarray, off: np.ndarray, contexts: list[bytes]) -> np.ndarray:
+    """Which contexts share ``LENGTH - STEP`` bytes with another one of their anchor hash, at one
+    of the places that are a multiple of STEP from the anchor; a shared string holds such a
+    piece. Others need no suffix array."""
+    sizes = np.array([len(c) for c in contexts], dtype=np.int64)
+    raw = np.frombuffer(b"".join(contexts), dtype=np.uint8)
+    first = np.cumsum(sizes) - sizes
+    piece = LENGTH - STEP
+    with np.errstate(over="ignore"):
+        total = np.empty(len(raw) + 1, dtype=np.uint64)
+        total[0] = 0
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw), _BASE), out=total[1:])
+        back = _powers(len(raw) + 1, _INVERSE)
+        skip = off % STEP
+        count = np.maximum((sizes - piece - skip) // STEP + 1, 0)
+        owner = np.repeat(np.arange(len(sizes)), count)
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = first[owner] + skip[owner] + inner * STEP
+        mark = mix((total[at + piece] - total[at]) * back[at] + h.view(np.uint64)[owner])
+    order = np.argsort(mark)
+    mark = mark[order]
+    same = mark[1:] == mark[:-1]
+    out = np.zeros(len(sizes), dtype=bool)
+    out[owner[order[1:][same]]] = True
+    out[owner[order[:-1][same]]] = True
+    return out
+
+
 def _shards():
     """Contexts, sorted by (h, i, j), to covered runs (rid, begin, end)."""
     kind = pa.schema([("rid", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -245,7 +307,10 @@ def _shards():
         return {k: data.column(k).to_numpy() for k in ("rid", "at", "c")} | {"bytes": data.column("bytes").to_pylist()}
 
     def solve(data: pa.Table) -> Iterator[pa.RecordBatch]:
-        part = columns(data)
+        keep = may_repeat(data.column("h").to_numpy(), data.column("off").to_numpy().astype(np.int64), data.column("bytes").to_pylist())
+        if not keep.any():
+            return
+        part = columns(data, keep)
         array = SuffixArray(part["bytes"])
         where, often = places(part, array)
         found = emit(part, array, repeated_in(array, where, often))
@@ -311,7 +376,7 @@ def _shards():
         for batch in batches:
             if batch.num_rows:
                 held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                if held.nbytes >= SHARD_BYTES:
+                if held.nbytes >= 4 * SHARD_BYTES:
                     yield from closed(held, False)
         if held is not None and held.num_rows:
             yield from closed(held, True)
@@ -320,18 +385,17 @@ def _shards():
 
 
 def _cut_contexts():
-    kind = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("ctx", pa.int64()), ("bytes", pa.binary())])
+    kind = pa.schema([("h", pa.int64()), ("ctx", pa.int64()), ("c", pa.int64()), ("m", pa.int64()), ("rid", pa.int64()), ("at", pa.int64()), ("off", pa.int16()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for k in range(batch.num_rows):
-                text = texts[k].as_py() or b""
-                rid = batch.column(0)[k].as_py()
-                rows = batch.column(2)[k].as_py()
-                at = [max(0, r["pos"] - SPAN) for r in rows]
-                cut = [text[a : r["pos"] + LENGTH] for a, r in zip(at, rows)]
-                yield pa.RecordBatch.from_arrays([pa.array([r["h"] for r in rows], pa.int64()), pa.array([r["c"] for r in rows], pa.int64()), pa.array([r["m"] for r in rows], pa.int64()), pa.array([rid] * len(rows), pa.int64()), pa.array(at, pa.int64()), pa.array([r["ctx"] for r in rows], pa.int64()), pa.array(cut, pa.binary())], schema=kind)
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            lists = batch.column(2)
+            rows, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            own = np.repeat(np.arange(len(texts)), count)
+            at, size = rows.field("at").to_numpy(), rows.field("len").to_numpy().astype(np.int64)
+            cut = [(texts[k] or b"")[a:b] for k, a, b in zip(own.tolist(), at.tolist(), (at + size).tolist())]
+            yield pa.RecordBatch.from_arrays([*(rows.field(c) for c in ("h", "ctx", "c", "m")), batch.column(0).take(pa.array(own)), rows.field("at"), rows.field("off"), pa.array(cut, pa.binary())], schema=kind)
 
     return run
 
@@ -373,19 +437,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def covered_runs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """(rid, begin, end): runs of bytes to remove, overlapping ones not yet joined."""
-    all_anchors, p1 = store(rows.select("rid", "text").mapInArrow(_anchor_rows(), "h long, ctx long, rid long, pos long"), "anchors")
+    all_anchors, p1 = store(rows.select("rid", "text").mapInArrow(_anchor_rows(), "h long, ctx long, rid long, at long, len short, off short"), "anchors")
     twice = all_anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     shared, p2 = store(all_anchors.join(twice, "h"), "shared-anchors")
     discard(rows.sparkSession, p1)
-    contexts, p3 = store(shared.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "pos")).alias("r")), "contexts")
-    whole = shared.join(contexts.where("c > 1").select("h", "ctx"), ["h", "ctx"]).select("rid", F.greatest(F.lit(0), F.col("pos") - SPAN).alias("begin"), (F.col("pos") + LENGTH).alias("end"))
+    contexts, p3 = store(shared.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at", "len", "off")).alias("r")), "contexts")
+    whole = shared.join(contexts.where("c > 1").select("h", "ctx"), ["h", "ctx"]).select("rid", F.col("at").alias("begin"), (F.col("at") + F.col("len")).alias("end"))
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_ = contexts.join(several, "h").select("h", "ctx", "c", "m", F.col("r.rid").alias("rid"), F.col("r.pos").alias("pos"))
-    per_row = open_.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "pos")).alias("rows"))  # anchors of one text
-    cut = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "rows").mapInArrow(_cut_contexts(), "h long, c long, m long, rid long, at long, ctx long, bytes binary")
+    open_ = contexts.join(several, "h").select("h", "ctx", "c", "m", "r.rid", "r.at", "r.len", "r.off")
+    per_row = open_.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "at", "len", "off")).alias("rows"))  # anchors of one text
+    cut = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "rows").mapInArrow(_cut_contexts(), "h long, ctx long, c long, m long, rid long, at long, off short, bytes binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = cut.withColumn("n", blocks).withColumn("block", F.pmod(F.xxhash64("ctx", F.lit("block")), F.col("n")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("h", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "at", "c", "bytes")
+    dealt = dealt.select("h", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "at", "off", "c", "bytes")
     dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     partly, p4 = store(dealt.mapInArrow(_shards(), "rid long, begin long, end long"), "runs")
     return whole.union(partly), [p2, p3, p4]
