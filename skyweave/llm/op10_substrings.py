@@ -319,6 +319,8 @@ def _shards():
 
     def merge(data: pa.Table, block: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Two blocks of one large anchor: look up the strings of one in those of the other."""
+        if block.min() == block.max():  # the other block of this pair has no context
+            return
         parts = [columns(data, block == b) for b in np.unique(block)]
         arrays = [SuffixArray(p["bytes"]) for p in parts]
         starts = [a.starts() for a in arrays]
