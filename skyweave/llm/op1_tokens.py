@@ -21,10 +21,10 @@ lengths u32[documents], skip table u64 (ids before every skip-th symbol), symbol
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,25 +37,41 @@ MAGIC = b"RPG1"
 #: Ids in a shard at most, unless one document alone has more.
 SHARD_IDS = 1 << 20
 #: Rounds of pair replacement, rules a round, and the share of symbols that a round must save.
-ROUNDS, RULES_A_ROUND, LEAST_GAIN = 6, 1500, 0.02
+ROUNDS, RULES_A_ROUND, LEAST_GAIN = 5, 2500, 0.03
 SKIP = 1024
 #: Entries of each of the two generations of a worker's cache of encoded words.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 900_000
 
 
 # ---------------------------------------------------------------- Re-Pair
 
 
-def _count_frequent(seq: np.ndarray, rules: int) -> np.ndarray:
-    """Positions whose pair is among about ``rules`` most frequent ones.
+_BUCKET_BITS = 18
 
-    Pairs are counted in hashed buckets first, so that only occurrences in the fullest buckets
-    are sorted; that leaves the counts of the pairs kept exact."""
-    bits = 20
-    bucket = (seq[:-1].astype(np.uint32) * np.uint32(2654435761) + seq[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-    counts = np.bincount(bucket, minlength=1 << bits)
+
+def _frequent_pairs(seq: np.ndarray, rules: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, code): occurrences of about ``rules`` frequent pairs, one pair for each code.
+
+    Pairs are counted in hashed buckets; the fullest buckets are taken, and in each of them the
+    pair that stands last, so that a code has one pair and its count is exact."""
+    bucket = seq[:-1].astype(np.uint32)
+    bucket *= np.uint32(2654435761)
+    bucket ^= seq[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)
+    bucket >>= np.uint32(32 - _BUCKET_BITS)
+    bucket = bucket.astype(np.int64)
+    counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
     least = max(4, int(np.partition(counts, -rules)[-rules]))
-    return np.flatnonzero((counts >= least)[bucket])
+    hot = np.flatnonzero(counts >= least)
+    table = np.full(1 << _BUCKET_BITS, -1, dtype=np.int32)
+    table[hot] = np.arange(len(hot), dtype=np.int32)
+    code = table[bucket]
+    at = np.flatnonzero(code >= 0)
+    code = code[at]
+    pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
+    chosen = np.empty(len(hot), dtype=np.int64)
+    chosen[code] = pair
+    same = chosen[code] == pair
+    return at[same], code[same]
 
 
 def repair_compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
@@ -66,28 +82,31 @@ def repair_compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_ro
     for _ in range(rounds):
         if len(seq) < 8:
             break
-        at = _count_frequent(seq, rules_a_round)
+        at, code = _frequent_pairs(seq, rules_a_round)
         if not len(at):
             break
-        # left-to-right, non-overlapping: every second one of a run of adjacent positions
-        fresh = np.concatenate(([True], np.diff(at) != 1))
-        run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run_start) % 2 == 0]
-        pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-        kinds, inverse, counts = np.unique(pair, return_inverse=True, return_counts=True)
+        # left-to-right, non-overlapping: every second one of a run of adjacent places
+        fresh = np.empty(len(at), dtype=bool)
+        fresh[0] = True
+        np.not_equal(at[1:], at[:-1] + 1, out=fresh[1:])
+        order = np.arange(len(at))
+        keep = ((order - np.maximum.accumulate(np.where(fresh, order, 0))) & 1) == 0
+        at, code = at[keep], code[keep]
+        counts = np.bincount(code)
         good = counts >= 4
         if not good.any():
             break
-        number = np.cumsum(good) - 1
-        keep = good[inverse]
-        at, inverse = at[keep], inverse[keep]
-        seq[at] = top + number[inverse]
+        keep = good[code]
+        at, code = at[keep], code[keep]
+        number = (np.cumsum(good) - 1).astype(np.int32)
+        fit = np.zeros((int(number[-1]) + 1, 2), dtype=np.uint32)
+        fit[number[code], 0], fit[number[code], 1] = seq[at], seq[at + 1]
+        seq[at] = top + number[code]
         rest = np.ones(len(seq), dtype=bool)
         rest[at + 1] = False
         before = len(seq)
         seq = seq[rest]
-        fit = kinds[good]
-        rules.append(np.stack((fit >> 32, fit & 0xFFFFFFFF), axis=1).astype(np.uint32))
+        rules.append(fit)
         top += len(fit)
         if before - len(seq) < LEAST_GAIN * before:
             break
@@ -157,8 +176,23 @@ class Shard:
         self.before = take("<u8", -(-symbols // skip))
         self.symbols = take(f"<u{width}", symbols)
 
+    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+        """Ids of some symbols: a table holds every symbol's expansion in one piece."""
+        if not hasattr(self, "table"):
+            own = _expand(np.arange(self.base, self.base + len(self.rules)), self.rules, self.base)
+            self.table = np.concatenate((np.arange(self.base, dtype=np.uint32), own))
+            self.size = np.concatenate((np.ones(self.base, dtype=np.int64), self.lengths.astype(np.int64)))
+            self.begin = np.cumsum(self.size) - self.size
+        size = self.size[symbols]
+        total = np.cumsum(size)
+        if not len(total):
+            return np.zeros(0, dtype=np.uint32)
+        at = np.repeat(self.begin[symbols] - (total - size), size)
+        at += np.arange(int(total[-1]))
+        return self.table[at]
+
     def all(self) -> np.ndarray:
-        return _expand(self.symbols, self.rules, self.base)
+        return self._expand(self.symbols)
 
     def read(self, start: int, stop: int) -> np.ndarray:
         """Ids ``start`` to ``stop`` of the shard; only the symbols around them are expanded."""
@@ -167,7 +201,7 @@ class Shard:
             return np.zeros(0, dtype=np.uint32)
         first = int(np.searchsorted(self.before, start, side="right")) - 1
         last = int(np.searchsorted(self.before, stop, side="left"))
-        ids = _expand(self.symbols[first * self.skip : last * self.skip], self.rules, self.base)
+        ids = self._expand(self.symbols[first * self.skip : last * self.skip])
         shift = int(self.before[first])
         return ids[start - shift : stop - shift]
 
@@ -176,7 +210,6 @@ class Shard:
 
 #: A space between two characters that are no white space always starts a pre-token of a
 #: byte-level BPE of this kind; texts with other spaces are encoded as they are.
-_UNEVEN = re.compile(r"\s \s|\s | \s|^\s|\s$")
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
@@ -222,26 +255,31 @@ class WordEncoder:
             self.young[w] = ids.tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [None if _UNEVEN.search(t) or any(s in t for s in self.specials) else t.split(" ") for t in texts]
-        need = set()
+        """The ids of each text. A word that is empty or has white space at an end shows a space
+        that isn't one between two other characters: its text goes to the tokenizer whole."""
+        split = [None if any(s in t for s in self.specials) else t.split(" ") for t in texts]
+        missing: set[str] = set()
         for words in split:
             if words:
-                need.update(words[1:])
-        if len(self.young) + len(need) > CACHE_ENTRIES:
+                missing.update(filterfalse(self.young.__contains__, words[1:]))
+        if len(self.young) + len(missing) > CACHE_ENTRIES:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        fresh = []
-        for w in need:
-            if w not in young:
-                got = old.get(w)
-                if got is None:
-                    fresh.append(w)
-                else:
-                    young[w] = got
-        self._learn(fresh)
-        heads = self._plain([t if words is None else words[0] for t, words in zip(texts, split)])
+            missing = {w for words in split if words for w in words[1:]}
+        kept = [w for w in missing if w in self.old]
+        self.young.update(zip(kept, map(self.old.__getitem__, kept)))
+        fresh = list(missing.difference(kept))
+        uneven = [w for w in fresh if not w or w[0].isspace() or w[-1].isspace()]
+        self.young.update(dict.fromkeys(uneven))
+        self._learn(fresh if not uneven else list(set(fresh).difference(uneven)))
         get = self.young.__getitem__
-        return [head if words is None else np.frombuffer(head.tobytes() + b"".join(map(get, words[1:])), dtype=self.kind) for head, words in zip(heads, split)]
+        out: list = [None] * len(texts)
+        for k, words in enumerate(split):
+            if words and not (words[0] and words[0][-1].isspace()):
+                parts = list(map(get, words[1:]))
+                if None not in parts:
+                    out[k] = parts
+        heads = self._plain([t if parts is None else words[0] for t, parts, words in zip(texts, out, split)])
+        return [head if parts is None else np.frombuffer(head.tobytes() + b"".join(parts), dtype=self.kind) for head, parts in zip(heads, out)]
 
 
 def encoder(path: str) -> WordEncoder:
