@@ -50,7 +50,7 @@ def log10_positive(c: Column) -> Column:
 def general_format(c: Column) -> Column:
     """``%g`` with six digits for numbers of ordinary size: trailing zeros go, and so does the point."""
     magnitude = F.when(c == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(c)))).cast("int")
-    fixed = F.coalesce(*(F.when(magnitude == m, F.format_string(f"%.{max(0, 5 - m)}f", c)) for m in range(-4, 6)))
+    fixed = F.coalesce(*(F.when(magnitude == m, F.format_string(f"%.{max(0, 5 - m)}f", F.bround(c, max(0, 5 - m)))) for m in range(-4, 6)))
     trimmed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
     return F.when(c.isNotNull(), F.coalesce(trimmed, c.cast("string")))
 

@@ -99,9 +99,8 @@ def mjd_to_iso(mjd: Column) -> Column:
 
 
 def _spread_bits(v: Column) -> Column:
-    for shift, bits in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(bits))
-    return v
+    """A zero before each bit: the binary digits read in base 4."""
+    return F.conv(F.bin(v), 4, 10).cast("long")
 
 
 def nested_pixel(ra: Column, dec: Column, level: int) -> Column:
@@ -148,10 +147,8 @@ def pixel_corners(pixel: Column, level: int) -> Column:
 
 
 def _gather_bits(v: Column) -> Column:
-    v = v.bitwiseAND(F.lit(0x5555555555555555))
-    for shift, bits in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
-        v = v.bitwiseOR(F.shiftright(v, shift)).bitwiseAND(F.lit(bits))
-    return v
+    """Every second bit: the digits in base 4, read as binary ones."""
+    return F.conv(F.conv(v.bitwiseAND(F.lit(0x5555555555555555)).cast("string"), 10, 4), 2, 10).cast("long")
 
 
 def _xy(pixel: Column, level: int) -> tuple[Column, Column, Column]:

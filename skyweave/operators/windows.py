@@ -42,15 +42,15 @@ def nms_topk(df: DataFrame, keys: list[str], index: str, q: str, k: int, separat
     """Greedy picks of local maxima: the best first, of equal ones the later, none within
     ``separation`` of a pick. A fold over the sorted maxima of each series."""
     peaks = local_maxima(df, keys, index, q).where(F.col(q) >= least)
-    ordered = peaks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(q).alias("q"), F.col(index).cast("long").alias("i"))), False).alias("s"))
+    ordered = peaks.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(q).alias("q"), F.col(index).cast("long").alias("i"))), False).alias("_series"))
     none = F.array().cast("array<struct<q:double,i:bigint>>")
 
     def step(chosen: Column, p: Column) -> Column:
         near = F.exists(chosen, lambda c: F.abs(c["i"] - p["i"]) <= separation)
         return F.when((F.size(chosen) < k) & ~near, F.concat(chosen, F.array(F.struct(p["q"].cast("double").alias("q"), p["i"].alias("i"))))).otherwise(chosen)
 
-    picked = ordered.select(*keys, F.posexplode(F.aggregate("s", none, step)).alias("rank", "p"))
-    return picked.select(*keys, (F.col("rank") + 1).alias("pick"), F.col("p.i").alias(index), F.col("p.q").alias(q))
+    picked = ordered.select(*keys, F.posexplode(F.aggregate("_series", none, step)).alias("_rank", "_pick"))
+    return picked.select(*keys, (F.col("_rank") + 1).alias("pick"), F.col("_pick.i").alias(index), F.col("_pick.q").alias(q))
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
