@@ -1,10 +1,12 @@
 """Toxicity: maximum-scoring segment search over token log-odds, calibrated by extreme values.
 
 Fit, on a bounded sample of labelled rows (``SAMPLE_ROWS``): units (words and word prefixes)
-are counted in toxic and clean documents; a unit's log-odds ratio has an informative Dirichlet
-prior, proportional to its share of the background. Units whose ratio stands ``LEAST_Z``
-deviations above zero score that ratio, shrunk by its deviation; every other word scores a
-small negative constant. A word takes the score of its longest scoring unit.
+are counted by the toxic and clean documents that hold them (a word that one document repeats
+is one observation, and so are documents of one minimum triple hash, mostly copies); a unit's
+log-odds ratio has a Dirichlet prior, part uniform, part proportional to its share of the
+background. Units whose likelihood ratio exceeds what the best of all tested units reaches by
+chance score that ratio, shrunk by its deviation; every other word scores a small negative
+constant. A word takes the score of its longest scoring unit.
 
 Score: a linear scan lists all maximal scoring segments of a document (no segment of higher
 score overlaps one). Scores of the best segment of clean documents follow an extreme-value law
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,8 +44,9 @@ from skyweave.llm.common import fold, table
 SAMPLE_ROWS, CALIBRATION_SHARE = 12_000, 0.34
 #: Prefix lengths that are units beside the whole word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
-#: Least evidence of a unit, strength of the Dirichlet prior in words, score of other words.
-LEAST_Z, LEAST_COUNT, PRIOR_WORDS, REST_SCORE = 3.0, 4, 2_000.0, -0.35
+#: Least shrunk ratio and documents of a unit, strength of the Dirichlet prior (documents, and
+#: share of the background), score of other words.
+LEAST_ODDS, LEAST_COUNT, PRIOR, REST_SCORE = 2.0, 3, (0.5, 0.01), -0.35
 #: Units in the model at most; they are those of strongest evidence.
 MODEL_UNITS = 200_000
 SIGNIFICANT = 0.05
@@ -179,6 +183,20 @@ def sample_labels(labels: DataFrame, label: str, folds: int, held: int, rows: in
     return known.select("doc_id", F.col(label).cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(rows)
 
 
+def _sketch():
+    """Pandas UDF: the least hash of three words in a row, of the whole text below three words."""
+
+    @F.pandas_udf("long")
+    def sketch(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            words = _WORD.findall((text or "").lower())
+            out.append(min((zlib.crc32(" ".join(t).encode()) for t in zip(words, words[1:], words[2:])), default=zlib.crc32(" ".join(words).encode()) + (1 << 32)))
+        return pd.Series(out, dtype="int64")
+
+    return sketch
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fit on the labelled rows whose fold is not held out."""
     picked = sample_labels(labels, "toxic", 5, 0, SAMPLE_ROWS)
@@ -191,34 +209,46 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
         total: dict[tuple[str, int], int] = Counter()
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["_label"]):
-                words = Counter(_WORD.findall((text or "").lower()))
-                total["\x00words", toxic] += sum(words.values())
                 total["\x00docs", toxic] += 1
-                for w, n in words.items():
-                    for u in units(w):
-                        total[u, toxic] += n
+                total.update((u, toxic) for u in {u for w in set(_WORD.findall((text or "").lower())) for u in units(w)})
         if total:
             yield pd.DataFrame([(u, n if t else 0, 0 if t else n) for (u, t), n in total.items()], columns=["unit", "n1", "n0"])
 
-    counts = texts.where(~F.col("_back")).mapInPandas(count, "unit string, n1 long, n0 long").groupBy("unit").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    counts = texts.where(~F.col("_back")).withColumn("_s", _sketch()("text")).dropDuplicates(["_s", "_label"]).select("text", "_label").mapInPandas(count, "unit string, n1 long, n0 long").groupBy("unit").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     kept = counts.where((F.col("n1") >= LEAST_COUNT) | F.col("unit").startswith("\x00")).toPandas()  # bounded by the sample
-    size = kept[kept["unit"] == "\x00words"][["n1", "n0"]].sum()
     docs_seen = kept[kept["unit"] == "\x00docs"][["n1", "n0"]].sum()
     kept = kept[~kept["unit"].str.startswith("\x00")].sort_values("unit")
     model = ToxicModel(base_rate=float(docs_seen["n1"] / max(1, docs_seen.sum())))
-    big1, big0 = float(size["n1"]), float(size["n0"])
+    big1, big0 = float(docs_seen["n1"]), float(docs_seen["n0"])
     if big1 == 0 or big0 == 0 or kept.empty:
         texts.unpersist()
         return model
     n1, n0 = kept["n1"].to_numpy(float), kept["n0"].to_numpy(float)
-    alpha = PRIOR_WORDS * (n1 + n0) / (big1 + big0) + 0.01
-    odds = np.log((n1 + alpha) / (big1 + PRIOR_WORDS - n1 - alpha)) - np.log((n0 + alpha) / (big0 + PRIOR_WORDS - n0 - alpha))
+    tested = max(2, len(kept))
+    background = PRIOR[1] * (big1 + big0)
+    alpha = PRIOR[0] + background * (n1 + n0) / (big1 + big0)
+    odds = np.log((n1 + alpha) / (big1 + background + 1 - n1)) - np.log((n0 + alpha) / (big0 + background + 1 - n0))
     spread = np.sqrt(1 / (n1 + alpha) + 1 / (n0 + alpha))
-    z = odds / spread
-    strong = np.flatnonzero((z >= LEAST_Z) & (odds - spread > 0.5))
-    strong = strong[np.argsort(-z[strong], kind="stable")][:MODEL_UNITS]
+    share = big1 / (big1 + big0)
+    ratio = 2 * (n1 * np.log(np.maximum(n1, 1e-9) / ((n1 + n0) * share)) + n0 * np.log(np.maximum(n0, 1e-9) / ((n1 + n0) * (1 - share))))
+    strong = np.flatnonzero((ratio >= 2 * math.log(tested) + 2) & (odds - spread >= LEAST_ODDS))
+    strong = strong[np.argsort(-ratio[strong], kind="stable")][:MODEL_UNITS]
+    if not len(strong):
+        texts.unpersist()
+        return model
     names = kept["unit"].to_numpy()
-    model.scores = {names[i]: float(odds[i] - spread[i]) for i in strong}
+    left = {names[i]: [n1[i], n0[i]] for i in strong}
+    for i in sorted(strong, key=lambda i: (-len(names[i]), names[i])):
+        # a prefix is judged by what its longer units leave; one that only they made toxic goes
+        name = names[i]
+        toxic, clean = left[name]
+        if clean > 0 and (toxic + alpha[i]) * (big0 + 1) < math.exp(LEAST_ODDS) * (clean + alpha[i]) * (big1 + 1):
+            continue
+        model.scores[name] = float(odds[i] - spread[i])
+        for k in PREFIXES:
+            above = left.get(name[:k]) if len(name) > k else None
+            if above is not None:
+                above[0], above[1] = max(0.0, above[0] - toxic), max(0.0, above[1] - clean)
     _calibrate(model, texts.where("_back"), texts)
     texts.unpersist()
     return model
