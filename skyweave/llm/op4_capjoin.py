@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import discard, store, table
+from skyweave.llm.common import store, table
 from skyweave.llm.components import components
 
 COSINE = 0.98
@@ -218,8 +218,8 @@ def link(vectors: DataFrame) -> DataFrame:
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     fit = rows.where(valid & F.col("vec_id").isNotNull())
-    # equal vectors of a label are one class; its id is its smallest vec_id, numbered anew if
-    # a vec_id is the smallest of several classes
+    # equal vectors of a label are one class, named by a 64-bit hash; its node in the graph is its
+    # smallest vec_id
     classes = fit.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("many"))
     classes, p1 = store(classes.withColumn("cid", F.xxhash64("label", "v")), "classes")
     largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c").alias("c")).first()["c"] or 0
