@@ -91,6 +91,37 @@ def propagate(ra: Column, dec: Column, epoch: Column, pmra: Column, pmdec: Colum
     }
 
 
+def tangent_plane(ra: Column, dec: Column, ra0: Column, dec0: Column) -> tuple[Column, Column]:
+    """Gnomonic offsets (east, north) in degrees; null behind the tangent point."""
+    a, d, a0, d0 = F.radians(ra), F.radians(dec), F.radians(ra0), F.radians(dec0)
+    c = F.sin(d0) * F.sin(d) + F.cos(d0) * F.cos(d) * F.cos(a - a0)
+    front = F.when(c > 0, c)
+    east = F.cos(d) * F.sin(a - a0) / front
+    north = (F.cos(d0) * F.sin(d) - F.sin(d0) * F.cos(d) * F.cos(a - a0)) / front
+    return F.degrees(east), F.degrees(north)
+
+
+def world_to_pixel(ra: Column, dec: Column, wcs: dict[str, Column]) -> tuple[Column, Column]:
+    """1-based pixel of a TAN projection with a CD matrix (keys crval1, crval2, crpix1, crpix2,
+    cd11, cd12, cd21, cd22)."""
+    east, north = tangent_plane(ra, dec, wcs["crval1"], wcs["crval2"])
+    det = wcs["cd11"] * wcs["cd22"] - wcs["cd12"] * wcs["cd21"]
+    x = (wcs["cd22"] * east - wcs["cd12"] * north) / det
+    y = (wcs["cd11"] * north - wcs["cd21"] * east) / det
+    return x + wcs["crpix1"], y + wcs["crpix2"]
+
+
+def in_frame(x: Column, y: Column, width, height, one_based: bool = True) -> Column:
+    """Inside the frame: 1-based and inclusive, or 0-based and half open."""
+    if one_based:
+        return x.between(1, width) & y.between(1, height)
+    return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
+
+def edge_distance(x: Column, y: Column, width, height) -> Column:
+    return F.least(x, y, F.lit(width) - x, F.lit(height) - y)
+
+
 def mjd_to_iso(mjd: Column) -> Column:
     return F.date_format(F.timestamp_micros(F.round((mjd - MJD_UNIX_EPOCH) * 86400e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
 

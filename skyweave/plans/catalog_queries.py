@@ -241,3 +241,56 @@ def integer_ranges(t: Tables) -> DataFrame:
 @query("v23_float_lists", "select n_nationkey, [n_nationkey*1e0, 2.5e0] as numbers from nation")
 def float_lists(t: Tables) -> DataFrame:
     return t.table("nation").select("n_nationkey", strings.float_list(F.concat(F.col("n_nationkey").cast("string"), F.lit(", 2.5,,x"))).alias("numbers"))
+
+
+WCS_SQL = """with p as (select source_id, radians(ra) as a, radians(dec) as d, radians(180e0) as a0, radians(10e0) as d0 from catalog_sources),
+c as (select source_id, sin(d0)*sin(d) + cos(d0)*cos(d)*cos(a - a0) as c, cos(d)*sin(a - a0) as e, cos(d0)*sin(d) - sin(d0)*cos(d)*cos(a - a0) as n from p),
+x as (select source_id, degrees(e/c)/(-0.05e0) + 512e0 as x, degrees(n/c)/0.05e0 + 512e0 as y from c where c > 0)
+"""
+
+
+def _projected(t: Tables) -> DataFrame:
+    one = F.lit
+    wcs = {"crval1": one(180.0), "crval2": one(10.0), "crpix1": one(512.0), "crpix2": one(512.0), "cd11": one(-0.05), "cd12": one(0.0), "cd21": one(0.0), "cd22": one(0.05)}
+    x, y = sky.world_to_pixel(F.col("ra"), F.col("dec"), wcs)
+    return t.catalog.select("source_id", x.alias("x"), y.alias("y")).where("x is not null")
+
+
+@query("p12_world_to_pixel", WCS_SQL + "select source_id, round(x, 5) as x_pix, round(y, 5) as y_pix, (x between 1e0 and 1024e0 and y between 1e0 and 1024e0) as in_frame from x")
+def world_to_pixel(t: Tables) -> DataFrame:
+    return _projected(t).select("source_id", F.round("x", 5).alias("x_pix"), F.round("y", 5).alias("y_pix"), sky.in_frame(F.col("x"), F.col("y"), 1024, 1024).alias("in_frame"))
+
+
+@query("p14_edge_selection", WCS_SQL + "select source_id, case when least(x, y, 1024e0 - x, 1024e0 - y) >= 8e0 then 'selected' else 'outside_or_edge' end as status from x")
+def edge_selection(t: Tables) -> DataFrame:
+    d = sky.edge_distance(F.col("x"), F.col("y"), 1024.0, 1024.0)
+    return _projected(t).select("source_id", F.when(d >= 8.0, "selected").otherwise("outside_or_edge").alias("status"))
+
+
+@query("p21_candidate_filter", "select o_orderkey from orders where o_orderstatus in ('F', 'O') and greatest(o_totalprice/1000e0, o_custkey*1e0) >= 100e0 and (o_orderpriority like '%urgent%' or lower(o_orderpriority) like '%high%')")
+def candidate_filter(t: Tables) -> DataFrame:
+    o = t.table("orders")
+    best = F.greatest(F.col("o_totalprice") / 1000.0, F.col("o_custkey").cast("double"))
+    return o.where(F.col("o_orderstatus").isin("F", "O") & (best >= 100.0) & strings.matches_text([F.col("o_orderpriority")], "HIGH")).select("o_orderkey")
+
+
+@query("p31_column_aliases", "select injection_id, line_family as tier, injected_line_nm as peak_line_nm, cast(null as double) as peak_snr from injection_truth")
+def column_aliases(t: Tables) -> DataFrame:
+    """Candidate tables of other versions: known aliases are renamed, missing columns are null."""
+    aliases = {"tier": "line_family", "peak_line_nm": "injected_line_nm", "peak_snr": "score"}
+    df = t.truth
+    return df.select("injection_id", *((F.col(a) if a in df.columns else F.lit(None).cast("double")).alias(n) for n, a in aliases.items()))
+
+
+@query("m2_augmented_view")
+def augmented_view(t: Tables) -> DataFrame:
+    """A random view of each series: a seeded subset of points with noise on the fluxes."""
+    kept = t.points.where(F.pmod(F.xxhash64("target_id", "image_id", "cwave_um", F.lit(5)), F.lit(100)) < 80)
+    return kept.select("target_id", "cwave_um", (F.col("aperture_flux_uJy") + F.randn(5) * 0.05 * F.col("aperture_flux_unc_uJy")).alias("flux"))
+
+
+@query("a32_cutout_summary", "select detector, round(quantile_cont(aperture_flux_uJy, 0.1), 5) as p10, round(median(aperture_flux_uJy), 5) as p50, round(quantile_cont(aperture_flux_uJy, 0.9), 5) as p90 from spectra_points group by 1")
+def cutout_summary(t: Tables) -> DataFrame:
+    p = F.percentile("aperture_flux_uJy", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    got = t.points.groupBy("detector").agg(p.alias("p"))
+    return got.select("detector", *(F.round(F.col("p")[k], 5).alias(n) for k, n in enumerate(("p10", "p50", "p90"))))
