@@ -40,7 +40,7 @@ SHARD_IDS = 1 << 20
 ROUNDS, RULES_A_ROUND, LEAST_GAIN = 5, 2500, 0.03
 SKIP = 1024
 #: Entries of each of the two generations of a worker's cache of encoded words.
-CACHE_ENTRIES = 900_000
+CACHE_ENTRIES = 400_000
 
 
 # ---------------------------------------------------------------- Re-Pair
