@@ -204,6 +204,12 @@ def base36(t: Tables) -> DataFrame:
     return t.table("orders").where((F.col("o_orderkey") < 500) & (F.col("o_orderkey") > 0)).select("o_orderkey", strings.base36(F.col("o_orderkey")).alias("code")).distinct()
 
 
+# x16_base36 is a prefix of the keys, since its oracle recurses; this is the whole table, 0 included
+@query("x16_base36_all", f"select o_orderkey, case when o_orderkey = 0 then '0' else ltrim(array_to_string(list_transform({[36**k for k in range(12, -1, -1)]}, lambda p: substr('0123456789abcdefghijklmnopqrstuvwxyz', 1 + cast((o_orderkey // p) % 36 as int), 1)), ''), '0') end as code from orders")
+def base36_all(t: Tables) -> DataFrame:
+    return t.table("orders").select("o_orderkey", strings.base36(F.col("o_orderkey")).alias("code"))
+
+
 @query("x18_json_field", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
 def json_field(t: Tables) -> DataFrame:
     return t.table("events").select("event_id", F.get_json_object(strings.first_json_object(F.concat(F.lit("note: "), "props")), "$.k").cast("long").alias("k"))
