@@ -20,6 +20,13 @@ shared("v11_tile_map", "select r.r_regionkey as tile, coalesce(s.state, 'idle')
 shared("v14_dispatch_plan", "select concat('tile', cast(r_regionkey as string), '_', b.bin, '_b', cast(k.batch as string)) as command, r_regionkey as tile from region cross join (select 'g11_12' as bin union all select 'g12_13') b cross join (select 0 as batch union all select 1) k")
 
 
+# w12_nulls_last_sort is the first 100 rows by the raw value; this is the whole sort, by the value that can be null
+@query("w12_nulls_last_rank", "select event_id, image_id, event, nullif(value, 0e0) as value, row_number() over (order by nullif(value, 0e0) desc nulls last, event_id) as rank from status_events")
+def nulls_last_rank(t: Tables) -> DataFrame:
+    rows = t.events.select("event_id", "image_id", "event", F.nullif(F.col("value"), F.lit(0.0)).alias("value"))
+    return windows.ranked(rows, [F.col("value").desc_nulls_last(), F.col("event_id")])
+
+
 @query("o1_page", "select target_id, count(*) as n from spectra_points group by 1 order by n desc, target_id limit 25 offset 1")
 def page(t: Tables) -> DataFrame:
     counted = t.points.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
