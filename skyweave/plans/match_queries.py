@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyweave.operators import bands, candidates, spectra, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query, shared
-from skyweave.plans.scan_queries import CLUSTERS, _scores, scan_sql
+from skyweave.plans.scan_queries import CLUSTERS, _plan_lines, _scores, scan_sql
 
 FIRST = "row_number() over (partition by target_id, image_id order by cwave_um, detector, aperture_flux_uJy, psf_flux_uJy)"
 
@@ -25,11 +25,20 @@ def paired_delta(t: Tables) -> DataFrame:
     return out.select("target_id", "image_id", F.round("cwave_um", 9).alias("cwave_um"), F.round("delta_flux", 6).alias("delta_flux"), F.round("delta_unc", 6).alias("delta_unc"), "fatal_flag_present")
 
 
+def _bumped_delta(t: Tables) -> DataFrame:
+    bump = 1e4 * F.exp(-0.5 * F.pow((F.col("cwave_um") - 1.55) / 0.02, 2))
+    return spectra.paired_delta(t.points.withColumn("aperture_flux_uJy", F.col("aperture_flux_uJy") + bump), t.points)
+
+
 @query("f3_paired_scan")
 def paired_scan(t: Tables) -> DataFrame:
-    bump = 1e4 * F.exp(-0.5 * F.pow((F.col("cwave_um") - 1.55) / 0.02, 2))
-    delta = spectra.paired_delta(t.points.withColumn("aperture_flux_uJy", F.col("aperture_flux_uJy") + bump), t.points)
-    return bands.scan(delta, bands.line_grid(t.spark, 1400.0, 1700.0, 25.0), "delta_flux", "delta_unc")
+    return bands.scan(_bumped_delta(t), bands.line_grid(t.spark, 1400.0, 1700.0, 25.0), "delta_flux", "delta_unc")
+
+
+@query("f3_plan_lines")
+def paired_plan_lines(t: Tables) -> DataFrame:
+    """The paired scan at the plan's distinct lines."""
+    return bands.scan(_bumped_delta(t), _plan_lines(t), "delta_flux", "delta_unc", least_support=1)
 
 
 shared("j2_enrichment", "select s.target_id, s.n, coalesce(t.lines, 0) as lines, t.strongest from (select target_id, count(*) as n from spectra_points group by 1) s left join (select target_id, count(*) as lines, max(strength) as strongest from injection_truth where strength >= 5e0 group by 1) t on s.target_id = t.target_id")

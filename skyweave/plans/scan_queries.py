@@ -11,6 +11,10 @@ from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query
 
 GRID = "grid as (select 750e0 + 25e0*i as line_nm from range(171) t(i))"
+#: The grids of the reference's blind scan and dual scan, and the plan's distinct lines.
+GRID_5NM = "grid as (select 750e0 + 5e0*i as line_nm from range(851) t(i))"
+GRID_1NM = "grid as (select 750e0 + 1e0*i as line_nm from range(4251) t(i))"
+PLAN_GRID = "grid as (select distinct injected_line_nm as line_nm from injection_truth)"
 RESPONSE = "exp(-0.5e0*pow((p.cwave_um - g.line_nm/1000e0)/(sqrt(p.cband_um*p.cband_um + 0.000001e0)/2.354820045e0), 2))"
 
 
@@ -18,20 +22,32 @@ def _points(t: Tables, kind: str = "aperture") -> DataFrame:
     return t.points.withColumnsRenamed({f"{kind}_flux_uJy": "flux", f"{kind}_flux_unc_uJy": "unc"})
 
 
-def _grid(t: Tables) -> DataFrame:
-    return bands.line_grid(t.spark, 750.0, 5000.0, 25.0)
+def _grid(t: Tables, step_nm: float = 25.0) -> DataFrame:
+    return bands.line_grid(t.spark, 750.0, 5000.0, step_nm)
 
 
-def _scores(t: Tables, kind: str = "aperture") -> DataFrame:
-    return bands.scan(_points(t, kind), _grid(t))
+def _plan_lines(t: Tables) -> DataFrame:
+    return t.truth.select(F.col("injected_line_nm").alias("line_nm")).distinct()
+
+
+def _placed(points: DataFrame, step_nm: float) -> DataFrame:
+    """For a fine grid, points by target: the cells are then built where they are added up, so
+    that the points are shuffled in place of hundreds of cells for each."""
+    if step_nm >= 25.0:
+        return points
+    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target_id")
+
+
+def _scores(t: Tables, kind: str = "aperture", step_nm: float = 25.0) -> DataFrame:
+    return bands.scan(_placed(_points(t, kind), step_nm), _grid(t, step_nm))
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
-def scan_sql(kind: str = "aperture", least_continuum: int = 3, least_support: int = 2, level: str = "median") -> str:
-    return f"""with {GRID},
+def scan_sql(kind: str = "aperture", least_continuum: int = 3, least_support: int = 2, level: str = "median", grid: str = GRID) -> str:
+    return f"""with {grid},
 base as (select target_id, cwave_um, cband_um, {kind}_flux_uJy as f, {kind}_flux_unc_uJy as u from spectra_points where not coalesce(fatal_flag_present, false)),
 whole as (select target_id, {level}(f) as c_target from base group by target_id having count(*) >= 8),
 near as (select p.target_id, g.line_nm, p.f, p.u, {RESPONSE} as t from base p join grid g on abs(p.cwave_um - g.line_nm/1000e0) <= 0.18e0),
@@ -87,8 +103,11 @@ scores as (select target_id, line_nm, support, sa/na as aperture_amp, sp/np as p
 """
 
 
-def _dual(t: Tables) -> DataFrame:
-    return bands.dual_scan(t.points, _grid(t))
+DUAL_SQL_1NM = DUAL_SQL.replace(GRID, GRID_1NM)
+
+
+def _dual(t: Tables, step_nm: float = 25.0) -> DataFrame:
+    return bands.dual_scan(_placed(t.points, step_nm), _grid(t, step_nm))
 
 
 @query("f5_dual_flux_scan", DUAL_SQL + "select target_id, line_nm, cast(support as bigint) as support, round(aperture_amp, 3) as aperture_amp, round(psf_amp, 3) as psf_amp, round(aperture_snr, 4) as aperture_snr, round(psf_snr, 4) as psf_snr, round(joint_rho, 4) as joint_rho, round(q, 2) as q from scores")
@@ -157,3 +176,63 @@ def scan_driver(t: Tables) -> DataFrame:
         hits = _scores(t, kind).where("snr >= 5")
         parts.append(windows.gap_clusters(hits, ["target_id"], "line_nm", 30.0, "snr").withColumn("flux_kind", F.lit(kind)))
     return parts[0].unionByName(parts[1])
+
+
+# The queries above run on a 25 nm grid; those below on the reference's grids, with its gap, separation and number of picks.
+@query("f1_blind_scan_5nm", scan_sql(grid=GRID_5NM) + _OUT)
+def blind_scan_5nm(t: Tables) -> DataFrame:
+    return _rounded(_scores(t, step_nm=5.0), _DIGITS)
+
+
+@query("f1_blind_scan_psf_5nm", scan_sql("psf", grid=GRID_5NM) + _OUT)
+def blind_scan_psf_5nm(t: Tables) -> DataFrame:
+    return _rounded(_scores(t, "psf", 5.0), _DIGITS)
+
+
+@query("f2_plan_lines", scan_sql(least_continuum=5, least_support=1, grid=PLAN_GRID) + _OUT)
+def plan_lines(t: Tables) -> DataFrame:
+    return _rounded(bands.scan(_points(t), _plan_lines(t), least_continuum=5, least_support=1), _DIGITS)
+
+
+@query("w4_gap_clusters_5nm", scan_sql(grid=GRID_5NM) + CLUSTERS.replace("> 30e0", "> 15e0") + "select target_id, cast(cluster_index as bigint) as cluster_index, max(case when k = 1 then line_nm end) as peak_x, round(max(snr), 5) as peak_score, min(line_nm) as min_x, max(line_nm) as max_x, max(line_nm) - min(line_nm) as width, count(*) as score_count from best group by 1, 2")
+def gap_clusters_5nm(t: Tables) -> DataFrame:
+    hits = _scores(t, step_nm=5.0).where("snr >= 5")
+    return windows.gap_clusters(hits, ["target_id"], "line_nm", 15.0, "snr").withColumn("peak_score", F.round("peak_score", 5))
+
+
+@query("f5_dual_flux_scan_1nm", DUAL_SQL_1NM + "select target_id, line_nm, cast(support as bigint) as support, round(aperture_amp, 3) as aperture_amp, round(psf_amp, 3) as psf_amp, round(aperture_snr, 4) as aperture_snr, round(psf_snr, 4) as psf_snr, round(joint_rho, 4) as joint_rho, round(q, 2) as q from scores")
+def dual_scan_1nm(t: Tables) -> DataFrame:
+    return _rounded(_dual(t, 1.0), {"aperture_amp": 3, "psf_amp": 3, "aperture_snr": 4, "psf_snr": 4, "joint_rho": 4, "q": 2})
+
+
+@query("f6_p_values_1nm")
+def p_values_1nm(t: Tables) -> DataFrame:
+    crossings = windows.up_crossings(_dual(t, 1.0), ["target_id"], "line_nm", "q", 4.0)
+    return crossings.select("target_id", "crossings", "max_q", p_local(F.col("max_q")).alias("p_local"), p_global(F.col("max_q"), F.col("crossings").cast("double"), F.lit(4.0)).alias("p_global"))
+
+
+@query("w5_up_crossings_1nm", DUAL_SQL_1NM + ", m as (select target_id, q, lag(q, 1, 0e0) over (partition by target_id order by line_nm) as b from scores) select target_id, cast(sum(case when b < 4e0 and q >= 4e0 then 1 else 0 end) as bigint) as crossings, round(max(q), 2) as max_q from m group by 1")
+def up_crossings_1nm(t: Tables) -> DataFrame:
+    return _rounded(windows.up_crossings(_dual(t, 1.0), ["target_id"], "line_nm", "q", 4.0), {"max_q": 2})
+
+
+# no oracle for the picks: where one point serves several lines, q is equal but for rounding
+@query("w6_local_maxima_1nm")
+def local_maxima_1nm(t: Tables) -> DataFrame:
+    return _rounded(windows.local_maxima(_dual(t, 1.0).select("target_id", "line_nm", "q"), ["target_id"], "line_nm", "q"), {"q": 2})
+
+
+@query("w7_nms_topk_1nm")
+def nms_topk_1nm(t: Tables) -> DataFrame:
+    cells = _dual(t, 1.0).select("target_id", F.round(F.col("line_nm") - 750.0).cast("long").alias("line_index"), "q")
+    return _rounded(windows.nms_topk(cells, ["target_id"], "line_index", "q", 10, 10, 2.25), {"q": 2})
+
+
+@query("f8_diagnostic_window_1nm")
+def diagnostic_window_1nm(t: Tables) -> DataFrame:
+    """The lines around every pick of the 1 nm scan."""
+    cells = _dual(t, 1.0).select("target_id", "line_nm", "q")
+    indexed = cells.select("target_id", F.round(F.col("line_nm") - 750.0).cast("long").alias("line_index"), "q")
+    picks = windows.nms_topk(indexed, ["target_id"], "line_index", "q", 10, 10, 2.25).select("target_id", (F.col("line_index") + 750.0).alias("peak_nm"))
+    near = bands.band_join(cells, picks, ["target_id"], "line_nm", "peak_nm", 80.0)
+    return windows.nearest_k(near, ["target_id", "peak_nm"], F.abs(F.col("line_nm") - F.col("peak_nm")), [F.col("line_nm")], 201).select("target_id", "line_nm", "peak_nm", F.round("q", 2).alias("q"))

@@ -24,3 +24,29 @@ def test_nulls_come_last_in_the_whole_sort(spark, tmp_path):
     assert [r.rank for r in got] == list(range(1, 202))
     assert [r.event_id for r in got] == [r[0] for r in want]
     assert [r.value for r in got] == [r[3] or None for r in want] and got[-1].value is None
+
+
+def test_scans_run_on_the_grids_of_the_reference(spark):
+    q = registry.queries()
+    lines = lambda name: {r.line_nm for r in q[name](spark, SF).select("line_nm").distinct().collect()}
+    assert lines("f1_blind_scan_5nm") == {750.0 + 5.0 * k for k in range(851)}
+    assert lines("f5_dual_flux_scan_1nm") == {750.0 + k for k in range(4251)}
+    assert lines("f2_plan_lines") == lines("f3_plan_lines") == {808.0, 980.0, 1064.0, 1310.0, 1550.0, 2000.0}
+    picks = q["w7_nms_topk_1nm"](spark, SF).toPandas()
+    assert picks.groupby("target_id").size().max() == 10
+    for _, g in picks.groupby("target_id"):
+        assert g.line_index.sort_values().diff().min() > 10
+    around = q["f8_diagnostic_window_1nm"](spark, SF).groupBy("target_id", "peak_nm").count().toPandas()
+    assert len(around) == len(picks) and around["count"].max() == 161
+
+
+def test_a_line_between_coarse_grid_points_is_found(spark):
+    import math
+
+    from skyweave.operators import bands
+
+    sigma = math.hypot(0.8125 / 60, 0.001) / 2.354820045
+    rows = [("t", w / 1000.0, 0.8125 / 60, 100.0 + 50.0 * math.exp(-0.5 * ((w / 1000.0 - 0.8125) / sigma) ** 2), 10.0) for w in range(700, 1001, 4)]
+    points = spark.createDataFrame(rows, "target_id string, cwave_um double, cband_um double, flux double, unc double")
+    best = lambda step: max(r.snr for r in bands.scan(points, bands.line_grid(spark, 750.0, 5000.0, step)).collect())
+    assert best(25.0) < 5.0 <= best(5.0)
