@@ -3,8 +3,9 @@
 The whole texts are encoded with a public tokenizer, an end id closes each document, and the
 ids go in ascending document order into shards of bounded size. Each shard is compressed with
 Re-Pair in rounds: a round counts the adjacent id pairs, gives the most frequent ones a
-nonterminal each, and replaces their non-overlapping occurrences from left to right; rounds
-go on until they gain too little. A shard stores its rules, the expansion length of every
+nonterminal each (about ``RULES_A_ROUND`` of them), and replaces their non-overlapping
+occurrences from left to right; there are ``ROUNDS`` rounds at most, and one that saves less
+than ``LEAST_GAIN`` of the symbols is the last, so the grammar is not taken to its end. A shard stores its rules, the expansion length of every
 rule and a sampled table of expanded positions, so that any range of ids can be decoded
 without the rest.
 
@@ -49,27 +50,29 @@ CACHE_ENTRIES = 400_000
 _BUCKET_BITS = 18
 
 
+def _bucket(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)
+
+
 def _frequent_pairs(seq: np.ndarray, rules: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, code): occurrences of about ``rules`` frequent pairs, one pair for each code.
-
-    Pairs are counted in hashed buckets; the fullest buckets are taken, and in each of them the
-    pair that stands last, so that a code has one pair and its count is exact."""
-    bucket = seq[:-1].astype(np.uint32)
-    bucket *= np.uint32(2654435761)
-    bucket ^= seq[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)
-    bucket >>= np.uint32(32 - _BUCKET_BITS)
-    bucket = bucket.astype(np.int64)
-    counts = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-    least = max(4, int(np.partition(counts, -rules)[-rules]))
-    hot = np.flatnonzero(counts >= least)
-    table = np.full(1 << _BUCKET_BITS, -1, dtype=np.int32)
-    table[hot] = np.arange(len(hot), dtype=np.int32)
-    code = table[bucket]
-    at = np.flatnonzero(code >= 0)
-    code = code[at]
-    pair = (seq[at].astype(np.int64) << 32) | seq[at + 1]
-    chosen = np.empty(len(hot), dtype=np.int64)
-    chosen[code] = pair
+    """(places, code): occurrences of the ``rules`` most frequent pairs, and of those as frequent
+    as the last of them; one pair for each code.
+
+    All pairs are counted exactly, by sorting. The hashed buckets only spare the search for most
+    places of other pairs."""
+    pair = (seq[:-1].astype(np.int64) << 32) | seq[1:]
+    ordered = np.sort(pair)
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+    counts = np.diff(begin, append=len(ordered))
+    least = max(4, int(np.partition(counts, -rules)[-rules])) if len(counts) >= rules else 4
+    chosen = ordered[begin[counts >= least]]
+    if not len(chosen):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    hot = np.zeros(1 << _BUCKET_BITS, dtype=bool)
+    hot[_bucket(chosen)] = True
+    at = np.flatnonzero(hot[_bucket(pair)])
+    pair = pair[at]
+    code = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
     same = chosen[code] == pair
     return at[same], code[same]
 

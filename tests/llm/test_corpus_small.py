@@ -406,3 +406,16 @@ def test_suffix_array_is_sorted():
         a, b = suffix(p)[0], order[place[p] - 1][0] if place[p] else b""
         n = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert lcp[p] == min(n, 200)
+
+
+def test_repair_takes_the_most_frequent_pairs():
+    rng = np.random.default_rng(17)
+    seq = rng.integers(0, 50_000, 600_000).astype(np.int32)
+    for k in range(300):  # pair (k, k + 1) stands k + 5 times in the first half, rare pairs after it
+        seq[rng.choice(150_000, k + 5, replace=False)[:, None] * 2 + [0, 1]] = k, k + 1
+    pairs = collections.Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    least = max(4, sorted(pairs.values())[-200])
+    at, code = op1_tokens._frequent_pairs(seq, 200)
+    got = collections.Counter(zip(seq[at].tolist(), seq[at + 1].tolist()))
+    assert got == {p: n for p, n in pairs.items() if n >= least}
+    assert len(set(zip(code.tolist(), seq[at].tolist(), seq[at + 1].tolist()))) == len(got) == len(set(code.tolist()))
