@@ -38,7 +38,11 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _LOOSE_PHONE = r"(?<![0-9+(.-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])"
-_LOOSE_CARD = r"(?<![0-9])[0-9]{13,16}(?![0-9])"
+_LOOSE_CARD = r"(?<![0-9])[0-9]{12,19}(?![0-9])"
+#: Grouped cards of 12 to 19 digits at a group's start, the longest first.
+_GROUPED = [rf"^[0-9]{{4}}([\x20-])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}\1?[0-9]{{{k}}}(?![0-9])" for k in (3, 2, 1)]
+_GROUPED += [rf"^[0-9]{{4}}([\x20-])[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{{k}}}(?![0-9])" for k in (4, 3, 2, 1)]
+_GROUPED += [rf"^[0-9]{{4}}([\x20-])[0-9]{{6}}\1[0-9]{{{k}}}(?![0-9])" for k in (5, 4)] + [r"^[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}(?![0-9])"]
 _LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,63}\x20?(?:\(dot\)|\[dot\])\x20?[A-Za-z]{2,12}"
 
 # Top-level domains, card issuer prefixes, and context words of the gazetteers.
@@ -88,19 +92,41 @@ def _matches(text: Column, pattern: str, kind: int, base: bool, gate: Column, ke
     return F.when(gate, found).otherwise(none)
 
 
+def _grouped_cards(runs: Column) -> Column:
+    """Grouped cards inside the base card runs that fail their check: at every group's start the
+    longest form that passes, so a run may hold any number of others before and after."""
+
+    def inside(x: Column) -> Column:
+        digit = lambda i: F.substring(x["s"], i, F.lit(1)).between("0", "9")
+        starts = F.filter(F.sequence(F.lit(1), F.length(x["s"])), lambda i: digit(i) & ((i == 1) | ~digit(i - 1)))
+
+        def at(i: Column) -> Column:
+            piece = F.substring(x["s"], i, F.lit(24))
+            forms = F.array(*(F.regexp_extract(piece, form, 0) for form in _GROUPED))
+            hit = F.get(F.filter(forms, lambda s: (s != "") & _valid("card", s)), F.lit(0))
+            start = x["start"] + i - 1
+            return F.struct(start.alias("start"), F.lit(2).alias("kind"), (start + F.length(hit)).alias("end"), hit.alias("s"), F.lit(False).alias("base"), F.lit(True).alias("ok"))
+
+        return F.filter(F.transform(starts, at), lambda c: c["s"].isNotNull())
+
+    return F.flatten(F.transform(F.filter(runs, lambda x: ~x["ok"]), inside)).cast(_FOUND)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the array ``found`` of all candidates with their votes, for each row."""
     text = F.col("_text")
     digits = text.rlike(r"[0-9]\.[0-9]")
     # runs of fewer than 12 digits can be no card; they are the bulk of all numbers
     long_run = lambda s: F.length(F.regexp_replace(s, "[^0-9]", "")) >= 12
+    cards = _matches(text, _CARD, 2, True, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), long_run)
     parts = [
         _matches(text, _EMAIL, 0, True, text.contains("@")),
         _matches(text, _IP, 1, True, digits),
-        _matches(text, _CARD, 2, True, text.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), long_run),
+        cards,
         _matches(text, _PHONE, 3, True, text.contains("+")),
         _matches(text, _LOOSE_PHONE, 3, False, text.rlike(r"[0-9]{3}[-.\x20][0-9]{4}")),
-        _matches(text, _LOOSE_CARD, 2, False, text.rlike(r"[0-9]{13}"), lambda s: _valid("card", s)),
+        _matches(text, _LOOSE_CARD, 2, False, text.rlike(r"[0-9]{12}"), lambda s: _valid("card", s)),
+        _grouped_cards(cards),
         _matches(text, _LOOSE_EMAIL, 0, False, text.contains("(at)") | text.contains("[at]")),
     ]
     rows = docs.select("doc_id", text_column().alias("_text"))

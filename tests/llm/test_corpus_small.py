@@ -419,3 +419,17 @@ def test_repair_takes_the_most_frequent_pairs():
     got = collections.Counter(zip(seq[at].tolist(), seq[at + 1].tolist()))
     assert got == {p: n for p, n in pairs.items() if n >= least}
     assert len(set(zip(code.tolist(), seq[at].tolist(), seq[at + 1].tolist()))) == len(got) == len(set(code.tolist()))
+
+
+def test_pii_card_candidates_inside_longer_runs(spark):
+    def with_check(head):  # a last digit that makes the sum a multiple of ten
+        return next(head + str(d) for d in range(10) if sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(head + str(d))))) % 10 == 0)
+
+    long = {n: with_check("6" + "304512389674501273"[: n - 2]) for n in (12, 17, 18, 19)}
+    texts = {1: ("card 12 4111 1111 1111 1111 ok", "4111 1111 1111 1111"), 2: ("12-4111-1111-1111-1111-7", "4111-1111-1111-1111"), 3: ("9999 1234 5555 4111 1111 1111 1111 10", "4111 1111 1111 1111"), 4: ("pay 77 3782 822463 10005 now", "3782 822463 10005")}
+    texts |= {n: (f"card 5 {c} x", c) for n, c in long.items()}
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, (t, _) in texts.items()], DOC)
+    for r in op6_pii.candidates(docs).collect():
+        text, card = texts[r.doc_id]
+        hits = [x for x in r.found if text[x.start : x.end] == card and x.kind == 2]
+        assert len(hits) == 1 and not hits[0].base, text
