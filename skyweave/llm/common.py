@@ -22,35 +22,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) the checkpoint folder of the context is used, or a new temporary folder.
+    It is the session's ``spark.checkpoint.dir``. Only where that is unset and driver and
+    executors are one process (tests, a single machine) the checkpoint folder of the context is
+    used, or a new temporary folder; on a cluster the setting is required.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="skyweave-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(own)
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Tables of ``store`` and ``store_dealt`` that are not discarded yet.
+_MADE: list[str] = []
+
+
+def made() -> list[str]:
+    """Paths of the work tables that exist now, in the order of their making."""
+    return list(_MADE)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/skyweave/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
 def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and
     survives lost executors. Returns the table and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skyweave/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def store_dealt(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """``store``, dealt by ``key`` into as many buckets as the session has shuffle partitions:
+    later joins by ``key`` don't shuffle the table. The key should have no hot values."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    label = f"skyweave_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(label)
+    _CATALOG[path] = label
+    return spark.table(label), path
+
+
+_CATALOG: dict[str, str] = {}
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete tables of ``store`` that no later step reads."""
     jvm = spark._jvm
     for path in paths:
+        if path in _CATALOG:
+            spark.sql(f"DROP TABLE IF EXISTS {_CATALOG.pop(path)}")
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name with which no column of ``docs`` begins, whatever the case."""
+    while any(c.lower().startswith(name.lower()) for c in docs.columns):
+        name += "_"
+    return name
 
 
 def text_column(name: str = "text"):

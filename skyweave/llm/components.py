@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.common import discard, store
 
-#: Double steps at most; each at least halves the depth of the trees that are left.
-STEPS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around."""
@@ -27,8 +24,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b): component is its smallest node.
+def components(edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component) of every node of ``edges`` (a, b), as a stored table, and its path:
+    component is the smallest node of those connected.
 
     Edges are a distributed table throughout. Each double step is written to the shared
     folder; a count and a hash sum show when nothing changes any more. A node of high degree
@@ -37,14 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     now, path = store(now, "edges")
     mark = None
-    old: list[str] = []
-    for _ in range(STEPS):
+    while True:  # each double step at least halves the depth of the trees that are left
         found = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if (found["n"], found["h"]) == mark or found["n"] == 0:
             break
         mark = (found["n"], found["h"])
-        old.append(path)
+        before = path
         now, path = store(_small_star(_large_star(now)), "edges")
-    discard(spark, *old)
+        discard(spark, before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component"))
+    found, at = store(now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).groupBy("node").agg(F.min("component").alias("component")), "components")
+    discard(spark, path)
+    return found, at

@@ -242,7 +242,7 @@ def link(vectors: DataFrame) -> DataFrame:
     members = fit.select("vec_id", F.xxhash64("label", "v").alias("cid")).join(described.select("cid", "node", "many"), "cid")
     repeated = fit.groupBy("vec_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("vec_id")
     same = members.join(repeated, "vec_id").select(F.col("vec_id").alias("a"), F.col("node").alias("b"))
-    comp, p4 = store(components(edges.union(same).where("a != b").distinct()), "components")
+    comp, p4 = components(edges.union(same).where("a != b").distinct())
     per_class = described.select("cid", "node", "many").join(links, "cid", "left").join(comp.withColumnRenamed("component", "c"), "node", "left")
     per_class = per_class.select("cid", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("c", "node").alias("c"))
     key = F.when(valid & F.col("vec_id").isNotNull(), F.xxhash64("label", "v"))

@@ -2,7 +2,7 @@
 
 A document's set holds its distinct word shingles. ``BANDS * ROWS`` universal hashes give the
 minima of each set; equal minima in all rows of a band put documents in one bucket. Documents
-of equal sets are one class and take part once. Pairs of a bucket are first compared by their
+of equal sets (by their size and two 64-bit fingerprints) are one class and take part once. Pairs of a bucket are first compared by their
 signatures, and what may reach the similarity is confirmed on the full sets. Components are
 built by alternating large-star and small-star steps.
 
@@ -39,7 +39,7 @@ BANDS, ROWS = 26, 5
 SIMILAR = (80, 100)
 SCREEN = 0.62
 #: Members of a bucket, and shingles of all of them, that make up a block.
-BLOCK, BLOCK_SHINGLES = 1000, 1_500_000
+BLOCK, BLOCK_SHINGLES = 400, 1_500_000
 
 _RNG = np.random.default_rng(20240501)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)).reshape(-1, 1)
@@ -237,26 +237,44 @@ def _bucket_edges():
     return run
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Deal the members of large buckets into blocks, and each member to all pairs of blocks."""
-    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int"))
-    dealt = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o")).drop("_o", "c", "w")
+def _spread(placed: DataFrame) -> DataFrame:
+    """Deal the members of buckets that hold several components into pairs of blocks.
+
+    ``placed`` has key, node, n_shingles, comp. Members of one component need no comparison, so
+    in a bucket beyond one block those of its largest component meet only the others: a large
+    component with few others goes out about once, and the others once for each of its blocks."""
+    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+    per = per.groupBy("key").agg(F.max(F.struct("c", "comp", "w")).alias("hub"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("c"), F.sum("w").alias("w")).where("comps > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    per = per.select("key", F.col("hub.comp").alias("hub"), (blocks(F.col("c"), F.col("w")) == 1).alias("whole"), blocks(F.col("hub.c"), F.col("hub.w")).alias("nh"), blocks(F.col("c") - F.col("hub.c"), F.col("w") - F.col("hub.w")).alias("nr"))
+    rows = placed.join(per, "key")
+    in_hub = F.col("comp") == F.col("hub")
+    dealt = F.xxhash64("node", F.lit("block"))
+    block = F.when(F.col("whole"), 0).when(in_hub, F.pmod(dealt, F.col("nh"))).otherwise(F.col("nh") + F.pmod(dealt, F.col("nr"))).cast("int")
+    rows = rows.withColumn("block", block)
+    pair = lambda i, j: F.struct(F.least(i, j).cast("int").alias("i"), F.greatest(i, j).cast("int").alias("j"))
+    me, others = F.col("block"), F.sequence(F.col("nh"), F.col("nh") + F.col("nr") - 1)
+    to_others = F.transform(others, lambda o: pair(me, o))
+    to_hub = F.transform(F.sequence(F.lit(0), F.col("nh") - 1), lambda o: pair(me, o))
+    groups = F.when(F.col("whole"), F.array(pair(F.lit(0), F.lit(0)))).when(in_hub, to_others).otherwise(F.concat(to_hub, to_others))
+    return rows.withColumn("_g", F.explode(groups)).select("key", "_g.i", "_g.j", "block", "node", "comp")
 
 
 def link(docs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
-    """(doc_id, n_shingles, component_id, kept) of every row, and tables to discard after use."""
+    """(doc_id, n_shingles, component_id, kept) of every row, and the work tables that it reads.
+
+    If ``docs`` is stored dealt by doc_id (``store_dealt``), no step shuffles texts; else one
+    does, for the sets of documents that share a bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     described, p1 = store(rows.mapInArrow(_describe(width), "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, sig binary"), "minhash")
     known = described.where("n_shingles > 0 and doc_id is not null")
     classes, p2 = store(known.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("node"), F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig")), "classes")
     buckets = classes.select("node", "n_shingles", F.explode("keys").alias("key"))
-    multi = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_m"), F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w")).where("center < _m").drop("_m")
-    members, p3 = store(buckets.drop("n_shingles").join(multi, "key"), "buckets")
-    need = members.select("node").distinct()
-    sets, p4 = store(rows.join(need.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, set binary, sig binary, keys binary"), "sets")
+    multi = buckets.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("_m")).where("center < _m").drop("_m")
+    members, p3 = store(buckets.join(multi, "key"), "buckets")
+    need = members.select("node").distinct().withColumnRenamed("node", "doc_id").hint("shuffle_hash")
+    sets, p4 = store(rows.join(need, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, set binary, sig binary, keys binary"), "sets")
     signatures = classes.select("node", F.col("n_shingles").alias("n"), "sig")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -270,29 +288,26 @@ def link(docs: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
     right = signatures.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
     sized = stars.join(left, "a").join(right, "b").where(SIMILAR[1] * F.least("na", "nb") >= SIMILAR[0] * F.greatest("na", "nb"))
     screened = sized.where(_agreement("ga", "gb") >= SCREEN).select("a", "b").distinct()
-    links, at = store(confirm(screened), "links")
-    paths = [at]
+    links, p5 = store(confirm(screened), "links")
     # rows of one doc_id with different sets are one node
     repeated = known.select("doc_id", "f1", "f2", "n_shingles").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
     same = known.select("doc_id", "f1", "f2", "n_shingles").join(repeated, "doc_id").join(classes.select("f1", "f2", "n_shingles", "node"), ["f1", "f2", "n_shingles"])
-    same, at = store(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b").distinct(), "same")
-    paths.append(at)
-    comp, at = store(components(links.union(same)), "components")
-    paths.append(at)
-    placed = members.join(comp, "node", "left").select("key", "c", "w", "node", F.coalesce("component", "node").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    active = _spread(placed.join(open_, "key")).join(sets, "node").select("key", "i", "j", "block", "node", "comp", "set", "sig", "keys")
+    same, p6 = store(same.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b").distinct(), "same")
+    comp, p7 = components(links.union(same))
+    placed = members.join(comp, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("comp"))
+    active = _spread(placed).join(sets, "node").select("key", "i", "j", "block", "node", "comp", "set", "sig", "keys")
     dealt = active.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    more, at = store(dealt.mapInArrow(_bucket_edges(), "a long, b long").distinct(), "links")
-    paths.append(at)
-    links = links.union(more)
-    comp, at = store(components(links.union(same)), "components")
-    discard(spark, p3, p4, *paths)
+    more, p8 = store(dealt.mapInArrow(_bucket_edges(), "a long, b long").distinct(), "links")
+    discard(spark, p3, p4, p7)
+    comp, p9 = components(links.union(more).union(same))
+    discard(spark, p5, p6, p8)
     node = classes.select("f1", "f2", "n_shingles", "node").join(comp, "node", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "node").alias("c"))
+    node, p10 = store(node, "class-components")
+    discard(spark, p2, p9)
     result = described.select("doc_id", "n_shingles", "f1", "f2").join(node, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     result = result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    return result, [p1, p2, at]
+    return result, [p1, p10]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

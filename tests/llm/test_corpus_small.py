@@ -53,9 +53,9 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"))[0].collect()}
     assert got == {n: find(n) for n in {x for e in edges if e[0] != e[1] for x in e}}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"))[0].count() == 0
 
 
 # ------------------------------------------------------------------ 1
