@@ -25,7 +25,7 @@ residual a step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyweave.llm.common import WORD_PATTERN, discard, store, table
@@ -37,8 +37,8 @@ WEIGHTS = (1, 2, 3)
 #: Unit of the fixed-point rates, Newton steps at most, and the residual that ends them.
 ONE = 1 << 30
 STEPS, RESIDUAL = 40, 1e-9
-#: Documents of one (source, size) cell that one task orders.
-CELL_ROWS = 4_000
+#: Documents of one (source, size) cell that one task orders, about.
+CELL_ROWS = 500
 
 
 def word_count(column):
@@ -79,15 +79,15 @@ def _fixed(value):
     return F.round(value * ONE).cast("long")
 
 
-def solve(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, multiplier for each source: Newton steps on the dual; null means all rates at most."""
+def solve(histogram: DataFrame, wanted: DataFrame) -> tuple[DataFrame, str]:
+    """key, mean, multiplier for each source, as a stored table, and its path: Newton steps on the
+    dual; a null multiplier means all rates at most."""
     spark = histogram.sparkSession
     mean = F.col("source_size").cast("double") / F.greatest(F.col("docs"), F.lit(1))
     full = (F.col("target") >= MOST * F.col("source_size")) | (F.col("source_size") == 0)
     start = F.when(full, None).otherwise(F.log(F.col("target") / F.col("source_size")))
     state = wanted.select("key", "target", mean.alias("mean"), start.alias("multiplier"), F.lit(-200.0).alias("low"), F.lit(200.0).alias("high"), F.lit(1.0).alias("residual"))
     state, at = store(state, "mixing-state")
-    old = []
     for _ in range(STEPS):
         cells = histogram.where("size > 0").join(state.where("multiplier is not null"), "key")
         x = F.col("size") / F.col("mean")
@@ -108,49 +108,51 @@ def solve(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
         relative = F.abs(F.col("gap")) / F.greatest(F.col("target"), F.lit(1.0))
         done = relative <= RESIDUAL
         following = step.select("key", "target", "mean", F.when(F.col("multiplier").isNull() | done, F.col("multiplier")).otherwise(moved).alias("multiplier"), "low", "high", F.coalesce(relative, F.lit(0.0)).alias("residual"))
-        old.append(at)
+        last = at
         state, at = store(following, "mixing-state")
+        discard(spark, last)
         worst = state.agg(F.max("residual").alias("r")).first()["r"]
         if worst is None or worst <= RESIDUAL:
             break
-    discard(spark, *old)
-    return state.select("key", "mean", "multiplier")
+    return state.select("key", "mean", "multiplier"), at
 
 
-def mix(docs: DataFrame, prefix: str = "mix_", tie=None) -> DataFrame:
+def mix(docs: DataFrame, prefix: str = "mix_", tie=None, size: Column | None = None) -> DataFrame:
     """``docs`` with its columns and ``<prefix>size, source_size, target, rate, copies``.
 
-    ``tie`` orders rows of equal doc_id, for callers that need the very rows again."""
+    ``tie`` orders rows of equal doc_id, for callers that need the very rows again; ``size`` gives
+    the sizes of texts counted before. The result reads the last work table made here."""
     spark = docs.sparkSession
     p = prefix
-    sized = docs.withColumn(f"{p}size", word_count(F.col("text"))).withColumn(f"{p}key", source_key(F.col("source")))
-    counts = sized.groupBy(F.col(f"{p}key").alias("key"), F.col("source").cast("string").alias("source"), F.col(f"{p}size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    histogram, _ = store(counts, "mixing-cells")
-    wanted, _ = store(targets(histogram), "mixing-targets")
-    solved = solve(histogram, wanted)
+    own_size = word_count(F.col("text")) if size is None else size
+    order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
+    # what needs no text is decided on this slim table: its words are counted once
+    slim, at = store(docs.select(source_key(F.col("source")).alias("key"), F.col("source").cast("string").alias("source"), own_size.alias("size"), order.alias("order")), "mixing-sizes")
+    histogram, at_cells = store(slim.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
+    wanted, at_targets = store(targets(histogram), "mixing-targets")
+    solved, at_state = solve(histogram, wanted)
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("multiplier").isNull(), F.lit(float(MOST))).otherwise(_rate(F.col("multiplier"), F.col("size") / F.col("mean")))
     cells = histogram.drop("source").join(wanted.drop("source"), "key").join(solved, "key").withColumn("rate", _fixed(rate))
     before = Window.partitionBy("key").orderBy(F.col("size").desc())
     passed = (F.col("n") * F.col("rate")).cast("decimal(38,0)")
-    cells = cells.select(
-        F.col("key").alias(f"{p}key"), F.col("size").alias(f"{p}size"), F.col("source_size").alias(f"{p}source_size"), F.col("target").alias(f"{p}target"), F.col("rate").alias(f"{p}fixed"),
-        (F.sum(passed).over(before) - passed).alias(f"{p}passed"), F.ceil(F.col("n") / CELL_ROWS).alias(f"{p}salts"),
-    )
-    rows = sized.join(cells, [f"{p}key", f"{p}size"])
-    order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
-    rows = rows.withColumn(f"{p}order", order).withColumn(f"{p}salt", F.pmod(F.col(f"{p}order"), F.col(f"{p}salts")))
+    cells = cells.select("key", "size", "source_size", "target", F.col("rate").alias("fixed"), (F.sum(passed).over(before) - passed).alias("passed"))
+    # a cell's documents are ordered salt by salt; so many salts that the largest cell's are small
+    salts = -(-(histogram.agg(F.max("n")).first()[0] or 1) // CELL_ROWS)
+    parts = slim.groupBy("key", "size", F.pmod("order", F.lit(salts)).alias("salt")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("key", "size").orderBy("salt")) - F.col("n")
+    parts = parts.select("key", "size", "salt", earlier.cast("decimal(20,0)").alias("earlier")).join(cells, ["key", "size"])
+    parts = parts.select(*(F.col(c).alias(p + c) for c in ("key", "size", "salt", "source_size", "target", "fixed")), (F.col("passed") + F.col("earlier") * F.col("fixed")).alias(f"{p}passed"))
+    parts, _ = store(parts, "mixing-parts")
+    discard(spark, at, at_cells, at_targets, at_state)
     cell = [f"{p}key", f"{p}size", f"{p}salt"]
+    rows = docs.withColumns({f"{p}size": own_size, f"{p}key": source_key(F.col("source")), f"{p}order": order, f"{p}salt": F.pmod(order, F.lit(salts))}).join(parts, cell)
     ties = [F.col(f"{p}order"), F.col("doc_id")] + ([tie] if tie is not None else [])
-    rows = rows.withColumn(f"{p}place", F.row_number().over(Window.partitionBy(*cell).orderBy(*ties)) - 1)
-    # documents of a cell's earlier salts; only cells beyond one task's share have any
-    salted = sized.select(f"{p}key", f"{p}size", "doc_id").join(cells.where(F.col(f"{p}salts") > 1).select(f"{p}key", f"{p}size", f"{p}salts"), [f"{p}key", f"{p}size"])
-    salted = salted.groupBy(f"{p}key", f"{p}size", F.pmod(order, F.col(f"{p}salts")).alias(f"{p}salt")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = salted.select(*cell, (F.sum("n").over(Window.partitionBy(f"{p}key", f"{p}size").orderBy(f"{p}salt")) - F.col("n")).alias(f"{p}earlier"))
-    rows = rows.join(earlier, cell, "left")
-    at = F.col(f"{p}passed") + (F.coalesce(F.col(f"{p}earlier"), F.lit(0)) + F.col(f"{p}place")).cast("decimal(20,0)") * F.col(f"{p}fixed") + F.lit(ONE // 2)
-    copies = F.floor((at + F.col(f"{p}fixed")) / ONE) - F.floor(at / ONE)
+    place = F.row_number().over(Window.partitionBy(*cell).orderBy(*ties)) - 1
+    at = F.col(f"{p}passed") + place.cast("decimal(20,0)") * F.col(f"{p}fixed") + F.lit(ONE // 2)
+    rows = rows.withColumn(f"{p}at", at)
+    copies = F.floor((F.col(f"{p}at") + F.col(f"{p}fixed")) / ONE) - F.floor(F.col(f"{p}at") / ONE)
     rows = rows.withColumn(f"{p}rate", F.col(f"{p}fixed") / ONE).withColumn(f"{p}copies", copies.cast("long"))
-    return rows.drop(*(f"{p}{c}" for c in ("key", "fixed", "passed", "salts", "order", "salt", "place", "earlier")))
+    return rows.select(*docs.columns, *(f"{p}{c}" for c in ("size", "source_size", "target", "rate", "copies")))
 
 
 def repeat_copies(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
@@ -161,5 +163,6 @@ def repeat_copies(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs, _ = store(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "mixing-documents")
+    mixed = mix(docs, size=F.col("words"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
