@@ -4,62 +4,88 @@ decontamination, mixing to target weights, token ids.
 Each stage takes (spark, docs, sf_dir) and returns a table: all but the last the columns of
 ``docs``. ``run`` writes every stage's table to the shared folder and reads it back.
 
-Defined results, beside those of the operators: a stage keeps rows whose doc_id is null (they
-can be no duplicate); of several rows with one kept doc_id the near-duplicate stage keeps the
-first by text; other columns pass through, whatever their names; an empty table gives an empty
-result.
+A stage's work tables lie in the shared folder until its result is written; the next stage, or
+the end of ``run``, deletes them. So write a stage's result before calling another stage.
+
+Defined results, beside those of the operators: every row is a document of its own, whatever its
+doc_id (equal and null ids too). Of linked rows the near-duplicate stage keeps the one of
+smallest doc_id (null last), then of smallest text hash; rows without words stay. Other columns
+pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.llm import op1_tokens, op3_decontam, op5_minhash, op7_toxicity, op8_mixing
-from skyweave.llm.common import discard, store, table
+from skyweave.llm.common import discard, fresh, made, store, store_dealt, table
 
 #: Words of a shingle in the near-duplicate stage; the similarity is the operator's 0.8.
 SHINGLE_WORDS = 5
 
+#: Work tables that the last stage's result still reads.
+_IN_USE: list[str] = []
+
+
+def _release(spark: SparkSession) -> None:
+    discard(spark, *_IN_USE)
+    _IN_USE.clear()
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` doesn't have."""
-    while any(c.lower().startswith(name.lower()) for c in docs.columns):
-        name += "_"
-    return name
 
+def _stage(stage):
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _release(spark)
+        before = set(made())
+        out = stage(spark, docs, sf_dir)
+        _IN_USE.extend(path for path in made() if path not in before)
+        return out
 
+    return run_stage
+
+
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator doesn't predict as toxic."""
     model = op7_toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    name = _fresh(docs, "_toxicity")
+    name = fresh(docs, "_toxicity")
     return op7_toxicity.score_documents(docs, model, name).where(F.col(name)["predicted"] == 0).select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of smallest doc_id."""
-    found, _ = op5_minhash.link(docs.select("doc_id", "text"), SHINGLE_WORDS)
-    per_id = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    per_id, _ = store(per_id, "kept")
-    single = docs.join(per_id.where("_kept and _rows = 1").select("doc_id"), "doc_id", "left_semi")
-    several = docs.join(per_id.where("_kept and _rows > 1").select("doc_id"), "doc_id", "left_semi")
-    place = _fresh(docs, "_place")
-    first = several.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns)))).where(F.col(place) == 1)
-    return single.select(*docs.columns).union(first.select(*docs.columns)).union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
+    """One document of each group of near-duplicates.
+
+    Whole rows are dealt once by a row number; the sets and the final filter are then joined
+    where the rows lie."""
+    row = fresh(docs, "_row")
+    rows, _ = store_dealt(docs.withColumn(row, F.monotonically_increasing_id()), "rows", row)
+    found, paths = op5_minhash.link(rows.select(F.col(row).alias("doc_id"), "text"), SHINGLE_WORDS)
+    order = rows.select(F.col(row).alias("_id"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col(row).alias("row")).alias("_o"))
+    placed = found.select(F.col("doc_id").alias("_id"), "component_id").join(order, "_id")
+    kept, _ = store(placed.groupBy("component_id").agg(F.min("_o").alias("o")).select(F.col("o.row").alias(row)), "kept")
+    discard(spark, *paths)
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(*docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a region of a benchmark item."""
-    name = _fresh(docs, "_leaks")
+    name = fresh(docs, "_leaks")
     return op3_decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), name).where(F.size(name) == 0).select(*docs.columns)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times as it is taken."""
-    prefix = _fresh(docs, "_mix_")
+    prefix = fresh(docs, "_mix_")
     return op8_mixing.repeat_copies(op8_mixing.mix(docs, prefix, F.xxhash64("text")), prefix).select(*docs.columns)
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards of the mix; a row for each document copy in them."""
     return op1_tokens.token_stream(docs.select("doc_id", "text"), op1_tokens.tokenizer_file())
@@ -72,11 +98,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; of all tables made on the way only theirs are left."""
     docs = table(spark, sf_dir, "documents")
-    before = None
+    before: list[str] = []
     for name, stage in STAGES:
         docs, path = store(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            discard(spark, before)
-        before = path
+        _release(spark)
+        discard(spark, *before)
+        before = [path]
     return docs
