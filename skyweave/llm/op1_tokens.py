@@ -2,30 +2,31 @@
 
 The whole texts are encoded with a public tokenizer, an end id closes each document, and the
 ids go in ascending document order into shards of bounded size. Each shard is compressed with
-Re-Pair in rounds: a round counts the adjacent id pairs, gives the most frequent ones a
-nonterminal each (about ``RULES_A_ROUND`` of them), and replaces their non-overlapping
-occurrences from left to right; there are ``ROUNDS`` rounds at most, and one that saves less
-than ``LEAST_GAIN`` of the symbols is the last, so the grammar is not taken to its end. A shard stores its rules, the expansion length of every
-rule and a sampled table of expanded positions, so that any range of ids can be decoded
-without the rest.
+Re-Pair in rounds: a round counts all adjacent id pairs, gives the most frequent ones a
+nonterminal each and replaces their non-overlapping occurrences from left to right; each round
+takes twice as many pairs as the one before, and rounds go on until no pair occurs ``LEAST``
+times. A shard stores its rules, the expansion length of every rule and a sampled table of
+expanded positions, so that any range of ids can be decoded without the rest.
 
 Defined results: a null text is an empty one (only the end id); rows with null or equal
 doc_id all stay, ordered by doc_id (nulls first), then by text; an empty table gives an empty
 stream; columns other than doc_id and text are not read.
 
 File format (``shards``): Parquet rows ``part, seq, n_docs, n_tokens, doc_ids, blob`` in id
-order; ``blob`` is little-endian: magic ``RPG1``, seven u64 (documents, rules, symbols, ids,
-base vocabulary, symbol bytes, skip step), rules u32[rules][2], rule lengths u32[rules], document
-lengths u32[documents], skip table u64 (ids before every skip-th symbol), symbols.
+order; ``blob`` is little-endian: magic ``RPG2``, eight u64 (documents, rules, symbols, ids, base
+vocabulary, bits of a symbol, bytes of a rule length, skip step), rules[rules][2], rule lengths
+[rules], document lengths u32[documents], skip table u64 (ids before every skip-th symbol),
+symbols. Rules and symbols are packed: the low 16 bits of each as u16, then for every higher bit a
+plane of one bit each.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,15 @@ from pyspark.sql import functions as F
 
 from skyweave.llm.common import store, table, text_column
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 #: Ids in a shard at most, unless one document alone has more.
 SHARD_IDS = 1 << 20
-#: Rounds of pair replacement, rules a round, and the share of symbols that a round must save.
-ROUNDS, RULES_A_ROUND, LEAST_GAIN = 5, 2500, 0.03
+#: Pairs that the first round replaces (each later one twice as many as the one before), and the
+#: occurrences below which a rule would take more bits than it saves.
+FIRST_RULES, LEAST = 1500, 4
 SKIP = 1024
-#: Entries of each of the two generations of a worker's cache of encoded words.
-CACHE_ENTRIES = 400_000
+#: Encoded words that a worker keeps at most.
+CACHE_ENTRIES = 500_000
 
 
 # ---------------------------------------------------------------- Re-Pair
@@ -50,55 +52,98 @@ CACHE_ENTRIES = 400_000
 _BUCKET_BITS = 18
 
 
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Pairs of symbols as numbers, of 32 bits where they fit."""
+    if not len(first) or max(int(first.max()), int(second.max())) < 1 << 16:
+        return (first.astype(np.uint32) << np.uint32(16)) | second.astype(np.uint32)
+    return (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+
+
 def _bucket(pair: np.ndarray) -> np.ndarray:
-    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)
+    if pair.dtype == np.uint32:
+        return (pair * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKET_BITS)
+    return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BUCKET_BITS)
 
 
-def _frequent_pairs(seq: np.ndarray, rules: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_pairs(seq: np.ndarray, rules: int, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(places, code): occurrences of the ``rules`` most frequent pairs, and of those as frequent
-    as the last of them; one pair for each code.
+    as the last of them; one pair for each code, in descending order of occurrences. Pairs below
+    ``LEAST`` occurrences are left out, and so are places that ``active`` doesn't have.
 
-    All pairs are counted exactly, by sorting. The hashed buckets only spare the search for most
-    places of other pairs."""
-    pair = (seq[:-1].astype(np.int64) << 32) | seq[1:]
+    All pairs are counted exactly, by sorting. The hashed buckets only find the places."""
+    pair = _pairs(seq[:-1], seq[1:]) if active is None else _pairs(seq[active], seq[active + 1])
     ordered = np.sort(pair)
     begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     counts = np.diff(begin, append=len(ordered))
-    least = max(4, int(np.partition(counts, -rules)[-rules])) if len(counts) >= rules else 4
-    chosen = ordered[begin[counts >= least]]
-    if not len(chosen):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    hot = np.zeros(1 << _BUCKET_BITS, dtype=bool)
-    hot[_bucket(chosen)] = True
-    at = np.flatnonzero(hot[_bucket(pair)])
-    pair = pair[at]
-    code = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-    same = chosen[code] == pair
-    return at[same], code[same]
-
-
-def repair_compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): symbol ``base + k`` stands for the pair ``rules[k]``."""
+    often = np.flatnonzero(counts >= LEAST)
+    if len(often) > rules:
+        often = often[counts[often] >= np.partition(counts[often], -rules)[-rules]]
+    if not len(often):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+    chosen = ordered[begin[often]]  # ascending
+    rank = np.empty(len(often), dtype=np.int32)
+    rank[np.argsort(-counts[often], kind="stable")] = np.arange(len(often), dtype=np.int32)
+    # a bucket names one of its pairs; places of the others are searched for
+    name = np.full(1 << _BUCKET_BITS, -1, dtype=np.int32)
+    name[_bucket(chosen)] = np.arange(len(chosen), dtype=np.int32)
+    code = name[_bucket(pair)]
+    at = np.flatnonzero(code >= 0)
+    pair, code = pair[at], code[at]
+    odd = np.flatnonzero(chosen[code] != pair)
+    if len(odd):
+        found = np.minimum(np.searchsorted(chosen, pair[odd]), len(chosen) - 1).astype(np.int32)
+        found[chosen[found] != pair[odd]] = -1
+        code[odd] = found
+        same = code >= 0
+        at, code = at[same], code[same]
+    return at if active is None else active[at], rank[code]
+
+
+def _apart(at: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which of the places, ascending, are taken so that none overlaps another: of a run of one
+    pair every second; of two pairs that overlap the more frequent one."""
+    fresh = np.ones(len(at), dtype=bool)
+    np.logical_or(at[1:] != at[:-1] + 1, code[1:] != code[:-1], out=fresh[1:])
+    order = np.arange(len(at), dtype=np.int32)
+    left = np.flatnonzero(((order - np.maximum.accumulate(np.where(fresh, order, 0))) & 1) == 0)
+    taken = np.zeros(len(at), dtype=bool)
+    while len(left):
+        place, own = at[left], code[left]
+        touch = place[1:] == place[:-1] + 1
+        best = np.ones(len(left), dtype=bool)
+        best[1:] &= ~touch | (own[1:] < own[:-1])
+        best[:-1] &= ~touch | (own[:-1] <= own[1:])
+        taken[left[best]] = True
+        free = ~best  # but not next to one that was taken
+        free[1:] &= ~(touch & best[:-1])
+        free[:-1] &= ~(touch & best[1:])
+        left = left[free]
+    return taken
+
+
+def repair_compress(ids: np.ndarray, base: int, first_rules: int = FIRST_RULES) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): symbol ``base + k`` stands for the pair ``rules[k]``.
+
+    Rounds go on until no pair has ``LEAST`` occurrences that don't overlap others replaced. Once
+    a round was offered all frequent pairs, a pair that is frequent in the next one has a new
+    symbol or was frequent before, so only such places are looked at."""
     seq = ids.astype(np.int32)
     rules: list[np.ndarray] = []
-    top = base
-    for _ in range(rounds):
-        if len(seq) < 8:
+    top, a_round = base, first_rules
+    active: np.ndarray | None = None
+    while len(seq) > 1:
+        places, code = _frequent_pairs(seq, a_round, active)
+        if not len(places):
             break
-        at, code = _frequent_pairs(seq, rules_a_round)
-        if not len(at):
-            break
-        # left-to-right, non-overlapping: every second one of a run of adjacent places
-        fresh = np.empty(len(at), dtype=bool)
-        fresh[0] = True
-        np.not_equal(at[1:], at[:-1] + 1, out=fresh[1:])
-        order = np.arange(len(at))
-        keep = ((order - np.maximum.accumulate(np.where(fresh, order, 0))) & 1) == 0
-        at, code = at[keep], code[keep]
-        counts = np.bincount(code)
-        good = counts >= 4
+        everything = int(code.max()) + 1 < a_round
+        keep = _apart(places, code)
+        at, code = places[keep], code[keep]
+        good = np.bincount(code) >= LEAST
+        a_round *= 2
         if not good.any():
-            break
+            if everything:
+                break
+            continue
         keep = good[code]
         at, code = at[keep], code[keep]
         number = (np.cumsum(good) - 1).astype(np.int32)
@@ -107,15 +152,38 @@ def repair_compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, rules_a_ro
         seq[at] = top + number[code]
         rest = np.ones(len(seq), dtype=bool)
         rest[at + 1] = False
-        before = len(seq)
+        if everything:
+            new = at - np.arange(len(at))
+            left = places[rest[places]]
+            active = np.unique(np.concatenate((new, new - 1, left - np.searchsorted(at, left))))
         seq = seq[rest]
+        if active is not None:
+            active = active[(active >= 0) & (active < len(seq) - 1)]
         rules.append(fit)
         top += len(fit)
-        if before - len(seq) < LEAST_GAIN * before:
-            break
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
+def _pack(values: np.ndarray, bits: int) -> bytes:
+    """Numbers below 2**bits: their low 16 bits, then a plane of packed bits for each higher bit."""
+    planes = [np.packbits((values >> k & 1).astype(np.uint8), bitorder="little").tobytes() for k in range(16, bits)]
+    return b"".join(((values & 0xFFFF).astype("<u2").tobytes(), *planes))
+
+
+def _packed_size(count: int, bits: int) -> int:
+    return 2 * count + max(0, bits - 16) * (-(-count // 8))
+
+
+def _unpack(blob: bytes, offset: int, count: int, bits: int) -> np.ndarray:
+    out = np.frombuffer(blob, dtype="<u2", count=count, offset=offset).astype(np.uint32)
+    offset += 2 * count
+    for k in range(16, bits):
+        plane = np.frombuffer(blob, dtype=np.uint8, count=-(-count // 8), offset=offset)
+        out |= np.unpackbits(plane, count=count, bitorder="little").astype(np.uint32) << np.uint32(k)
+        offset += len(plane)
+    return out
+
+
 def _rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     """Expansion length of every rule; a rule only uses terminals and earlier rules."""
     lengths = np.zeros(len(rules), dtype=np.int64)
@@ -148,24 +216,25 @@ def _expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 def pack_shard(ids: np.ndarray, doc_lengths: np.ndarray, base: int) -> bytes:
     seq, rules = repair_compress(ids, base)
     lengths = _rule_lengths(rules, base)
-    width = 2 if base + len(rules) <= 1 << 16 else 4
+    bits = max(16, int(base + len(rules)).bit_length())
     weight = np.ones(len(seq), dtype=np.int64)
     of_rule = seq >= base
     weight[of_rule] = lengths[seq[of_rule] - base]
     before = np.cumsum(weight) - weight
-    head = struct.pack("<4s7Q", MAGIC, len(doc_lengths), len(rules), len(seq), len(ids), base, width, SKIP)
-    return b"".join((head, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), doc_lengths.astype("<u4").tobytes(), before[::SKIP].astype("<u8").tobytes(), seq.astype(f"<u{width}").tobytes()))
+    wide = 1 if len(rules) == 0 or int(lengths.max()) < 1 << 8 else 4
+    head = struct.pack("<4s8Q", MAGIC, len(doc_lengths), len(rules), len(seq), len(ids), base, bits, wide, SKIP)
+    return b"".join((head, _pack(rules.reshape(-1), bits), lengths.astype(f"<u{wide}").tobytes(), doc_lengths.astype("<u4").tobytes(), before[::SKIP].astype("<u8").tobytes(), _pack(seq, bits)))
 
 
 class Shard:
     """A shard's blob, opened for reading."""
 
     def __init__(self, blob: bytes):
-        magic, docs, rules, symbols, ids, base, width, skip = struct.unpack_from("<4s7Q", blob)
+        magic, docs, rules, symbols, ids, base, bits, wide, skip = struct.unpack_from("<4s8Q", blob)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
         self.n_tokens, self.base, self.skip = ids, base, skip
-        at = struct.calcsize("<4s7Q")
+        at = struct.calcsize("<4s8Q")
 
         def take(kind: str, count: int) -> np.ndarray:
             nonlocal at
@@ -173,11 +242,12 @@ class Shard:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * rules).reshape(-1, 2)
-        self.lengths = take("<u4", rules)
+        self.rules = _unpack(blob, at, 2 * rules, bits).reshape(-1, 2)
+        at += _packed_size(2 * rules, bits)
+        self.lengths = take(f"<u{wide}", rules)
         self.doc_lengths = take("<u4", docs)
         self.before = take("<u8", -(-symbols // skip))
-        self.symbols = take(f"<u{width}", symbols)
+        self.symbols = _unpack(blob, at, symbols, bits)
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of some symbols: a table holds every symbol's expansion in one piece."""
@@ -211,14 +281,115 @@ class Shard:
 
 # ---------------------------------------------------------------- encoding
 
-#: A space between two characters that are no white space always starts a pre-token of a
-#: byte-level BPE of this kind; texts with other spaces are encoded as they are.
 _ENCODERS: dict[str, "WordEncoder"] = {}
+#: Characters that a word may end with as a pre-token of its own.
+_TAIL = b".,;:!?#$%&*"
+#: ASCII characters that are white space for Python.
+_SPACES = frozenset((9, 10, 11, 12, 13, 28, 29, 30, 31, 32))
+#: Words looked up at once.
+_PIECE = 200_000
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words in one piece with 16 bytes to spare, where each begins, and their lengths."""
+    length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    return np.frombuffer(b"".join(words) + bytes(16), dtype=np.uint8), np.cumsum(length) - length, length
+
+
+class WordTable:
+    """Ids of words, for many words at once. Words of up to 16 bytes stand in a hash table that
+    compares all their bytes, longer ones in a dictionary."""
+
+    SLOTS = 1 << (2 * CACHE_ENTRIES - 1).bit_length()
+
+    def __init__(self, kind: type):
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.head = np.zeros(self.SLOTS, dtype=np.uint64)  # first and last 8 bytes of a word
+        self.tail = np.zeros(self.SLOTS, dtype=np.uint64)
+        self.size = np.zeros(self.SLOTS, dtype=np.uint8)
+        self.entry = np.full(self.SLOTS, -1, dtype=np.int32)
+        self.long: dict[bytes, int] = {}
+        self.first = np.zeros(1 << 16, dtype=np.int64)  # ids[first[e]:first[e + 1]] are entry e's
+        self.ids = np.zeros(1 << 18, dtype=self.kind)
+        self.entries = 0
+
+    def _keys(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+        at_any = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), shape=(len(raw) - 7,), strides=(1,))
+        head = at_any[begin] & _MASK[np.minimum(length, 8)]
+        tail = np.where((length > 8) & (length <= 16), at_any[begin + np.clip(length - 8, 0, 8)], np.uint64(0))
+        with np.errstate(over="ignore"):
+            x = (head ^ tail * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+        return head, tail, (x >> np.uint64(40)).astype(np.int64) & (self.SLOTS - 1)
+
+    def find(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Entry of each word raw[begin:begin + length], -1 if unknown; raw has 16 bytes to spare."""
+        out = np.full(len(begin), -1, dtype=np.int32)
+        head, tail, slot = self._keys(raw, begin, length)
+        todo = np.flatnonzero(length <= 16)
+        slot = slot[todo]
+        while len(todo):
+            entry = self.entry[slot]
+            same = (self.head[slot] == head[todo]) & (self.tail[slot] == tail[todo]) & (self.size[slot] == length[todo]) & (entry >= 0)
+            out[todo[same]] = entry[same]
+            on = (entry >= 0) & ~same
+            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
+        for k in np.flatnonzero(length > 16).tolist():
+            out[k] = self.long.get(raw[begin[k] : begin[k] + length[k]].tobytes(), -1)
+        return out
+
+    def add(self, words: list[bytes], flat: np.ndarray, counts: np.ndarray) -> None:
+        """Enter different words that the table doesn't have; ``flat`` has the ids of all."""
+        if not words:
+            return
+        own = np.arange(self.entries, self.entries + len(words), dtype=np.int32)
+        ends = np.cumsum(counts)
+        used = int(self.first[self.entries])
+        while self.entries + len(words) >= len(self.first):
+            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
+        while used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[used : used + len(flat)] = flat
+        self.first[self.entries + 1 : self.entries + len(words) + 1] = used + ends
+        self.entries += len(words)
+        raw, begin, length = joined(words)
+        head, tail, slot = self._keys(raw, begin, length)
+        todo = np.flatnonzero(length <= 16)
+        slot = slot[todo]
+        while len(todo):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.entry[slot[first]] < 0]
+            at, k = slot[first], todo[first]
+            self.head[at], self.tail[at], self.size[at], self.entry[at] = head[k], tail[k], length[k], own[k]
+            on = np.ones(len(todo), dtype=bool)
+            on[first] = False
+            todo, slot = todo[on], (slot[on] + 1) & (self.SLOTS - 1)
+        for k in np.flatnonzero(length > 16).tolist():
+            self.long[words[k]] = int(own[k])
+
+    def get(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some entries in one piece, and how many each has."""
+        first = self.first[entry]
+        size = self.first[entry + 1] - first
+        total = np.cumsum(size)
+        at = np.repeat(first - (total - size), size)
+        at += np.arange(len(at))
+        return self.ids[at], size
 
 
 class WordEncoder:
-    """Encodes whole texts with the tokenizers library; space-led words are encoded once and
-    kept in a two-generation cache of bounded size."""
+    """Encodes whole texts with the tokenizers library, word by word where that gives the same.
+
+    In a byte-level BPE with the usual pattern, a space between two characters that are no white
+    space begins a pre-token, and a line end between two such characters is one. So a text is cut
+    before these; words that a space or a line end leads are encoded once, many to a call, and
+    kept in a table of bounded size, which starts anew when it is full. Texts with other white
+    space at a cut, or that hold special tokens, and all texts under other tokenizers, are encoded
+    as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -230,59 +401,115 @@ class WordEncoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.base <= 1 << 16 else np.uint32
-        line = self._plain(["\n"])[0]
-        self.line = int(line[0]) if len(line) == 1 else -1
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        cut = rules.get("pre_tokenizer") or {}
+        self.by_word = not rules.get("normalizer") and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and len(self._plain(["\n"])[0]) == 1
+        self.widths = np.zeros(self.base, dtype=np.int64)  # bytes of each token
+        if self.by_word:
+            for token, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.widths[k] = len(token)  # byte-level: a character for each byte
+        self.table = WordTable(self.kind)
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode words that each follow a space; many to a text, with line ends between."""
-        easy = [w for w in words if "\n" not in w] if self.line >= 0 else []
-        size = self.kind(0).nbytes
-        for k in range(0, len(easy), 20_000):
-            group = easy[k : k + 20_000]
-            texts = [" " + "\n ".join(group[j : j + 200]) + "\n" for j in range(0, len(group), 200)]
-            ids = np.concatenate(self._plain(texts))
-            cut = np.flatnonzero(ids == self.line)
-            if len(cut) != len(group):
-                words = easy + [w for w in words if "\n" in w]
-                break
-            raw = ids.tobytes()
-            begin = np.concatenate(([0], cut[:-1] + 1)) * size
-            self.young.update(zip(group, [raw[a:b] for a, b in zip(begin.tolist(), (cut * size).tolist())]))
-        odd = [w for w in words if w not in self.young]
-        for w, ids in zip(odd, self._plain([" " + w for w in odd])):
-            self.young[w] = ids.tobytes()
+    def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words as they stand in a text, many to a text, and how many each has; the
+        bytes of the tokens tell where a word ends."""
+        if not words:
+            return np.zeros(0, dtype=self.kind), np.zeros(0, dtype=np.int64)
+        ids = np.concatenate(self._plain([b"".join(words[k : k + 500]).decode() for k in range(0, len(words), 500)]))
+        upto = np.cumsum(self.widths[ids])
+        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        cut = np.searchsorted(upto, ends) + 1
+        if not (upto[cut - 1] == ends).all():
+            raise AssertionError("a token goes across words")
+        return ids, np.diff(cut, prepend=0)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Enter words, each with the space or line end that leads it. Punctuation that ends a
+        word is a pre-token of its own, so the word before it is learned without it. A word that
+        is empty or has white space at an end shows a cut that isn't between two other
+        characters: it is never entered."""
+        plain: list[bytes] = []
+        tailed: list[bytes] = []
+        bares: list[bytes] = []
+        for w in words:
+            if len(w) == 1 or w[1] in _SPACES or w[-1] in _SPACES:
+                continue
+            if w[1] > 127 or w[-1] > 127:
+                t = w.decode()
+                if t[1].isspace() or t[-1].isspace():
+                    continue
+            bare = w.rstrip(_TAIL)
+            if 1 < len(bare) < len(w) and bare.decode()[-1].isalnum():
+                tailed.append(w)
+                bares.append(bare)
+            else:
+                plain.append(w)
+        more = list(set(bares).difference(plain))
+        if more:
+            unknown = self.table.find(*joined(more)) < 0
+            plain += [more[k] for k in np.flatnonzero(unknown).tolist()]
+        self.table.add(plain, *self._encode_words(plain))
+        if not tailed:
+            return
+        body, n_body = self.table.get(self.table.find(*joined(bares)))
+        kinds = {t: k for k, t in enumerate(sorted({w[len(bare) :] for w, bare in zip(tailed, bares)}))}
+        tails = self._plain([t.decode() for t in kinds])
+        which = np.fromiter((kinds[w[len(bare) :]] for w, bare in zip(tailed, bares)), dtype=np.int64, count=len(tailed))
+        n_tails = np.array([len(t) for t in tails])
+        n_tail = n_tails[which]
+        both = n_body + n_tail
+        start = np.cumsum(both) - both
+        flat = np.empty(int(both.sum()), dtype=self.kind)
+        flat[np.repeat(start - (np.cumsum(n_body) - n_body), n_body) + np.arange(len(body))] = body
+        tail_start = np.cumsum(n_tails) - n_tails
+        shift = np.cumsum(n_tail) - n_tail
+        each = np.arange(int(n_tail.sum()))
+        flat[np.repeat(start + n_body - shift, n_tail) + each] = np.concatenate(tails)[np.repeat(tail_start[which] - shift, n_tail) + each]
+        self.table.add(tailed, flat, both)
+
+    def _entries(self, raw: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        entry = self.table.find(raw, begin, length)
+        holes = np.flatnonzero(entry < 0)
+        if len(holes):
+            missing = lambda at: {raw[a : a + n].tobytes() for a, n in zip(begin[at].tolist(), length[at].tolist())}
+            words = missing(holes)
+            if self.table.entries + 2 * len(words) > CACHE_ENTRIES:
+                self.table.clear()
+                holes = np.arange(len(begin))
+                words = missing(holes)
+            self._learn(words)
+            entry[holes] = self.table.find(raw, begin[holes], length[holes])
+        return entry
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. A word that is empty or has white space at an end shows a space
-        that isn't one between two other characters: its text goes to the tokenizer whole."""
-        split = [None if any(s in t for s in self.specials) else t.split(" ") for t in texts]
-        missing: set[str] = set()
-        for words in split:
-            if words:
-                missing.update(filterfalse(self.young.__contains__, words[1:]))
-        if len(self.young) + len(missing) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-            missing = {w for words in split if words for w in words[1:]}
-        kept = [w for w in missing if w in self.old]
-        self.young.update(zip(kept, map(self.old.__getitem__, kept)))
-        fresh = list(missing.difference(kept))
-        uneven = [w for w in fresh if not w or w[0].isspace() or w[-1].isspace()]
-        self.young.update(dict.fromkeys(uneven))
-        self._learn(fresh if not uneven else list(set(fresh).difference(uneven)))
-        get = self.young.__getitem__
-        out: list = [None] * len(texts)
-        for k, words in enumerate(split):
-            if words and not (words[0] and words[0][-1].isspace()):
-                parts = list(map(get, words[1:]))
-                if None not in parts:
-                    out[k] = parts
-        heads = self._plain([t if parts is None else words[0] for t, parts, words in zip(texts, out, split)])
-        return [head if parts is None else np.frombuffer(head.tobytes() + b"".join(parts), dtype=self.kind) for head, parts in zip(heads, out)]
+        """The ids of each text."""
+        by_word = [self.by_word and not any(s in t for s in self.specials) for t in texts]
+        # a line end is set before each text, so that its first word is like any other
+        data = [b"\n" + t.encode() if ok else b"\n" for t, ok in zip(texts, by_word)]
+        raw = np.frombuffer(b"".join((*data, bytes(16))), dtype=np.uint8)
+        size = np.array([len(d) for d in data])
+        starts = np.cumsum(size) - size
+        begin = np.flatnonzero((raw[:-16] == 32) | (raw[:-16] == 10))
+        length = np.diff(begin, append=len(raw) - 16)
+        first = np.searchsorted(begin, starts)  # first word of each text
+        ids, counts, odd = [], [], np.zeros(len(begin), dtype=bool)
+        for k in range(0, len(begin), _PIECE):
+            entry = self._entries(raw, begin[k : k + _PIECE], length[k : k + _PIECE])
+            odd[k : k + _PIECE] = entry < 0
+            own, n = self.table.get(np.maximum(entry, 0))
+            ids.append(own)
+            counts.append(n)
+        flat, ends = np.concatenate(ids), np.cumsum(np.concatenate(counts))
+        whole = np.logical_or.reduceat(odd, first)
+        stop = ends[np.append(first[1:], len(begin)) - 1]
+        start = np.concatenate(([0], stop[:-1]))
+        again = iter(self._plain([t for t, w in zip(texts, whole.tolist()) if w]))
+        # the line end before each text is one id
+        return [next(again) if w else flat[a + 1 : b] for w, a, b in zip(whole.tolist(), start.tolist(), stop.tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
