@@ -1,23 +1,29 @@
 """Benchmark decontamination: q-gram lemma filter and banded alignment.
 
 Texts and benchmark items are normalised (lower case; runs of white space and ASCII punctuation
-become one space). A document leaks an item if a region of it matches at least
-``w = min(length of the item, WINDOW)`` characters of the item with at most ``w / 10`` edits.
-By the q-gram lemma such a region shares at least ``w + 1 - q (k + 1)`` q-grams with the item
-along diagonals that differ by at most k. So the shared q-grams of a text and all items are
-counted in diagonal bands of width 2k that overlap by k, bands that meet the bound are kept,
-and a banded local alignment (match 1, edit -3, score at least ``0.6 w``) decides.
+become one space); characters are the bytes of what that leaves. A document leaks an item if some
+``w = min(length of the item, WINDOW)`` consecutive characters of the item align with a region of
+the text with at most ``w / PER_EDIT`` edits. By the q-gram lemma such a region shares at least
+``w + 1 - q (k + 1)`` q-grams with those characters along diagonals that differ by at most k. So
+the shared q-grams of a text and all items are counted in diagonal bands of width 2k that overlap
+by k, windows of the item that meet the bound in a band are kept, and a banded edit-distance
+alignment of each of them, all windows of a band at once, decides.
 
 Counting is exact for every q-gram, however frequent. To keep it cheap, hits are first summed
 by (text block, item): a region lies in two neighbouring blocks, so hits of an item that has
 fewer than the bound there cannot matter.
 
+The lemma gives no bound for items below ``SHORTEST`` characters. They match without edits and
+between word borders, and are found by an automaton over all of them.
+
 The items' q-gram index goes to the executors in parts of at most ``PART_CHARS`` characters of
-items; a larger benchmark takes several passes over the documents, each with one part.
+items (or one longer item); a larger benchmark takes several passes over the documents, each with
+one part: its result is stored and its index released before the next.
 
-Defined results: null and empty texts and items match nothing, nor do items shorter than
-``SHORTEST`` characters; equal items report all their ids; rows of documents stay as they are,
-repeated or not; an empty benchmark leaves all documents clean.
+Defined results: null and empty texts and items match nothing; equal items report all their ids,
+also null ones; rows of documents stay as they are, repeated or not; an empty benchmark leaves all
+documents clean. A region's begin is exact to the edits of its window. The result is the last
+column; where documents have a column of that name, underscores are added to it.
 """
 
 from __future__ import annotations
@@ -31,14 +37,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import table
+from skyweave.llm.common import discard, fresh, store, table
 
-#: q-gram length in bytes, window of the edit budget, characters for each edit, shortest item.
+#: q-gram length in bytes, window of the edit budget, characters for each edit, items that may have
+#: edits.
 Q, WINDOW, PER_EDIT, SHORTEST = 8, 100, 10, 40
-#: Score of the alignment.
-EDIT_COST, LEAST_SHARE = 3, 0.6
 #: Characters of items in the index of one pass.
 PART_CHARS = 4_000_000
+#: Windows of an item that are aligned at once.
+_GROUP = 2000
 _BITS = 22
 _BREAK = re.compile(r"[\s!-/:-@\[-`{-~]+")
 
@@ -67,7 +74,7 @@ def _cell(g: np.ndarray) -> np.ndarray:
 class Index:
     """q-grams of the items of one part."""
 
-    ids: np.ndarray  # item id
+    ids: list[int | None]  # item id; the short items stand last
     texts: list[bytes]
     window: np.ndarray
     budget: np.ndarray
@@ -79,29 +86,60 @@ class Index:
     sieve: np.ndarray  # which hash cells have a gram
     band: int
     block: int
+    short: dict[str, list[int]]  # items without edits, between blanks
 
     @staticmethod
-    def build(rows: list[tuple[int, str | None]]) -> "Index | None":
-        known = [(i, t) for i, t in ((i, normalise(t)) for i, t in rows if i is not None) if len(t) >= SHORTEST]
+    def build(rows: list[tuple[int | None, str | None]]) -> "Index | None":
+        known = [(i, t) for i, t in ((i, normalise(t)) for i, t in rows) if t]
         if not known:
             return None
-        size = np.array([len(t) for _, t in known])
+        known.sort(key=lambda x: len(x[1]) < SHORTEST)
+        long = sum(len(t) >= SHORTEST for _, t in known)
+        short: dict[str, list[int]] = {}
+        for k in range(long, len(known)):
+            short.setdefault(f" {known[k][1].decode('utf-8', 'surrogatepass')} ", []).append(k)
+        size = np.array([len(t) for _, t in known[:long]], dtype=np.int64)
         window = np.minimum(size, WINDOW)
         budget = window // PER_EDIT
-        all_grams = [grams(t) for _, t in known]
-        flat = np.concatenate(all_grams)
-        items = np.repeat(np.arange(len(known)), [len(g) for g in all_grams])
-        places = np.concatenate([np.arange(len(g)) for g in all_grams])
+        all_grams = [grams(t) for _, t in known[:long]]
+        flat = np.concatenate([*all_grams, np.zeros(0, dtype=np.uint64)])
+        items = np.repeat(np.arange(long, dtype=np.int32), [len(g) for g in all_grams])
+        places = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in all_grams), np.zeros(0, dtype=np.int32)])
         order = np.argsort(flat, kind="stable")
         keys, first = np.unique(flat[order], return_index=True)
         sieve = np.zeros(1 << _BITS, dtype=bool)
         sieve[_cell(keys)] = True
-        return Index(np.array([i for i, _ in known]), [t for _, t in known], window, budget, window + 1 - Q * (budget + 1), keys, np.append(first, len(flat)), items[order], places[order], sieve, max(1, int(budget.max())), int(2 ** np.ceil(np.log2(size.max() + 2 * budget.max() + Q))))
+        most = int(budget.max(initial=1))
+        block = int(2 ** np.ceil(np.log2(size.max(initial=1) + 2 * most + Q)))
+        return Index([i for i, _ in known], [t for _, t in known], window, budget, window + 1 - Q * (budget + 1), keys, np.append(first, len(flat)), items[order], places[order], sieve, most, block, short)
+
+    def find_short(self, data: bytes) -> list[tuple[int, int, int]]:
+        """Items without edits, wherever they stand between word borders."""
+        if not self.short or not data:
+            return []
+        if not hasattr(self, "automaton"):
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for text in self.short:
+                self.automaton.add_word(text, text)
+            self.automaton.make_automaton()
+        text = f" {data.decode('utf-8', 'surrogatepass')} "
+        wide = len(text) != len(data) + 2
+        found = []
+        for last, word in self.automaton.iter(text):
+            begin = last - len(word) + 1
+            at = len(text[1 : begin + 1].encode("utf-8", "surrogatepass")) if wide else begin
+            found += [(k, at, at + len(self.texts[k])) for k in self.short[word]]
+        return found
 
     def find(self, data: bytes) -> list[tuple[int, int, int]]:
         """Leaks as (item number, begin, end) in bytes of the normalised text."""
+        return self.find_long(data) + self.find_short(data)
+
+    def find_long(self, data: bytes) -> list[tuple[int, int, int]]:
         g = grams(data)
-        if not len(g):
+        if not len(g) or not len(self.bound):
             return []
         at = np.flatnonzero(self.sieve[_cell(g)])
         key = np.searchsorted(self.keys, g[at])
@@ -114,9 +152,9 @@ class Index:
         count = self.first[key + 1] - self.first[key]
         total = np.cumsum(count)
         posting = np.arange(total[-1]) + np.repeat(self.first[key] - (total - count), count)
-        item, place, where = self.items[posting], self.places[posting], np.repeat(at, count)
+        item, place, where = self.items[posting].astype(np.int64), self.places[posting].astype(np.int64), np.repeat(at, count)
         # sums by (block, item); a region lies in two neighbouring blocks
-        n_items, blocks = len(self.texts), len(data) // self.block + 2
+        n_items, blocks = len(self.bound), len(data) // self.block + 2
         cell = where // self.block * n_items + item
         if blocks * n_items <= max(1 << 22, 8 * len(cell)):
             sums = np.bincount(cell, minlength=(blocks + 1) * n_items).reshape(-1, n_items)
@@ -137,12 +175,12 @@ class Index:
         if not alive.any():
             return []
         item, place, where = item[alive], place[alive], where[alive]
-        diagonal = where - place + (1 << 20)
+        longest = len(max(self.texts, key=len))
+        diagonal = where - place + longest
         found = []
         # overlapping bands: each hit counts in the band it begins and in the one before
         band = diagonal // self.band
         wide = int(band.max()) + 2
-        longest = max(map(len, self.texts))
         of_band = np.concatenate((item * wide + band, item * wide + band - 1))
         # q-grams of the item that are left, each place once, within a window of the edit budget
         mark = np.unique(of_band * longest + np.concatenate((place, place)))
@@ -152,54 +190,55 @@ class Index:
         inside = last < len(mark)
         last[~inside] = 0
         inside &= (name[last] == name) & (spot[last] - spot <= self.window[name // wide] - Q)
-        name = np.unique(name[inside])
         done: dict[int, list[tuple[int, int]]] = {}
-        for k in range(len(name)):
-            number, low = int(name[k] // wide), int(name[k] % wide) * self.band - (1 << 20)
+        for n in np.unique(name[inside]).tolist():
+            number, low = n // wide, n % wide * self.band - longest
             if any(a - 2 * self.band <= low <= b for a, b in done.get(number, ())):
                 continue
-            region = self._verify(data, number, low, 2 * self.band)
+            region = self._verify(data, number, low, 2 * self.band, spot[np.searchsorted(name, n) : np.searchsorted(name, n, side="right")])
             if region is not None:
                 found.append((number, *region))
                 done.setdefault(number, []).append((low, low + self.band))
         return found
 
-    def _verify(self, data: bytes, number: int, low: int, width: int) -> tuple[int, int] | None:
-        """Banded local alignment along the diagonals low to low + width."""
-        text, k = self.texts[number], int(self.budget[number])
-        need = LEAST_SHARE * int(self.window[number])
-        exact = data.find(text, max(0, low), low + width + len(text))
+    def _verify(self, data: bytes, number: int, low: int, width: int, spots: np.ndarray) -> tuple[int, int] | None:
+        """The region of the windows that align within the budget along the diagonals low to
+        low + width; ``spots`` are the item's places of shared q-grams there."""
+        text, k, w = self.texts[number], int(self.budget[number]), int(self.window[number])
+        exact = data.find(text, max(0, low), max(0, low + width + len(text)))
         if exact >= 0:
             return exact, exact + len(text)
-        low, width = low - k, width + 2 * k
-        span = np.arange(width + 1)
-        padded = np.zeros(len(text) + width + 2, dtype=np.int16) - 1
-        begin = max(0, low)
-        piece = np.frombuffer(data[begin : low + len(text) + width + 1], dtype=np.uint8)
-        padded[begin - low : begin - low + len(piece)] = piece[: len(padded) - (begin - low)]
-        score = np.zeros(width + 1, dtype=np.int32)
-        begins = low + span
-        best, where = 0, None
-        for i, c in enumerate(text):
-            step = score + np.where(padded[i : i + width + 1] == c, 1, -EDIT_COST)
-            # an item character without a partner comes from the next diagonal of the row before
-            up = np.append(score[1:] - EDIT_COST, -1)
-            up_begin = np.append(begins[1:], 0)
-            new_begin = np.where(up > step, up_begin, begins)
-            step = np.maximum(step, up)
-            # runs of text characters without a partner come from diagonals to the left
-            left = step + EDIT_COST * span
-            source = np.maximum.accumulate(left)
-            origin = np.maximum.accumulate(np.where(left == source, span, 0))
-            step, new_begin = source - EDIT_COST * span, new_begin[origin]
-            fresh = step <= 0
-            begins = np.where(fresh, low + i + 1 + span, new_begin)
-            score = np.where(fresh, 0, step)
-            top = int(score.max())
-            if top > best:
-                at = int(score.argmax())
-                best, where = top, (int(begins[at]), low + i + 1 + at)
-        return where if where is not None and best >= need else None
+        starts = np.arange(len(text) - w + 1)
+        shared = np.searchsorted(spots, starts + w - Q, side="right") - np.searchsorted(spots, starts)
+        starts = starts[shared >= int(self.bound[number])]
+        own = np.frombuffer(text, dtype=np.uint8)
+        low, span = low - k, np.arange(width + 2 * k + 1)
+        regions = []
+        for at in range(0, len(starts), _GROUP):
+            alive = starts[at : at + _GROUP]
+            origin = int(alive[0]) + low  # place in the text of the first window's first diagonal
+            padded = np.full(int(alive[-1]) - int(alive[0]) + w + len(span), -1, dtype=np.int16)
+            piece = np.frombuffer(data[max(0, origin) : max(0, origin + len(padded))], dtype=np.uint8)
+            padded[max(0, -origin) : max(0, -origin) + len(piece)] = piece
+            around = np.lib.stride_tricks.sliding_window_view(padded, len(span))
+            shift = alive - alive[0]
+            edits = np.zeros((len(alive), len(span)), dtype=np.int32)
+            for r in range(w):
+                step = edits + (around[shift + r] != own[alive + r][:, None])
+                # an item character without a partner comes from the next diagonal
+                np.minimum(step[:, :-1], edits[:, 1:] + 1, out=step[:, :-1])
+                # runs of text characters without a partner come from the diagonals before
+                edits = np.minimum.accumulate(step - span, axis=1) + span
+                if r % 8 == 7 or r == w - 1:
+                    good = edits.min(axis=1) <= k
+                    if not good.all():
+                        edits, alive, shift = edits[good], alive[good], shift[good]
+                        if not len(alive):
+                            break
+            if len(alive):
+                end = alive + w + low + edits.argmin(axis=1)
+                regions.append((max(0, int((end - w).min())), min(len(data), int(end.max()))))
+        return (min(a for a, _ in regions), max(b for _, b in regions)) if regions else None
 
 
 def index_parts(benchmark: DataFrame, part_chars: int = PART_CHARS) -> Iterator[Index]:
@@ -219,26 +258,32 @@ def index_parts(benchmark: DataFrame, part_chars: int = PART_CHARS) -> Iterator[
         yield found
 
 
-def leak_udf(spark: SparkSession, index: Index):
-    """Pandas UDF text -> array of leaks (item_id, begin, end); places are bytes of the
-    normalised text. The index is bounded by PART_CHARS."""
-    shared = spark.sparkContext.broadcast(index)
+def leak_udf(shared):
+    """Pandas UDF text -> array of leaks (item_id, begin, end) of a broadcast index; places are
+    bytes of the normalised text. The index is bounded by PART_CHARS."""
 
     @F.pandas_udf("array<struct<item_id:long,begin:long,end:long>>")
     def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for texts in batches:
-            yield pd.Series([[{"item_id": int(own.ids[n]), "begin": a, "end": b} for n, a, b in own.find(normalise(t))] for t in texts])
+            yield pd.Series([[{"item_id": own.ids[n], "begin": a, "end": b} for n, a, b in own.find(normalise(t))] for t in texts])
 
     return leaks
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "_leaks", part_chars: int = PART_CHARS) -> DataFrame:
     """``docs`` with all their columns and ``column``: the leaks of each row, none if clean."""
-    spark = docs.sparkSession
+    spark, column = docs.sparkSession, fresh(docs, column)
     out = docs.withColumn(column, F.array().cast("array<struct<item_id:long,begin:long,end:long>>"))
+    before = shared = None
     for index in index_parts(benchmark, part_chars):
-        out = out.withColumn(column, F.concat(F.col(column), leak_udf(spark, index)(F.col("text"))))
+        if shared is not None:  # one index at a time
+            out, path = store(out, "leaks")
+            shared.destroy()
+            discard(spark, *([before] if before else []))
+            before = path
+        shared = spark.sparkContext.broadcast(index)
+        out = out.withColumn(column, F.concat(F.col(column), leak_udf(shared)(F.col("text"))))
     return out
 
 
