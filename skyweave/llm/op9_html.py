@@ -2,15 +2,17 @@
 
 A page is cut into flat text blocks at block-level tags. Each block has its word count and link
 density, those of its neighbours before and after, and where it stands: inside an article or
-main element, inside an element that is boilerplate by its tag or by a class, id or role word, in
-a heading. A binary decision tree (Gini splits), trained once per process on the small labelled
-table of ``EXAMPLES``, keeps or drops each block. Kept blocks are joined by line ends in page
+main element, inside elements that are boilerplate by their tag, inside elements whose class, id
+or role names boilerplate (a strong or a weak name), in a heading, in a header that is no article's own. Names are compared as whole
+tokens: of ``share-price`` neither half counts. A binary decision tree (Gini splits), trained
+once per process on the small labelled table of ``labelled_pages``, keeps or drops each block;
+half of those pages are held out and only test it. Kept blocks are joined by line ends in page
 order, white space inside a block becoming one space. Scripts, styles, templates, comments and
 hidden elements never become blocks.
 
 Defined results: a null or empty page, and one without kept blocks, has the empty text; broken
 markup is read as far as it goes (an unclosed tag at the end is dropped); repeated rows repeat.
-Only page_id, url and html are read.
+``extract_pages`` keeps all columns and adds one, with underscores where its name is taken.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import table
+from skyweave.llm.common import fresh, table
 
 # Fixed values of HTML: elements that start a new block, hold no text, or never close.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -32,28 +34,49 @@ SILENT_TAGS = frozenset("head script style template noscript iframe object svg m
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tags matter for where a block stands.
 TRACKED_TAGS = frozenset("article aside body blockquote dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split()) | SILENT_TAGS
-BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role that mark boilerplate.
-BOILER_WORDS = frozenset(
-    "ad ads advert adverts advertisement adv banner breadcrumb breadcrumbs byline comment comments commentlist consent contentinfo cookie cookies copyright discussion disqus "
-    "footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion recommended related reply replies "
-    "respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget widgets alert".split()
-)
-_WORDS = re.compile(r"[a-z]+")
+#: Names of class and id that mark boilerplate wherever they stand, and roles that do.
+STRONG = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr nav navbar navigation newsletter pagination pager recommended related replies respond sidebar signup sponsored subscribe".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
+#: Names that do so only if the block looks like it.
+WEAK = frozenset("adv alert author banner byline discussion header legal login masthead menu meta modal notice notices popup promo promoted promotion reply search share sharing skip social sponsor tags toolbar topbar widget widgets".split())
+#: A compound name counts as its last part (``site-footer``), or as its first if the last is one of
+#: these (``comment-list``). A header counts as one of the site only under these first parts.
+BOXES = frozenset("area articles bar block bottom box container content inner item items left links list notice posts right section slot stories text top unit wrap wrapper".split())
+SITE_PARTS = frozenset("global page site top".split())
+_PARTS = re.compile(r"[-_]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_header", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "in_header", "heading", "strong", "weak")
+
+
+def _marks(tag: str, own: dict[str, str]) -> tuple[bool, bool]:
+    """Whether an element's class, id or role is a strong or a weak name of boilerplate."""
+    if tag in ("body", "html"):
+        return False, False
+    strong, weak = own.get("role", "").lower() in ROLES, tag == "form"
+    for token in f"{own.get('class', '')} {own.get('id', '')}".lower().split():
+        first, *rest = (x for x in _PARTS.split(token) if x) if token.strip("-_") else ("",)
+        if not rest:
+            strong, weak = strong or first in STRONG, weak or first in WEAK
+        elif rest[-1] == "header":
+            strong = strong or first in SITE_PARTS
+        else:
+            strong = strong or rest[-1] in STRONG or (first in STRONG and rest[-1] in BOXES)
+            weak = weak or rest[-1] in WEAK or (first in WEAK and rest[-1] in BOXES)
+    return strong, weak
 
 
 class _Blocks(HTMLParser):
-    """Flat blocks of a page: [text, words, words in links, in_main, in_boiler, in_header, heading]."""
+    """Flat blocks of a page: [text, words, words in links, in_main, in_boiler, in_header, heading,
+    strong, weak]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, int, int, int]] = []  # tag, silent, main, boiler, header
-        self.state = (0, 0, 0, 0)
+        self.open: list[tuple] = []  # tag, then the state outside: silent, main, boiler, header, strong, weak
+        self.state = (0, 0, 0, 0, 0, 0)
         self.blocks: list[list] = []
         self.text: list[str] = []
         self.linked = 0
@@ -63,8 +86,8 @@ class _Blocks(HTMLParser):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                _, main, boiler, header = self.state
-                self.blocks.append([" ".join(words), len(words), min(self.linked, len(words)), main > 0, boiler > 0, header > 0, self.heading])
+                _, main, boiler, header, strong, weak = self.state
+                self.blocks.append([" ".join(words), len(words), min(self.linked, len(words)), main > 0, boiler > 0, header > 0, self.heading, strong > 0, weak > 0])
             self.text = []
         self.linked = 0
 
@@ -79,19 +102,22 @@ class _Blocks(HTMLParser):
             self.in_link = True
         if tag in VOID_TAGS:
             return
-        silent, main, boiler, header = self.state
+        silent, main, boiler, header, strong, weak = self.state
         own = {k: v or "" for k, v in attrs}
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style", "")))
-        tracked = tag in TRACKED_TAGS or hidden
-        marks = tracked and any(w in BOILER_WORDS for w in _WORDS.findall(f"{own.get('class', '')} {own.get('id', '')} {own.get('role', '')}".lower()))
-        if not tracked:
+        if not (tag in TRACKED_TAGS or hidden):
             return
         self.flush()
         is_main = tag in MAIN_TAGS or own.get("role") == "main"
-        # an article inside the comments is no main text; the page's own frame is no boilerplate
-        boiler += (tag in BOILER_TAGS or (marks and tag != "body")) and not is_main
         self.open.append((tag, *self.state))
-        self.state = (silent + (tag in SILENT_TAGS or hidden), main + is_main, boiler, header + (tag == "header"))
+        if is_main:
+            # the page's own text inside an unclosed menu or a page-wide form; but an article
+            # inside the comments is no main text
+            boiler, weak = 0, 0
+        else:
+            is_strong, is_weak = _marks(tag, own)
+            boiler, strong, weak = boiler + (tag in BOILER_TAGS), strong + is_strong, weak + is_weak
+        self.state = (silent + (tag in SILENT_TAGS or hidden), main + is_main, boiler, header + (tag == "header" and not main), strong, weak)
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID_TAGS:
@@ -143,7 +169,7 @@ def blocks(html: str | None) -> tuple[list[str], np.ndarray]:
 class Tree:
     """A binary classification tree with Gini splits."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2):
         self.nodes: list[tuple] = []  # feature, cut, below, above | None, label
         self.least = least
         self._grow(x, y, depth)
@@ -185,31 +211,55 @@ class Tree:
         return out
 
 
-_LONG = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty "
-#: The labelled table: small pages whose main-text blocks begin with "+".
-EXAMPLES = (
-    f"<body><nav><ul><li><a href=x>Home</a></li><li><a href=x>About us</a></li></ul></nav><div class=ad>Buy this thing now today.</div><article><h1>+A title here</h1><p>+{_LONG}</p><p>+Short.</p><p>+{_LONG * 3}</p></article><footer>&copy; site name all rights.</footer></body>",
-    f"<body><header><h1>Site name</h1><p>The slogan of the site</p></header><main><h1>+Title</h1><p>+{_LONG * 2}</p><aside><p>{_LONG}</p></aside><p>+Be.</p><ul><li>+first point made</li><li>+second <a href=x>point</a></li></ul></main><div id=sidebar><p>{_LONG * 2}</p></div></body>",
-    f"<body><div class=menu><a href=x>One</a> <a href=x>Two</a></div><div id=content><h2>+Heading of it</h2><p>+{_LONG * 2}</p><p>+{_LONG} <a href=x>link</a></p><p>+Two words.</p><p>+{_LONG}</p></div><div class=comments><p>{_LONG}</p><p>Nice one.</p></div><p><a href=x>Privacy</a> <a href=x>Terms</a></p></body>",
-    f"<body><div class='cookie notice'><p>{_LONG}</p></div><article><header><h1>+Title</h1></header><p>+{_LONG}</p><form><p>Give us your address please</p></form><blockquote>+{_LONG}</blockquote><p>+<a href=x>See all of this report here</a></p><p>+End.</p><section class=comments><article><p>{_LONG * 2}</p></article></section></article></body>",
-    f"<body><a href=x>Home</a> <a href=x>News</a><p>+{_LONG * 2}</p><p>+{_LONG}</p><table><tr><td>+cell one of many</td><td>+{_LONG}</td></tr></table><p><a href=x>Next</a></p><footer><p>{_LONG}</p></footer></body>",
-    f"<body><article><h1>+Only</h1><p>+{_LONG}</p><div class=share><a href=x>Tweet</a></div><div class=related><h3>Related</h3><p>{_LONG}</p></div><p>+{_LONG}</p></article><div class=newsletter><p>Sign up for {_LONG}</p></div></body>",
-    f"<body><div><p>Log in</p></div><div><p>+{_LONG * 3}</p><p>+No.</p><p>+{_LONG}</p></div><div><a href=x>Contact</a></div><div>Contact us</div></body>",
-    "<body><article><p>+Hm.</p></article></body>",
-    *(f"<body><nav><a href=x>Menu of it</a></nav><div class=ad>Some advert text in here.</div><{tag}><h1>+Some title of words</h1>{''.join(f'<p>+{"word " * n}</p>' for n in sizes)}</{tag}><footer>{"word " * 6}</footer></body>" for tag in ("article", "main") for sizes in ((1, 40, 2, 150, 8, 300, 1, 1, 90), (250, 4, 60, 1, 700, 30, 2), (1,), (500,), (12, 1, 25, 80, 80, 3))),
-    *(f"<body><div>{''.join(f'<p>+{"word " * n}</p>' for n in sizes)}</div><div><a href=x>Next page</a></div></body>" for sizes in ((60, 40, 12, 150, 30, 300), (250, 40, 60, 15, 700, 30), (500,))),
-    *(f"<body>{top}<{tag}>{first}<p>+{'word ' * n}</p></{tag}>" for top in ("", "<nav><a href=x>Menu</a></nav>", "<div><a href=x>Menu of it</a></div>") for tag in ("article", "main") for first in ("", "<h1>+Some title</h1>", "<h2>+<a href=x>Linked title</a></h2>", "<header><h1>+Title</h1></header>") for n in (2, 50)),
-    *(f"<body><article><p>+word</p><p>+<a href=x>{'word ' * n}</a></p><p>+word word</p></article><div><a href=x>Next</a></div>" for n in (1, 5, 30)),
-    *(f"<body>{top}<p>+{'word ' * n}</p>{end}</body>" for n in (10, 30, 90) for top in ("", "<div>Log in</div>", "<h2>+A heading</h2>") for end in ("", "<p>+Short.</p>", "<div class=footer>(c)</div>", "<p>+word word</p><div class=footer>(c) site</div>")),
-    *(f"<body><nav><a href=x>Menu of links</a></nav><header><p>{'word ' * n}</p><h1>Site name</h1></header>{tag}<header><h1>+Title it has</h1></header><p>+{'word ' * 20}</p>" for n in (2, 9) for tag in ("<article>", "<main>")),
-    "<body><header><h1>Site</h1></header><div><a href=x>One</a> <a href=x>Two</a></div><article><p>+word word</p></article></body>",
-    f"<body><header><p>{_LONG}</p></header><article><h1>+A</h1></article></body>",
-)
-
-
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
+def _words(n: int) -> str:
+    return ("one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * (n // 20 + 1)).rsplit(" ", 20 - n % 20 + 1)[0] if n else ""
+
+
+def labelled_pages() -> list[str]:
+    """The labelled table: small pages whose main-text blocks begin with "+".
+
+    Each page is a top, a body in a frame, and a bottom; the first half trains the tree, the other
+    half is held out."""
+    w = _words
+    tops = (
+        "", f"<nav><ul><li><a href=x>Home</a></li><li><a href=x>{w(3)}</a></li></ul></nav>", "<div class=menu><a href=x>One</a> <a href=x>Two</a></div><div class=ad>Buy this thing now.</div>",
+        "<header><p>Site name</p><p>The slogan of the site</p></header>", "<div class=site-header><h1>Site name</h1></div>", "<div><a href=x>Home</a> | <a href=x>About us</a></div><div>Log in</div>",
+        f"<ul><li><a href=x>Politics</a></li><li><a href=x>{w(2)}</a></li></ul>", f"<div class=cookie-notice><p>{w(30)}</p></div>", f"<div id=sidebar><h3>News</h3><p>{w(45)}</p></div>",
+        f"<header><h1>Site name</h1><div>{w(9)}</div></header><nav><a href=x>Start</a></nav>", f"<div class='ad'>{w(12)}</div>", f"<form><p>{w(5)}</p></form><a href=x>Skip to content</a>",
+    )
+    bottoms = (
+        "", f"<footer><p>&copy; {w(25)}</p></footer>", f"<div class=comments><h3>Comments</h3><p>{w(40)}</p><p>Nice one.</p></div><div id=footer>(c) Site</div>", "<div><a href=x>Contact</a> <a href=x>Privacy</a></div><div>Contact us</div>",
+        f"<div class=related-posts><h3>More stories</h3><ul><li><a href=x>{w(6)}</a></li></ul></div>", "<div><a href=x>Next page</a></div>", f"<div class=newsletter><p>Sign up for {w(14)}</p></div><footer>(c)</footer>",
+        f"<section class=comments><article><p>{w(70)}</p></article><article><p>{w(4)}</p></article></section>", f"<aside><p>{w(33)}</p></aside><div class='widget'><a href=x>{w(4)}</a></div>",
+    )
+    bodies = (
+        f"<h1>+Title of it</h1><p>+{w(22)}</p><p>+Short.</p><p>+{w(64)}</p>", f"<header><h1>+{w(8)}</h1></header><p>+{w(50)}</p><blockquote>+{w(21)}</blockquote><p>+Be.</p><p>+{w(150)}</p>",
+        f"<p>+{w(44)}</p><ul><li>+{w(3)}</li><li>+second <a href=x>point</a></li></ul><p>+{w(31)}</p>", f"<h1>+{w(4)}</h1><p>+{w(20)} <a href=x>{w(9)}</a></p><p>+{w(36)}</p>",
+        f"<p>+{w(60)}</p><aside><p>{w(28)}</p></aside><p>+{w(52)}</p>", f"<p>+{w(33)}</p><div class=ad>{w(16)}</div><p>+{w(35)}</p>", f"<h2>+{w(5)}</h2><p>+{w(41)}</p><div class=share><a href=x>Tweet</a> <a href=x>Mail</a></div>",
+        f"<p>+{w(38)}</p><div class='social-policy tags'><p>+{w(42)}</p></div><p>+{w(29)}</p>", f"<div class=story-header><h1>+{w(7)}</h1></div><div class=share-price><p>+{w(40)}</p></div><p>+{w(26)}</p>", f"<p>+{w(300)}</p><p>+{w(12)}</p><p>+{w(700)}</p>",
+        f"<table><tr><td>+cell one of many</td><td>+{w(24)}</td></tr></table><p>+{w(47)}</p>", f"<h1>+{w(6)}</h1><p>+{w(90)}</p><form><p>Give us your address please</p></form><p>+{w(30)}</p>", f"<p>+{w(26)}</p><div class=related><h3>Related</h3><p>{w(34)}</p></div><p>+{w(48)}</p>",
+        f"<h1>+Only</h1><p>+{w(57)}</p><div class=tags><a href=x>{w(1)}</a> <a href=x>{w(2)}</a></div><footer><p>{w(10)}</p></footer>", f"<header class=article-header><h1>+{w(9)}</h1></header><p>+{w(80)}</p>",
+    )
+    small = ("<p>+Hm.</p>", f"<h1>+{w(5)}</h1><p>+{w(6)}</p>", f"<p>+word</p><p>+<a href=x>{w(5)}</a></p><p>+word word</p>", f"<h2>+<a href=x>{w(4)}</a></h2><p>+{w(3)}</p><p>+{w(11)}</p>", f"<h1>+{w(10)}</h1>")
+    frames = ("<article>%s</article>", "<main>%s</main>", "<div id=content>%s</div>", "<div class=post-body>%s</div>", "%s", "<div role=main>%s</div>", "<form id=page><div>%s</div></form>")
+    pages = []
+    around = len(tops) * len(bottoms)  # each top meets each bottom once in every turn
+    for k in range(8 * around):
+        frame = frames[(5 * k + k // 9) % len(frames)]
+        own = small if k % 5 == 4 and any(x in frame for x in ("article", "main")) else bodies
+        body = own[(7 * k + k // 11) % len(own)]
+        if "article" in frame or "main" in frame:  # there short paragraphs are text wherever they stand
+            short = f"<p>+{w(1 + k % 5)}</p>"
+            body = (body + short, short + body, body.replace("</p><p>", f"</p>{short}{short}<p>", 1), body)[k // 13 % 4]
+        pages.append(f"<body>{tops[k % len(tops)]}{frame % body}{bottoms[k // len(tops) % len(bottoms)]}</body>")
+    return [page for first in range(0, 2 * around, around) for turn in range(first, len(pages), 2 * around) for page in pages[turn : turn + around]]
+
+
+def labelled_table(held_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows and labels of the blocks of the training pages, or of those held out."""
     rows, labels = [], []
-    for page in EXAMPLES:
+    pages = labelled_pages()
+    for page in pages[len(pages) // 2 :] if held_out else pages[: len(pages) // 2]:
         texts, x = blocks(page)
         rows.append(x)
         labels.append(np.array([t.startswith("+") for t in texts], dtype=float))
@@ -241,6 +291,11 @@ def extract_udf():
     return main_text
 
 
+def extract_pages(pages: DataFrame, column: str = "_text") -> DataFrame:
+    """``pages`` with all their columns and the main text of ``html`` as the last one."""
+    return pages.withColumn(fresh(pages, column), extract_udf()(F.col("html")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return pages.select("page_id", "url", extract_udf()("html").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    pages = extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("_text").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
