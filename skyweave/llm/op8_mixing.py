@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import WORD_PATTERN, discard, store, table
+from skyweave.llm.common import WORD_PATTERN, discard, fresh, store, table
 
 #: No document, and so no source, is taken more often than this.
 MOST = 3
@@ -121,9 +121,10 @@ def mix(docs: DataFrame, prefix: str = "mix_", tie=None, size: Column | None = N
     """``docs`` with its columns and ``<prefix>size, source_size, target, rate, copies``.
 
     ``tie`` orders rows of equal doc_id, for callers that need the very rows again; ``size`` gives
-    the sizes of texts counted before. The result reads the last work table made here."""
+    the sizes of texts counted before. Where columns begin with the prefix, underscores are added
+    to it. The result reads the last work table made here."""
     spark = docs.sparkSession
-    p = prefix
+    p = prefix = fresh(docs, prefix)
     own_size = word_count(F.col("text")) if size is None else size
     order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
     # what needs no text is decided on this slim table: its words are counted once
@@ -155,8 +156,9 @@ def mix(docs: DataFrame, prefix: str = "mix_", tie=None, size: Column | None = N
     return rows.select(*docs.columns, *(f"{p}{c}" for c in ("size", "source_size", "target", "rate", "copies")))
 
 
-def repeat_copies(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
+def repeat_copies(mixed: DataFrame) -> DataFrame:
     """The mixed corpus: every document as often as it is taken, with the columns it came with."""
+    prefix = mixed.columns[-1].removesuffix("copies")
     own = [f"{prefix}{c}" for c in ("size", "source_size", "target", "rate", "copies")]
     kept = mixed.where(F.col(f"{prefix}copies") > 0)
     return kept.withColumn(f"{prefix}n", F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies").cast("int")))).drop(f"{prefix}n", *own)
