@@ -81,8 +81,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times as it is taken."""
-    prefix = fresh(docs, "_mix_")
-    return op8_mixing.repeat_copies(op8_mixing.mix(docs, prefix, F.xxhash64("text")), prefix).select(*docs.columns)
+    return op8_mixing.repeat_copies(op8_mixing.mix(docs, tie=F.xxhash64("text"))).select(*docs.columns)
 
 
 @_stage
