@@ -6,7 +6,9 @@ conjunctive rule. A lasso logistic regression over the rules keeps few of them,
 compiled into one Spark expression, so that scoring is a scan without Python.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any text;
-labelled rows with a null label are not used; without labelled rows the score is 0.5 (the share
+labelled rows with a null label are not used; of documents of one
+doc_id the least text is learned, once for each label it has; a column of the result's name is kept,
+the result then has underscores added; without labelled rows the score is 0.5 (the share
 of label 1 where all labels are equal); repeated rows repeat. Only doc_id and text are read.
 """
 
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import fold, table
+from skyweave.llm.common import fold, fresh, table
 
 #: Labelled rows used for the fit at most (the rows of smallest hash).
 SAMPLE_ROWS = 12_000
@@ -161,14 +163,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> RuleModel:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
     picked = known.select("doc_id", F.col("quality").cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(SAMPLE_ROWS)
     stats = statistics(F.col("text"))
-    # bounded by SAMPLE_ROWS ids and as many rows of a dozen numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "_label", *(c.alias(n) for n, c in stats.items())).orderBy("doc_id", "_label", "words", "capitals").collect()
+    # bounded by SAMPLE_ROWS ids; a repeated doc_id counts once, so the driver gets as many rows of
+    # a dozen numbers at most
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
+    texts = texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "_label", *(c.alias(n) for n, c in stats.items())).orderBy("doc_id", "_label").collect()
     x = np.array([[r[n] for n in stats] for r in rows], dtype=float).reshape(len(rows), len(stats))
     return fit_rules(x, np.array([r["_label"] for r in rows], dtype=float), list(stats))
 
 
 def score_documents(docs: DataFrame, model: RuleModel, column: str = "_quality") -> DataFrame:
-    """``docs`` with all their columns and the score ``column``."""
+    """``docs`` with all their columns and the score as the last one."""
+    column = fresh(docs, column)
     own = {n: f"{column}_{n}" for n in statistics(F.col("text"))}
     rows = docs.withColumns({own[n]: c for n, c in statistics(F.col("text")).items()})
     return rows.withColumn(column, model.expression({n: F.col(c) for n, c in own.items()})).drop(*own.values())
