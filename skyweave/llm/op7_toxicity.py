@@ -18,7 +18,8 @@ of its r best normalised segment scores ``lambda s - ln(K n)``, whose tail is
 ``exp(-t) t^(r-1) / (r! (r-1)!)``, each r discounted by 2^-r and the best r taken.
 
 Defined results: null and empty texts have no segments and score as a document without
-evidence; labels of documents with null or several label rows count once each row; a
+evidence; of documents of one doc_id the least text is learned, once for each label it has; a column
+of the result's name is kept, the result then has underscores added; a
 documents row repeats if it is repeated; without any labelled toxic row all scores are the
 share of toxic rows (0 without labels). Only doc_id and text are read from documents.
 """
@@ -37,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.llm.common import fold, table
+from skyweave.llm.common import fold, fresh, table
 
 #: Labelled rows used for the fit at most (the rows of smallest hash), and the share kept back
 #: from the unit counts for calibration.
@@ -47,13 +48,9 @@ PREFIXES = (3, 4, 5, 6, 7, 8)
 #: Least shrunk ratio and documents of a unit, strength of the Dirichlet prior (documents, and
 #: share of the background), score of other words.
 LEAST_ODDS, LEAST_COUNT, PRIOR, REST_SCORE = 2.0, 3, (0.5, 0.01), -0.35
-#: Units in the model at most; they are those of strongest evidence.
-MODEL_UNITS = 200_000
 SIGNIFICANT = 0.05
-#: The sum statistic looks at up to so many best segments; more change no decision.
-SUMMED = 50
 _WORD = re.compile(r"\w+")
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 200_000
 
 
 def units(word: str) -> list[str]:
@@ -93,14 +90,16 @@ class ToxicModel:
         """Minus the log of the chance of the r best segments together, for the best r."""
         if not scores or n == 0:
             return 0.0
-        shift = math.log(self.k * n)
-        most, total = 0.0, 0.0
-        for r, s in enumerate(sorted(scores, reverse=True)[:SUMMED], 1):
-            total += self.lam * s - shift
-            if r == 1:
-                most = self.evidence(s, n) - math.log(2)
-            elif total > r - 1:
-                most = max(most, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        best = np.sort(np.asarray(scores, dtype=np.float64))[::-1]
+        most = self.evidence(float(best[0]), n) - math.log(2)
+        if len(best) > 1:
+            r = np.arange(1, len(best) + 1)
+            total = np.cumsum(self.lam * best - math.log(self.k * n))
+            logs = np.cumsum(np.log(r))  # of the factorials
+            fit = (total > r - 1) & (r > 1)
+            if fit.any():
+                r, total, logs = r[fit], total[fit], logs[fit]
+                most = max(most, float((total - (r - 1) * np.log(total) + 2 * logs - np.log(r) - r * math.log(2)).max()))
         return max(0.0, most)
 
     def probability(self, evidence: float) -> float:
@@ -201,7 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     """Fit on the labelled rows whose fold is not held out."""
     picked = sample_labels(labels, "toxic", 5, 0, SAMPLE_ROWS)
     # bounded by SAMPLE_ROWS ids: small enough to be sent to every executor
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
+    texts = texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(1000)) < int(1000 * CALIBRATION_SHARE)
     texts = texts.select("text", "_label", calibrate.alias("_back")).persist()
 
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     share = big1 / (big1 + big0)
     ratio = 2 * (n1 * np.log(np.maximum(n1, 1e-9) / ((n1 + n0) * share)) + n0 * np.log(np.maximum(n0, 1e-9) / ((n1 + n0) * (1 - share))))
     strong = np.flatnonzero((ratio >= 2 * math.log(tested) + 2) & (odds - spread >= LEAST_ODDS))
-    strong = strong[np.argsort(-ratio[strong], kind="stable")][:MODEL_UNITS]
+    strong = strong[np.argsort(-ratio[strong], kind="stable")]
     if not len(strong):
         texts.unpersist()
         return model
@@ -266,11 +266,11 @@ def _calibrate(model: ToxicModel, back: DataFrame, texts: DataFrame) -> None:
                 found = scorer.segments(words)
                 hits = sum(scorer.memo[w] > 0 for w in words)
                 gain = sum(max(0.0, scorer.memo[w]) for w in words)
-                best_ones = sorted((s for _, _, s in found), reverse=True)[:SUMMED]
-                out.append((toxic, len(words), best_ones[0] if found else 0.0, best_ones, hits, gain))
-            yield pd.DataFrame(out, columns=["toxic", "n", "best", "scores", "hits", "gain"])
+                out.append((toxic, len(words), max((s for _, _, s in found), default=0.0), hits, gain))
+            yield pd.DataFrame(out, columns=["toxic", "n", "best", "hits", "gain"])
 
-    seen = back.select("text", "_label").mapInPandas(best, "toxic int, n long, best double, scores array<double>, hits long, gain double").toPandas()  # bounded by the sample
+    # both collections are bounded by the sample: a few numbers for each of its rows
+    seen = back.select("text", "_label").mapInPandas(best, "toxic int, n long, best double, hits long, gain double").toPandas()
     seen = seen.sort_values(["toxic", "n", "best", "hits"]).reset_index(drop=True)
     clean = seen[(seen["toxic"] == 0) & (seen["n"] > 0)]
     words, hits, gain = float(clean["n"].sum()), float(clean["hits"].sum()), float(clean["gain"].sum())
@@ -285,8 +285,14 @@ def _calibrate(model: ToxicModel, back: DataFrame, texts: DataFrame) -> None:
     model.lam = (low + high) / 2
     with_hits = float((clean["best"] > 0).sum())
     model.k = max(with_hits, 0.5) / max(float((clean["n"] * np.exp(-model.lam * clean["best"])).sum()), 1.0)
-    x = np.log1p([model.joint_evidence(list(b), n) for b, n in zip(seen["scores"], seen["n"])])
-    y = seen["toxic"].to_numpy(float)
+
+    def joint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for batch in batches:
+            yield pd.DataFrame([(toxic, scorer.score(text)[2]) for text, toxic in zip(batch["text"], batch["_label"])], columns=["toxic", "evidence"])
+
+    fitted = back.select("text", "_label").mapInPandas(joint, "toxic int, evidence double").toPandas().sort_values(["toxic", "evidence"])
+    x, y = np.log1p(fitted["evidence"].to_numpy(float)), fitted["toxic"].to_numpy(float)
     model.intercept, model.slope = _logistic(x, y)
 
 
@@ -332,8 +338,8 @@ def passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, model: ToxicModel, column: str = "_toxicity") -> DataFrame:
-    """``docs`` with all their columns and the struct ``column``."""
-    return docs.withColumn(column, scoring_udf(model)(F.col("text")))
+    """``docs`` with all their columns and the struct of the score as the last one."""
+    return docs.withColumn(fresh(docs, column), scoring_udf(model)(F.col("text")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
