@@ -5,7 +5,8 @@ anywhere else, in another document or in the same one.
    anchor; equal strings have equal anchors at equal places. So only strings whose anchor's hash
    occurs twice can repeat. An anchor's context covers the strings that it is the anchor of;
    each string is in one context.
-2. Contexts that occur twice as a whole are repeated in all their strings.
+2. Contexts that occur twice as a whole (by 64-bit hashes of the context and of its anchor, length
+   and place of the anchor) are repeated in all their strings.
 3. The rest, different contexts of one anchor hash, go to shards by anchor hash; all
    occurrences of a string that may repeat meet there. A shard builds the suffix array of its
    contexts by Larsson-Sadakane refinement (only groups that are still tied are sorted again,
@@ -439,14 +440,19 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def covered_runs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     """(rid, begin, end): runs of bytes to remove, overlapping ones not yet joined."""
+    spark = rows.sparkSession
     all_anchors, p1 = store(rows.select("rid", "text").mapInArrow(_anchor_rows(), "h long, ctx long, rid long, at long, len short, off short"), "anchors")
-    twice = all_anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # counts are tables of their own: the joins with them have plain sides, whose hot keys are split
+    twice, p_twice = store(all_anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
     shared, p2 = store(all_anchors.join(twice, "h"), "shared-anchors")
-    discard(rows.sparkSession, p1)
-    contexts, p3 = store(shared.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at", "len", "off")).alias("r")), "contexts")
-    whole = shared.join(contexts.where("c > 1").select("h", "ctx"), ["h", "ctx"]).select("rid", F.col("at").alias("begin"), (F.col("at") + F.col("len")).alias("end"))
-    several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    open_ = contexts.join(several, "h").select("h", "ctx", "c", "m", "r.rid", "r.at", "r.len", "r.off")
+    discard(spark, p1, p_twice)
+    own = ["h", "ctx", "len", "off"]
+    contexts, p3 = store(shared.groupBy(*own).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "at")).alias("r")), "contexts")
+    repeated, p_repeated = store(contexts.where("c > 1").select(*own), "repeated")
+    several, p_several = store(contexts.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "several")
+    whole, p5 = store(shared.join(repeated, own).select("rid", F.col("at").alias("begin"), (F.col("at") + F.col("len")).alias("end")), "whole")
+    discard(spark, p2, p_repeated)
+    open_ = contexts.join(several, "h").select("h", "ctx", "c", "m", "r.rid", "r.at", "len", "off")
     per_row = open_.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "c", "m", "at", "len", "off")).alias("rows"))  # anchors of one text
     cut = rows.select("rid", "text").join(per_row, "rid").select("rid", "text", "rows").mapInArrow(_cut_contexts(), "h long, ctx long, c long, m long, rid long, at long, off short, bytes binary")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -454,7 +460,8 @@ def covered_runs(rows: DataFrame) -> tuple[DataFrame, list[str]]:
     dealt = dealt.select("h", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rid", "at", "off", "c", "bytes")
     dealt = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     partly, p4 = store(dealt.mapInArrow(_shards(), "rid long, begin long, end long"), "runs")
-    return whole.union(partly), [p2, p3, p4]
+    discard(spark, p3, p_several)
+    return whole.union(partly), [p4, p5]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
