@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +57,118 @@ def windowed_points(points: DataFrame, grid: DataFrame, window_um: float) -> Dat
     return placed.join(lines, "_bucket").where(F.abs(F.col("cwave_um") - F.col("line_nm") / 1000.0) <= window_um).drop("_bucket")
 
 
+#: Lines that go to the executors with one scan, and (cell, point) pairs that are held at once.
+GRID_LINES, HELD_PAIRS = 1 << 20, 1 << 20
+_EDGE = 1e-9
+
+
+def _line_blocks(grid: DataFrame) -> Iterator[np.ndarray]:
+    """The distinct lines in ascending order, in blocks of bounded size; one block at least."""
+    held: list[float] = []
+    for row in grid.select(F.col("line_nm").cast("double").alias("line_nm")).where("line_nm is not null").distinct().orderBy("line_nm").toLocalIterator():
+        held.append(row[0])
+        if len(held) == GRID_LINES:
+            yield np.array(held)
+            held = []
+    yield np.array(held)
+
+
+def _by_segment(points: DataFrame, window_um: float) -> DataFrame:
+    """Points of each target by segments of two windows: every segment has all points within one
+    window of its lines, so it is folded over its lines alone. One shuffle, by target; a task
+    holds one segment of a target at a time."""
+    wide = 2 * window_um
+    segment = lambda x: F.floor(x / wide).cast("int")
+    dealt = points.repartition("target_id") if "c_target" not in points.columns else points
+    dealt = dealt.withColumn("_segment", F.explode(F.sequence(segment(F.col("cwave_um") - window_um - _EDGE), segment(F.col("cwave_um") + window_um + _EDGE))))
+    return dealt.sortWithinPartitions("target_id", "_segment", "cwave_um")
+
+
+def _fold(lines_nm: np.ndarray, window_um: float, width_um: float, fold, schema: pa.Schema):
+    """A map over batches sorted by (target_id, _segment, cwave_um): ``fold`` gets the points'
+    columns, the first point of each cell's group, pairs (cell, point) with their response, and
+    the number of cells, and returns (which cells, their columns)."""
+    lines_um = lines_nm / 1000.0
+    of_line = np.floor(lines_um / (2 * window_um)).astype(np.int64)
+
+    def whole(table: pa.Table, begin: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+        column = {c: table.column(c).to_numpy(zero_copy_only=False) for c in table.column_names if c not in ("target_id", "_segment")}
+        segment = table.column("_segment").to_numpy()[begin]
+        first_line = np.searchsorted(of_line, segment)
+        n_lines = np.searchsorted(of_line, segment, side="right") - first_line
+        group = np.repeat(np.arange(len(begin)), n_lines)
+        line = np.arange(len(group)) - np.repeat(np.cumsum(n_lines) - n_lines - first_line, n_lines)
+        if not len(line):
+            return
+        x = column["cwave_um"]
+        # places of a window's ends within its group: groups are set apart by more than any x
+        apart = 4.0 * (np.abs(x).max() + np.abs(lines_um).max() + window_um + 1.0)
+        key = x + apart * np.repeat(np.arange(len(begin)), end - begin)
+        low = np.searchsorted(key, lines_um[line] - window_um - 1e-6 + apart * group)
+        high = np.searchsorted(key, lines_um[line] + window_um + 1e-6 + apart * group, side="right")
+        low, high = np.maximum(low, begin[group]), np.minimum(high, end[group])
+        size = np.maximum(high - low, 0)
+        total = np.cumsum(size)
+        at = 0
+        while at < len(size):
+            upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD_PAIRS, side="right")))
+            n = size[at:upto]
+            cell = np.repeat(np.arange(upto - at), n)
+            point = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n - low[at:upto], n)
+            off = x[point] - lines_um[line[at:upto]][cell]
+            near = np.abs(off) <= window_um
+            cell, point, off = cell[near], point[near], off[near]
+            sigma = np.sqrt(np.maximum(column["cband_um"][point], 0.0) ** 2 + width_um**2) / FWHM_TO_SIGMA
+            t = np.where(sigma > 0, np.exp(-0.5 * (off / np.where(sigma > 0, sigma, 1.0)) ** 2), 0.0)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                kept, out = fold(column, begin[group[at:upto]], cell, point, t, upto - at)
+            if len(kept):
+                names = table.column("target_id").take(pa.array(begin[group[at:upto]][kept]))
+                yield pa.RecordBatch.from_arrays([names.combine_chunks().cast(schema.types[0]), pa.array(lines_nm[line[at:upto]][kept]), *(pa.array(v, t) for v, t in zip(out, schema.types[2:]))], schema=schema)
+            at = upto
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def closed(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
+            """Whole groups are folded; the last one may go on in the next batch and is kept."""
+            nonlocal held
+            code = table.column("target_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            segment = table.column("_segment").to_numpy()
+            cut = np.flatnonzero((code[1:] != code[:-1]) | (segment[1:] != segment[:-1])) + 1
+            begin, end = np.concatenate(([0], cut)), np.append(cut, len(code))
+            held = None if final else table.slice(begin[-1])
+            if not final:
+                begin, end = begin[:-1], end[:-1]
+            if len(begin):
+                yield from whole(table.slice(0, end[-1]), begin, end)
+
+        for batch in batches:
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch])
+                yield from closed(new if held is None else pa.concat_tables([held, new]), False)
+        if held is not None and held.num_rows:
+            yield from closed(held.combine_chunks(), True)
+
+    return run
+
+
+def _middle(value: np.ndarray, rank: np.ndarray, members: np.ndarray, cell: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The median of ``value`` over the ``members`` of each cell, NaN for empty cells; ``rank``
+    lists all points in ascending order of ``value``."""
+    order = np.empty(len(rank), dtype=np.int64)
+    order[rank] = np.arange(len(rank))
+    bits = max(1, len(rank).bit_length())
+    key = np.sort((cell << bits) | order[members])
+    first = np.cumsum(count) - count
+    some = count > 0
+    place = lambda k: value[rank[key[k[some]] & ((1 << bits) - 1)]]
+    low, high = place(first + (count - 1) // 2), place(first + count // 2)
+    out = np.full(len(count), np.nan)
+    out[some] = low + (high - low) * 0.5
+    return out
+
+
 def scan(
     points: DataFrame,
     grid: DataFrame,
@@ -72,52 +188,72 @@ def scan(
 
     The continuum is the median (or mean) of the points of the window that barely respond to
     the line; below ``least_continuum`` of them all points of the window serve, and below that
-    all points of the target. Two aggregations over the band: continuum, then weighted sums."""
+    all points of the target. Points are shuffled once, by target, and every segment of a
+    target's sorted series is folded over its lines with arrays."""
     base = points.where(F.col("cwave_um").isNotNull() & F.col("cband_um").isNotNull() & F.col(flux).isNotNull())
     if not keep_flagged and "fatal_flag_present" in points.columns:
         base = base.where(~F.coalesce("fatal_flag_present", F.lit(False)))
-    base = base.select("target_id", "cwave_um", "cband_um", F.col(flux).alias("f"), F.col(unc).alias("u"))
-    level = (lambda c: F.median(c)) if continuum == "median" else (lambda c: F.avg(c))
-    whole = base.groupBy("target_id").agg(level(F.col("f")).alias("c_target"), F.count_if(F.col("u") > 0).alias("n_valid")).where(F.col("n_valid") >= least_points)
-    near = windowed_points(base, grid, window_um).withColumn("t", response(F.col("cwave_um"), F.col("cband_um"), F.col("line_nm") / 1000.0, width_nm / 1000.0))
-    quiet = F.col("t") <= off_line
-    levels = near.groupBy("target_id", "line_nm").agg(
-        level(F.when(quiet, F.col("f"))).alias("c_off"), F.count_if(quiet).alias("n_off"), level(F.col("f")).alias("c_window"), F.count(F.lit(1)).alias("n_window"),
-        F.count_if((F.col("t") >= least_response) & (F.col("u") > 0)).alias("support"),
-    )
-    levels = levels.where(F.col("support") >= least_support).join(whole, "target_id")
-    chosen = F.when(F.col("n_off") >= least_continuum, F.col("c_off")).when(F.col("n_window") >= least_continuum, F.col("c_window")).otherwise(F.col("c_target"))
-    levels = levels.select("target_id", "line_nm", "support", chosen.alias("continuum"))
-    used = near.where((F.col("t") >= least_response) & (F.col("u") > 0)).join(levels, ["target_id", "line_nm"])
-    weight = 1.0 / F.pow(F.greatest("u", F.lit(1e-9)), 2)
-    sums = used.groupBy("target_id", "line_nm").agg(
-        F.sum(F.col("t") * (F.col("f") - F.col("continuum")) * weight).alias("s"), F.sum(F.col("t") * F.col("t") * weight).alias("n"), F.first("continuum").alias("continuum"), F.first("support").alias("support")
-    )
-    sums = sums.where("n > 0")
-    return sums.select("target_id", "line_nm", (F.col("s") / F.col("n")).alias("amp"), (1.0 / F.sqrt("n")).alias("amp_unc"), (F.col("s") / F.sqrt("n")).alias("snr"), "continuum", "support")
+    double = lambda c, n: F.col(c).cast("double").alias(n)
+    base = base.select("target_id", double("cwave_um", "cwave_um"), double("cband_um", "cband_um"), double(flux, "f"), F.coalesce(F.col(unc).cast("double"), F.lit(0.0)).alias("u"))
+    level = F.median if continuum == "median" else F.avg
+    target = Window.partitionBy("target_id")
+    base = base.withColumns({"c_target": level("f").over(target), "n_valid": F.count_if(F.col("u") > 0).over(target)}).where(F.col("n_valid") >= least_points).drop("n_valid")
+
+    def fold(column, of_group, cell, point, t, n):
+        f, u = column["f"], column["u"]
+        quiet, used = t <= off_line, (t >= least_response) & (u[point] > 0)
+        n_window, n_off = np.bincount(cell, minlength=n), np.bincount(cell[quiet], minlength=n)
+        support = np.bincount(cell[used], minlength=n)
+        if continuum == "median":
+            rank = np.argsort(f, kind="stable")
+            c_off, c_window = _middle(f, rank, point[quiet], cell[quiet], n_off), _middle(f, rank, point, cell, n_window)
+        else:
+            c_off, c_window = np.bincount(cell[quiet], f[point[quiet]], n) / n_off, np.bincount(cell, f[point], n) / n_window
+        chosen = np.where(n_off >= least_continuum, c_off, np.where(n_window >= least_continuum, c_window, column["c_target"][of_group]))
+        cell, point, t = cell[used], point[used], t[used]
+        weight = 1.0 / np.maximum(u[point], 1e-9) ** 2
+        s, norm = np.bincount(cell, t * (f[point] - chosen[cell]) * weight, n), np.bincount(cell, t * t * weight, n)
+        kept = np.flatnonzero((support >= least_support) & (norm > 0))
+        s, norm = s[kept], norm[kept]
+        return kept, (s / norm, 1.0 / np.sqrt(norm), s / np.sqrt(norm), chosen[kept], support[kept])
+
+    return _scanned(base, grid, window_um, width_nm, fold, ["amp double", "amp_unc double", "snr double", "continuum double", "support long"])
+
+
+def _scanned(base: DataFrame, grid: DataFrame, window_um: float, width_nm: float, fold, columns: list[str]) -> DataFrame:
+    kinds = {"double": pa.float64(), "long": pa.int64()}
+    fields = [c.split() for c in columns]
+    schema = pa.schema([("target_id", pa.string()), ("line_nm", pa.float64()), *((n, kinds[k]) for n, k in fields)])
+    dealt = _by_segment(base.withColumn("target_id", F.col("target_id").cast("string")) if dict(base.dtypes)["target_id"] != "string" else base, window_um)
+    parts = [dealt.mapInArrow(_fold(lines, window_um, width_nm / 1000.0, fold, schema), ", ".join(["target_id string", "line_nm double", *columns])) for lines in _line_blocks(grid)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def dual_scan(points: DataFrame, grid: DataFrame, window_um: float = 0.18, width_nm: float = 1.0, off_line: float = 0.25, least_response: float = 1e-3) -> DataFrame:
     """Aperture and fitted fluxes together: mean continuum over points with both, the combined
-    score ``rho`` and ``q = rho^2`` where rho is positive. One band join, two aggregations."""
+    score ``rho`` and ``q = rho^2`` where rho is positive. One shuffle, by target."""
     ok = ~F.coalesce("fatal_flag_present", F.lit(False)) & (F.col("aperture_flux_unc_uJy") > 0) & (F.col("psf_flux_unc_uJy") > 0)
-    base = points.where(ok).select("target_id", "cwave_um", "cband_um", F.col("aperture_flux_uJy").alias("fa"), F.col("aperture_flux_unc_uJy").alias("ua"), F.col("psf_flux_uJy").alias("fp"), F.col("psf_flux_unc_uJy").alias("up")).dropna()
-    near = windowed_points(base, grid, window_um).withColumn("t", response(F.col("cwave_um"), F.col("cband_um"), F.col("line_nm") / 1000.0, width_nm / 1000.0))
-    quiet, hit = F.col("t") <= off_line, F.col("t") >= least_response
-
-    def sums(f: str, u: str) -> list[Column]:
-        w = 1.0 / (F.col(u) * F.col(u))
-        return [F.avg(F.when(quiet, F.col(f))).alias(f"c_{f}"), F.sum(F.when(hit, F.col("t") * F.col(f) * w)).alias(f"s_{f}"), F.sum(F.when(hit, F.col("t") * w)).alias(f"w_{f}"), F.sum(F.when(hit, F.col("t") * F.col("t") * w)).alias(f"n_{f}")]
-
-    # the continuum is a constant of the cell, so S = sum T f w - c sum T w needs one pass
-    cells = near.groupBy("target_id", "line_nm").agg(*sums("fa", "ua"), *sums("fp", "up"), F.count_if(hit).alias("support")).where("support > 0 and n_fa > 0 and n_fp > 0")
-    for f in ("fa", "fp"):
-        cells = cells.withColumn(f"S_{f}", F.col(f"s_{f}") - F.coalesce(f"c_{f}", F.lit(0.0)) * F.col(f"w_{f}"))
-    rho = (F.col("S_fa") + F.col("S_fp")) / F.sqrt(F.col("n_fa") + F.col("n_fp"))
-    return cells.select(
-        "target_id", "line_nm", "support", (F.col("S_fa") / F.col("n_fa")).alias("aperture_amp"), (F.col("S_fp") / F.col("n_fp")).alias("psf_amp"),
-        (F.col("S_fa") / F.sqrt("n_fa")).alias("aperture_snr"), (F.col("S_fp") / F.sqrt("n_fp")).alias("psf_snr"), rho.alias("joint_rho"), F.when(rho > 0, rho * rho).otherwise(0.0).alias("q"),
-    )
+    named = {"cwave_um": "cwave_um", "cband_um": "cband_um", "aperture_flux_uJy": "fa", "aperture_flux_unc_uJy": "ua", "psf_flux_uJy": "fp", "psf_flux_unc_uJy": "up"}
+    base = points.where(ok).select("target_id", *(F.col(c).cast("double").alias(n) for c, n in named.items())).dropna()
+
+    def fold(column, of_group, cell, point, t, n):
+        quiet, hit = t <= off_line, t >= least_response
+        n_off, support = np.bincount(cell[quiet], minlength=n), np.bincount(cell[hit], minlength=n)
+        sums = {}
+        for f, u in (("fa", "ua"), ("fp", "up")):
+            value, weight = column[f], t / column[u][point] ** 2
+            level = np.where(n_off > 0, np.bincount(cell[quiet], value[point[quiet]], n) / np.maximum(n_off, 1), 0.0)
+            sums[f] = np.bincount(cell[hit], (weight * (value[point] - level[cell]))[hit], n), np.bincount(cell[hit], (weight * t)[hit], n)
+        (sa, na), (sp, n_p) = sums["fa"], sums["fp"]
+        kept = np.flatnonzero((support > 0) & (na > 0) & (n_p > 0))
+        sa, na, sp, n_p = sa[kept], na[kept], sp[kept], n_p[kept]
+        rho = (sa + sp) / np.sqrt(na + n_p)
+        return kept, (support[kept], sa / na, sp / n_p, sa / np.sqrt(na), sp / np.sqrt(n_p), rho, np.where(rho > 0, rho * rho, 0.0))
+
+    return _scanned(base, grid, window_um, width_nm, fold, ["support long", "aperture_amp double", "psf_amp double", "aperture_snr double", "psf_snr double", "joint_rho double", "q double"])
 
 
 def residual_rms(points: DataFrame, value: str, keys: list[str]) -> DataFrame:

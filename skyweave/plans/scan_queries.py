@@ -30,16 +30,8 @@ def _plan_lines(t: Tables) -> DataFrame:
     return t.truth.select(F.col("injected_line_nm").alias("line_nm")).distinct()
 
 
-def _placed(points: DataFrame, step_nm: float) -> DataFrame:
-    """For a fine grid, points by target: the cells are then built where they are added up, so
-    that the points are shuffled in place of hundreds of cells for each."""
-    if step_nm >= 25.0:
-        return points
-    return points.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target_id")
-
-
 def _scores(t: Tables, kind: str = "aperture", step_nm: float = 25.0) -> DataFrame:
-    return bands.scan(_placed(_points(t, kind), step_nm), _grid(t, step_nm))
+    return bands.scan(_points(t, kind), _grid(t, step_nm))
 
 
 def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
@@ -107,7 +99,7 @@ DUAL_SQL_1NM = DUAL_SQL.replace(GRID, GRID_1NM)
 
 
 def _dual(t: Tables, step_nm: float = 25.0) -> DataFrame:
-    return bands.dual_scan(_placed(t.points, step_nm), _grid(t, step_nm))
+    return bands.dual_scan(t.points, _grid(t, step_nm))
 
 
 @query("f5_dual_flux_scan", DUAL_SQL + "select target_id, line_nm, cast(support as bigint) as support, round(aperture_amp, 3) as aperture_amp, round(psf_amp, 3) as psf_amp, round(aperture_snr, 4) as aperture_snr, round(psf_snr, 4) as psf_snr, round(joint_rho, 4) as joint_rho, round(q, 2) as q from scores")
