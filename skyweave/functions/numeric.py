@@ -32,6 +32,29 @@ def clip01(c: Column) -> Column:
     return F.coalesce(clip(finite(c), 0.0, 1.0), F.lit(0.0))
 
 
+def snr_feature(flux: Column, unc: Column) -> Column:
+    """Signal to noise in units of 50, clipped to -1 and 1; 0 without a positive uncertainty."""
+    snr = F.when(finite(unc) > 0, finite(flux) / F.when(unc > 0, unc))
+    return clip(F.coalesce(finite(snr), F.lit(0.0)), -50.0, 50.0) / 50.0
+
+
+def robust_norm(value: Column, median: Column, scale: Column) -> Column:
+    """Distance from the median in units of the scale, clipped to 12; 0 where it is missing."""
+    return clip(F.coalesce(finite((value - median) / F.greatest(scale, F.lit(1e-6))), F.lit(0.0)), -12.0, 12.0)
+
+
+def bilinear(image: Column, x: Column, y: Column) -> Column:
+    """The value of a 2-D map (array of rows) between its pixel centres; null outside."""
+    wide, high = F.size(image[0]), F.size(image)
+    inside = (x >= 0) & (y >= 0) & (x <= wide - 1) & (y <= high - 1)
+    x0, y0 = F.floor(x).cast("int"), F.floor(y).cast("int")
+    x1, y1 = F.least(x0 + 1, wide - 1), F.least(y0 + 1, high - 1)
+    dx, dy = x - x0, y - y0
+    at = lambda j, i: F.get(F.get(image, j), i)
+    value = at(y0, x0) * (1.0 - dx) * (1.0 - dy) + at(y0, x1) * dx * (1.0 - dy) + at(y1, x0) * (1.0 - dx) * dy + at(y1, x1) * dx * dy
+    return F.when(inside, value)
+
+
 def mask(bits: list[int]) -> int:
     out = 0
     for b in bits:

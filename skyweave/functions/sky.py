@@ -56,6 +56,18 @@ def separation_deg(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Colu
     return F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
+def cone(df: DataFrame, ra: float, dec: float, radius_deg: float) -> DataFrame:
+    """Rows (ra, dec) within a radius, with ``separation_deg``: first by a box whose bounds are
+    numbers, so that they reach the scan, then by the exact distance."""
+    half = radius_deg / max(math.cos(math.radians(dec)), 1e-6)
+    low, high = (ra - half) % 360.0, (ra + half) % 360.0
+    box = F.col("dec").between(max(-90.0, dec - radius_deg), min(90.0, dec + radius_deg))
+    if half < 180.0 and abs(dec) + radius_deg < 90.0:
+        box = box & ((F.col("ra") >= low) | (F.col("ra") <= high) if low > high else F.col("ra").between(low, high))
+    found = df.where(box).withColumn("separation_deg", separation_deg(F.lit(ra), F.lit(dec), F.col("ra"), F.col("dec")))
+    return found.where(F.col("separation_deg") <= radius_deg)
+
+
 def square_polygon(ra: Column, dec: Column, half_deg: float) -> Column:
     width = F.lit(half_deg) / F.greatest(F.cos(F.radians(dec)), F.lit(1e-6))
     f = "%.6f"

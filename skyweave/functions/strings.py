@@ -72,6 +72,38 @@ def float_list(c: Column) -> Column:
     return F.filter(F.transform(csv_items(c), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
 
 
+def remove_suffixes(c: Column, *suffixes: str) -> Column:
+    """Without each of the suffixes, in their order, where the text ends with it."""
+    for s in suffixes:
+        c = F.when(c.endswith(s), F.left(c, F.length(c) - len(s))).otherwise(c)
+    return c
+
+
+def campaign_and_target(run: Column, campaigns: list[str] | None = None) -> tuple[Column, Column]:
+    """Campaign and target of a run name: by a known campaign, by the ``_cvj_`` mark, else the last
+    underscore parts them and the whole name is the target."""
+    stem = remove_suffixes(run, "_injected", "_baseline")
+    campaign, target = F.when(stem.contains("_cvj_"), F.substring_index(stem, "_cvj_", 1)), F.when(stem.contains("_cvj_"), F.concat(F.lit("cvj_"), F.substr(stem, F.instr(stem, "_cvj_") + 5)))
+    campaign, target = F.coalesce(campaign, F.regexp_extract(stem, "^(.*)_[^_]*$", 1)), F.coalesce(target, stem)
+    for known in reversed(campaigns or []):
+        same, inside = stem == known, stem.startswith(f"{known}_")
+        campaign = F.when(same | inside, F.lit(known)).otherwise(campaign)
+        target = F.when(same, stem).when(inside, F.substr(stem, F.lit(len(known) + 2))).otherwise(target)
+    return campaign, target
+
+
+def query_parameter(query: Column, name: str) -> Column:
+    """First value of a parameter in a query string; a plus sign stays one. Null if absent."""
+    parts = F.filter(F.split(query, "&"), lambda p: F.substring_index(p, "=", 1) == name)
+    value = F.get(F.transform(parts, lambda p: F.when(p.contains("="), F.substr(p, F.instr(p, "=") + 1)).otherwise("")), F.lit(0))
+    return F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+
+
+def log_time(line: Column) -> Column:
+    """Seconds since 1970 of the ISO time after the mark ``=== `` in a log line; null without one."""
+    return F.unix_timestamp(F.try_to_timestamp(F.nullif(F.regexp_extract(line, "=== ([^ ]+)", 1), F.lit(""))))
+
+
 def run_parts(c: Column) -> dict[str, Column]:
     """Parts of a run name ``<campaign>_<target>_<kind>``, with tile and magnitude bin if named."""
     return {

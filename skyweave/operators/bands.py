@@ -57,6 +57,13 @@ def windowed_points(points: DataFrame, grid: DataFrame, window_um: float) -> Dat
     return placed.join(lines, "_bucket").where(F.abs(F.col("cwave_um") - F.col("line_nm") / 1000.0) <= window_um).drop("_bucket")
 
 
+def line_response(wave_um: Column, band_um: Column, line_um: Column) -> Column:
+    """Response to a line without width, by the rounded constant of the frame inspector; a missing
+    band is 0.04 um."""
+    sigma = F.coalesce(band_um, F.lit(0.04)) / 2.355
+    return F.when(sigma > 0, F.exp(-0.5 * F.pow((wave_um - line_um) / F.when(sigma > 0, sigma), 2))).otherwise(0.0)
+
+
 #: Lines that go to the executors with one scan, and (cell, point) pairs that are held at once.
 GRID_LINES, HELD_PAIRS = 1 << 20, 1 << 20
 _EDGE = 1e-9

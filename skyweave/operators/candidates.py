@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,15 +10,37 @@ from pyspark.sql import functions as F
 from skyweave.functions.numeric import ratio
 from skyweave.functions.strings import csv_items, csv_union, reasons
 
-#: Limits and weights of the quality rules, with the published defaults.
+# Sections, keys and defaults of the published quality rules.
 DEFAULT_RULES = {
-    "require_both_methods": True, "max_flagged_points_sum": 1, "min_aperture_support": 3, "min_psf_support": 3, "min_detector_count": 1, "min_frame_count": 2,
-    "flux_ratio_min": 0.3, "flux_ratio_max": 3.0, "max_peak_snr": 1000.0, "max_cluster_width_nm": 120.0,
-    "both_methods_bonus": 25.0, "support_per_point": 4.0, "detector_per_detector": 2.0, "frame_per_frame": 1.0, "snr_log_bonus": 8.0, "flux_ratio_penalty": 12.0,
-    "flagged_point_penalty": 12.0, "width_penalty_per_100nm": 5.0, "missing_method_penalty": 60.0, "failed_threshold_penalty": 40.0, "high_confidence": 70.0, "review": 35.0,
+    "thresholds": {
+        "require_both_methods": True, "max_flagged_points_sum": 1, "min_aperture_support": 3, "min_psf_support": 3, "min_detector_count": 1, "min_frame_count": 2, "flux_ratio_psf_aperture_min": 0.3,
+        "flux_ratio_psf_aperture_max": 3.0, "max_aperture_peak_snr": 1000.0, "max_psf_peak_snr": 1000.0, "max_cluster_width_nm": 120.0,
+    },
+    "weights": {
+        "base": 0.0, "both_methods_bonus": 25.0, "support_per_point": 4.0, "detector_per_detector": 2.0, "frame_per_frame": 1.0, "snr_log_bonus": 8.0, "flux_ratio_penalty_per_log10": 12.0,
+        "flagged_point_penalty": 12.0, "cluster_width_penalty_per_100nm": 5.0, "missing_method_penalty": 60.0, "failed_threshold_penalty": 40.0,
+    },
+    "categories": {"high_confidence": {"min_quality_score": 70.0, "require_quality_pass": True}, "review": {"min_quality_score": 35.0, "require_quality_pass": False}, "reject": {"max_quality_score": 35.0}},
 }
 
 
+def quality_rules(given: dict | None = None) -> dict:
+    """The rules with the given sections over the defaults; unknown sections and keys are errors.
+    A threshold of None is not applied."""
+    rules: dict = {}
+    given = {k: v for k, v in (given or {}).items() if k != "version"}
+    for section in given:
+        if section not in DEFAULT_RULES:
+            raise ValueError(f"unknown section {section} of the quality rules")
+    for section, defaults in DEFAULT_RULES.items():
+        own = given.get(section) or {}
+        for key in own:
+            if key not in defaults:
+                raise ValueError(f"unknown key {section}.{key} of the quality rules")
+        rules[section] = {k: (v | (own.get(k) or {}) if isinstance(v, dict) else own.get(k, v)) for k, v in defaults.items()}
+    return rules
+
+
 def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
     """One-to-one matches of (target_id, id, x, score) rows: left rows in descending score take
     the best unused right row within the tolerance; unmatched rows of both sides stay.
@@ -26,15 +49,18 @@ def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFra
     co-grouped map."""
 
     def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        rows = []
-        b = b.sort_values(["score", "id"], ascending=[False, True], na_position="last")
+        b = b.sort_values(["score", "id"], ascending=[False, True], na_position="last").reset_index(drop=True)
+        place = np.argsort(b["x"].to_numpy(float), kind="stable")  # rows of b by x; a row's number is its rank
+        x = b["x"].to_numpy(float)[place]
+        free = np.ones(len(b), dtype=bool)
+        ids, rows = b["id"].tolist(), []
         for r in a.sort_values(["score", "id"], ascending=[False, True], na_position="last").itertuples(index=False):
-            partner = next((c for c in b.itertuples(index=False) if c.id not in used and abs(c.x - r.x) <= tolerance), None)
-            if partner is not None:
-                used.add(partner.id)
-            rows.append((r.target_id, r.id, partner.id if partner is not None else None))
-        rows += [(c.target_id, None, c.id) for c in b.itertuples(index=False) if c.id not in used]
+            near = place[np.searchsorted(x, r.x - 2 * tolerance) : np.searchsorted(x, r.x + 2 * tolerance, side="right")]
+            near = near[free[near] & (np.abs(b["x"].to_numpy(float)[near] - r.x) <= tolerance)]
+            if len(near):
+                free[near.min()] = False
+            rows.append((r.target_id, r.id, ids[near.min()] if len(near) else None))
+        rows += [(c.target_id, None, c.id) for c in b[free].itertuples(index=False)]
         return pd.DataFrame(rows, columns=["target_id", "left_id", "right_id"]).astype("object")
 
     return left.groupBy("target_id").cogroup(right.groupBy("target_id")).applyInPandas(match, "target_id string, left_id string, right_id string")
@@ -79,8 +105,11 @@ def joint_candidates(aperture: DataFrame, psf: DataFrame, tolerance_nm: float) -
 
 
 def configured_quality(joint: DataFrame, rules: dict | None = None) -> DataFrame:
-    """Quality score, reasons, pass and category from limits and weights; one generated expression."""
-    r = DEFAULT_RULES | (rules or {})
+    """Quality score, reasons, pass and category from the sections of ``quality_rules``; one
+    generated expression."""
+    rules = quality_rules(rules)
+    limit, weight = rules["thresholds"], rules["weights"]
+    high, review = rules["categories"]["high_confidence"], rules["categories"]["review"]
     both = F.col("has_aperture") & F.col("has_psf")
     ap, psf = F.coalesce("aperture_support", F.lit(0)), F.coalesce("psf_support", F.lit(0))
     support = F.when(both, F.least(ap, psf)).otherwise(F.greatest(ap, psf))
@@ -89,20 +118,23 @@ def configured_quality(joint: DataFrame, rules: dict | None = None) -> DataFrame
     fr, width = F.col("flux_ratio"), F.coalesce("cluster_width_nm", F.lit(0.0))
     peak = F.greatest(F.coalesce("aperture_peak_snr", F.lit(0.0)), F.coalesce("psf_peak_snr", F.lit(0.0)))
     bad_ratio = fr.isNull() | (fr <= 0)
+    over = lambda c, key: c > limit[key] if limit[key] is not None else F.lit(False)
+    under = lambda c, key: c < limit[key] if limit[key] is not None else F.lit(False)
     failed = [
-        (~both & F.lit(r["require_both_methods"]), "missing_aperture_or_psf_match"), (flags > r["max_flagged_points_sum"], "too_many_flagged_points"), (ap < r["min_aperture_support"], "aperture_support_too_low"),
-        (psf < r["min_psf_support"], "psf_support_too_low"), (detectors < r["min_detector_count"], "detector_count_too_low"), (frames < r["min_frame_count"], "frame_count_too_low"),
-        (bad_ratio, "flux_ratio_missing_or_invalid"), (~bad_ratio & (fr < r["flux_ratio_min"]), "psf_aperture_flux_ratio_too_low"), (~bad_ratio & (fr > r["flux_ratio_max"]), "psf_aperture_flux_ratio_too_high"),
-        (F.col("aperture_peak_snr") > r["max_peak_snr"], "aperture_snr_pathologically_high"), (F.col("psf_peak_snr") > r["max_peak_snr"], "psf_snr_pathologically_high"), (width > r["max_cluster_width_nm"], "cluster_too_wide"),
+        (~both & F.lit(bool(limit["require_both_methods"])), "missing_aperture_or_psf_match"), (over(flags, "max_flagged_points_sum"), "too_many_flagged_points"), (under(ap, "min_aperture_support"), "aperture_support_too_low"),
+        (under(psf, "min_psf_support"), "psf_support_too_low"), (under(detectors, "min_detector_count"), "detector_count_too_low"), (under(frames, "min_frame_count"), "frame_count_too_low"),
+        (bad_ratio, "flux_ratio_missing_or_invalid"), (~bad_ratio & under(fr, "flux_ratio_psf_aperture_min"), "psf_aperture_flux_ratio_too_low"), (~bad_ratio & over(fr, "flux_ratio_psf_aperture_max"), "psf_aperture_flux_ratio_too_high"),
+        (over(F.col("aperture_peak_snr"), "max_aperture_peak_snr"), "aperture_snr_pathologically_high"), (over(F.col("psf_peak_snr"), "max_psf_peak_snr"), "psf_snr_pathologically_high"), (over(width, "max_cluster_width_nm"), "cluster_too_wide"),
     ]
-    score = F.when(both, r["both_methods_bonus"]).otherwise(-r["missing_method_penalty"] if r["require_both_methods"] else 0.0)
-    score = score + support * r["support_per_point"] + F.least(detectors, F.lit(4)) * r["detector_per_detector"] + F.least(frames, F.lit(8)) * r["frame_per_frame"]
-    score = score + F.when(peak > 0, F.log10(F.greatest(peak, F.lit(1.0))) * r["snr_log_bonus"]).otherwise(0.0) - flags * r["flagged_point_penalty"]
-    score = score - F.when(bad_ratio, 2.0).otherwise(F.abs(F.log10(F.when(fr > 0, fr)))) * r["flux_ratio_penalty"] - F.greatest(width, F.lit(0.0)) / 100.0 * r["width_penalty_per_100nm"]
+    score = F.lit(float(weight["base"])) + F.when(both, float(weight["both_methods_bonus"])).otherwise(-float(weight["missing_method_penalty"]) if limit["require_both_methods"] else 0.0)
+    score = score + support * weight["support_per_point"] + F.least(detectors, F.lit(4)) * weight["detector_per_detector"] + F.least(frames, F.lit(8)) * weight["frame_per_frame"]
+    score = score + F.when(peak > 0, F.log10(F.greatest(peak, F.lit(1.0))) * weight["snr_log_bonus"]).otherwise(0.0) - flags * weight["flagged_point_penalty"]
+    score = score - F.when(bad_ratio, 2.0).otherwise(F.abs(F.log10(F.when(fr > 0, fr)))) * weight["flux_ratio_penalty_per_log10"] - F.greatest(width, F.lit(0.0)) / 100.0 * weight["cluster_width_penalty_per_100nm"]
     out = joint.withColumn("reject_reasons", reasons(*failed))
-    score = score - F.size(csv_items(F.col("reject_reasons"))) * r["failed_threshold_penalty"]
+    score = score - F.size(csv_items(F.col("reject_reasons"))) * weight["failed_threshold_penalty"]
     out = out.withColumn("quality_score", score).withColumn("quality_pass", F.col("reject_reasons") == "")
-    return out.withColumn("quality_category", F.when((F.col("quality_score") >= r["high_confidence"]) & F.col("quality_pass"), "high_confidence").when(F.col("quality_score") >= r["review"], "review").otherwise("reject"))
+    fits = lambda rule: (F.col("quality_score") >= rule["min_quality_score"]) & (F.col("quality_pass") | F.lit(not rule["require_quality_pass"]))
+    return out.withColumn("quality_category", F.when(fits(high), "high_confidence").when(fits(review), "review").otherwise("reject"))
 
 
 def review_grades(candidates: DataFrame, alpha_tier: str = "science_pass") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,8 +293,12 @@ def column_aliases(t: Tables) -> DataFrame:
 @query("m2_augmented_view")
 def augmented_view(t: Tables) -> DataFrame:
     """A random view of each series: a seeded subset of points with noise on the fluxes."""
-    kept = t.points.where(F.pmod(F.xxhash64("target_id", "image_id", "cwave_um", F.lit(5)), F.lit(100)) < 80)
-    return kept.select("target_id", "cwave_um", (F.col("aperture_flux_uJy") + F.randn(5) * 0.05 * F.col("aperture_flux_unc_uJy")).alias("flux"))
+    draw = lambda k: F.xxhash64("target_id", "image_id", "cwave_um", "aperture_flux_uJy", F.lit(k))
+    kept = t.points.where(F.pmod(draw(5), F.lit(100)) < 80)
+    # noise from two hashes of the row (Box and Muller), so that reruns agree
+    uniform = lambda k: (F.shiftrightunsigned(draw(k), 11) + 0.5) / float(1 << 53)
+    noise = F.sqrt(-2.0 * F.log(uniform(6))) * F.cos(2.0 * math.pi * uniform(7))
+    return kept.select("target_id", "cwave_um", (F.col("aperture_flux_uJy") + noise * 0.05 * F.col("aperture_flux_unc_uJy")).alias("flux"))
 
 
 @query("a32_cutout_summary", "select detector, round(quantile_cont(aperture_flux_uJy, 0.1), 5) as p10, round(median(aperture_flux_uJy), 5) as p50, round(quantile_cont(aperture_flux_uJy, 0.9), 5) as p90 from spectra_points group by 1")

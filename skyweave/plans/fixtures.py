@@ -31,7 +31,15 @@ STATUS_EVENTS = """
 select event_id, ts, 'img_' || cast(user_id as string) as image_id,
  case event_type when 'signup' then 'field_start' when 'error' then 'field_error' when 'click' then 'field_retry' when 'purchase' then 'field_done' end as event, value from events where event_type <> 'view'
 """
-VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS}
+#: Reviewed candidates of several campaigns, runs and sources, with scores missing here and there.
+REVIEW_CANDIDATES = """
+select 'jc_' || cast(o_orderkey as string) as joint_candidate_id, 'src_' || cast(o_custkey % 500 as string) as target_id, case o_orderkey % 4 when 0 then 'baseline' when 1 then 'injected' when 2 then 'science' else 'paired_delta' end as source,
+ 'camp' || cast(o_custkey % 5 as string) as campaign, 'camp' || cast(o_custkey % 7 as string) || '_t' || cast(o_custkey % 11 as string) as run_name, case o_orderstatus when 'F' then 'A' when 'O' then 'B' else 'C' end as tier,
+ (o_orderkey % 3 = 0) as quality_pass, case o_orderkey % 5 when 0 then 'high_confidence' when 1 then 'review' else 'reject' end as quality_category, o_totalprice/5000e0 as quality_score, o_totalprice/1000e0 as rank_score,
+ case when o_orderkey % 6 <> 0 then 2e0 + ((o_orderkey*7919) % 1000)/10e0 end as psf_peak_snr, case when o_orderkey % 7 <> 0 then 1e0 + ((o_custkey*104729) % 1000)/9e0 end as aperture_peak_snr,
+ 700e0 + (o_orderkey*31) % 4300 as peak_line_nm, o_orderkey % 6 as psf_support, o_custkey % 6 as aperture_support, o_orderkey % 4 as flagged_points_sum, o_orderpriority as detectors from orders
+"""
+VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS, "review_candidates": REVIEW_CANDIDATES}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
