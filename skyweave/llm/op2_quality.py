@@ -34,29 +34,37 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part.cast("double") / F.when(whole > 0, whole), F.lit(0.0))
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Expressions of one text's statistics, all doubles, all 0 for an empty text."""
-    t = F.coalesce(text, F.lit(""))
-    n = F.length(t)
-    without = lambda chars: n - F.length(F.translate(t, chars, ""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(t, r"\n"), lambda x: x != "")
-    count = F.size(words)
-    sentences = without(".?!")
-    return {
+#: Classes of characters that are counted; one translation names each by its first character.
+CLASSES = {"symbols": "#$%&*@^~<>{}[]\\_=+", "bars": "|/", "exclamations": "!", "digits": "0123456789", "capitals": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "periods": ".?", "commas": ",;:"}
+
+
+def with_statistics(docs: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` and the statistics of ``text`` as columns of that prefix, by name; all doubles, all 0
+    for an empty text. Words, lines and classes are columns first, so each is made once."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    parts = {
+        "_n": F.length(t), "_words": F.array_remove(F.split(t, r"\s+"), ""), "_lines": F.array_remove(F.split(t, r"\n"), ""),
+        "_classes": F.translate(t, "".join(CLASSES.values()), "".join(c[0] * len(c) for c in CLASSES.values())),
+    }
+    docs = docs.withColumns({prefix + n: c for n, c in parts.items()})
+    n, words, lines, classes = (F.col(prefix + p) for p in parts)
+    found = {k: n - F.length(F.replace(classes, F.lit(c[0]))) for k, c in CLASSES.items()}
+    count, n_lines = F.size(words), F.size(lines)
+    stats = {
         "words": F.log1p(count.cast("double")),
         "word_length": _share(n, count),
         "distinct_words": _share(F.size(F.array_distinct(words)), count),
-        "distinct_lines": _share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "words_a_line": _share(count, F.size(lines)),
-        "symbols": _share(without("#$%&*@^~<>{}[]\\_=+"), n),
-        "bars": _share(without("|/"), n),
-        "exclamations": _share(without("!"), count),
-        "digits": _share(without("0123456789"), n),
-        "capitals": _share(without("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n),
-        "stops": _share(sentences, count),
-        "commas": _share(without(",;:"), count),
+        "distinct_lines": _share(F.size(F.array_distinct(lines)), n_lines),
+        "words_a_line": _share(count, n_lines),
+        "symbols": _share(found["symbols"], n),
+        "bars": _share(found["bars"], n),
+        "exclamations": _share(found["exclamations"], count),
+        "digits": _share(found["digits"], n),
+        "capitals": _share(found["capitals"], n),
+        "stops": _share(found["periods"] + found["exclamations"], count),
+        "commas": _share(found["commas"], count),
     }
+    return docs.withColumns({prefix + k: c for k, c in stats.items()}).drop(*(prefix + p for p in parts)), {k: F.col(prefix + k) for k in stats}
 
 
 @dataclass
@@ -162,12 +170,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> RuleModel:
     """Fit on labelled rows outside the held-out fold, at most SAMPLE_ROWS of them."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
     picked = known.select("doc_id", F.col("quality").cast("int").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(SAMPLE_ROWS)
-    stats = statistics(F.col("text"))
     # bounded by SAMPLE_ROWS ids; a repeated doc_id counts once, so the driver gets as many rows of
     # a dozen numbers at most
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked.distinct()), "doc_id")
     texts = texts.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
-    rows = texts.select("doc_id", "_label", *(c.alias(n) for n, c in stats.items())).orderBy("doc_id", "_label").collect()
+    counted, stats = with_statistics(texts, "_quality_")
+    rows = counted.select("doc_id", "_label", *(c.alias(n) for n, c in stats.items())).orderBy("doc_id", "_label").collect()
     x = np.array([[r[n] for n in stats] for r in rows], dtype=float).reshape(len(rows), len(stats))
     return fit_rules(x, np.array([r["_label"] for r in rows], dtype=float), list(stats))
 
@@ -175,9 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> RuleModel:
 def score_documents(docs: DataFrame, model: RuleModel, column: str = "_quality") -> DataFrame:
     """``docs`` with all their columns and the score as the last one."""
     column = fresh(docs, column)
-    own = {n: f"{column}_{n}" for n in statistics(F.col("text"))}
-    rows = docs.withColumns({own[n]: c for n, c in statistics(F.col("text")).items()})
-    return rows.withColumn(column, model.expression({n: F.col(c) for n, c in own.items()})).drop(*own.values())
+    rows, stats = with_statistics(docs, f"{column}_")
+    return rows.select(*docs.columns, model.expression(stats).alias(column))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
