@@ -12,7 +12,6 @@ from skyweave.plans.registry import query, shared
 from skyweave.streaming import status
 
 shared("o2_candidate_page", "select injection_id, strength, injected_line_nm from injection_truth where strength >= 5e0 order by strength desc, injected_line_nm, injection_id limit 25 offset 2")
-shared("w12_nulls_last_sort", "select image_id, event, value from (select image_id, event, nullif(value, 0e0) as value, row_number() over (order by value desc, event_id) as k from status_events) where k <= 100")
 shared("v5_recovery_fallback", "select injection_id, coalesce(r, false) as recovered from (select injection_id, case when strength >= 8e0 then true end as r from injection_truth)")
 shared("v7_run_progress", "select image_id, case when done = total then 'finished' when done > 0 then 'running' else 'queued' end as phase, round(100e0*done/total, 6) as percent from (select image_id, count_if(event = 'field_done') as done, count(*) as total from status_events group by 1)")
 shared("v9_dispatch_state", "select o_orderpriority as command, case when count_if(o_orderstatus = 'P') > 0 then 'active' when count_if(o_orderstatus = 'F') > 0 then 'failed' else 'done' end as state, count(*) as n from orders group by 1")
@@ -20,8 +19,7 @@ shared("v11_tile_map", "select r.r_regionkey as tile, coalesce(s.state, 'idle')
 shared("v14_dispatch_plan", "select concat('tile', cast(r_regionkey as string), '_', b.bin, '_b', cast(k.batch as string)) as command, r_regionkey as tile from region cross join (select 'g11_12' as bin union all select 'g12_13') b cross join (select 0 as batch union all select 1) k")
 
 
-# w12_nulls_last_sort is the first 100 rows by the raw value; this is the whole sort, by the value that can be null
-@query("w12_nulls_last_rank", "select event_id, image_id, event, nullif(value, 0e0) as value, row_number() over (order by nullif(value, 0e0) desc nulls last, event_id) as rank from status_events")
+@query("w12_nulls_last_sort", "select event_id, image_id, event, nullif(value, 0e0) as value, row_number() over (order by nullif(value, 0e0) desc nulls last, event_id) as rank from status_events")
 def nulls_last_rank(t: Tables) -> DataFrame:
     rows = t.events.select("event_id", "image_id", "event", F.nullif(F.col("value"), F.lit(0.0)).alias("value"))
     return windows.ranked(rows, [F.col("value").desc_nulls_last(), F.col("event_id")])

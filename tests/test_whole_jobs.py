@@ -1,4 +1,4 @@
-"""Queries that do the whole job of an operator whose first query does a part of it."""
+"""Queries over whole tables and on the fine grids, and what the README says of them."""
 
 from skyweave.plans import registry
 
@@ -8,10 +8,10 @@ SF = "/root/testdata/sf0.001"
 def test_base36_encodes_every_order(spark, tmp_path):
     keys = [0, 1, 35, 36, 499, 500, 46655, 46656, 149999, 2**31, 2**63 - 1]
     spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
-    got = {r.o_orderkey: r.code for r in registry.queries()["x16_base36_all"](spark, str(tmp_path)).collect()}
+    got = {r.o_orderkey: r.code for r in registry.queries()["x16_base36"](spark, str(tmp_path)).collect()}
     assert sorted(got) == keys and got[0] == "0"
     assert all(int(code, 36) == k and code == code.lower().lstrip("0") for k, code in got.items() if k)
-    whole = registry.queries()["x16_base36_all"](spark, SF)
+    whole = registry.queries()["x16_base36"](spark, SF)
     assert whole.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
 
 
@@ -19,7 +19,7 @@ def test_nulls_come_last_in_the_whole_sort(spark, tmp_path):
     rows = [(k, 7, "click", float(k * 37 % 50 // 10)) for k in range(200)] + [(200, 7, "view", 9.0), (201, 7, "error", None)]
     columns = "event_id long, user_id long, event_type string, value double"
     spark.createDataFrame(rows, columns).selectExpr("*", "timestamp'2024-01-01' as ts").repartition(7).write.parquet(str(tmp_path / "events.parquet"))
-    got = sorted(registry.queries()["w12_nulls_last_rank"](spark, str(tmp_path)).collect(), key=lambda r: r.rank)
+    got = sorted(registry.queries()["w12_nulls_last_sort"](spark, str(tmp_path)).collect(), key=lambda r: r.rank)
     want = sorted((r for r in rows if r[2] != "view"), key=lambda r: (-(r[3] or -1.0), r[0]))
     assert [r.rank for r in got] == list(range(1, 202))
     assert [r.event_id for r in got] == [r[0] for r in want]
