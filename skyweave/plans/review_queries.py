@@ -144,7 +144,7 @@ def packets(t: Tables) -> DataFrame:
 def synthetic_frames(t: Tables, size: int = 48) -> tuple[DataFrame, DataFrame]:
     """Frames of one Gaussian source on a flat background, one for each nation."""
     frames, targets = [], []
-    for r in t.table("nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").limit(25).collect():
+    for r in t.table("nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect():
         x, y = 20.0 + r[0] % 5 * 0.3, 22.0 + r[1] * 0.4
         image = photometry.gaussian_psf(size, x, y, 1.2) * (1000.0 + 10 * r[0]) + 5.0
         frames.append((f"frame_{r[0]}", image.tolist(), np.ones((size, size)).tolist(), np.zeros((size, size), dtype=int).tolist()))
