@@ -65,8 +65,10 @@ CONTRACT = {
     "op8": [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")],
     "op9": [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")],
     "op10": [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("kept_sha256", "string")],
+    "op11": [("vec_id", "bigint"), ("code", "string"), ("error", "bigint"), ("label_error", "bigint"), ("codebooks_sha256", "string")],
+    "op12": [("doc_id", "bigint"), ("n_chars", "bigint"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")],
 }
-TABLE = {"op4": "embeddings", "op9": "pages"}
+TABLE = {"op4": "embeddings", "op9": "pages", "op11": "embeddings"}
 
 
 @pytest.mark.parametrize("name", [n for n in registry.queries() if n != "pipeline"])
@@ -77,6 +79,7 @@ def test_query_columns_rows_and_folds(spark, small, nothing, name):
     assert out.dtypes[: len(CONTRACT[op])] == CONTRACT[op]
     rows = out.collect()
     own = spark.read.parquet(f"{small}/{source}.parquet")
+    own = own.dropna(subset=["embedding"]) if op == "op11" else own
     key = own.columns[0]
     assert collections.Counter(r[key] for r in rows) == collections.Counter(r[0] for r in own.select(key).collect())
     if "held_out" in out.columns:
