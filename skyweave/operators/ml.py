@@ -11,8 +11,9 @@ from skyweave.functions.strings import data_split
 FEATURES = ("wave", "band", "ap_norm", "psf_norm", "ap_snr", "psf_snr", "log_ap_unc", "log_psf_unc", "agreement", "flag", "detector", "wave_fraction", "delta_norm")
 
 
-def point_features(points: DataFrame) -> DataFrame:
-    """Thirteen features a point; fluxes are normalised by each series' median and robust scale."""
+def point_features(points: DataFrame, *keep: str) -> DataFrame:
+    """Thirteen features a point; fluxes are normalised by each series' median and robust scale.
+    ``keep`` names further columns to pass through."""
     w = Window.partitionBy("target_id")
     m = points.withColumns({"_ma": F.median("aperture_flux_uJy").over(w), "_mp": F.median("psf_flux_uJy").over(w), "_w0": F.min("cwave_um").over(w), "_w1": F.max("cwave_um").over(w)})
     m = m.withColumns({"_sa": MAD_TO_SIGMA * F.median(F.abs(F.col("aperture_flux_uJy") - F.col("_ma"))).over(w), "_sp": MAD_TO_SIGMA * F.median(F.abs(F.col("psf_flux_uJy") - F.col("_mp"))).over(w)})
@@ -24,7 +25,7 @@ def point_features(points: DataFrame) -> DataFrame:
         F.coalesce("fatal_flag_present", F.lit(False)).cast("double"), F.coalesce(F.col("detector").cast("double"), F.lit(0.0)), F.coalesce(ratio(F.col("cwave_um") - F.col("_w0"), F.col("_w1") - F.col("_w0")), F.lit(0.0)),
         norm("aperture_flux_uJy", "_ma", "_sa") - norm("psf_flux_uJy", "_mp", "_sp"),
     ]
-    return m.select("target_id", "image_id", "cwave_um", F.array(*(v.cast("float") for v in values)).alias("features"))
+    return m.select("target_id", "image_id", "cwave_um", *keep, F.array(*(v.cast("float") for v in values)).alias("features"))
 
 
 def padded_series(features: DataFrame, most: int) -> DataFrame:
@@ -68,12 +69,3 @@ def cluster_and_project(vectors: DataFrame, key: str, vector: str, k: int | None
     xy = vector_to_array("xy")
     return plane.select(key, "cluster_id", xy[0].alias("x"), xy[1].alias("y"))
 
-
-def line_model(features: DataFrame, label: str):
-    """Logistic model on pooled features; scoring stays a Spark transform."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    inputs = [c for c in features.columns if c not in (label, "target_id")]
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="_x", handleInvalid="keep"), LogisticRegression(featuresCol="_x", labelCol=label, maxIter=30)]).fit(features)

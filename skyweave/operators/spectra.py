@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyweave.functions.numeric import clip01, ratio
+from skyweave.functions.numeric import MAD_TO_SIGMA, clip01, ratio
 from skyweave.functions.strings import reasons
-from skyweave.operators.bands import residual_rms
-from skyweave.operators.windows import neighbour_residual
-from skyweave.schemas import require_columns
+from skyweave.schemas import present, require_columns
 
 
 def target_summary(points: DataFrame) -> DataFrame:
@@ -42,19 +40,25 @@ def paired_delta(injected: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def spectrum_quality(points: DataFrame) -> DataFrame:
     """Weighted quality score of each spectrum, its reasons and category."""
+    a, p, u, x = (F.col(c) for c in ("aperture_flux_uJy", "psf_flux_uJy", "aperture_flux_unc_uJy", "cwave_um"))
     flag = F.coalesce("fatal_flag_present", F.lit(False))
-    rows = points.withColumn("_flag", flag)
-    good = rows.where(~F.col("_flag") & F.col("cwave_um").isNotNull() & F.col("aperture_flux_uJy").isNotNull())
-    both = rows.where(~F.col("_flag") & F.col("aperture_flux_uJy").isNotNull() & F.col("psf_flux_uJy").isNotNull())
-    key = ["target_id"]
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_flag").cast("long")).alias("n_flagged"))
-    usable = good.groupBy(*key).agg(F.count(F.lit(1)).alias("usable"), ((F.max("cwave_um") - F.min("cwave_um")) * 1000.0).alias("span_nm"), F.median(F.when(F.col("aperture_flux_unc_uJy") > 0, F.abs(ratio(F.col("aperture_flux_uJy"), F.col("aperture_flux_unc_uJy"))))).alias("median_snr"), F.count_if(F.col("aperture_flux_unc_uJy") > 0).alias("n_snr"))
-    scale = residual_rms(good, "aperture_flux_uJy", key)
-    jag = neighbour_residual(good, key, "cwave_um", "aperture_flux_uJy").groupBy(*key).agg(F.median(F.abs("residual")).alias("jag"))
-    a, p = F.col("aperture_flux_uJy"), F.col("psf_flux_uJy")
+    good = ~flag & x.isNotNull() & a.isNotNull()
+    both = ~flag & a.isNotNull() & p.isNotNull()
+    # one shuffle: the windows and the aggregate all work on a target's rows, usable ones first
+    series = Window.partitionBy("target_id")
+    along = series.orderBy(F.col("_good").desc(), "cwave_um", "aperture_flux_uJy", "psf_flux_uJy")
+    rows = points.withColumns({"_flag": flag, "_good": good, "_both": both})
+    rows = rows.withColumns({"_left": F.when(F.lag("_good").over(along), F.lag(a).over(along)), "_right": F.when(F.lead("_good").over(along), F.lead(a).over(along)), "_mid": F.median(F.when(F.col("_good"), a)).over(series)})
+    usable = lambda c: F.when(F.col("_good"), c)
+    shared = lambda c: F.when(F.col("_both"), c)
     larger = F.greatest(F.abs(a), F.abs(p))
-    agree = both.groupBy(*key).agg(F.count(F.lit(1)).alias("n_both"), F.corr(a, p).alias("corr"), F.median(F.when(larger > 0, F.abs(a - p) / F.when(larger > 0, larger))).alias("frac_delta"))
-    q = counts.join(usable, key, "left").join(scale, key, "left").join(jag, key, "left").join(agree, key, "left").fillna(0, ["usable", "n_both", "n_snr"])
+    n_good = F.count_if("_good")
+    mad, sd = F.median(usable(F.abs(a - F.col("_mid")))), F.stddev_pop(usable(a))
+    q = rows.groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_flag").cast("long")).alias("n_flagged"), n_good.alias("usable"), ((F.max(usable(x)) - F.min(usable(x))) * 1000.0).alias("span_nm"),
+        F.median(usable(F.when(u > 0, F.abs(ratio(a, u))))).alias("median_snr"), F.count_if(F.col("_good") & (u > 0)).alias("n_snr"), F.when(n_good >= 3, F.when(mad > 0, MAD_TO_SIGMA * mad).when(sd > 0, sd)).alias("scale"),
+        F.median(usable(F.abs(a - 0.5 * (F.col("_left") + F.col("_right"))))).alias("jag"), F.count_if("_both").alias("n_both"), F.corr(shared(a), shared(p)).alias("corr"), F.median(shared(F.when(larger > 0, F.abs(a - p) / F.when(larger > 0, larger)))).alias("frac_delta"),
+    )
     fraction = F.col("n_flagged") / F.col("n")
     rough = F.col("jag") / F.col("scale")
     smooth = F.when(F.col("usable") < 8, 0.0).when(F.col("scale").isNull(), 0.5).otherwise(clip01(1.0 / (1.0 + F.greatest(rough, F.lit(0.0)))))
@@ -75,8 +79,16 @@ def spectrum_quality(points: DataFrame) -> DataFrame:
 
 
 def quality_gate(points: DataFrame, quality: DataFrame) -> DataFrame:
-    """Points of targets that may be searched; the table of targets is a semi-join."""
-    fine = (F.col("category") == "good") & (F.col("n_usable") >= 50) & (F.col("span_nm") >= 4000.0) & (F.col("corr").isNull() | (F.col("corr") >= 0.75)) & (F.col("frac_delta").isNull() | (F.col("frac_delta") <= 1.0))
+    """Points of targets that may be searched; the table of targets is a semi-join. A test whose
+    column the quality table doesn't have is skipped, and a missing agreement passes."""
+    c = F.col
+    tests = {
+        "category": c("category") == "good", "n_usable": c("n_usable") >= 50, "span_nm": c("span_nm") >= 4000.0,
+        "corr": c("corr").isNull() | (c("corr") >= 0.75), "frac_delta": c("frac_delta").isNull() | (c("frac_delta") <= 1.0),
+    }
+    fine = F.lit(True)
+    for name in present(quality, *tests):
+        fine = fine & tests[name]
     return points.join(quality.where(fine).select("target_id"), "target_id", "left_semi")
 
 

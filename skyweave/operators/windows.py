@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.session import stored
+
 
 def gap_clusters(df: DataFrame, keys: list[str], x: str, gap: float, score: str) -> DataFrame:
     """Runs of rows whose neighbours along x are at most ``gap`` apart, with their best row;
@@ -110,12 +112,37 @@ def stratified_sample(df: DataFrame, value: str, order: list[str], n: int, bins:
     return ranked.orderBy((F.col("_k") > quota).cast("int"), *order).limit(n).drop("_k")
 
 
+def numbered_groups(df: DataFrame, keys: list[str], group: Column, order: list[Column], name: str) -> DataFrame:
+    """Place from 0 of every row within ``keys``, in ``order``, which must sort by ``group`` first.
+    Rows are numbered within (keys, group); a group begins where the counts of those before it end.
+    So a key that holds a large part of the table is dealt over as many tasks as it has groups."""
+    at = df.withColumn("_group", group)
+    counts = at.groupBy(*keys, "_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_group").alias("_g"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = at.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_group").orderBy(*order)) - 1)
+    same = F.col("_group").eqNullSafe(F.col("_g"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return inside.join(starts, same).withColumn(name, (F.col("_start") + F.col("_i")).cast("long")).drop("_group", "_g", "_start", "_i", *(f"_k_{k}" for k in keys))
+
+
+def numbered(df: DataFrame, keys: list[str], x: str, width: float, order: list[Column], name: str) -> DataFrame:
+    """``numbered_groups`` along a number ``x``, which ``order`` begins with, in pieces of ``width``."""
+    return numbered_groups(df, keys, F.floor(F.col(x) / width).cast("long"), order, name)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """All rows with their place from 1 in a total order. A window without keys would put all
-    rows in one task; here they are sorted by range and numbered from the partitions' counts."""
-    schema = df.withColumn(name, F.lit(0).cast("long")).schema
-    placed = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return df.sparkSession.createDataFrame(placed, schema, verifySchema=False)
+    rows in one task; here they are dealt by range, written once so that ranges stay as they are,
+    numbered within each, and shifted by the counts of the ranges before (one row a range)."""
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "_range").select(*df.columns, (F.col("_start") + F.col("_i")).cast("long").alias(name))
 
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100, most: int = 500, least: int = 25) -> DataFrame:

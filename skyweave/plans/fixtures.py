@@ -53,9 +53,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        text = VIEWS[name]
-        base = text.split(" from ")[-1].split()[0]
-        return self.spark.sql(text.replace(f" from {base}", " from {source}"), source=self.table(base))
+        return self.view_of(name, self.table(VIEWS[name].split(" from ")[-1].split()[0]))
+
+    def view_of(self, name: str, source: DataFrame) -> DataFrame:
+        """The view over another table or stream of its base table's columns."""
+        base = VIEWS[name].split(" from ")[-1].split()[0]
+        return self.spark.sql(VIEWS[name].replace(f" from {base}", " from {source}"), source=source)
 
     @property
     def points(self) -> DataFrame:
