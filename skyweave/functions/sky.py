@@ -123,6 +123,50 @@ def world_to_pixel(ra: Column, dec: Column, wcs: dict[str, Column]) -> tuple[Col
     return x + wcs["crpix1"], y + wcs["crpix2"]
 
 
+def sip_polynomial(u: Column, v: Column, terms: dict[tuple[int, int], Column]) -> Column:
+    """Sum of coefficient * u^p * v^q; ``terms`` by (p, q), a missing coefficient counts as 0."""
+    out = F.lit(0.0)
+    for (p, q), c in sorted(terms.items()):
+        factor = F.coalesce(c, F.lit(0.0))
+        for w, n in ((u, p), (v, q)):
+            for _ in range(n):
+                factor = factor * w
+        out = out + factor
+    return out
+
+
+def _derivative(terms: dict[tuple[int, int], Column], by: int) -> dict[tuple[int, int], Column]:
+    lower = lambda t: (t[0] - 1, t[1]) if by == 0 else (t[0], t[1] - 1)
+    return {lower(t): c * float(t[by]) for t, c in terms.items() if t[by]}
+
+
+def undistorted(df: DataFrame, u: str, v: str, a: dict[tuple[int, int], Column], b: dict[tuple[int, int], Column], steps: int = 6) -> DataFrame:
+    """Replaces (u, v), offsets with distortion, by those without: solves u + A(u, v) = U and
+    v + B(u, v) = V by Newton's method from (U, V). Adds ``sip_residual``, the largest difference
+    that is left in pixels. A step is one projection over the columns of the one before, so that
+    the expressions don't grow."""
+    out = df.withColumns({"_goal_u": F.col(u), "_goal_v": F.col(v)})
+    x, y = F.col(u), F.col(v)
+    for _ in range(steps):
+        out = out.withColumns({"_f": x + sip_polynomial(x, y, a) - F.col("_goal_u"), "_g": y + sip_polynomial(x, y, b) - F.col("_goal_v"), "_fu": 1.0 + sip_polynomial(x, y, _derivative(a, 0)), "_fv": sip_polynomial(x, y, _derivative(a, 1)), "_gu": sip_polynomial(x, y, _derivative(b, 0)), "_gv": 1.0 + sip_polynomial(x, y, _derivative(b, 1))})
+        det = F.col("_fu") * F.col("_gv") - F.col("_fv") * F.col("_gu")
+        out = out.withColumns({u: x - F.try_divide(F.col("_f") * F.col("_gv") - F.col("_g") * F.col("_fv"), det), v: y - F.try_divide(F.col("_g") * F.col("_fu") - F.col("_f") * F.col("_gu"), det)})
+    left = F.greatest(F.abs(x + sip_polynomial(x, y, a) - F.col("_goal_u")), F.abs(y + sip_polynomial(x, y, b) - F.col("_goal_v")))
+    return out.withColumn("sip_residual", left).drop("_goal_u", "_goal_v", "_f", "_g", "_fu", "_fv", "_gu", "_gv")
+
+
+def pixel_to_world(x: Column, y: Column, wcs: dict[str, Column], a: dict[tuple[int, int], Column] | None = None, b: dict[tuple[int, int], Column] | None = None) -> tuple[Column, Column]:
+    """(ra, dec) of a 1-based pixel: distortion, CD matrix, inverse tangent plane."""
+    u0, v0 = x - wcs["crpix1"], y - wcs["crpix2"]
+    u, v = u0 + sip_polynomial(u0, v0, a or {}), v0 + sip_polynomial(u0, v0, b or {})
+    east, north = F.radians(wcs["cd11"] * u + wcs["cd12"] * v), F.radians(wcs["cd21"] * u + wcs["cd22"] * v)
+    a0, d0 = F.radians(wcs["crval1"]), F.radians(wcs["crval2"])
+    front = F.cos(d0) - north * F.sin(d0)
+    ra = a0 + F.atan2(east, front)
+    dec = F.atan2(north * F.cos(d0) + F.sin(d0), F.sqrt(east * east + front * front))
+    return F.pmod(F.degrees(ra), F.lit(360.0)), F.degrees(dec)
+
+
 def in_frame(x: Column, y: Column, width, height, one_based: bool = True) -> Column:
     """Inside the frame: 1-based and inclusive, or 0-based and half open."""
     if one_based:
@@ -226,6 +270,22 @@ def cells_of_box(ra_low: float, ra_high: float, dec_low: float, dec_high: float,
     return sorted(set(pixels_of(ra.ravel(), dec.ravel(), level).tolist()))
 
 
+def cells_of_boxes(boxes: DataFrame, level: int, *keep: str) -> DataFrame:
+    """``keep`` and the nested pixels (hpx) that a box (ra_low, ra_high, dec_low, dec_high; ra may run
+    over 360) can meet: every box is laid out in points closer than a third of a pixel, over its
+    area and a pixel's width around it. Rows grow with the boxes' area, never with the catalog."""
+    side = math.degrees(math.sqrt(math.pi / 3) / (1 << level))
+    step = side / 3.0
+    low, high = F.greatest(F.col("dec_low") - side, F.lit(-90.0)), F.least(F.col("dec_high") + side, F.lit(90.0))
+    rows = boxes.select(*keep, "ra_low", "ra_high", F.explode(F.transform(F.sequence(F.lit(0), F.ceil((high - low) / step).cast("int")), lambda i: F.least(high, low + i * step))).alias("_dec"))
+    shrink = F.greatest(F.cos(F.radians("_dec")), F.lit(0.02))
+    first, last = F.col("ra_low") - side / shrink, F.col("ra_high") + side / shrink
+    width = F.least(last - first, F.lit(360.0))
+    n = F.ceil(width * shrink / step).cast("int")
+    places = rows.select(*keep, "_dec", F.explode(F.transform(F.sequence(F.lit(0), n), lambda i: first + width * i / F.greatest(n, F.lit(1)))).alias("_ra"))
+    return places.select(*keep, nested_pixel(F.col("_ra"), F.col("_dec"), level).cast("int").alias("hpx")).distinct()
+
+
 def pixels_of(ra: np.ndarray, dec: np.ndarray, level: int) -> np.ndarray:
     """``nested_pixel`` in NumPy, for small driver-side lists."""
     nside = 1 << level

@@ -27,6 +27,15 @@ select 'inj_' || cast(s_suppkey as string) as injection_id, 'src_' || cast(s_sup
 FRAMES = """
 select 'frame_' || cast(n_nationkey as string) as frame_id, 14.4e0*n_nationkey as ra_low, 14.4e0*n_nationkey + 20e0 as ra_high, -40e0 + 3e0*n_nationkey as dec_low, -20e0 + 3e0*n_nationkey as dec_high from nation
 """
+#: Frames with a tangent-plane projection and SIP distortion of third order each, the axes turned and
+#: of different size; one for every supplier.
+SIP_FRAMES = """
+select 'sip_' || cast(s_suppkey as string) as frame_id, cra - 3e0/c as ra_low, cra + 3e0/c as ra_high, cdec - 3e0 as dec_low, cdec + 3e0 as dec_high, cra as crval1, cdec as crval2, 512.5e0 as crpix1, 500e0 as crpix2,
+ -5e-3*cos(turn) as cd11, 5e-3*sin(turn) as cd12, 5e-3*sin(turn) as cd21, 5e-3*cos(turn) as cd22, 1024 as naxis1, 1000 as naxis2,
+ 2e-6*w as a_20, -1e-6 as a_11, 5e-7*w as a_02, 1e-10*w as a_30, 0e0 as a_21, -2e-10 as a_12, 3e-11*w as a_03, -1e-6*w as b_20, 2e-6 as b_11, 1e-6*w as b_02, 0e0 as b_30, 2e-10*w as b_21, -1e-10 as b_12, 4e-11 as b_03
+ from (select s_suppkey, cra, cdec, cos(radians(cdec)) as c, radians(cast(s_suppkey % 90 as double)) as turn, cast(s_suppkey % 7 as double) - 3e0 as w
+ from (select s_suppkey, cast((s_suppkey*7919) % 360000 as double)/1e3 as cra, -70e0 + 140e0*cast((s_suppkey*6113) % 9973 as double)/9973e0 as cdec from supplier))
+"""
 STATUS_EVENTS = """
 select event_id, ts, 'img_' || cast(user_id as string) as image_id,
  case event_type when 'signup' then 'field_start' when 'error' then 'field_error' when 'click' then 'field_retry' when 'purchase' then 'field_done' end as event, value from events where event_type <> 'view'
@@ -39,7 +48,7 @@ select 'jc_' || cast(o_orderkey as string) as joint_candidate_id, 'src_' || cast
  case when o_orderkey % 6 <> 0 then 2e0 + ((o_orderkey*7919) % 1000)/10e0 end as psf_peak_snr, case when o_orderkey % 7 <> 0 then 1e0 + ((o_custkey*104729) % 1000)/9e0 end as aperture_peak_snr,
  700e0 + (o_orderkey*31) % 4300 as peak_line_nm, o_orderkey % 6 as psf_support, o_custkey % 6 as aperture_support, o_orderkey % 4 as flagged_points_sum, o_orderpriority as detectors from orders
 """
-VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS, "review_candidates": REVIEW_CANDIDATES}
+VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS, "sip_frames": SIP_FRAMES, "review_candidates": REVIEW_CANDIDATES}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -53,11 +62,15 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        return self.view_of(name, self.table(VIEWS[name].split(" from ")[-1].split()[0]))
+        return self.view_of(name, self.table(self._base(name)))
+
+    @staticmethod
+    def _base(name: str) -> str:
+        return VIEWS[name].split(" from ")[-1].split()[0].rstrip(")")
 
     def view_of(self, name: str, source: DataFrame) -> DataFrame:
         """The view over another table or stream of its base table's columns."""
-        base = VIEWS[name].split(" from ")[-1].split()[0]
+        base = self._base(name)
         return self.spark.sql(VIEWS[name].replace(f" from {base}", " from {source}"), source=source)
 
     @property

@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyweave.functions.sky import sky_prefilter
+from skyweave.functions.sky import cells_of_boxes, in_ra_range, sky_prefilter
 from skyweave.schemas import INJECTION_PLAN, STAR_CATALOG, nan_to_null, require_columns
+from skyweave.session import stored
 
 
 def read_star_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -36,6 +37,24 @@ def catalog_cone(catalog: DataFrame, polygon: list[tuple[float, float]], mag: st
     return inside.orderBy(mag, "source_id").limit(limit)
 
 
+def sources_of_footprints(catalog: DataFrame, frames: DataFrame, level: int, cell: str = "hpx") -> DataFrame:
+    """Sources inside the boxes of many frames (frame_id, ra_low, ra_high, dec_low, dec_high).
+
+    The frames' cells are stored, so that Spark knows their size: where they may be broadcast, they
+    also prune the catalog's partitions at run time, else both sides are shuffled by cell. The
+    exact box comes after. (Spark prunes only by a side with a filter, here one that all pass.)"""
+    cells = stored(cells_of_boxes(frames, level, "frame_id").withColumnRenamed("hpx", "_cell").join(frames, "frame_id"), "cells").where("_cell >= 0")
+    wide = F.col("ra_high") - F.col("ra_low") >= 360.0
+    inside = F.col("dec").between(F.col("dec_low"), F.col("dec_high")) & (wide | in_ra_range(F.col("ra"), F.col("ra_low"), F.col("ra_high")))
+    return catalog.join(cells, F.col(cell) == F.col("_cell")).where(inside).drop("_cell", "ra_low", "ra_high", "dec_low", "dec_high")
+
+
+def shards_named(shards: DataFrame, campaign_prefix: str, source: str, source_prefix: str) -> DataFrame:
+    """Shards of campaigns that begin so, of one source or of sources that begin so; both tests are
+    on partition columns, so other shards are not even listed for reading."""
+    return shards.where(F.col("campaign").startswith(campaign_prefix) & ((F.col("source") == source) | F.col("source").startswith(source_prefix)))
+
+
 def cached_query(df: DataFrame, root: str, *arguments: object) -> DataFrame:
     """Read-through cache: every argument is part of the key."""
     spark = df.sparkSession
