@@ -59,6 +59,13 @@ def first_n(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, salt: Column, salts: int = 64) -> DataFrame:
+    """``first_n`` in two steps, first within pieces of each group by a hash of ``salt``: no task
+    sees more of a large group than a piece of it, or ``salts`` times n rows."""
+    pieces = first_n(df.withColumn("_piece", F.pmod(F.xxhash64(salt), F.lit(salts))), [*keys, "_piece"], order, n)
+    return first_n(pieces.drop("_piece"), keys, order, n)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return first_n(df, keys, order, 1)
 

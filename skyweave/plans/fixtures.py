@@ -36,6 +36,17 @@ select 'sip_' || cast(s_suppkey as string) as frame_id, cra - 3e0/c as ra_low, c
  from (select s_suppkey, cra, cdec, cos(radians(cdec)) as c, radians(cast(s_suppkey % 90 as double)) as turn, cast(s_suppkey % 7 as double) - 3e0 as w
  from (select s_suppkey, cast((s_suppkey*7919) % 360000 as double)/1e3 as cra, -70e0 + 140e0*cast((s_suppkey*6113) % 9973 as double)/9973e0 as cdec from supplier))
 """
+#: Images of 24 x 24 pixels, one for every supplier, summed from its line items; a few pixels have none.
+PIXEL_VALUES = """
+select 'pix_' || cast(l_suppkey as string) as frame_id, cast(floor(cell/24e0) as int) as y, cast(cell % 24 as int) as x, 20e0 + sum(l_extendedprice)/1e4 as value, 1e0 + sum(l_quantity)/50e0 as variance,
+ max(case when l_returnflag = 'R' and l_quantity = 7 then 64 else 0 end) + max(case when l_linestatus = 'O' then 2 else 0 end) as flags
+ from (select l_suppkey, (l_orderkey*31 + l_partkey*17 + l_linenumber*7) % 576 as cell, l_extendedprice, l_quantity, l_returnflag, l_linestatus from lineitem) group by 1, 2, 3
+"""
+#: Up to seven targets of each image: one without place, one outside, one at the edge.
+PIXEL_TARGETS = """
+select 'pix_' || cast(l_suppkey as string) as frame_id, 't' || cast(l_linenumber as string) as target_id, case l_linenumber when 1 then null when 2 then 30e0 when 3 then 1.25e0 else 8e0 + ((l_suppkey*37 + l_linenumber*1013) % 700)/100e0 end as x,
+ 7e0 + ((l_suppkey*53 + l_linenumber*409) % 900)/100e0 as y from (select distinct l_suppkey, l_linenumber from lineitem)
+"""
 STATUS_EVENTS = """
 select event_id, ts, 'img_' || cast(user_id as string) as image_id,
  case event_type when 'signup' then 'field_start' when 'error' then 'field_error' when 'click' then 'field_retry' when 'purchase' then 'field_done' end as event, value from events where event_type <> 'view'
@@ -48,7 +59,7 @@ select 'jc_' || cast(o_orderkey as string) as joint_candidate_id, 'src_' || cast
  case when o_orderkey % 6 <> 0 then 2e0 + ((o_orderkey*7919) % 1000)/10e0 end as psf_peak_snr, case when o_orderkey % 7 <> 0 then 1e0 + ((o_custkey*104729) % 1000)/9e0 end as aperture_peak_snr,
  700e0 + (o_orderkey*31) % 4300 as peak_line_nm, o_orderkey % 6 as psf_support, o_custkey % 6 as aperture_support, o_orderkey % 4 as flagged_points_sum, o_orderpriority as detectors from orders
 """
-VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS, "sip_frames": SIP_FRAMES, "review_candidates": REVIEW_CANDIDATES}
+VIEWS = {"spectra_points": SPECTRA_POINTS, "catalog_sources": CATALOG_SOURCES, "injection_truth": INJECTION_TRUTH, "frames": FRAMES, "status_events": STATUS_EVENTS, "sip_frames": SIP_FRAMES, "pixel_values": PIXEL_VALUES, "pixel_targets": PIXEL_TARGETS, "review_candidates": REVIEW_CANDIDATES}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -66,7 +77,7 @@ class Tables:
 
     @staticmethod
     def _base(name: str) -> str:
-        return VIEWS[name].split(" from ")[-1].split()[0].rstrip(")")
+        return VIEWS[name].split(" from ")[-1].split(")")[0].split()[0]
 
     def view_of(self, name: str, source: DataFrame) -> DataFrame:
         """The view over another table or stream of its base table's columns."""

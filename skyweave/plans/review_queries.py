@@ -1,12 +1,11 @@
-"""Paging, ranking, status, machine-learning tables and photometry of synthetic frames."""
+"""Paging, ranking, status and machine-learning tables."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.operators import ml, photometry, windows
+from skyweave.operators import ml, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query, shared
 from skyweave.streaming import status
@@ -139,27 +138,3 @@ def packets(t: Tables) -> DataFrame:
     near = windows.nearest_k(t.points, ["target_id"], F.abs(F.col("cwave_um") - 1.55), [F.col("image_id"), F.col("detector"), F.col("aperture_flux_uJy")], 24)
     packed = near.groupBy("target_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("cwave_um", F.bround(F.col("aperture_flux_uJy") * 1000, 0).cast("long").alias("f"))))).alias("packet"))
     return packed.select("target_id", F.json_array_length("packet").cast("long").alias("points"))
-
-
-def synthetic_frames(t: Tables, size: int = 48) -> tuple[DataFrame, DataFrame]:
-    """Frames of one Gaussian source on a flat background, one for each nation."""
-    frames, targets = [], []
-    for r in t.table("nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect():
-        x, y = 20.0 + r[0] % 5 * 0.3, 22.0 + r[1] * 0.4
-        image = photometry.gaussian_psf(size, x, y, 1.2) * (1000.0 + 10 * r[0]) + 5.0
-        frames.append((f"frame_{r[0]}", image.tolist(), np.ones((size, size)).tolist(), np.zeros((size, size), dtype=int).tolist()))
-        targets += [(f"frame_{r[0]}", f"t{r[0]}_in", x, y), (f"frame_{r[0]}", f"t{r[0]}_edge", 1.0, 1.0)]
-    f = t.spark.createDataFrame(frames, "frame_id string, image array<array<double>>, variance array<array<double>>, flags array<array<int>>")
-    return f, t.spark.createDataFrame(targets, "frame_id string, target_id string, x double, y double")
-
-
-@query("g4_aperture_photometry")
-def aperture(t: Tables) -> DataFrame:
-    frames, targets = synthetic_frames(t)
-    return photometry.aperture_photometry(frames, targets, radius=5.0, inner=8.0, outer=12.0)
-
-
-@query("g7_psf_photometry")
-def psf(t: Tables) -> DataFrame:
-    frames, targets = synthetic_frames(t)
-    return photometry.psf_photometry(frames.join(targets.where(~F.col("target_id").endswith("edge")), "frame_id"))
