@@ -10,8 +10,9 @@ half of those pages are held out and only test it. Kept blocks are joined by lin
 order, white space inside a block becoming one space. Scripts, styles, templates, comments and
 hidden elements never become blocks.
 
-Defined results: a null or empty page, and one without kept blocks, has the empty text; broken
-markup is read as far as it goes (an unclosed tag at the end is dropped); repeated rows repeat.
+Defined results: a null or empty page, and one without kept blocks, has the empty text; omitted
+tags are implied as HTML has it; broken markup is read as far as it goes (an unclosed tag at the
+end is dropped); repeated rows repeat.
 ``extract_pages`` keeps all columns and adds one, with underscores where its name is taken.
 """
 
@@ -32,8 +33,22 @@ from skyweave.llm.common import fresh, table
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 SILENT_TAGS = frozenset("head script style template noscript iframe object svg math canvas audio video select textarea button title".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose end tags matter for where a block stands.
-TRACKED_TAGS = frozenset("article aside body blockquote dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split()) | SILENT_TAGS
+# Fixed values of HTML parsing: what may stand in a head, which start tags end an open paragraph,
+# beyond which elements an end tag or an implied end doesn't reach, inline elements whose end tags
+# leave blocks inside them open, and HTML elements that end an open drawing or formula.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+SCOPE = frozenset("caption html marquee object table td template th".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: For a start tag the open elements that it ends, and those that the search for them doesn't pass.
+IMPLIED = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("dl",)), "dt": (("dd", "dt"), ("dl",)), "option": (("option",), ("select",)), "optgroup": (("option", "optgroup"), ("select",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "tbody": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)),
+    "thead": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "caption", "colgroup"), ("table",)), "select": (("select",), ("table",)), "input": (("select",), ("table",)), "textarea": (("select",), ("table",)), "button": (("button",), ("table",)),
+}
+#: Elements whose class, id or role can name boilerplate.
+MARKED_TAGS = frozenset("article aside body blockquote dialog div dl fieldset figure footer form header main menu nav ol section table td tr ul".split()) | SILENT_TAGS
 BOILER_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,12 +86,16 @@ def _marks(tag: str, own: dict[str, str]) -> tuple[bool, bool]:
 
 class _Blocks(HTMLParser):
     """Flat blocks of a page: [text, words, words in links, in_main, in_boiler, in_header, heading,
-    strong, weak]."""
+    strong, weak].
+
+    Every open element is kept, so that end tags pair up; those that HTML lets a page omit are
+    implied: a head ends at the first thing that can't stand in it, a paragraph at the next block,
+    items, cells and rows at their like."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []  # tag, then the state outside: silent, main, boiler, header, strong, weak
-        self.state = (0, 0, 0, 0, 0, 0)
+        self.open: list[tuple] = []  # tag, the state outside, what the element adds to it
+        self.state = (0, 0, 0, 0, 0, 0)  # silent, main, boiler, header, strong, weak
         self.blocks: list[list] = []
         self.text: list[str] = []
         self.linked = 0
@@ -91,7 +110,50 @@ class _Blocks(HTMLParser):
             self.text = []
         self.linked = 0
 
+    @staticmethod
+    def within(outside: tuple, own: tuple) -> tuple:
+        """The state inside an element that adds ``own`` to the state outside."""
+        silent, main, boiler, header, strong, weak = outside
+        adds, is_main, is_boiler, is_header, is_strong, is_weak = own
+        if is_main:
+            # the page's own text inside an unclosed menu or a page-wide form; but an article
+            # inside the comments is no main text
+            return (silent + adds, main + 1, 0, header, strong, 0)
+        return (silent + adds, main, boiler + is_boiler, header + (is_header and not main), strong + is_strong, weak + is_weak)
+
+    def to(self, k: int) -> None:
+        """Close the open elements from place ``k`` on."""
+        if self.open[k][1] != self.state:
+            self.flush()
+            self.state = self.open[k][1]
+        del self.open[k:]
+
+    def find(self, tags, stops) -> int | None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in tags:
+                return k
+            if self.open[k][0] in stops:
+                return None
+        return None
+
+    def imply(self, tag: str) -> None:
+        """Close what a start tag ends."""
+        top = self.open[-1][0] if self.open else ""
+        if tag == "body" and (k := self.find(("head",), ())) is not None or top == "head" and tag not in HEAD_TAGS and (k := len(self.open) - 1) is not None:
+            self.to(k)
+        if tag in BREAKOUT and (k := self.find(("svg", "math"), ("foreignobject", "desc", "title", "annotation-xml"))) is not None:
+            self.to(k)
+        if tag in ENDS_P and (k := self.find(("p",), SCOPE | SILENT_TAGS)) is not None:
+            self.to(k)
+        if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+            self.to(len(self.open) - 1)
+        if tag in IMPLIED:
+            tags, stops = IMPLIED[tag]
+            if (k := self.find(tags, (*stops, "template"))) is not None:
+                self.to(k)
+
     def handle_starttag(self, tag, attrs):
+        self.imply(tag)
         if tag in BLOCK_TAGS:
             self.flush()
             self.heading = tag in HEADINGS
@@ -100,30 +162,22 @@ class _Blocks(HTMLParser):
             self.text.append(" ")
         elif tag == "a":
             self.in_link = True
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or tag in ("html", "body", "form") and self.find((tag,), ("template",)) is not None:
             return
-        silent, main, boiler, header, strong, weak = self.state
         own = {k: v or "" for k, v in attrs}
         hidden = "hidden" in own or own.get("aria-hidden") == "true" or bool(_HIDDEN.search(own.get("style", "")))
-        if not (tag in TRACKED_TAGS or hidden):
-            return
-        self.flush()
         is_main = tag in MAIN_TAGS or own.get("role") == "main"
-        self.open.append((tag, *self.state))
-        if is_main:
-            # the page's own text inside an unclosed menu or a page-wide form; but an article
-            # inside the comments is no main text
-            boiler, weak = 0, 0
-        else:
-            is_strong, is_weak = _marks(tag, own)
-            boiler, strong, weak = boiler + (tag in BOILER_TAGS), strong + is_strong, weak + is_weak
-        self.state = (silent + (tag in SILENT_TAGS or hidden), main + is_main, boiler, header + (tag == "header" and not main), strong, weak)
+        marks = _marks(tag, own) if tag in MARKED_TAGS and not is_main else (False, False)
+        adds = (int(tag in SILENT_TAGS or hidden), is_main, tag in BOILER_TAGS, tag == "header", *marks)
+        inside = self.within(self.state, adds)
+        if inside != self.state:
+            self.flush()
+        self.open.append((tag, self.state, adds))
+        self.state = inside
 
     def handle_startendtag(self, tag, attrs):
-        if tag in VOID_TAGS:
-            self.handle_starttag(tag, attrs)
-        else:
-            self.handle_starttag(tag, attrs)
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID_TAGS:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -132,14 +186,31 @@ class _Blocks(HTMLParser):
             self.heading = False
         elif tag == "a":
             self.in_link = False
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+        if tag in ("html", "body"):
+            return  # what follows still belongs to the body
+        if tag in FORMATTING:
+            k = self.find((tag,), SCOPE)
+            if k is not None and any(e[0] in BLOCK_TAGS for e in self.open[k + 1 :]):
+                # blocks inside stay open, without it
                 self.flush()
-                self.state = self.open[k][1:]
+                outside, later = self.open[k][1], self.open[k + 1 :]
                 del self.open[k:]
+                for name, _, own in later:
+                    self.open.append((name, outside, own))
+                    outside = self.within(outside, own)
+                self.state = outside
                 return
+        elif tag in BLOCK_TAGS or tag in SILENT_TAGS:
+            table = tag in ("table", "tbody", "thead", "tfoot", "tr", "td", "th", "caption")
+            k = self.find((tag,), ("table", "template") if table else ("ul", "ol", *SCOPE) if tag == "li" else SCOPE)
+        else:
+            k = self.find((tag,), BLOCK_TAGS)
+        if k is not None:
+            self.to(k)
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.to(len(self.open) - 1)
         if self.state[0]:
             return
         self.text.append(data)
