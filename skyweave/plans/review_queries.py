@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.operators import ml, windows
+from skyweave.operators import inference, ml, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query, shared
+from skyweave.session import stored
 from skyweave.streaming import status
 
 shared("o2_candidate_page", "select injection_id, strength, injected_line_nm from injection_truth where strength >= 5e0 order by strength desc, injected_line_nm, injection_id limit 25 offset 2")
@@ -138,3 +139,34 @@ def packets(t: Tables) -> DataFrame:
     near = windows.nearest_k(t.points, ["target_id"], F.abs(F.col("cwave_um") - 1.55), [F.col("image_id"), F.col("detector"), F.col("aperture_flux_uJy")], 24)
     packed = near.groupBy("target_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("cwave_um", F.bround(F.col("aperture_flux_uJy") * 1000, 0).cast("long").alias("f"))))).alias("packet"))
     return packed.select("target_id", F.json_array_length("packet").cast("long").alias("points"))
+
+
+def _injected(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Points of a run in which every second target has a line, and the truth of those lines."""
+    truth = t.truth.where(F.substr("target_id", F.lit(5)).cast("long") % 2 == 0)
+    return inference.injected_points(t.points, truth, F.col("strength") * 20000.0), truth
+
+
+POOLED_SQL = """with i as (select p.target_id, cwave_um as x, fatal_flag_present as f, aperture_flux_unc_uJy as u, coalesce(case when cast(substr(p.target_id, 5) as bigint) % 2 = 0 then strength*20000e0*exp(-0.5e0*pow((cwave_um - injected_line_nm/1000e0)/(sqrt(pow(greatest(cband_um, 0e0), 2) + 1e-6)/2.354820045e0), 2)) end, 0e0) as d, aperture_flux_uJy as a0, psf_flux_uJy as p0 from spectra_points p left join injection_truth t on p.target_id = t.target_id),
+p as (select target_id, x, f, u, a0 + d as a, p0 + d as p from i), m as (select target_id, median(a) as m from p group by 1), s as (select p.target_id, any_value(m) as m, 1.4826e0*median(abs(a - m)) as s from p join m on p.target_id = m.target_id group by 1),
+v as (select p.target_id, x, f, cast(cast(case when s > 0 then greatest(-12e0, least(12e0, (a - m)/s)) else 0e0 end as float) as double) as z, cast(cast(greatest(-50e0, least(50e0, a/u))/50e0 as float) as double) as r, cast(cast(coalesce(abs(a - p)/nullif(greatest(abs(a), abs(p)), 0e0), 0e0) as float) as double) as g from p join s on p.target_id = s.target_id)
+select target_id, count(*) as n_points, round(arg_max(x, case when not f then z*1e6 - x end)*1000e0, 6) as line_nm, round(max(case when not f then z end), 5) as peak, round(quantile_cont(case when not f then z end, 0.99), 5) as upper, round(stddev_pop(case when not f then z end), 6) as spread,
+ round(avg(case when not f then r end), 6) as mean_snr, round(max(case when not f then r end), 6) as peak_snr, round(avg(g), 6) as agreement, round(avg(case when f then 1e0 else 0e0 end), 6) as flagged from v group by 1"""
+
+
+@query("m11_pooled_features", POOLED_SQL)
+def pooled_features(t: Tables) -> DataFrame:
+    """Pooled features of every series of a run with injected lines."""
+    rows = inference.pooled(_injected(t)[0])
+    return rows.select("target_id", "n_points", F.round("line_nm", 6).alias("line_nm"), *(F.round(c, 5 if c in ("peak", "upper") else 6).alias(c) for c in inference.POOLED))
+
+
+@query("m11_line_recovery")
+def line_recovery(t: Tables) -> DataFrame:
+    """A logistic model on pooled features, its scores for every series, and which injected lines it
+    recovers within 60 nm."""
+    points, truth = _injected(t)
+    rows = stored(inference.pooled(points), "pooled")
+    labelled = rows.join(truth.select("target_id").distinct().withColumn("injected", F.lit(1)), "target_id", "left").withColumn("injected", F.coalesce("injected", F.lit(0)))
+    scores = inference.infer(rows, inference.fit_logistic(labelled, "injected"))
+    return inference.recovery(truth.select("injection_id", "target_id", "strength", "injected_line_nm"), scores, 60.0)
