@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,29 +42,47 @@ def quality_rules(given: dict | None = None) -> dict:
     return rules
 
 
+_MATCHES = "target_id string, left_id string, right_id string"
+
+
+def _match_group(target: str, left: list[tuple], right: list[tuple], tolerance: float) -> list[tuple]:
+    """Greedy matches of one group; rows are (id, x, score), best first."""
+    free, out = list(right), []
+    for name, x, _ in left:
+        hit = next((k for k, r in enumerate(free) if x is not None and r[1] is not None and abs(r[1] - x) <= tolerance), None)
+        out.append((target, name, free.pop(hit)[0] if hit is not None else None))
+    return out + [(target, None, r[0]) for r in free]
+
+
 def greedy_match(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:
-    """One-to-one matches of (target_id, id, x, score) rows: left rows in descending score take
-    the best unused right row within the tolerance; unmatched rows of both sides stay.
-
-    The choice is sequential within a target and independent between targets, so it is a
-    co-grouped map."""
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["score", "id"], ascending=[False, True], na_position="last").reset_index(drop=True)
-        place = np.argsort(b["x"].to_numpy(float), kind="stable")  # rows of b by x; a row's number is its rank
-        x = b["x"].to_numpy(float)[place]
-        free = np.ones(len(b), dtype=bool)
-        ids, rows = b["id"].tolist(), []
-        for r in a.sort_values(["score", "id"], ascending=[False, True], na_position="last").itertuples(index=False):
-            near = place[np.searchsorted(x, r.x - 2 * tolerance) : np.searchsorted(x, r.x + 2 * tolerance, side="right")]
-            near = near[free[near] & (np.abs(b["x"].to_numpy(float)[near] - r.x) <= tolerance)]
-            if len(near):
-                free[near.min()] = False
-            rows.append((r.target_id, r.id, ids[near.min()] if len(near) else None))
-        rows += [(c.target_id, None, c.id) for c in b[free].itertuples(index=False)]
-        return pd.DataFrame(rows, columns=["target_id", "left_id", "right_id"]).astype("object")
-
-    return left.groupBy("target_id").cogroup(right.groupBy("target_id")).applyInPandas(match, "target_id string, left_id string, right_id string")
+    """One-to-one matches of (target_id, id, x, score) rows: left rows in descending score (equal
+    ones by id) take the best unused right row within the tolerance; unmatched rows of both
+    sides stay, and so do rows without x.
+
+    The choice is sequential, but only among rows that can reach each other: rows of a target
+    further apart along x than the tolerance part it into groups. Groups, not targets, are dealt to
+    tasks, which walk through their rows group by group."""
+    side = lambda df, n: df.select("target_id", "id", F.col("x").cast("double").alias("x"), F.col("score").cast("double").alias("score"), F.lit(n).alias("side"))
+    along = Window.partitionBy("target_id").orderBy("x")
+    fresh = F.when(F.col("x").isNull(), 1).otherwise(F.coalesce((F.col("x") - F.lag("x").over(along) > tolerance).cast("int"), F.lit(1)))
+    rows = side(left, 0).union(side(right, 1)).withColumn("_new", fresh).withColumn("_group", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    dealt = rows.repartition("target_id", "_group").sortWithinPartitions("target_id", "_group", "side", F.col("score").desc_nulls_last(), "id")
+
+    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, sides = None, ([], [])
+        for batch in batches:
+            out = []
+            for target, name, x, score, which, number in zip(*(batch[c].tolist() for c in ("target_id", "id", "x", "score", "side", "_group")), strict=True):
+                if (target, number) != group:
+                    if group:
+                        out += _match_group(group[0], *sides, tolerance)
+                    group, sides = (target, number), ([], [])
+                sides[which].append((name, None if x is None or x != x else x, score))
+            yield pd.DataFrame(out, columns=["target_id", "left_id", "right_id"]).astype("object")
+        if group:
+            yield pd.DataFrame(_match_group(group[0], *sides, tolerance), columns=["target_id", "left_id", "right_id"]).astype("object")
+
+    return dealt.select("target_id", "id", "x", "score", "side", "_group").mapInPandas(match, _MATCHES)
 
 
 def support_tier(ap: Column, psf: Column, both: Column) -> Column:

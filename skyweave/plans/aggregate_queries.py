@@ -49,7 +49,23 @@ def spectrum_quality(t: Tables) -> DataFrame:
     return q.select("target_id", "n_measurements", "n_usable", *(F.round(c, d).alias(c) for c, d in (("flag_fraction", 9), ("smoothness", 8), ("agreement", 8), ("snr_score", 8), ("span_nm", 5), ("score", 6))))
 
 
-@query("a4_quality_reasons")
+def quality_sql(points: str) -> str:
+    """Quality of every target of ``points`` (target_id, x, a, u, p, bad), from its definition."""
+    return f"""q0 as ({points}), gg as (select * from q0 where not bad),
+mm as (select target_id, median(a) as ma from gg group by 1),
+jj as (select target_id, median(abs(r)) as jag from (select target_id, a - 0.5e0*(lag(a) over w + lead(a) over w) as r from gg window w as (partition by target_id order by x, a, p)) group by 1),
+cc as (select target_id, count(*) as n, count(case when bad then 1 end)*1e0/count(*) as ff from q0 group by 1),
+dd as (select g.target_id, count(*) as usable, (max(x) - min(x))*1000e0 as span, median(abs(a/u)) as snr, corr(a, p) as corr, median(abs(a - p)/greatest(abs(a), abs(p))) as fd, 1.4826e0*median(abs(a - ma)) as sc from gg g join mm m on g.target_id = m.target_id group by 1),
+ss as (select c.target_id, n, ff, usable, span, snr, corr, fd, least(1e0, greatest(0e0, 1e0/(1e0 + jag/sc))) as smooth, least(1e0, greatest(0e0, 0.65e0*(corr + 1e0)/2e0 + 0.35e0/(1e0 + 2e0*fd))) as agree, least(1e0, log10(greatest(snr, 1e0))/log10(20e0)) as ss from cc c join dd d on c.target_id = d.target_id join jj j on c.target_id = j.target_id),
+sc as (select *, 100e0*(0.28e0*greatest(0e0, 1e0 - 2e0*ff) + 0.24e0*smooth + 0.2e0*least(1e0, usable/80e0) + 0.18e0*agree + 0.1e0*ss) as score,
+ concat_ws(',', case when usable < 50 then 'too_few_usable_points' end, case when span < 4000e0 then 'insufficient_wavelength_span' end, case when ff > 0.25e0 then 'too_many_fatal_flags' end, case when smooth < 0.45e0 then 'jagged_or_noisy_continuum' end, case when corr < 0.75e0 then 'low_aperture_psf_shape_agreement' end, case when fd > 1e0 then 'large_aperture_psf_flux_disagreement' end) as hard from ss),
+quality as (select *, case when score >= 70e0 and hard = '' then 'good' when score >= 45e0 and ff <= 0.35e0 and usable >= 25 then 'review' else 'bad' end as category, concat_ws(',', nullif(hard, ''), case when snr < 1e0 then 'low_median_snr' end) as reasons from sc)"""
+
+
+_ONE = "row_number() over (partition by target_id, cwave_um order by image_id, detector, aperture_flux_uJy, psf_flux_uJy) as k"
+
+
+@query("a4_quality_reasons", "with " + quality_sql(f"select target_id, cwave_um as x, aperture_flux_uJy as a, aperture_flux_unc_uJy as u, psf_flux_uJy as p, fatal_flag_present as bad from (select *, {_ONE} from spectra_points) where k = 1") + " select target_id, category, reasons from quality")
 def quality_reasons(t: Tables) -> DataFrame:
     return spectra.spectrum_quality(_tiebroken(t.points)).select("target_id", "category", "reasons")
 
@@ -145,7 +161,7 @@ shared("v19_stage_share", "select stage, total, round(100e0*total/sum(total) ove
 shared("v18_proportional_split", "with s as (select n_regionkey as dev, count(*)*1e0 as rate from nation group by 1), q as (select dev, 1000e0*rate/sum(rate) over () as want from s), f as (select dev, want, floor(want) as base, row_number() over (order by want - floor(want) desc, dev) as k, 1000e0 - sum(floor(want)) over () as rest from q) select dev, cast(base + case when k <= rest then 1 else 0 end as bigint) as share from f")
 
 
-@query("a4_quality_gate_points", None)
+@query("a4_quality_gate_points", "with sm as (select target_id, image_id, detector, cwave_um, 1e4/cwave_um + aperture_flux_uJy*1e-4 as aperture_flux_uJy, (1e4/cwave_um + aperture_flux_uJy*1e-4)*1.01e0 as psf_flux_uJy, aperture_flux_unc_uJy, fatal_flag_present from spectra_points where not fatal_flag_present), " + quality_sql(f"select target_id, cwave_um as x, aperture_flux_uJy as a, aperture_flux_unc_uJy as u, psf_flux_uJy as p, false as bad from (select *, {_ONE} from sm) where k = 1") + " select q0.target_id, count(*) as n from q0 join quality on q0.target_id = quality.target_id where category = 'good' and usable >= 50 and span >= 4000e0 and corr >= 0.75e0 and fd <= 1e0 group by 1")
 def gated(t: Tables) -> DataFrame:
     smooth = t.points.withColumn("aperture_flux_uJy", 1e4 / F.col("cwave_um") + F.col("aperture_flux_uJy") * 1e-4).withColumn("psf_flux_uJy", F.col("aperture_flux_uJy") * 1.01)
     one = _tiebroken(smooth.where("not fatal_flag_present"))

@@ -77,7 +77,9 @@ def nested_pixel(t: Tables) -> DataFrame:
 
 @query("p8_pixel_corners")
 def pixel_corners(t: Tables) -> DataFrame:
-    return t.spark.range(768).select(F.col("id").alias("pixel"), sky.pixel_corners(F.col("id"), 3).alias("corners"))
+    """Corners of every pixel that a source of the catalog stands in."""
+    pixels = t.catalog.select(sky.nested_pixel(F.col("ra"), F.col("dec"), 3).alias("pixel")).distinct()
+    return pixels.select("pixel", sky.pixel_corners(F.col("pixel"), 3).alias("corners"))
 
 
 @query("p9_map_projection", "select source_id, round((1e0 - ra/360e0)*360e0, 6) as x, round((90e0 - dec)/180e0*180e0, 6) as y from catalog_sources")
@@ -134,10 +136,10 @@ def seeded_sample(t: Tables) -> DataFrame:
     return windows.first_n(rows, ["bin"], [F.xxhash64("source_id", F.lit(42)), F.col("source_id")], 5).select("source_id", "bin")
 
 
-@query("p27_evenly_spaced")
+@query("p27_evenly_spaced", "with r as (select target_id, image_id, cwave_um, row_number() over (partition by target_id order by cwave_um, image_id, detector, aperture_flux_uJy) - 1 as i, count(*) over (partition by target_id) as n from spectra_points), s as (select *, case when n > 24 then (n - 1)/23e0 end as step from r) select target_id, image_id, round(cwave_um, 9) as cwave_um from s where step is null or i = 0 or floor((i + 0.5e0)/step) <> floor((i - 0.5e0)/step)")
 def evenly_spaced(t: Tables) -> DataFrame:
     order = [F.col(c) for c in ("cwave_um", "image_id", "detector", "aperture_flux_uJy")]
-    return windows.evenly_spaced(t.points, ["target_id"], order, 24).select("target_id", "image_id", "cwave_um")
+    return windows.evenly_spaced(t.points, ["target_id"], order, 24).select("target_id", "image_id", F.round("cwave_um", 9).alias("cwave_um"))
 
 
 @query("p27_nearest_points", "select target_id, image_id, round(d, 9) as d from (select target_id, image_id, abs(cwave_um - 1.55e0) as d, row_number() over (partition by target_id order by abs(cwave_um - 1.55e0), image_id, detector, aperture_flux_uJy) as k from spectra_points) where k <= 24")
@@ -167,7 +169,7 @@ def canonical_rows(t: Tables) -> DataFrame:
     return t.catalog.select(F.concat(F.lit("gaia_"), sid).alias("target_id"), sid.alias("source_id"), F.round(100.0 - F.least("phot_g_mean_mag", F.lit(99.0)), 9).alias("priority_score"))
 
 
-@query("p32_run_names")
+@query("p32_run_names", "select run_name, case when run_name like '%injected' then 'injected' else 'baseline' end as run_kind, regexp_replace(run_name, '_(injected|baseline)$', '') as campaign, 'g11p5_13p0' as mag_bin, cast(k as bigint) as hpx, 64 as nside from (select n_nationkey as k, 'sky_hpx_nside64_nested_' || lpad(cast(n_nationkey as varchar), 8, '0') || '_g11p5_13p0_' || case when n_regionkey % 2 = 0 then 'injected' else 'baseline' end as run_name from nation)")
 def run_names(t: Tables) -> DataFrame:
     name = F.concat(F.lit("sky_hpx_nside64_nested_"), F.format_string("%08d", F.col("n_nationkey")), F.lit("_g11p5_13p0_"), F.when(F.col("n_regionkey") % 2 == 0, "injected").otherwise("baseline"))
     rows = t.table("nation").select(name.alias("run_name"))

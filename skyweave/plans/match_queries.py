@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyweave.operators import bands, candidates, spectra, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query, shared
-from skyweave.plans.scan_queries import CLUSTERS, _plan_lines, _scores, scan_sql
+from skyweave.plans.scan_queries import _DIGITS, CLUSTERS, PLAN_GRID, _plan_lines, _rounded, _scores, scan_sql
 
 FIRST = "row_number() over (partition by target_id, image_id order by cwave_um, detector, aperture_flux_uJy, psf_flux_uJy)"
 
@@ -30,15 +30,29 @@ def _bumped_delta(t: Tables) -> DataFrame:
     return spectra.paired_delta(t.points.withColumn("aperture_flux_uJy", F.col("aperture_flux_uJy") + bump), t.points)
 
 
-@query("f3_paired_scan")
+def _paired_sql(grid: str, **limits: int) -> str:
+    """The scan over flux differences of the first rows of each (target, image)."""
+    whole = scan_sql(grid=grid, **limits)
+    start, end = whole.index("base as ("), whole.index("whole as (")
+    bump = "1e4*exp(-0.5e0*pow((cwave_um - 1.55e0)/0.02e0, 2))"
+    base = f"one as (select *, {FIRST} as k from spectra_points), pairs as (select target_id, cwave_um, cband_um, (aperture_flux_uJy + {bump}) - aperture_flux_uJy as f, sqrt(aperture_flux_unc_uJy*aperture_flux_unc_uJy + aperture_flux_unc_uJy*aperture_flux_unc_uJy) as u, fatal_flag_present from one where k = 1), base as (select target_id, cwave_um, cband_um, f, u from pairs where not coalesce(fatal_flag_present, false)),\n"
+    return whole[:start] + base + whole[end:] + "select target_id, line_nm, round(amp, 3) + 0e0 as amp, round(amp_unc, 6) as amp_unc, round(snr, 5) + 0e0 as snr, round(continuum, 6) + 0e0 as continuum, cast(support as bigint) as support from scores"
+
+
+def _unsigned(scores: DataFrame) -> DataFrame:
+    """Rounded scores without negative zeros."""
+    return _rounded(scores, _DIGITS).withColumns({c: F.col(c) + 0.0 for c in ("amp", "snr", "continuum")})
+
+
+@query("f3_paired_scan", _paired_sql("grid as (select 1400e0 + 25e0*i as line_nm from range(13) t(i))"))
 def paired_scan(t: Tables) -> DataFrame:
-    return bands.scan(_bumped_delta(t), bands.line_grid(t.spark, 1400.0, 1700.0, 25.0), "delta_flux", "delta_unc")
+    return _unsigned(bands.scan(_bumped_delta(t), bands.line_grid(t.spark, 1400.0, 1700.0, 25.0), "delta_flux", "delta_unc"))
 
 
-@query("f3_plan_lines")
+@query("f3_plan_lines", _paired_sql(PLAN_GRID, least_support=1))
 def paired_plan_lines(t: Tables) -> DataFrame:
     """The paired scan at the plan's distinct lines."""
-    return bands.scan(_bumped_delta(t), _plan_lines(t), "delta_flux", "delta_unc", least_support=1)
+    return _unsigned(bands.scan(_bumped_delta(t), _plan_lines(t), "delta_flux", "delta_unc", least_support=1))
 
 
 shared("j2_enrichment", "select s.target_id, s.n, coalesce(t.lines, 0) as lines, t.strongest from (select target_id, count(*) as n from spectra_points group by 1) s left join (select target_id, count(*) as lines, max(strength) as strongest from injection_truth where strength >= 5e0 group by 1) t on s.target_id = t.target_id")

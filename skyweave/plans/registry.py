@@ -50,7 +50,7 @@ def _replace_source(text: str, name: str) -> str:
 
 
 def _load() -> None:
-    from skyweave.plans import aggregate_queries, catalog_queries, frame_queries, job_queries, match_queries, pixel_queries, review_queries, scan_queries, survey_queries  # noqa: F401
+    from skyweave.plans import aggregate_queries, catalog_queries, fine_queries, frame_queries, job_queries, match_queries, pixel_queries, review_queries, scan_queries, survey_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

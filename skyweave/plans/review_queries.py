@@ -82,17 +82,21 @@ def peak_frame(t: Tables) -> DataFrame:
     return t.points.groupBy("target_id").agg(F.max_by("image_id", F.col("aperture_flux_uJy") * 1000.0 + F.col("cwave_um")).alias("image_id"))
 
 
+#: Latest status of every image.
+FOLD_SQL = "select image_id, arg_max(case event when 'field_start' then 'active' when 'field_retry' then 'retrying' when 'field_done' then 'done' else 'error' end, epoch_us(ts)*100000::hugeint + event_id) as status, count(case when event = 'field_retry' then 1 end) as retries, max(ts) as last_ts, count(*) as events from status_events group by 1"
+
+
 @query("r2_status_fold", "select image_id, arg_max(case event when 'field_start' then 'active' when 'field_retry' then 'retrying' when 'field_done' then 'done' else 'error' end, epoch_us(ts)*100000::hugeint + event_id) as status, count_if(event = 'field_retry') as retries, count(*) as events from status_events group by 1")
 def status_fold(t: Tables) -> DataFrame:
     return status.fold(t.events, "event_id").drop("last_ts")
 
 
-@query("r4_status_snapshot")
+@query("r4_status_snapshot", f"select * from ({FOLD_SQL}) order by case status when 'active' then 1 when 'retrying' then 2 when 'error' then 3 else 4 end, last_ts desc, image_id limit 250")
 def status_snapshot(t: Tables) -> DataFrame:
     return status.snapshot(status.fold(t.events, "event_id"))
 
 
-@query("r2_status_counters")
+@query("r2_status_counters", f"select *, greatest(0, 1000 - active - retrying - error - done) as queued from (select count(case when status = 'active' then 1 end) as active, count(case when status = 'retrying' then 1 end) as retrying, count(case when status = 'error' then 1 end) as error, count(case when status = 'done' then 1 end) as done from ({FOLD_SQL}))")
 def status_counters(t: Tables) -> DataFrame:
     return status.counters(status.fold(t.events, "event_id"), 1000)
 
@@ -107,7 +111,7 @@ def features(t: Tables) -> DataFrame:
     return ml.point_features(t.points)
 
 
-@query("m3_padded_series")
+@query("m3_padded_series", "select target_id, 384 as length, cast(least(count(*), 384) as int) as used from spectra_points group by 1")
 def padded(t: Tables) -> DataFrame:
     return ml.padded_series(ml.point_features(t.points), 384).select("target_id", F.size("x").alias("length"), F.size(F.filter("mask", lambda v: v)).alias("used"))
 

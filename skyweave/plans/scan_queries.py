@@ -147,9 +147,11 @@ def pack_series(t: Tables) -> DataFrame:
     return packed.select("target_id", "length", F.round(F.element_at("series", 1)["cwave_um"], 9).alias("first_um"), F.round(F.element_at("series", -1)["cwave_um"], 9).alias("last_um"))
 
 
-@query("d10_line_grid", f"with {GRID} select line_nm from grid")
+@query("d10_line_grid", f"with {GRID_5NM} select line_nm from grid where line_nm >= (select min(cwave_um)*1000e0 from spectra_points) and line_nm <= (select max(cwave_um)*1000e0 from spectra_points)")
 def grid(t: Tables) -> DataFrame:
-    return _grid(t)
+    """The lines of the fine grid within the range that the points cover."""
+    span = t.points.agg((F.min("cwave_um") * 1000.0).alias("low"), (F.max("cwave_um") * 1000.0).alias("high"))
+    return _grid(t, 5.0).crossJoin(F.broadcast(span)).where(F.col("line_nm").between(F.col("low"), F.col("high"))).select("line_nm")
 
 
 @query("f8_diagnostic_window", DUAL_SQL + ", best as (select target_id, line_nm as peak_nm, row_number() over (partition by target_id order by q desc, line_nm) as k from scores), around as (select s.target_id, s.line_nm, b.peak_nm, round(s.q, 2) as q, row_number() over (partition by s.target_id order by abs(s.line_nm - b.peak_nm), s.line_nm) as k from scores s join best b on s.target_id = b.target_id and b.k = 1 where abs(s.line_nm - b.peak_nm) <= 80e0) select target_id, line_nm, peak_nm, q from around where k <= 201")
@@ -160,13 +162,13 @@ def diagnostic_window(t: Tables) -> DataFrame:
     return windows.nearest_k(near, ["target_id"], F.abs(F.col("line_nm") - F.col("peak_nm")), [F.col("line_nm")], 201).select("target_id", "line_nm", "peak_nm", F.round("q", 2).alias("q"))
 
 
-@query("v15_scan_driver")
+@query("v15_scan_driver", "select * from (" + scan_sql() + CLUSTERS + "select target_id, cast(cluster_index as bigint) as cluster_index, max(case when k = 1 then line_nm end) as peak_x, round(max(snr), 5) as peak_score, min(line_nm) as min_x, max(line_nm) as max_x, max(line_nm) - min(line_nm) as width, count(*) as score_count, 'aperture' as flux_kind from best group by 1, 2) union all select * from (" + scan_sql("psf") + CLUSTERS + "select target_id, cast(cluster_index as bigint), max(case when k = 1 then line_nm end), round(max(snr), 5), min(line_nm), max(line_nm), max(line_nm) - min(line_nm), count(*), 'psf' from best group by 1, 2)")
 def scan_driver(t: Tables) -> DataFrame:
     """Scan of both fluxes, clusters of each, ready for merging."""
     parts = []
     for kind in ("aperture", "psf"):
         hits = _scores(t, kind).where("snr >= 5")
-        parts.append(windows.gap_clusters(hits, ["target_id"], "line_nm", 30.0, "snr").withColumn("flux_kind", F.lit(kind)))
+        parts.append(windows.gap_clusters(hits, ["target_id"], "line_nm", 30.0, "snr").withColumns({"peak_score": F.round("peak_score", 5), "flux_kind": F.lit(kind)}))
     return parts[0].unionByName(parts[1])
 
 
