@@ -105,3 +105,16 @@ def half_even(c: Column, scale: float = 1000.0) -> Column:
 
 
 SQRT_2PI = math.sqrt(2 * math.pi)
+
+# Fixed value: micro-jansky for each square arcsecond of a megajansky a steradian.
+MJY_SR_TO_UJY_ARCSEC2 = 23.50443053909789
+
+
+def to_micro_jansky(value: Column, arcsec2: Column) -> Column:
+    """Surface brightness (MJy/sr) times a pixel's solid angle, in micro-jansky."""
+    return value * arcsec2 * MJY_SR_TO_UJY_ARCSEC2
+
+
+def variance_to_micro_jansky(variance: Column, arcsec2: Column) -> Column:
+    """The same for a variance: by the square of the factor."""
+    return variance * F.pow(arcsec2 * MJY_SR_TO_UJY_ARCSEC2, 2)

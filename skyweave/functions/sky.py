@@ -327,3 +327,8 @@ def sky_prefilter(df: DataFrame, ra: str, dec: str, polygon: list[tuple[float, f
     r = F.when(r < min(ras), r + 360.0).otherwise(r) if max(ras) > 360.0 else r
     corners = F.array(*(F.struct(F.lit(float(a)).alias("ra"), F.lit(float(b)).alias("dec")) for a, b in zip(ras, decs)))
     return df.where(F.col(dec).between(min(decs), max(decs)) & r.between(min(ras), max(ras)) & in_polygon(r, F.col(dec), corners))
+
+
+def flat_distance(ra: Column, dec: Column, ra0: float, dec0: float) -> Column:
+    """Distance in degrees as on a plane, right ascension shrunk by the cosine of the declination."""
+    return F.sqrt(F.pow((ra - ra0) * F.cos(F.radians(dec)), 2) + F.pow(dec - dec0, 2))

@@ -113,3 +113,8 @@ def run_parts(c: Column) -> dict[str, Column]:
         "hpx": F.regexp_extract(c, r"hpx_nside\d+_[a-z]+_(\d+)", 1).try_cast("long"),
         "nside": F.regexp_extract(c, r"hpx_nside(\d+)_", 1).try_cast("int"),
     }
+
+
+def first_known(*columns: Column, default: str | None = None) -> Column:
+    """The first value that is known, else the default."""
+    return F.coalesce(*columns, F.lit(default))

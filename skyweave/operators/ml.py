@@ -69,3 +69,17 @@ def cluster_and_project(vectors: DataFrame, key: str, vector: str, k: int | None
     xy = vector_to_array("xy")
     return plane.select(key, "cluster_id", xy[0].alias("x"), xy[1].alias("y"))
 
+
+def metadata_stats(rows: DataFrame, column: str) -> DataFrame:
+    """Median and sample deviation of a column, one row."""
+    return rows.agg(F.median(column).alias("median"), F.stddev_samp(column).alias("sd"))
+
+
+def cluster_statistics(rows: DataFrame, cluster: str, medians: dict[str, str]) -> DataFrame:
+    """Members of each cluster and the medians of some columns, by the name each is to have."""
+    return rows.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), *(F.median(c).alias(n) for n, c in medians.items()))
+
+
+def dataset_counts(rows: DataFrame, *keys: str) -> DataFrame:
+    """Examples of each combination of the keys."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

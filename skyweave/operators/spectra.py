@@ -101,3 +101,40 @@ def binned_median(points: DataFrame, width_um: float) -> DataFrame:
     """Median spectrum in equal wavelength bins."""
     b = F.floor(F.col("cwave_um") / width_um).cast("long")
     return points.groupBy("target_id", b.alias("bin")).agg(F.median("aperture_flux_uJy").alias("median_flux"), F.count(F.lit(1)).alias("n"))
+
+
+def unflagged(points: DataFrame) -> DataFrame:
+    """Points without a fatal flag; an unknown flag is none."""
+    return points.where(~F.coalesce("fatal_flag_present", F.lit(False)))
+
+
+def distinct_counts(points: DataFrame, **named: str) -> DataFrame:
+    """Exact distinct counts of several columns, by the name each is to have."""
+    return points.agg(*(F.count_distinct(c).alias(n) for n, c in named.items()))
+
+
+def flags_of(points: DataFrame) -> DataFrame:
+    """All pixel flags of each target's points together."""
+    return points.groupBy("target_id").agg(F.bit_or(F.col("flags_summary").cast("long")).alias("flags"))
+
+
+def evidence(points: DataFrame) -> DataFrame:
+    """What a reviewer is told of a target: points, wavelength range, flagged points, detectors, median."""
+    return points.groupBy("target_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("cwave_um").alias("lo"), F.max("cwave_um").alias("hi"), F.count_if(F.coalesce("fatal_flag_present", F.lit(False))).alias("flagged"), F.count_distinct("detector").alias("detectors"), F.median("aperture_flux_uJy").alias("med")
+    )
+
+
+def background_selection(points: DataFrame, least: int, most: int) -> DataFrame:
+    """The ``most`` targets with the most unflagged points, of those that have ``least``, with their
+    median uncertainty; of equal ones the smaller id."""
+    good = ~F.coalesce("fatal_flag_present", F.lit(False))
+    counted = points.groupBy("target_id").agg(F.count_if(good).alias("n"), F.median("aperture_flux_unc_uJy").alias("median_unc"))
+    return counted.where(F.col("n") >= least).orderBy(F.col("n").desc(), "target_id").limit(most)
+
+
+def magnitude_report(targets: DataFrame, key: str, least_usable: int = 40, most_fatal: float = 0.6, least_snr: float = 2.0) -> DataFrame:
+    """By magnitude bin: targets (usable, fatal, snr), how many of them may be used, and medians. An
+    unknown share or snr isn't allowed."""
+    allowed = F.coalesce((F.col("usable") >= least_usable) & (F.col("fatal") <= most_fatal) & (F.col("snr") >= least_snr), F.lit(False))
+    return targets.groupBy(key).agg(F.count(F.lit(1)).alias("targets"), F.count_if(allowed).alias("allowed"), F.median("snr").alias("median_snr"), F.median("usable").alias("median_usable"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,3 +156,16 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
 
 def page(df: DataFrame, order: list[Column], offset: int = 0, limit: int = 100, most: int = 500, least: int = 25) -> DataFrame:
     return df.orderBy(*order).offset(max(0, offset)).limit(max(least, min(most, limit)))
+
+
+def groups_of_at_least(df: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Groups of at least so many rows, with their size; counted before anything is shuffled."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+
+
+def with_group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Every row with the size of its group. Sizes are counted apart and joined, so that a large
+    group isn't held in one window."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).select(*(F.col(k).alias(f"_k_{k}") for k in keys), name)
+    same = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    return df.join(sizes, same).drop(*(f"_k_{k}" for k in keys))

@@ -28,29 +28,8 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
-def shared(name: str, sql: str) -> None:
-    """Register a plan that is one SQL text in both engines, over the views by name."""
-
-    def plan(t: Tables) -> DataFrame:
-        from skyweave.plans.fixtures import TABLES, VIEWS
-
-        text = sql
-        sources = {}
-        for n in (*VIEWS, *TABLES):
-            if n in text:
-                text = _replace_source(text, n)
-                sources[f"src_{n}"] = t.view(n) if n in VIEWS else t.table(n)
-        return t.spark.sql(text, **sources)
-
-    query(name, sql)(plan)
-
-
-def _replace_source(text: str, name: str) -> str:
-    return re.sub(rf"\b(from|join)\s+{name}\b", rf"\1 {{src_{name}}}", text)
-
-
 def _load() -> None:
-    from skyweave.plans import aggregate_queries, catalog_queries, fine_queries, frame_queries, job_queries, match_queries, pixel_queries, review_queries, scan_queries, survey_queries  # noqa: F401
+    from skyweave.plans import aggregate_queries, catalog_queries, fine_queries, frame_queries, job_queries, library_queries, match_queries, pixel_queries, review_queries, scan_queries, survey_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

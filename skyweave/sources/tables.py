@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 from collections.abc import Sequence
@@ -128,3 +129,32 @@ def build_manifest(df: DataFrame, seconds: float) -> dict:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def magnitude_band(catalog: DataFrame, magnitude: str, low: float, high: float) -> DataFrame:
+    """Sources of a magnitude range, both ends included; what is no number is out."""
+    return catalog.where(F.col(magnitude).try_cast("double").between(low, high))
+
+
+def union_all(named: dict[str, DataFrame], origin: str) -> DataFrame:
+    """Tables of different columns in one, with the name of each row's table."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn(origin, F.lit(name)) for name, df in named.items()))
+
+
+def ids_in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).intersect(b.select(key))
+
+
+def ids_only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).subtract(b.select(key))
+
+
+def enriched(rows: DataFrame, keys: list[str], more: DataFrame, zero: Sequence[str] = ()) -> DataFrame:
+    """``rows`` with the columns of ``more`` (one row a key), null where there is none but for the
+    columns of ``zero``."""
+    return rows.join(more, keys, "left").fillna(0, list(zero))
+
+
+def rows_of(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key another table has."""
+    return rows.join(kept.select(*keys), keys, "left_semi")
