@@ -83,3 +83,27 @@ def cluster_statistics(rows: DataFrame, cluster: str, medians: dict[str, str]) -
 def dataset_counts(rows: DataFrame, *keys: str) -> DataFrame:
     """Examples of each combination of the keys."""
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def export_embeddings(vectors: DataFrame, key: str, vector: str, metadata: DataFrame, width: int, prefix: str = "shape_embedding_") -> DataFrame:
+    """Embeddings as wide columns of unit length beside their targets' metadata; a vector without
+    metadata stays, a missing component is null, a vector of no length stays zero."""
+    square = F.aggregate(F.col(vector), F.lit(0.0), lambda s, x: s + F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0)))
+    rows = vectors.withColumn("_norm", F.greatest(F.sqrt(square), F.lit(1e-12)))
+    wide = [(F.get(vector, F.lit(k)).cast("double") / F.col("_norm")).alias(f"{prefix}{k:03d}") for k in range(width)]
+    return rows.select(key, *wide).join(metadata, key, "left")
+
+
+def projection_clusters(rows: DataFrame, medians: dict[str, str]) -> DataFrame:
+    """Clusters of a projection, the largest first, with medians of the columns that are there."""
+    return cluster_statistics(rows, "cluster_id", {n: c for n, c in medians.items() if c in rows.columns}).orderBy(F.col("n").desc(), "cluster_id")
+
+
+def projection_points(rows: DataFrame, text: str = "", columns: tuple[str, ...] = (), cluster: int | None = None, limit: int = 30_000, key: str = "target_id") -> DataFrame:
+    """Points of a projection: those that contain a text, of one cluster, and no more than ``limit``
+    (1,000 to 50,000), then a seeded sample in the order of a hash, so that reruns agree."""
+    from skyweave.functions.strings import matches_text
+
+    found = rows.where(matches_text([F.col(c) for c in columns if c in rows.columns], text)) if text else rows
+    found = found if cluster is None else found.where(F.col("cluster_id") == cluster)
+    return found.orderBy(F.xxhash64(F.lit(42), key), key).limit(min(50_000, max(1_000, limit)))

@@ -139,6 +139,86 @@ def aperture(frames: DataFrame, targets: DataFrame, size: tuple[int, int], radiu
     return over_targets(frames, targets, measure, APERTURE, size, block)
 
 
+CENTRE = "frame_id string, target_id string, flux double, flux_unc double, background double, background_unc double, variance_unc double, n_pixels long, n_good long, bad_fraction double, bad_fraction_annulus double, flags long, fatal_flag_present boolean, status string"
+
+
+def centre_aperture(frames: DataFrame, targets: DataFrame, size: tuple[int, int], radius: float, inner: float, outer: float, fatal_mask: int = 0, block: int = BLOCK) -> DataFrame:
+    """Raw photometry with whole pixels: those whose centres lie inside the circle or the annulus.
+
+    The flux is their sum less the clipped median for each; its uncertainty adds the pixels'
+    variances and the background's spread once a pixel. Pixels that the image lacks, that aren't
+    finite or carry a fatal flag are bad and counted as such. Status: ok, bad_position,
+    outside_image, insufficient_good_pixels (no good pixel, or less than three in the annulus)."""
+    height, width = size
+    reach = int(math.ceil(max(outer, radius))) + 1
+
+    def one(frame: Frame, bad: np.ndarray, x: float, y: float) -> tuple:
+        if not (math.isfinite(x) and math.isfinite(y)):
+            return (None,) * 11 + ("bad_position",)
+        if not (0 <= x < width and 0 <= y < height):
+            return (None,) * 11 + ("outside_image",)
+        ys, xs = np.arange(max(0, int(y) - reach), min(height, int(y) + reach + 2)), np.arange(max(0, int(x) - reach), min(width, int(x) + reach + 2))
+        at = np.ix_(ys, xs)
+        d2 = (ys[:, None] - y) ** 2 + (xs[None, :] - x) ** 2
+        circle, ring, good = d2 < radius * radius, (d2 >= inner * inner) & (d2 < outer * outer), ~bad[at]
+        n, n_good, n_ring, n_good_ring = (int(m.sum()) for m in (circle, circle & good, ring, ring & good))
+        flags = frame.flags[at][circle]
+        share = lambda part, whole: part / whole if whole else None
+        seen = (n, n_good, share(n - n_good, n), share(n_ring - n_good_ring, n_ring), int(np.bitwise_or.reduce(flags)) if len(flags) else 0, n > n_good)
+        if n_good == 0 or n_good_ring < 3:
+            return (None, None, None, None, None, *seen, "insufficient_good_pixels")
+        kept = sigma_clip(frame.value[at][ring & good])
+        level, spread = float(np.median(kept)), float(kept.std())
+        variance = frame.variance[at][circle & good]
+        noise = float(variance[np.isfinite(variance)].sum())
+        return (float(frame.value[at][circle & good].sum()) - level * n_good, math.sqrt(noise + spread * spread * n_good), level, spread, math.sqrt(noise), *seen, "ok")
+
+    def measure(frame: Frame, row: pd.Series, b: pd.DataFrame) -> list:
+        bad = ~np.isfinite(frame.value) | ((frame.flags & fatal_mask) != 0)
+        return [(row["frame_id"], target, *one(frame, bad, x, y)) for target, x, y in zip(b["target_id"], b["x"].astype(float), b["y"].astype(float), strict=True)]
+
+    return over_targets(frames, targets, measure, CENTRE, size, block)
+
+
+# ------------------------------------------------------------- cut-outs
+
+
+def cutouts(frames: DataFrame, targets: DataFrame, size: tuple[int, int], side: int = 9) -> DataFrame:
+    """Square cut-outs around the targets' pixels, flattened by rows; null where the image ends or
+    a pixel isn't finite. Targets without a place in the image have none."""
+    half = side // 2
+
+    def cut(frame: Frame, row: pd.Series, b: pd.DataFrame) -> list:
+        value, flags, out = np.pad(frame.value, half, constant_values=np.nan), np.pad(frame.flags, half), []
+        for target, x, y in zip(b["target_id"], b["x"].astype(float), b["y"].astype(float), strict=True):
+            if math.isfinite(x) and math.isfinite(y) and 0 <= round(x) < size[1] and 0 <= round(y) < size[0]:
+                at = np.s_[round(y) : round(y) + side, round(x) : round(x) + side]
+                out.append((row["frame_id"], target, [float(v) if math.isfinite(v) else None for v in value[at].ravel()], flags[at].ravel().tolist()))
+        return out
+
+    return over_targets(frames, targets, cut, "frame_id string, target_id string, cutout array<double>, flags array<long>", size)
+
+
+def cutout_statistics(cuts: DataFrame, fatal_mask: int = 0) -> DataFrame:
+    """Median, MAD, 95th percentile, central pixel and fatal pixels of each cut-out."""
+    finite = cuts.select("frame_id", "target_id", F.posexplode("cutout").alias("at", "v")).where("v is not null")
+    middle = finite.groupBy("frame_id", "target_id").agg(F.median("v").alias("median"), F.percentile("v", F.lit(0.95)).alias("p95"))
+    spread = finite.join(middle.select("frame_id", "target_id", "median"), ["frame_id", "target_id"]).groupBy("frame_id", "target_id").agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
+    own = cuts.select("frame_id", "target_id", F.get("cutout", F.floor(F.size("cutout") / 2).cast("int")).alias("central"), F.size(F.filter("flags", lambda f: f.bitwiseAND(F.lit(fatal_mask)) != 0)).cast("long").alias("n_fatal"))
+    return own.join(middle, ["frame_id", "target_id"], "left").join(spread, ["frame_id", "target_id"], "left")
+
+
+def stretch(cuts: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Display limits by key from all its cut-outs' pixels: median - 3 sigma to median + 12 sigma, sigma
+    by the MAD, else the deviation, else one; where they are no range, the 1st and 99th percentile."""
+    v = cuts.select(key, F.explode("cutout").alias("v")).where("v is not null")
+    m = v.groupBy(key).agg(F.median("v").alias("median"), F.stddev_pop("v").alias("_sd"), F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("_p"))
+    mad = v.join(m.select(key, "median"), key).groupBy(key).agg(F.median(F.abs(F.col("v") - F.col("median"))).alias("mad"))
+    sigma = F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    low, high = F.col("median") - 3.0 * sigma, F.col("median") + 12.0 * sigma
+    return m.join(mad, key).select(key, "median", "mad", F.when(high > low, low).otherwise(F.col("_p")[0]).alias("vmin"), F.when(high > low, high).otherwise(F.col("_p")[1]).alias("vmax"))
+
+
 # ------------------------------------------------------------- zone PSF kernels
 
 _POLE = math.sqrt(3.0) - 2.0

@@ -120,3 +120,47 @@ def in_bins(rows: DataFrame, magnitude: str, bins: Column) -> DataFrame:
     """Rows of the bins that hold their magnitude, lower end included; one row for each such bin."""
     at = F.filter(bins, lambda b: (F.col(magnitude) >= b["g_min"]) & (F.col(magnitude) < b["g_max"]))
     return rows.withColumn("bin", F.explode(at))
+
+
+def model_runs(status: DataFrame, cards: DataFrame, text: str = "", limit: int = 80) -> DataFrame:
+    """Training runs, newest first: what their status says, else their model card; empty texts and
+    zero counts count as unsaid. Runs that contain a text in name, type, dataset, version or status;
+    10 to 200 of them."""
+    s, c = status.alias("s"), cards.alias("c")
+    said = lambda v: F.nullif(F.col(v), F.lit(""))
+    number = lambda v: F.nullif(F.col(v), F.lit(0))
+    folder = F.regexp_extract(F.coalesce(F.col("c.dataset_dir"), F.lit("")), "([^/]*)/?$", 1)
+    rows = s.join(c, F.col("s.run_name") == F.col("c.run_name"), "full").select(
+        F.coalesce("s.run_name", "c.run_name").alias("run_name"), F.coalesce("s.mtime", "c.mtime").alias("mtime"), F.coalesce(said("s.status"), F.lit("unknown")).alias("status"), F.coalesce(said("s.model_type"), said("c.model_type")).alias("model_type"),
+        F.coalesce(said("s.dataset_name"), F.nullif(folder, F.lit(""))).alias("dataset_name"), F.coalesce(said("s.model_version"), said("c.model_version")).alias("model_version"), F.coalesce(number("s.examples"), number("c.example_count")).alias("examples"),
+    )
+    hay = F.lower(F.concat_ws(" ", "run_name", "model_type", "dataset_name", "model_version", "status"))
+    found = rows.where(F.contains(hay, F.lit(text.lower()))) if text else rows
+    return found.orderBy(F.col("mtime").desc_nulls_last(), "run_name").limit(min(200, max(10, limit)))
+
+
+def run_catalog(listing: DataFrame, summaries: dict[str, DataFrame], now: Column, active_seconds: float = 900.0) -> DataFrame:
+    """Runs of a listing (run_name, mtime), newest first, with the fields of each summary under its
+    name, and whether the run was written to lately. Names that could leave the run's folder are
+    left out."""
+    safe = F.col("run_name").rlike("^[A-Za-z0-9_.+-]+$") & ~F.col("run_name").isin(".", "..")
+    rows = listing.where(safe)
+    for name, summary in summaries.items():
+        fields = [c for c in summary.columns if c != "run_name"]
+        rows = rows.join(summary.select("run_name", *(F.col(c).alias(f"{name}_{c}") for c in fields)), "run_name", "left")
+    age = now.cast("double") - F.col("mtime").cast("double")
+    return rows.withColumn("is_active", F.coalesce(age < active_seconds, F.lit(False))).orderBy(F.col("mtime").desc(), "run_name")
+
+
+def tile_targets(sources: DataFrame, tile: Column, nside: int, most: int, batch: int, magnitude: str = "phot_g_mean_mag") -> DataFrame:
+    """Canonical targets of each tile: its ``most`` brightest sources in batches of ``batch``, with
+    the tile's id. Places within a tile are numbered in slices of magnitude, so a crowded tile
+    isn't one task."""
+    placed = windows.numbered(sources.where(F.col(magnitude).isNotNull()).withColumn("hpx", tile), ["hpx"], magnitude, 0.25, [F.col(magnitude), F.col("source_id")], "place").where(F.col("place") < most)
+    name = F.format_string(f"hpx_nside{nside:04d}_nested_%08d", "hpx")
+    return placed.select(name.alias("tile_id"), "hpx", "place", F.floor(F.col("place") / batch).alias("batch_index"), F.concat(F.lit("star_"), F.col("source_id").cast("string")).alias("target_id"), "source_id", "ra", "dec", magnitude)
+
+
+def tile_summaries(targets: DataFrame, magnitude: str = "phot_g_mean_mag") -> DataFrame:
+    """Targets, batches and brightest magnitude of each tile."""
+    return targets.groupBy("tile_id", "hpx").agg(F.count(F.lit(1)).alias("target_count"), (F.max("batch_index") + 1).alias("batch_count"), F.min(magnitude).alias("brightest"))

@@ -138,3 +138,18 @@ def magnitude_report(targets: DataFrame, key: str, least_usable: int = 40, most_
     unknown share or snr isn't allowed."""
     allowed = F.coalesce((F.col("usable") >= least_usable) & (F.col("fatal") <= most_fatal) & (F.col("snr") >= least_snr), F.lit(False))
     return targets.groupBy(key).agg(F.count(F.lit(1)).alias("targets"), F.count_if(allowed).alias("allowed"), F.median("snr").alias("median_snr"), F.median("usable").alias("median_usable"))
+
+
+def score_table(points: DataFrame, kind: str = "aperture") -> DataFrame:
+    """Points with the flux that is scored (``aperture`` or ``psf``), numbers by force, mode raw; a table
+    without that flux is an error."""
+    flux, unc = f"{kind}_flux_uJy", f"{kind}_flux_unc_uJy"
+    require_columns(points, "target_id", "image_id", "cwave_um", "cband_um", flux, unc)
+    kept = present(points, "target_id", "image_id", "cwave_um", "cband_um", "fatal_flag_present", "detector", "observation_id", "input_file_path", "original_input_file_path", "path_override_applied")
+    return points.select(*kept, F.col(flux).try_cast("double").alias("score_flux_uJy"), F.col(unc).try_cast("double").alias("score_flux_unc_uJy"), F.lit("raw_spectrum").alias("score_mode"))
+
+
+def paired_score_table(injected: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The same for flux differences of two runs."""
+    d = paired_delta(injected, baseline)
+    return d.withColumnsRenamed({"delta_flux": "score_flux_uJy", "delta_unc": "score_flux_unc_uJy"}).withColumn("score_mode", F.lit("paired_delta"))

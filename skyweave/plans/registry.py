@@ -29,7 +29,7 @@ def query(name: str, oracle: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from skyweave.plans import aggregate_queries, catalog_queries, fine_queries, frame_queries, job_queries, library_queries, match_queries, pixel_queries, review_queries, scan_queries, survey_queries  # noqa: F401
+    from skyweave.plans import aggregate_queries, catalog_queries, fine_queries, frame_queries, job_queries, library_queries, match_queries, pixel_queries, review_queries, scan_queries, source_queries, survey_queries, view_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,13 @@ from skyweave.session import stored
 
 
 def read_star_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Gzipped CSV with ``#`` lines before the header, read with the declared schema."""
-    df = spark.read.option("comment", "#").option("header", True).option("mode", "PERMISSIVE").schema(STAR_CATALOG).csv(path)
-    return df.select(*columns) if columns else df
+    """CSV, gzipped or not, with ``#`` lines before the header: the columns wanted (all of the star
+    catalog, unless named) by their names in the header, in the declared types; a header that lacks
+    one is an error, a value of another type null."""
+    kinds = dict(c.rsplit(" ", 1) for c in STAR_CATALOG.split(", "))
+    wanted = list(columns or kinds)
+    raw = spark.read.option("comment", "#").option("header", True).csv(path)
+    return require_columns(raw, *wanted).select(*(F.col(c).try_cast(kinds[c]).alias(c) for c in wanted))
 
 
 def read_point_source_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -71,20 +75,25 @@ def read_shards(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_targets(spark: SparkSession, path: str, *required: str) -> DataFrame:
-    """Fixed targets from CSV or Parquet, required columns checked, NaN as null."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.parquet(path)
-    return nan_to_null(require_columns(df, *required))
+    """Fixed targets from CSV or Parquet, required columns checked, NaN as null; no targets at all
+    is an error."""
+    df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
+    checked = nan_to_null(require_columns(df, *required))
+    if checked.isEmpty():
+        raise ValueError(f"no targets in {path}")
+    return checked
 
 
 def read_manual_targets(spark: SparkSession, path: str) -> DataFrame:
-    """Hand-written targets from YAML; required numbers are strict, optional ones may be empty."""
+    """Hand-written targets from a YAML file; required numbers are strict, optional ones may be
+    empty. The file is a list that someone typed: it is read whole, through Spark."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        rows = yaml.safe_load(f).get("targets", [])
+    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
     optional = ("pmra_masyr", "pmdec_masyr", "parallax_mas")
-    made = [(str(r["target_id"]), float(r["ra_deg"]), float(r["dec_deg"]), *(float(r[k]) if r.get(k) not in (None, "") else None for k in optional)) for r in rows]
-    return spark.createDataFrame(made, "target_id string, ra_deg double, dec_deg double, pmra_masyr double, pmdec_masyr double, parallax_mas double")
+    known = lambda v: float(v) if v not in (None, "") else None
+    rows = [(str(r["target_id"]), float(r["ra_deg"]), float(r["dec_deg"]), *(known(r.get(k)) for k in optional), float(r.get("priority_score", 0.0)), str(r.get("notes", ""))) for r in (yaml.safe_load(text) or {}).get("targets", [])]
+    return spark.createDataFrame(rows, "target_id string, ra_deg double, dec_deg double, pmra_masyr double, pmdec_masyr double, parallax_mas double, priority_score double, notes string")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +122,41 @@ def path_parts(path) -> dict:
     }
 
 
+#: Fields of an injection in a manifest. Numbers may come as text, so all are read as text.
+_MANIFEST = "injections array<struct<injection_id:string,target_id:string,line_family:string,nominal_line_nm:string,injected_line_nm:string,offset_nm:string,line_width_nm:string,strength_mode:string,find_me_snr:string,line_flux_uJy:string,frames_written:string,frames_skipped:string,frames:array<struct<injected_flux_uJy:string>>>>"
+#: What each reader of manifests takes: text columns, numbers, counts (0 where they are missing).
+MANIFEST_READERS = {
+    "recovery": (("injection_id", "target_id", "line_family", "strength_mode"), ("nominal_line_nm", "injected_line_nm", "offset_nm", "line_width_nm", "find_me_snr", "line_flux_uJy", "max_frame_flux_uJy"), ("frames_written", "frames_skipped")),
+    "blind": (("injection_id", "target_id", "line_family"), ("injected_line_nm", "find_me_snr", "line_flux_uJy", "max_frame_flux_uJy"), ("frames_written", "frames_skipped")),
+    "detector": (("injection_id", "target_id", "line_family"), ("injected_line_nm", "find_me_snr", "line_flux_uJy"), ("frames_written",)),
+    "dataset": (("injection_id", "target_id", "line_family", "strength_mode", "manifest_path"), ("nominal_line_nm", "injected_line_nm", "offset_nm", "line_width_nm", "find_me_snr", "line_flux_uJy", "max_frame_flux_uJy"), ("frames_written", "frames_skipped")),
+}
+
+
+def read_manifest(spark: SparkSession, path: str, reader: str, lines: bool = False) -> DataFrame:
+    """One row an injection of manifest files (each one JSON document, or one a line), with the
+    columns of a reader. What is no number is null, a missing count 0; the highest frame flux of an
+    injection without frames is 0."""
+    texts, numbers, counts = MANIFEST_READERS[reader]
+    raw = spark.read.schema(_MANIFEST).option("multiLine", not lines).json(path)
+    i = raw.select(F.explode("injections").alias("i"), F.col("_metadata.file_path").alias("manifest_path")).select("i.*", "manifest_path")
+    flux = F.array_max(F.transform("frames", lambda f: F.coalesce(f["injected_flux_uJy"].try_cast("double"), F.lit(0.0))))
+    i = i.withColumn("max_frame_flux_uJy", F.coalesce(flux, F.lit(0.0)).cast("string"))
+    return i.select(*texts, *(F.col(c).try_cast("double").alias(c) for c in numbers), *(F.coalesce(F.col(c).try_cast("double").cast("long"), F.lit(0)).alias(c) for c in counts))
+
+
+def frame_path_fields(path) -> dict:
+    """Columns that a frame's folder and file name hold; null where they don't match."""
+    known = lambda pattern, text, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    folder = r"/(\d{4}W\d{2}_[0-9A-Z]+)/(?:(l2b-[^/]+)/)?(?:(\d+)/)?"
+    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    own = r"^level2_(\d{4}W\d{2}_[0-9A-Z]+)_(\d+)_([0-9])D([1-6])_"
+    return {
+        "planning_period": F.coalesce(known(own, name, 1), known(folder, path, 1)), "processing_version": known(folder, path, 2), "detector_dir": known(folder, path, 3).cast("int"), "exposure_id": known(own, name, 2),
+        "frame_in_exposure": known(own, name, 3).cast("int"), "detector": F.coalesce(known(own, name, 4), known(r"_1D([1-6])_", name, 1), known(r"D([1-6])", name, 1)).cast("int"),
+    }
+
+
 def list_files(spark: SparkSession, root: str, suffix: str = "*", limit: int | None = None) -> DataFrame:
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(root).select("path", "length", "modificationTime").orderBy("path")
     return df.limit(limit) if limit else df
@@ -122,13 +166,29 @@ def file_hashes(spark: SparkSession, root: str, suffix: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", suffix).load(root).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def build_manifest(df: DataFrame, seconds: float) -> dict:
-    rows = df.count()
+def build_manifest(catalog: DataFrame, cell: str = "hpx") -> DataFrame:
+    """What a written catalog holds: rows, files and bytes of every cell, from the files' metadata."""
+    files = catalog.groupBy(cell, F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return files.groupBy(cell).agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("files"), F.sum("b").alias("bytes"))
+
+
+def throughput(rows: int, seconds: float) -> dict:
     return {"rows": rows, "seconds": seconds, "rows_per_sec": rows / seconds if seconds > 0 else None}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Summaries as CSV with a header in every part file."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Add events to a log of JSON lines."""
+    events.write.mode("append").json(path)
+
+
+def reset_events(spark: SparkSession, path: str) -> None:
+    """Empty the log; readers find no events."""
+    spark.createDataFrame([], "event string").write.mode("overwrite").json(path)
 
 
 def magnitude_band(catalog: DataFrame, magnitude: str, low: float, high: float) -> DataFrame:
@@ -158,3 +218,22 @@ def enriched(rows: DataFrame, keys: list[str], more: DataFrame, zero: Sequence[s
 def rows_of(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key another table has."""
     return rows.join(kept.select(*keys), keys, "left_semi")
+
+
+def flattened(df: DataFrame, separator: str = "_") -> DataFrame:
+    """Structs as columns named after their path, down to the last level; other columns as they are."""
+    from pyspark.sql import types as T
+
+    def leaves(schema: T.StructType, path: tuple[str, ...]):
+        for f in schema.fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, (*path, f.name))
+            else:
+                yield (*path, f.name)
+
+    return df.select(*(F.col(".".join(f"`{p}`" for p in path)).alias(separator.join(path)) for path in leaves(df.schema, ())))
+
+
+def prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
+    """Columns named after the backend that made them, but for the keys."""
+    return df.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keys))
