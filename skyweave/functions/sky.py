@@ -332,3 +332,11 @@ def sky_prefilter(df: DataFrame, ra: str, dec: str, polygon: list[tuple[float, f
 def flat_distance(ra: Column, dec: Column, ra0: float, dec0: float) -> Column:
     """Distance in degrees as on a plane, right ascension shrunk by the cosine of the declination."""
     return F.sqrt(F.pow((ra - ra0) * F.cos(F.radians(dec)), 2) + F.pow(dec - dec0, 2))
+
+
+def ra_clause(column: str, low: float, high: float) -> str:
+    """A right ascension range as SQL text; one that runs over 360 becomes two sides."""
+    if high - low >= 360.0:
+        return "true"
+    a, b = low % 360.0, high % 360.0
+    return f"({column} >= {a!r}D or {column} <= {b!r}D)" if a > b else f"({column} >= {a!r}D and {column} <= {b!r}D)"

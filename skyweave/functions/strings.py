@@ -118,3 +118,9 @@ def run_parts(c: Column) -> dict[str, Column]:
 def first_known(*columns: Column, default: str | None = None) -> Column:
     """The first value that is known, else the default."""
     return F.coalesce(*columns, F.lit(default))
+
+
+def payload_weight(text: Column) -> dict[str, Column]:
+    """What a text weighs as a prompt: bytes, and tokens at 4, 3 and 2.5 characters each."""
+    n = F.length(text)
+    return {"n_bytes": F.octet_length(text).cast("long"), "tokens_4": F.bround(n / 4.0).cast("long"), "tokens_3": F.bround(n / 3.0).cast("long"), "tokens_2p5": F.bround(n / 2.5).cast("long")}

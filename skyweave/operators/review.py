@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyweave.functions.strings import matches_text
+from skyweave.operators import bands, windows
 
 # Source names that mean the same, columns of the text search, and the sort menu.
 SOURCE_GROUPS = (("baseline", "uninjected", "science"), ("injected", "injected_raw"), ("paired", "paired_delta"))
@@ -109,3 +110,20 @@ def binary_metrics(rows: DataFrame, label: Column, probability: Column) -> DataF
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     return got.withColumns({"injected_recovered_fraction": share("injected_recovered", "injected_total"), "baseline_false_alarm_fraction": share("baseline_false_alarms", "baseline_total")})
+
+
+def best_near(candidates: DataFrame, wanted_nm: float, tolerance_nm: float = 5.0) -> DataFrame:
+    """Each target's best candidate (peak_nm, score, candidate_id): of those within the tolerance if
+    there are any, else of all; the highest score, of equal ones the smaller id."""
+    near = F.coalesce(F.abs(F.col("peak_nm") - wanted_nm) <= tolerance_nm, F.lit(False))
+    return windows.keep_first(candidates, ["target_id"], [near.desc(), F.col("score").desc_nulls_last(), F.col("candidate_id")])
+
+
+def inspection(points: DataFrame, best: DataFrame, window_um: float = 0.18, most: int = 5, least: float = 1e-3) -> DataFrame:
+    """Points around each target's line with their response to it, and whether they are among the
+    ``most`` that support it. Points outside the window go before anything is ranked."""
+    line = F.col("peak_nm") / 1000.0
+    near = points.join(best, "target_id").where(F.abs(F.col("cwave_um") - line) <= window_um).withColumn("line_response", bands.response(F.col("cwave_um"), F.col("cband_um"), line))
+    order = [F.round("line_response", 12).desc(), *(F.col(c) for c in ("image_id", "cwave_um", "detector", "aperture_flux_uJy"))]
+    place = F.row_number().over(Window.partitionBy("target_id").orderBy(*order))
+    return near.withColumn("is_support", (place <= most) & (F.col("line_response") >= least))

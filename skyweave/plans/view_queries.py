@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyweave.functions import sky
-from skyweave.operators import ml, pixels, runs, spectra
+from skyweave.functions import numeric, sky, strings
+from skyweave.operators import ml, pixels, review, runs, spectra, windows
+from skyweave.plans.aggregate_queries import _tiebroken, quality_sql
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.match_queries import FIRST
 from skyweave.plans.pixel_queries import FATAL, INNER, OUTER, RADIUS, SIZE, _frames, _targets
 from skyweave.plans.registry import query
 from skyweave.session import fresh_folder, stored
-from skyweave.sources import tables
+from skyweave.sources import fits, tables
 
 _IMAGE = "img as (select f.frame_id, cast(gy.i as int) as py, cast(gx.i as int) as px, v.value, v.variance, coalesce(v.flags, 0) as flags from (select distinct frame_id from pixel_values) f cross join range(24) gy(i) cross join range(24) gx(i) left join pixel_values v on v.frame_id = f.frame_id and v.y = gy.i and v.x = gx.i)"
 
@@ -172,9 +173,77 @@ def flat_rows(t: Tables) -> DataFrame:
 @query("v22_backend_rows", f"select target_id, image_id, round(aperture_flux_uJy, 6) as cpu_flux, round(psf_flux_uJy, 6) as gpu_flux from (select *, {FIRST} as k from spectra_points) where k = 1")
 def backend_rows(t: Tables) -> DataFrame:
     """Rows of two backends side by side, their columns named after them."""
-    from skyweave.operators import windows
-
     keys = ["target_id", "image_id"]
     one = windows.keep_first(t.points, keys, [F.col(c) for c in ("cwave_um", "detector", "aperture_flux_uJy", "psf_flux_uJy")])
     side = lambda flux, name: tables.prefixed(one.select(*keys, F.round(flux, 6).alias("flux")), name, keys)
     return side("aperture_flux_uJy", "cpu").join(side("psf_flux_uJy", "gpu"), keys)
+
+
+@query("s10_fits_pixels", "select frame_id, count(*) as n, round(sum(value), 6) as total, cast(sum(flags) as bigint) as flags, max(y*24 + x) as last from pixel_values group by 1")
+def fits_pixels(t: Tables) -> DataFrame:
+    """Frames as FITS files in a table of bytes, and their pixels read back."""
+    path = fresh_folder(t.spark, "fits")
+    fits.frame_bytes(_frames(t), SIZE).write.parquet(path)
+    back = fits.frame_pixels(t.spark.read.parquet(path))
+    return back.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.sum("flags").alias("flags"), F.max(F.col("y") * SIZE[1] + F.col("x")).alias("last"))
+
+
+@query("s11_file_listing", "select 'detector=' || cast(detector as varchar) as folder, true as has_bytes from (select distinct detector from spectra_points)")
+def file_listing(t: Tables) -> DataFrame:
+    """Files under a folder by suffix, in the order of their paths."""
+    path = fresh_folder(t.spark, "listing")
+    t.points.select("target_id", "detector").repartition("detector").write.partitionBy("detector").parquet(path)
+    files = tables.list_files(t.spark, path, "*.parquet")
+    return files.groupBy(F.regexp_extract("path", r"(detector=\d+)/", 1).alias("folder")).agg((F.min("length") > 0).alias("has_bytes"))
+
+
+#: Maps of wavelength and width over a detector's image; each is linear along every line and column.
+_MAPS = {"cwave_um": "0.75e0 + 0.4e0*d + 0.02e0*x + 0.001e0*x*y", "cband_um": "0.01e0 + 0.0005e0*x + 0.0002e0*y"}
+
+
+@query("g10_wavelength_maps", "with t as (select frame_id, target_id, x, y, cast(substr(frame_id, 5) as bigint) % 6 as d from pixel_targets) select frame_id, target_id, " + ", ".join(f"case when x between 0e0 and 23e0 and y between 0e0 and 23e0 then round({sql}, 9) end as {name}" for name, sql in _MAPS.items()) + " from t")
+def wavelength_maps(t: Tables) -> DataFrame:
+    """Wavelength and width at every target, between the pixels of its detector's maps; the maps are a
+    short table, one row a detector, joined by detector."""
+    axis = F.sequence(F.lit(0), F.lit(SIZE[0] - 1))
+    value = {"cwave_um": lambda x, y: 0.75 + 0.4 * F.col("d") + 0.02 * x + 0.001 * x * y, "cband_um": lambda x, y: 0.01 + 0.0005 * x + 0.0002 * y}
+    image = lambda f: F.transform(axis, lambda y: F.transform(axis, lambda x: f(x.cast("double"), y.cast("double"))))
+    detectors = t.table("supplier").select((F.col("s_suppkey") % 6).alias("d")).distinct()
+    maps = stored(detectors.select("d", *(image(f).alias(f"map_{n}") for n, f in value.items())), "maps")
+    places = _targets(t).withColumn("d", F.substr("frame_id", F.lit(5)).cast("long") % 6)
+    at = places.join(maps, "d")
+    return at.select("frame_id", "target_id", *(F.round(numeric.bilinear(F.col(f"map_{n}"), F.col("x"), F.col("y")), 9).alias(n) for n in value))
+
+
+@query("v21_inspection", "with b as (select target_id, injected_line_nm as peak_nm, strength, row_number() over (partition by target_id order by abs(injected_line_nm - 1000e0) <= 5e0 desc, strength desc, injection_id) as k from injection_truth), p as (select s.target_id, image_id, cwave_um, cband_um, detector, aperture_flux_uJy, peak_nm, exp(-0.5e0*pow((cwave_um - peak_nm/1000e0)/(sqrt(pow(greatest(cband_um, 0e0), 2) + 1e-6)/2.354820045e0), 2)) as r from spectra_points s join b on s.target_id = b.target_id and b.k = 1), g as (select *, row_number() over (partition by target_id order by round(r, 12) desc, image_id, cwave_um, detector, aperture_flux_uJy) as place from p) select target_id, image_id, round(cwave_um, 9) as cwave_um, peak_nm, round(r, 9) as line_response, place <= 5 and r >= 1e-3 as is_support from g where abs(cwave_um - peak_nm/1000e0) <= 0.18e0")
+def inspection(t: Tables) -> DataFrame:
+    """What an inspector opens for every target: its best line near 1000 nm, and the points around it
+    with those that support it marked."""
+    best = review.best_near(t.truth.select("target_id", F.col("injected_line_nm").alias("peak_nm"), F.col("strength").alias("score"), F.col("injection_id").alias("candidate_id")), 1000.0)
+    rows = review.inspection(t.points, best.select("target_id", "peak_nm"), window_um=0.18, most=5)
+    return rows.select("target_id", "image_id", F.round("cwave_um", 9).alias("cwave_um"), "peak_nm", F.round("line_response", 9).alias("line_response"), "is_support")
+
+
+@query("s27_payload_weights", "with k as (select target_id, cwave_um, aperture_flux_uJy, row_number() over (partition by target_id order by abs(cwave_um - 1.55e0), image_id, detector, aperture_flux_uJy) as n from spectra_points), p as (select target_id, '{\"w\":[' || string_agg(cast(cast(round_even(cwave_um*1000e0, 0) as bigint) as varchar), ',' order by cwave_um, aperture_flux_uJy) || '],\"f\":[' || string_agg(cast(cast(round_even(aperture_flux_uJy, 0) as bigint) as varchar), ',' order by cwave_um, aperture_flux_uJy) || ']}' as packet from k where n <= 24 group by 1) select target_id, packet, strlen(packet) as n_bytes, cast(round_even(length(packet)/4e0, 0) as bigint) as tokens_4, cast(round_even(length(packet)/3e0, 0) as bigint) as tokens_3, cast(round_even(length(packet)/2.5e0, 0) as bigint) as tokens_2p5 from p")
+def payload_weights(t: Tables) -> DataFrame:
+    """Compact packets of each target's points around a line, and what they weigh as a prompt."""
+    near = windows.nearest_k(t.points, ["target_id"], F.abs(F.col("cwave_um") - 1.55), [F.col("image_id"), F.col("detector"), F.col("aperture_flux_uJy")], 24)
+    s = near.groupBy("target_id").agg(F.sort_array(F.collect_list(F.struct("cwave_um", "aperture_flux_uJy"))).alias("s"))
+    scaled = lambda field, factor: F.transform("s", lambda p: F.bround(p[field] * factor, 0).cast("long"))
+    packets = s.select("target_id", F.to_json(F.struct(scaled("cwave_um", 1000.0).alias("w"), scaled("aperture_flux_uJy", 1.0).alias("f"))).alias("packet"))
+    return packets.select("target_id", "packet", *(c.alias(n) for n, c in strings.payload_weight(F.col("packet")).items()))
+
+
+@query("p3_wrap_clause", "select source_id from catalog_sources where (ra >= 350e0 or ra <= 15e0) and dec < 20e0")
+def wrap_clause(t: Tables) -> DataFrame:
+    """The clause as SQL text, for scans that take a string."""
+    return t.catalog.where(f"{sky.ra_clause('ra', 350.0, 375.0)} and dec < 20").select("source_id")
+
+
+@query("p23_quality_gate", "with sm as (select target_id, image_id, detector, cwave_um, 1e4/cwave_um + aperture_flux_uJy*1e-4 as aperture_flux_uJy, psf_flux_uJy, aperture_flux_unc_uJy, fatal_flag_present from spectra_points), " + quality_sql("select target_id, cwave_um as x, aperture_flux_uJy as a, aperture_flux_unc_uJy as u, psf_flux_uJy as p, fatal_flag_present as bad from (select *, row_number() over (partition by target_id, cwave_um order by image_id, detector, aperture_flux_uJy, psf_flux_uJy) as k from sm) where k = 1") + " select q0.target_id, count(*) as n from q0 join quality on q0.target_id = quality.target_id where usable >= 50 and span >= 4000e0 group by 1")
+def quality_gate(t: Tables) -> DataFrame:
+    """Points of targets that pass the tests for which a quality table without agreement and category
+    has columns."""
+    one = _tiebroken(t.points.withColumn("aperture_flux_uJy", 1e4 / F.col("cwave_um") + F.col("aperture_flux_uJy") * 1e-4))
+    quality = spectra.spectrum_quality(one).drop("corr", "frac_delta", "category")
+    return spectra.quality_gate(one, quality).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))

@@ -106,3 +106,39 @@ def write_image(array: np.ndarray, cards: dict | None = None) -> bytes:
     header = text.ljust(-(-len(text) // BLOCK) * BLOCK).encode("ascii")
     body = array.astype(array.dtype.newbyteorder(">")).tobytes()
     return header + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+
+
+def frame_bytes(frames: DataFrame, size: tuple[int, int]) -> DataFrame:
+    """(frame_id, content): packed frames (y, x, value, flags) as files of two image units, the image in
+    doubles and the flags in integers; pixels that a frame lacks are NaN."""
+    height, width = size
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for frame_id, ys, xs, values, flags in batch[["frame_id", "y", "x", "value", "flags"]].itertuples(index=False):
+                image, marks = np.full(size, np.nan), np.zeros(size, dtype="i4")
+                image[np.asarray(ys), np.asarray(xs)] = np.asarray(values, dtype=float)
+                marks[np.asarray(ys), np.asarray(xs)] = np.asarray(flags, dtype=np.int64)
+                rows.append((frame_id, write_image(image, {"OBJECT": str(frame_id)}) + write_image(marks, {"EXTNAME": "FLAGS"})))
+            yield pd.DataFrame(rows, columns=["frame_id", "content"])
+
+    return frames.mapInPandas(write, "frame_id string, content binary")
+
+
+def frame_pixels(files: DataFrame, key: str = "frame_id") -> DataFrame:
+    """Pixels (y, x, value, flags) of files (key, content) of an image unit and a flags unit; pixels
+    that aren't finite are left out, a file without an image has none."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for frame_id, content in batch[[key, "content"]].itertuples(index=False):
+                images = [a for _, a in read_units(content or b"") if a is not None and a.ndim == 2]
+                if not images:
+                    continue
+                image = images[0].astype(float)
+                flags = images[1].astype(np.int64) if len(images) > 1 else np.zeros(image.shape, dtype=np.int64)
+                y, x = np.nonzero(np.isfinite(image))
+                yield pd.DataFrame({key: frame_id, "y": y.astype(np.int32), "x": x.astype(np.int32), "value": image[y, x], "flags": flags[y, x]})
+
+    return files.select(key, "content").mapInPandas(read, f"{key} string, y int, x int, value double, flags long")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from skyweave.functions.strings import payload_weight
 from skyweave.schemas import STATUS_EVENT
 
 #: How an event moves a field, and the order in which a snapshot lists fields.
@@ -127,10 +128,9 @@ def log_facts(logs: DataFrame, text: str, error_tokens: Sequence[str] = ERROR_TO
     stamps = F.transform(marked, lambda x: F.regexp_extract(x, f"^.*?{START_MARK}([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[^ ]*)", 1))
     times = F.filter(F.transform(stamps, lambda x: x.try_cast("timestamp")), lambda x: x.isNotNull())
     spoken = F.filter(F.transform(F.split(tail, "\r\n|\n|\r"), lambda x: F.btrim(x, F.lit(" \t"))), lambda x: x != "")
-    n = F.length(t)
     return logs.withColumns(
         {
-            "n_chars": n.cast("long"), "n_bytes": F.octet_length(t).cast("long"), "tokens_4": F.bround(n / 4.0).cast("long"), "tokens_3": F.bround(n / 3.0).cast("long"), "tokens_2p5": F.bround(n / 2.5).cast("long"),
+            "n_chars": F.length(t).cast("long"), **payload_weight(t),
             "real_log": F.contains(head, F.lit(real_mark)) | F.contains(tail, F.lit(real_mark)),
             "has_error": functools.reduce(lambda a, b: a | b, found, F.lit(False)),
             "start_time": F.get(times, F.lit(0)), "message": F.element_at(F.when(F.size(spoken) > 0, spoken), -1),

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyweave.operators import ml, pixels, runs, spectra
-from skyweave.sources import tables
+from skyweave.functions import numeric, sky, strings
+from skyweave.operators import ml, pixels, review, runs, spectra
+from skyweave.sources import fits, tables
 
 
 def test_star_csv_with_preamble(spark, tmp_path):
@@ -152,3 +153,30 @@ def test_projection_and_export(spark):
     one, two = (sorted(r.target_id for r in ml.projection_points(q, limit=1000).collect()) for q in (p, p.repartition(5)))
     assert one == two and ml.projection_points(p, "run3", ("run_name",)).where("run_name != 'Run3'").count() == 0
     assert ml.projection_clusters(p, {"m": "nothing"}).columns == ["cluster_id", "n"]
+
+
+def test_frames_as_files_and_back(spark):
+    pix = spark.createDataFrame([("f", i, j, math.sin(i * 7 + j), 1.0, (i * j) % 3) for i in range(5) for j in range(4) if (i + j) % 6] + [("g", 2, 3, 1.5, 1.0, 1)], PIX)
+    files = fits.frame_bytes(pixels.pack_frames(pix), (5, 4))
+    back = fits.frame_pixels(files.union(spark.createDataFrame([("bad", b"junk"), ("none", None)], "frame_id string, content binary")))
+    assert sorted(map(tuple, back.collect())) == sorted((r.frame_id, r.y, r.x, r.value, r.flags) for r in pix.collect())
+
+
+def test_inspection_of_the_best_candidate(spark):
+    c = spark.createDataFrame([("t", 1500.0, 9.0, "c1"), ("t", 1003.0, 2.0, "c2"), ("t", 996.0, 2.0, "c0"), ("u", 1500.0, None, "c4"), ("u", 2000.0, 1.0, "c5"), ("v", None, 1.0, "c6")], "target_id string, peak_nm double, score double, candidate_id string")
+    best = review.best_near(c, 1000.0)
+    assert {r.target_id: r.candidate_id for r in best.collect()} == {"t": "c0", "u": "c5", "v": "c6"}
+    points = spark.createDataFrame([("t", f"i{k}", 0.98 + 0.004 * k, 0.02, 1, 5.0) for k in range(12)] + [("t", "far", 3.0, 0.02, 1, 5.0), ("u", "x", 2.0, 0.02, 1, 5.0)], "target_id string, image_id string, cwave_um double, cband_um double, detector int, aperture_flux_uJy double")
+    rows = review.inspection(points, best.select("target_id", "peak_nm"), most=3).collect()
+    assert {r.image_id for r in rows if r.target_id == "t" and r.is_support} == {"i3", "i4", "i5"} and len(rows) == 13
+
+
+def test_scalars(spark):
+    one = spark.range(1)
+    assert sky.ra_clause("ra", 350.0, 375.0) == "(ra >= 350.0D or ra <= 15.0D)" and sky.ra_clause("ra", 10.0, 20.0) == "(ra >= 10.0D and ra <= 20.0D)" and sky.ra_clause("ra", 0.0, 360.0) == "true"
+    weight = one.select(*(c.alias(n) for n, c in strings.payload_weight(F.lit("é" * 10)).items())).first()
+    assert (weight.n_bytes, weight.tokens_4, weight.tokens_3, weight.tokens_2p5) == (20, 2, 3, 4)
+    flux = one.select(numeric.to_micro_jansky(F.lit(2.0), F.lit(3.0)).alias("f"), numeric.variance_to_micro_jansky(F.lit(2.0), F.lit(3.0)).alias("v")).first()
+    assert flux.f == pytest.approx(6 * 23.50443053909789) and flux.v == pytest.approx(2.0 * (3 * 23.50443053909789) ** 2)
+    assert one.select(strings.first_known(F.lit(None).cast("string"), F.lit("b"), default="c").alias("x")).first().x == "b"
+    assert one.select(sky.flat_distance(F.lit(11.0), F.lit(60.0), 10.0, 60.0).alias("d")).first().d == pytest.approx(0.5)
