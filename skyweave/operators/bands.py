@@ -82,13 +82,13 @@ def _line_blocks(grid: DataFrame) -> Iterator[np.ndarray]:
 
 def _by_segment(points: DataFrame, window_um: float) -> DataFrame:
     """Points of each target by segments of two windows: every segment has all points within one
-    window of its lines, so it is folded over its lines alone. One shuffle, by target; a task
-    holds one segment of a target at a time."""
+    window of its lines, so it is folded over its lines alone. One shuffle, by target and segment,
+    so a target with very many points is dealt over as many tasks as it has segments; a task
+    holds one segment at a time."""
     wide = 2 * window_um
     segment = lambda x: F.floor(x / wide).cast("int")
-    dealt = points.repartition("target_id") if "c_target" not in points.columns else points
-    dealt = dealt.withColumn("_segment", F.explode(F.sequence(segment(F.col("cwave_um") - window_um - _EDGE), segment(F.col("cwave_um") + window_um + _EDGE))))
-    return dealt.sortWithinPartitions("target_id", "_segment", "cwave_um")
+    dealt = points.withColumn("_segment", F.explode(F.sequence(segment(F.col("cwave_um") - window_um - _EDGE), segment(F.col("cwave_um") + window_um + _EDGE))))
+    return dealt.repartition("target_id", "_segment").sortWithinPartitions("target_id", "_segment", "cwave_um")
 
 
 def _fold(lines_nm: np.ndarray, window_um: float, width_um: float, fold, schema: pa.Schema):
@@ -140,7 +140,7 @@ def _fold(lines_nm: np.ndarray, window_um: float, width_um: float, fold, schema:
         def closed(table: pa.Table, final: bool) -> Iterator[pa.RecordBatch]:
             """Whole groups are folded; the last one may go on in the next batch and is kept."""
             nonlocal held
-            code = table.column("target_id").combine_chunks().dictionary_encode().indices.to_numpy()
+            code = table.column("target_id").combine_chunks().dictionary_encode("encode").indices.to_numpy()
             segment = table.column("_segment").to_numpy()
             cut = np.flatnonzero((code[1:] != code[:-1]) | (segment[1:] != segment[:-1])) + 1
             begin, end = np.concatenate(([0], cut)), np.append(cut, len(code))
@@ -195,16 +195,17 @@ def scan(
 
     The continuum is the median (or mean) of the points of the window that barely respond to
     the line; below ``least_continuum`` of them all points of the window serve, and below that
-    all points of the target. Points are shuffled once, by target, and every segment of a
-    target's sorted series is folded over its lines with arrays."""
+    all points of the target, whose level is aggregated apart and joined. Points are shuffled by
+    target and segment, and every segment of a target's sorted series is folded over its lines
+    with arrays."""
     base = points.where(F.col("cwave_um").isNotNull() & F.col("cband_um").isNotNull() & F.col(flux).isNotNull())
     if not keep_flagged and "fatal_flag_present" in points.columns:
         base = base.where(~F.coalesce("fatal_flag_present", F.lit(False)))
     double = lambda c, n: F.col(c).cast("double").alias(n)
     base = base.select("target_id", double("cwave_um", "cwave_um"), double("cband_um", "cband_um"), double(flux, "f"), F.coalesce(F.col(unc).cast("double"), F.lit(0.0)).alias("u"))
     level = F.median if continuum == "median" else F.avg
-    target = Window.partitionBy("target_id")
-    base = base.withColumns({"c_target": level("f").over(target), "n_valid": F.count_if(F.col("u") > 0).over(target)}).where(F.col("n_valid") >= least_points).drop("n_valid")
+    whole = base.groupBy(F.col("target_id").alias("_t")).agg(level("f").alias("c_target"), F.count_if(F.col("u") > 0).alias("n_valid")).where(F.col("n_valid") >= least_points).drop("n_valid")
+    base = base.join(whole, F.col("target_id").eqNullSafe(F.col("_t"))).drop("_t")
 
     def fold(column, of_group, cell, point, t, n):
         f, u = column["f"], column["u"]
@@ -241,7 +242,7 @@ def _scanned(base: DataFrame, grid: DataFrame, window_um: float, width_nm: float
 
 def dual_scan(points: DataFrame, grid: DataFrame, window_um: float = 0.18, width_nm: float = 1.0, off_line: float = 0.25, least_response: float = 1e-3) -> DataFrame:
     """Aperture and fitted fluxes together: mean continuum over points with both, the combined
-    score ``rho`` and ``q = rho^2`` where rho is positive. One shuffle, by target."""
+    score ``rho`` and ``q = rho^2`` where rho is positive. One shuffle, by target and segment."""
     ok = ~F.coalesce("fatal_flag_present", F.lit(False)) & (F.col("aperture_flux_unc_uJy") > 0) & (F.col("psf_flux_unc_uJy") > 0)
     named = {"cwave_um": "cwave_um", "cband_um": "cband_um", "aperture_flux_uJy": "fa", "aperture_flux_unc_uJy": "ua", "psf_flux_uJy": "fp", "psf_flux_unc_uJy": "up"}
     base = points.where(ok).select("target_id", *(F.col(c).cast("double").alias(n) for c, n in named.items())).dropna()

@@ -9,6 +9,7 @@ from skyweave.operators import bands, candidates, spectra, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query
 from skyweave.plans.scan_queries import _DIGITS, CLUSTERS, PLAN_GRID, _plan_lines, _rounded, _scores, scan_sql
+from skyweave.session import stored
 
 FIRST = "row_number() over (partition by target_id, image_id order by cwave_um, detector, aperture_flux_uJy, psf_flux_uJy)"
 
@@ -82,7 +83,7 @@ def any_quality(t: Tables) -> DataFrame:
 
 @query("j6_false_positives", scan_sql() + "select s.target_id, s.line_nm from scores s where s.snr >= 5e0 and not exists (select 1 from injection_truth t where t.target_id = s.target_id and abs(t.injected_line_nm - s.line_nm) <= 40e0)")
 def false_positives(t: Tables) -> DataFrame:
-    hits = _scores(t).where("snr >= 5").select("target_id", "line_nm")
+    hits = stored(_scores(t).where("snr >= 5").select("target_id", "line_nm"), "hits")  # both sides of the join
     matched = bands.band_join(hits, t.truth.select("target_id", "injected_line_nm"), ["target_id"], "line_nm", "injected_line_nm", 40.0).select("target_id", "line_nm")
     return hits.join(matched, ["target_id", "line_nm"], "left_anti")
 
@@ -109,7 +110,7 @@ def configured(t: Tables) -> DataFrame:
 def grades(t: Tables) -> DataFrame:
     from skyweave.functions.numeric import p_global
 
-    cells = bands.dual_scan(t.points, bands.line_grid(t.spark, 750.0, 5000.0, 25.0))
+    cells = stored(bands.dual_scan(t.points, bands.line_grid(t.spark, 750.0, 5000.0, 25.0)), "cells")
     peaks = windows.nms_topk(cells.select("target_id", F.round((F.col("line_nm") - 750) / 25).cast("long").alias("i"), "q"), ["target_id"], "i", "q", 3, 4).withColumn("line_nm", F.col("i") * 25.0 + 750.0)
     found = peaks.drop("q").join(cells, ["target_id", "line_nm"]).withColumn("p_global", p_global(F.col("q"), F.lit(5.0), F.lit(4.0))).withColumn("tier", F.when(F.col("p_global") <= 0.01, "science_pass").otherwise("raw")).withColumn("flagged_points_sum", F.lit(0))
     return candidates.review_grades(found).select("target_id", "line_nm", "review_grade", "reject_reasons")

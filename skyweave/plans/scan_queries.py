@@ -9,6 +9,7 @@ from skyweave.functions.numeric import p_global, p_local
 from skyweave.operators import bands, spectra, windows
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query
+from skyweave.session import stored
 
 GRID = "grid as (select 750e0 + 25e0*i as line_nm from range(171) t(i))"
 #: The grids of the reference's blind scan and dual scan, and the plan's distinct lines.
@@ -156,7 +157,7 @@ def grid(t: Tables) -> DataFrame:
 
 @query("f8_diagnostic_window", DUAL_SQL + ", best as (select target_id, line_nm as peak_nm, row_number() over (partition by target_id order by q desc, line_nm) as k from scores), around as (select s.target_id, s.line_nm, b.peak_nm, round(s.q, 2) as q, row_number() over (partition by s.target_id order by abs(s.line_nm - b.peak_nm), s.line_nm) as k from scores s join best b on s.target_id = b.target_id and b.k = 1 where abs(s.line_nm - b.peak_nm) <= 80e0) select target_id, line_nm, peak_nm, q from around where k <= 201")
 def diagnostic_window(t: Tables) -> DataFrame:
-    cells = _dual(t).select("target_id", "line_nm", "q")
+    cells = stored(_dual(t).select("target_id", "line_nm", "q"), "cells")  # scanned once
     best = cells.groupBy("target_id").agg(F.max_by("line_nm", F.struct("q", -F.col("line_nm"))).alias("peak_nm"))
     near = bands.band_join(cells, best, ["target_id"], "line_nm", "peak_nm", 80.0)
     return windows.nearest_k(near, ["target_id"], F.abs(F.col("line_nm") - F.col("peak_nm")), [F.col("line_nm")], 201).select("target_id", "line_nm", "peak_nm", F.round("q", 2).alias("q"))
@@ -225,7 +226,7 @@ def nms_topk_1nm(t: Tables) -> DataFrame:
 @query("f8_diagnostic_window_1nm")
 def diagnostic_window_1nm(t: Tables) -> DataFrame:
     """The lines around every pick of the 1 nm scan."""
-    cells = _dual(t, 1.0).select("target_id", "line_nm", "q")
+    cells = stored(_dual(t, 1.0).select("target_id", "line_nm", "q"), "cells")
     indexed = cells.select("target_id", F.round(F.col("line_nm") - 750.0).cast("long").alias("line_index"), "q")
     picks = windows.nms_topk(indexed, ["target_id"], "line_index", "q", 10, 10, 2.25).select("target_id", (F.col("line_index") + 750.0).alias("peak_nm"))
     near = bands.band_join(cells, picks, ["target_id"], "line_nm", "peak_nm", 80.0)
