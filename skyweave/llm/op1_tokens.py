@@ -22,6 +22,7 @@ plane of one bit each.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import struct
@@ -518,6 +519,26 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+#: Bytes of texts that go to a worker at once.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """While a table is written, Arrow batches of at most BATCH_BYTES: a batch of the usual number of
+    rows holds tens of MB of texts, in the JVM and in the worker. The setting is restored after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_tokens long, doc_ids array<long>, blob binary"
 
 
@@ -555,7 +576,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, shard_id
         if ids:
             yield flush()
 
-    return store(rows.mapInArrow(encode, SHARD_SCHEMA), "token-shards")[0]
+    with small_batches(docs.sparkSession):
+        return store(rows.mapInArrow(encode, SHARD_SCHEMA), "token-shards")[0]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -564,7 +586,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one shard at a time
+                row = {name: batch.column(name)[k].as_py() for name in ("part", "seq", "doc_ids", "blob")}
                 shard = Shard(row["blob"])
                 ids = shard.all().astype("<u4")
                 lengths = shard.doc_lengths.astype(np.int64)
@@ -573,7 +596,6 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, row["part"]), pa.int32()), pa.array(np.full(n, row["seq"]), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(begin), pa.array(lengths), pa.array(crc, pa.int64())], schema=kind)
 
-    # a row holds a whole shard: few rows a batch keep a worker's memory bounded
     return shards.select("part", "seq", "doc_ids", "blob").mapInArrow(decode, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
