@@ -107,3 +107,21 @@ def projection_points(rows: DataFrame, text: str = "", columns: tuple[str, ...]
     found = rows.where(matches_text([F.col(c) for c in columns if c in rows.columns], text)) if text else rows
     found = found if cluster is None else found.where(F.col("cluster_id") == cluster)
     return found.orderBy(F.xxhash64(F.lit(42), key), key).limit(min(50_000, max(1_000, limit)))
+
+
+def random_view(features: DataFrame, keep: float = 0.78, most: int = 384, noise: float = 0.01, seed: int = 5) -> DataFrame:
+    """A view of each series of point features: ``keep`` of its points, two at least and ``most`` at
+    most (a single point stays), chosen by a seeded hash, with Gaussian noise on the four flux
+    features. Reruns agree, whatever the partitioning. Points are ranked by groups of equal first
+    hash digits, so that a long series isn't one task."""
+    from skyweave.operators import windows
+
+    key = F.concat_ws("|", F.lit(str(seed)), "target_id", "image_id", F.col("cwave_um").cast("string"), F.to_json("features"))
+    rows = windows.with_group_size(features.withColumn("_hash", F.sha1(key.cast("binary"))), ["target_id"], "_n")
+    ranked = windows.numbered_groups(rows, ["target_id"], F.substring("_hash", 1, 2), [F.col("_hash")], "_rank")
+    kept = F.least(F.greatest(F.bround(F.col("_n") * keep).cast("long"), F.lit(2)), F.col("_n"), F.lit(most))
+    chosen = ranked.where((F.col("_n") <= 1) | (F.col("_rank") < kept))
+    uniform = lambda k, i: (F.shiftrightunsigned(F.xxhash64("_hash", F.lit(k), i), 11) + 0.5) / float(1 << 53)
+    normal = lambda i: F.sqrt(-2.0 * F.log(uniform(1, i))) * F.cos(2.0 * 3.141592653589793 * uniform(2, i))
+    noisy = F.transform("features", lambda x, i: F.when((i >= 2) & (i < 6) & (F.col("_n") > 1), (x + noise * normal(i)).cast("float")).otherwise(x))
+    return chosen.withColumn("features", noisy).drop("_hash", "_n", "_rank")

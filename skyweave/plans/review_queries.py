@@ -167,3 +167,9 @@ def line_recovery(t: Tables) -> DataFrame:
     labelled = rows.join(truth.select("target_id").distinct().withColumn("injected", F.lit(1)), "target_id", "left").withColumn("injected", F.coalesce("injected", F.lit(0)))
     scores = inference.infer(rows, inference.fit_logistic(labelled, "injected"))
     return inference.recovery(truth.select("injection_id", "target_id", "strength", "injected_line_nm"), scores, 60.0)
+
+
+@query("m2_random_view")
+def random_view(t: Tables) -> DataFrame:
+    """A view of 78 % of each series' points with noise on its flux features."""
+    return ml.random_view(ml.point_features(t.points))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyweave.functions import numeric, sky, strings
-from skyweave.operators import ml, pixels, review, runs, spectra, windows
+from skyweave.operators import challenge, ml, pixels, review, runs, spectra, windows
 from skyweave.plans.aggregate_queries import _tiebroken, quality_sql
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.match_queries import FIRST
@@ -247,3 +247,40 @@ def quality_gate(t: Tables) -> DataFrame:
     one = _tiebroken(t.points.withColumn("aperture_flux_uJy", 1e4 / F.col("cwave_um") + F.col("aperture_flux_uJy") * 1e-4))
     quality = spectra.spectrum_quality(one).drop("corr", "frac_delta", "category")
     return spectra.quality_gate(one, quality).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RUN = "'run' || cast(cast(substr(target_id, 5) as bigint) % 7 as varchar)"
+CHALLENGE_SQL = f"""with t as (select target_id, {_RUN} as run, count(*) as n, count(case when fatal_flag_present then 1 end)*1e0/count(*) as ff from spectra_points group by 1, 2),
+inj as (select {_RUN} || '_injected' as run_name, target_id, injected_line_nm as line_nm from injection_truth where cast(substr(target_id, 5) as bigint) % 2 = 0),
+cl as (select run || '_baseline' as run_name, target_id from (select *, row_number() over (partition by run order by ff, n desc, target_id) as k from t where target_id not in (select target_id from inj)) where k <= 12),
+si as (select *, substr(sha1(run_name || '::' || target_id), 1, 12) as signal_id from inj), sc as (select *, substr(sha1(run_name || '::' || target_id), 1, 12) as signal_id from cl),
+pi as (select *, row_number() over (order by sha1('42:' || signal_id), signal_id) - 1 as place from si), pc as (select *, row_number() over (order by sha1('42:' || signal_id), signal_id) - 1 as place from sc),
+dc as (select replace(run_name, '_injected', '_baseline') as run_name, target_id, cast(null as double) as line_nm, substr(sha1(replace(run_name, '_injected', '_baseline') || '::' || target_id), 1, 12) as signal_id, signal_id as decoy_of from pi where place < 2),
+asked as (select run_name, target_id, line_nm, signal_id, cast(null as varchar) as decoy_of from pi where place between 4 and 13 union all select * from dc union all select run_name, target_id, null, signal_id, null from pc where place between 4 and 11),
+ledger as (select *, 'c' || lpad(cast(row_number() over (order by sha1('43:' || signal_id), signal_id) - 1 as varchar), 4, '0') as anon_id, 'challenge' as role from asked
+ union all select run_name, target_id, line_nm, signal_id, null, 'p' || lpad(cast(place as varchar), 3, '0'), 'known_signal' from pi where place < 4 union all select run_name, target_id, null, signal_id, null, 'n' || lpad(cast(place as varchar), 3, '0'), 'known_clean' from pc where place < 4)
+"""
+
+
+def _challenge(t: Tables) -> DataFrame:
+    run = F.concat(F.lit("run"), (F.substr("target_id", F.lit(5)).cast("long") % 7).cast("string"))
+    flag = F.coalesce("fatal_flag_present", F.lit(False)).cast("double")
+    truth = t.truth.where(F.substr("target_id", F.lit(5)).cast("long") % 2 == 0)
+    injected = truth.select(F.concat(run, F.lit("_injected")).alias("run_name"), "target_id", F.col("injected_line_nm").alias("line_nm"))
+    targets = t.points.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_points"), F.avg(flag).alias("flag_fraction")).withColumn("run_name", F.concat(run, F.lit("_baseline")))
+    return challenge.compose(injected, challenge.clean_targets(targets, injected), 20)
+
+
+@query("m13_challenge", CHALLENGE_SQL + "select run_name, target_id, line_nm, signal_id, decoy_of, anon_id, role, line_nm is not null as is_injected from ledger")
+def challenge_ledger(t: Tables) -> DataFrame:
+    """A challenge of twenty spectra with its examples and truth."""
+    return _challenge(t)
+
+
+@query("m13_outcomes", CHALLENGE_SQL + "select anon_id, signal_id, case when said and line_nm is not null then 'injected_correctly_found' when said then 'clean_incorrectly_flagged' when line_nm is not null then 'injected_missed' else 'clean_correctly_ignored' end as outcome from (select *, coalesce(decoy_of is not null or cast(substr(target_id, 5) as bigint) % 4 < 2, false) as said from ledger where role = 'challenge')")
+def challenge_outcomes(t: Tables) -> DataFrame:
+    """Outcomes of a reviewer who flags every decoy and half of the rest."""
+    ledger = stored(_challenge(t), "challenge")
+    said = F.col("decoy_of").isNotNull() | (F.substr("target_id", F.lit(5)).cast("long") % 4 < 2)
+    answers = ledger.where("role = 'challenge'").select("anon_id", said.alias("signal_like")).union(t.spark.createDataFrame([("c9999", True)], "anon_id string, signal_like boolean"))
+    return challenge.outcomes(answers, ledger).select("anon_id", "signal_id", "outcome")

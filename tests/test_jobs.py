@@ -182,3 +182,21 @@ def test_training_job_reruns_and_takes_empty_tables(spark, tmp_path, caplog):
 def test_configs_are_plain_json():
     for name in ("log_status", "training_shards"):
         assert json.dumps(job_config(name))
+
+
+def test_command_lines_start_and_stop_their_own_session(tmp_path):
+    """Both jobs as programs, the incremental one twice."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"PYTHONPATH": root, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
+    data = "/root/testdata/sf0.001"
+    start = lambda *args: subprocess.run([sys.executable, *args], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    logs = [f"{root}/jobs/log_status.py", "--config", f"{root}/jobs/log_status.json", "--logs", f"{data}/documents.parquet", "--outputs", f"{data}/labels.parquet", "--heartbeats", f"{data}/events.parquet", "--out", f"{tmp_path}/board"]
+    first, second = start(*logs), start(*logs)
+    assert first.returncode == 0 and "read 200 logs" in first.stderr and "wrote 200 stages" in first.stderr, first.stderr[-2000:]
+    assert second.returncode == 0 and "read" not in "".join(x for x in second.stderr.splitlines() if "jobs.log_status" in x) and "wrote 200 stages" in second.stderr
+    shards = start(f"{root}/jobs/training_shards.py", "--config", f"{root}/jobs/training_shards.json", "--input", data, "--out", f"{tmp_path}/shards")
+    assert shards.returncode == 0 and "examples to" in shards.stderr, shards.stderr[-2000:]

@@ -198,6 +198,23 @@ def test_diagnostic_windows_of_the_fine_scan(spark):
     assert got.groupby(["target_id", "peak_nm"]).size().to_dict() == {k: min(v, 201) for k, v in want.items()}
 
 
+def test_random_views(spark, t):
+    whole = {(r.target_id, r.image_id, r.cwave_um, r.features[0], r.features[6]): r.features for r in rows(spark, "m1_point_features").collect()}
+    sizes = t.points.groupBy("target_id").count().toPandas().set_index("target_id")["count"]
+    got = rows(spark, "m2_random_view").collect()
+    kept = {}
+    noise = []
+    for r in got:
+        kept[r.target_id] = kept.get(r.target_id, 0) + 1
+        before = whole.get((r.target_id, r.image_id, r.cwave_um, r.features[0], r.features[6]))
+        assert before is not None and all(r.features[k] == before[k] for k in (0, 1, *range(6, 13)))
+        noise += [r.features[k] - before[k] for k in range(2, 6)]
+    assert kept == {k: min(384, max(2, round(n * 0.78))) for k, n in sizes.items()}
+    assert abs(np.mean(noise)) < 0.001 and 0.009 < np.std(noise) < 0.011
+    again = rows(spark, "m2_random_view").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_point_features_by_numpy(spark, t):
     got = rows(spark, "m1_point_features").toPandas()
     points = t.points.toPandas()
