@@ -195,17 +195,16 @@ def scan(
 
     The continuum is the median (or mean) of the points of the window that barely respond to
     the line; below ``least_continuum`` of them all points of the window serve, and below that
-    all points of the target, whose level is aggregated apart and joined. Points are shuffled by
-    target and segment, and every segment of a target's sorted series is folded over its lines
-    with arrays."""
+    all points of the target, whose level is a window over it. Points are then dealt by target and
+    segment, and every segment of a target's sorted series is folded over its lines with arrays."""
     base = points.where(F.col("cwave_um").isNotNull() & F.col("cband_um").isNotNull() & F.col(flux).isNotNull())
     if not keep_flagged and "fatal_flag_present" in points.columns:
         base = base.where(~F.coalesce("fatal_flag_present", F.lit(False)))
     double = lambda c, n: F.col(c).cast("double").alias(n)
     base = base.select("target_id", double("cwave_um", "cwave_um"), double("cband_um", "cband_um"), double(flux, "f"), F.coalesce(F.col(unc).cast("double"), F.lit(0.0)).alias("u"))
     level = F.median if continuum == "median" else F.avg
-    whole = base.groupBy(F.col("target_id").alias("_t")).agg(level("f").alias("c_target"), F.count_if(F.col("u") > 0).alias("n_valid")).where(F.col("n_valid") >= least_points).drop("n_valid")
-    base = base.join(whole, F.col("target_id").eqNullSafe(F.col("_t"))).drop("_t")
+    target = Window.partitionBy("target_id")
+    base = base.withColumns({"c_target": level("f").over(target), "n_valid": F.count_if(F.col("u") > 0).over(target)}).where(F.col("n_valid") >= least_points).drop("n_valid")
 
     def fold(column, of_group, cell, point, t, n):
         f, u = column["f"], column["u"]
