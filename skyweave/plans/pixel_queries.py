@@ -25,9 +25,9 @@ def _frames(t: Tables) -> DataFrame:
     return pixels.pack_frames(t.view("pixel_values"))
 
 
-def psf_cubes(t: Tables, side: int = 41, oversample: int = 5) -> DataFrame:
-    """PSF planes on a 3 x 3 grid, of widths that grow over the image, one cube for each nation, and
-    the frames of its suppliers."""
+def psf_tables(t: Tables, side: int = 41, oversample: int = 5) -> tuple[DataFrame, DataFrame]:
+    """PSF planes on a 3 x 3 grid, of widths that grow over the image, one cube for each nation; and
+    which frames, those of its suppliers, have it."""
     c = side // 2
     square = lambda v: v * v
 
@@ -37,6 +37,12 @@ def psf_cubes(t: Tables, side: int = 41, oversample: int = 5) -> DataFrame:
 
     cubes = t.table("nation").select("n_nationkey", F.transform(F.sequence(F.lit(0), F.lit(8)), plane).alias("planes"), F.lit(side).alias("side"), F.lit(oversample).alias("oversample"))
     of = t.table("supplier").select(F.concat(F.lit("pix_"), F.col("s_suppkey").cast("string")).alias("frame_id"), F.col("s_nationkey").alias("n_nationkey"))
+    return of, cubes
+
+
+def psf_cubes(t: Tables, side: int = 41, oversample: int = 5) -> DataFrame:
+    """The cube of each frame."""
+    of, cubes = psf_tables(t, side, oversample)
     return of.join(cubes, "n_nationkey").drop("n_nationkey")
 
 
@@ -106,20 +112,20 @@ def subpixel_aperture(t: Tables) -> DataFrame:
 @query("g6_zone_kernels", "select frame_id, target_id, cast(least(2, floor(y/24e0*3e0))*3 + least(2, floor(x/24e0*3e0)) as int) as sector, 8 as size, 1e0 as kernel_sum from pixel_targets where x is not null and x < 24e0")
 def zone_kernels(t: Tables) -> DataFrame:
     """The zone and the kernel of every target inside its frame; every kernel sums to one."""
-    made = pixels.kernels(_frames(t).join(psf_cubes(t), "frame_id"), _targets(t), SIZE, radius=4)
+    made = pixels.kernels(_frames(t), _targets(t), SIZE, radius=4, cubes=psf_tables(t))
     return made.select("frame_id", "target_id", "sector", "size", F.round(F.aggregate("kernel", F.lit(0.0), lambda s, v: s + v), 9).alias("kernel_sum"))
 
 
 @query("g7_psf_photometry")
 def zone_psf(t: Tables) -> DataFrame:
     """PSF photometry at the targets' places with the kernels of their zones."""
-    return pixels.zone_psf_photometry(_frames(t).join(psf_cubes(t), "frame_id"), _targets(t), SIZE, radius=4, fatal_mask=FATAL)
+    return pixels.zone_psf_photometry(_frames(t), _targets(t), SIZE, radius=4, cubes=psf_tables(t), fatal_mask=FATAL)
 
 
 @query("g8_centroid_grid")
 def centroid_grid(t: Tables) -> DataFrame:
     """The same with the centre searched over 25 offsets, best by signal to noise."""
-    return pixels.zone_psf_photometry(_frames(t).join(psf_cubes(t), "frame_id"), _targets(t), SIZE, radius=4, fatal_mask=FATAL, reach=1.0, step=0.5)
+    return pixels.zone_psf_photometry(_frames(t), _targets(t), SIZE, radius=4, cubes=psf_tables(t), fatal_mask=FATAL, reach=1.0, step=0.5)
 
 
 #: The five frames of a target that respond most to its injected line.
@@ -155,14 +161,14 @@ def injected_frames_of_targets(t: Tables) -> DataFrame:
 def injected_line_round_trip(t: Tables) -> DataFrame:
     """A line into the pixels of every frame and out again: each injection's best frame flux is
     spread over the pixels at the frame's fifth target; the PSF flux there grows by as much."""
-    planned = injection_frames(t.points, t.truth.withColumn("line_flux", F.col("strength") * 100.0)).where("place = 1")
+    planned = injection_frames(t.points, t.truth.withColumn("line_flux", F.col("strength") * 100.0)).where("place = 1").withColumn("frame_flux", F.round("frame_flux", 6))
     at = _targets(t).where("target_id = 't5'").select("frame_id", "x", "y")
     injections = planned.withColumn("frame_id", F.concat(F.lit("pix_"), F.substr("target_id", F.lit(5)))).join(at, "frame_id").select("frame_id", "injection_id", "x", "y", "frame_flux")
-    injections, cubes = stored(injections, "injections"), stored(psf_cubes(t), "cubes")
+    injections, cubes = stored(injections, "injections"), psf_tables(t)
     table = t.view("pixel_values")
     after, provenance = pixels.injected_pixels(table, cubes, injections, SIZE, radius=4)
     places = injections.select("frame_id", F.col("injection_id").alias("target_id"), "x", "y")
-    flux = lambda p, name: pixels.zone_psf_photometry(pixels.pack_frames(p).join(cubes, "frame_id"), places, SIZE, radius=4).select("frame_id", "target_id", F.col("flux").alias(name))
+    flux = lambda p, name: pixels.zone_psf_photometry(pixels.pack_frames(p), places, SIZE, radius=4, cubes=cubes).select("frame_id", "target_id", F.col("flux").alias(name))
     found = flux(after, "after").join(flux(table, "before"), ["frame_id", "target_id"]).withColumnRenamed("target_id", "injection_id")
     wanted = injections.select("injection_id", F.round("frame_flux", 3).alias("injected"))
-    return found.join(wanted, "injection_id").join(provenance.select("injection_id", F.col("pixels").cast("int").alias("pixels")), "injection_id").select("frame_id", "injection_id", "injected", F.round(F.col("after") - F.col("before"), 3).alias("recovered"), "pixels")
+    return found.join(wanted, "injection_id").join(provenance.select("injection_id", F.col("pixels").cast("int").alias("pixels")), "injection_id").select("frame_id", "injection_id", "injected", F.round(F.round(F.col("after") - F.col("before"), 6), 3).alias("recovered"), "pixels")
