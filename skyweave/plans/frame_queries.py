@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from skyweave.functions import sky
 from skyweave.operators import projection
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query
-from skyweave.session import fresh_folder
+from skyweave.session import fresh_folder, stored
 from skyweave.sources import tables
 
 TERMS = projection.sip_terms(3)
@@ -51,6 +53,8 @@ def frame_projection(t: Tables) -> DataFrame:
 
 #: Level of the cells that the written catalog is partitioned by: 192 of them.
 LEVEL = 2
+#: Level of the cells that an unplaced catalog is joined by: 3,072 of them, near the size of a frame.
+FINE = 4
 
 
 def write_sky_catalog(t: Tables) -> DataFrame:
@@ -64,11 +68,40 @@ def write_sky_catalog(t: Tables) -> DataFrame:
 FOOTPRINTS_SQL = "with m as (select f.frame_id, c.source_id, c.phot_g_mean_mag as mag, row_number() over (partition by f.frame_id order by c.phot_g_mean_mag, c.source_id) as k from sip_frames f join catalog_sources c on c.dec between f.dec_low and f.dec_high and case when f.ra_high - f.ra_low >= 360e0 then true when f.ra_low < 0e0 then (c.ra >= f.ra_low + 360e0 or c.ra <= f.ra_high) when f.ra_high >= 360e0 then (c.ra >= f.ra_low or c.ra <= f.ra_high - 360e0) else c.ra between f.ra_low and f.ra_high end where f.dec_low > 10e0 and c.phot_g_mean_mag between 8e0 and 19e0) select frame_id, source_id, round(mag, 9) as mag, cast(k as bigint) as place from m where k <= 500"
 
 
-def footprints(catalog: DataFrame, frames: DataFrame, most: int = 500, low: float = 8.0, high: float = 19.0) -> DataFrame:
-    """Brightest sources of each frame; frames' cells prune the catalog's partitions at run time."""
-    pairs = tables.sources_of_footprints(catalog.where(F.col("phot_g_mean_mag").between(low, high)), frames, LEVEL)
+#: Pairs of a frame and a source that one task of an unplaced catalog is to make.
+TASK_PAIRS = 1 << 20
+
+
+def expected_pairs(catalog: DataFrame, frames: DataFrame) -> tuple[int, float]:
+    """How many frames there are, and how many sources one holds if the sky is evenly filled."""
+    area = F.least(F.col("ra_high") - F.col("ra_low"), F.lit(360.0)) * (F.sin(F.radians("dec_high")) - F.sin(F.radians("dec_low"))) / 720.0
+    n, share = frames.agg(F.count(F.lit(1)), F.avg(area)).first()
+    return n, catalog.count() * (share or 0.0)
+
+
+def footprints(catalog: DataFrame, frames: DataFrame, most: int = 500, low: float = 8.0, high: float = 19.0, level: int = LEVEL) -> DataFrame:
+    """Brightest sources of each frame; frames' cells prune the catalog's partitions at run time.
+
+    Where frames hold far more than ``most`` sources they first meet the brightest of the catalog alone,
+    as many as should fill them twice. A frame that these fill is done: no other source is as bright.
+    The others meet four times as many, and so on up to the whole catalog, so pairs grow with the
+    frames and not with frames times sources."""
+    catalog = catalog.where(F.col("phot_g_mean_mag").between(low, high))
+    _, each = expected_pairs(catalog, frames)
     place = F.row_number().over(Window.partitionBy("frame_id").orderBy("phot_g_mean_mag", "source_id"))
-    return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= most).select("frame_id", "source_id", F.round("phot_g_mean_mag", 9).alias("mag"), "place")
+    brightest = lambda sources, left: tables.sources_of_footprints(sources, left, level).withColumn("place", place.cast("long")).where(F.col("place") <= most)
+    done, left, share = [], frames, 2 * most / each if each > 4 * most else 1.0
+    while share < 1:
+        faintest = catalog.agg(F.percentile_approx("phot_g_mean_mag", F.lit(share), F.lit(10_000))).first()[0]
+        top = stored(brightest(catalog.where(F.col("phot_g_mean_mag") <= faintest), left), "brightest")
+        full = top.where(F.col("place") == most).select("frame_id").distinct()
+        done.append(top.join(full, "frame_id", "left_semi"))
+        left, share = stored(left.join(full, "frame_id", "left_anti"), "frames"), share * 4
+        if left.isEmpty():
+            break
+    else:
+        done.append(brightest(catalog, left))
+    return functools.reduce(DataFrame.unionByName, done).select("frame_id", "source_id", F.round("phot_g_mean_mag", 9).alias("mag"), "place")
 
 
 def _northern(t: Tables) -> DataFrame:
@@ -85,8 +118,11 @@ def pruned_footprints(t: Tables) -> DataFrame:
 def full_scan(t: Tables) -> DataFrame:
     """The same from the catalog as it is, without cells on disk: every row is read and placed."""
     unplaced = write_sky_catalog(t).drop("hpx", "hpx_level")
-    placed = unplaced.withColumn("hpx", sky.nested_pixel(F.col("ra"), F.col("dec"), LEVEL).cast("int"))
-    return footprints(placed, _northern(t))
+    placed = unplaced.withColumn("hpx", sky.nested_pixel(F.col("ra"), F.col("dec"), FINE).cast("int"))
+    # the catalog is small beside its pairs, so tasks are dealt by pairs and not by bytes
+    n, each = expected_pairs(unplaced, _northern(t))
+    tasks = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), min(4096, int(n * each / TASK_PAIRS)))
+    return footprints(placed.repartition(tasks, "hpx"), _northern(t), level=FINE)
 
 
 @query("p22_pruned_shards", "select campaign, source, count(*) as n, round(max(rank_score), 6) as best from review_candidates where campaign like 'camp1%' and (source = 'science' or source like 'inj%') group by 1, 2")

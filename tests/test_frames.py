@@ -119,3 +119,18 @@ def test_great_circle_of_written_catalog(t):
     assert catalog.count() == t.catalog.count() and set(catalog.columns) == {*t.catalog.columns, "hpx", "hpx_level"}
     cells = {r.hpx for r in catalog.select("hpx").distinct().collect()}
     assert len(cells) > 50 and max(cells) < 12 * 4**frame_queries.LEVEL and math.isclose(catalog.agg(F.sum("ra")).first()[0], t.catalog.agg(F.sum("ra")).first()[0])
+
+
+def test_full_frames_meet_the_brightest_alone(spark, monkeypatch):
+    """Frames of a crowded sky are done with its brightest sources, a sparse one goes on to the whole catalog;
+    the rows are those of all pairs."""
+    stars = [(k, 100.0 + (k * 7919 % 1000) / 50, 20.0 + (k * 104729 % 997) / 50, 8.0 + (k * 31 % 1009) / 100) for k in range(4000)] + [(9000 + k, 201.0 + k / 10, 31.0, 15.0) for k in range(5)]
+    catalog = spark.createDataFrame(stars, "source_id long, ra double, dec double, phot_g_mean_mag double").withColumn("hpx", sky.nested_pixel(F.col("ra"), F.col("dec"), frame_queries.LEVEL).cast("int"))
+    frames = spark.createDataFrame([(f"f{k}", 100.0 + k, 109.0 + k, 21.0 + k, 30.0 + k) for k in range(8)] + [("sparse", 200.0, 203.0, 30.0, 32.0)], "frame_id string, ra_low double, ra_high double, dec_low double, dec_high double")
+    want = frame_queries.footprints(catalog, frames, 10_000).where("place <= 4").collect()
+    offered, inner = [], frame_queries.tables.sources_of_footprints
+    monkeypatch.setattr(frame_queries.tables, "sources_of_footprints", lambda c, f, *a: offered.append(c.count() * f.count()) or inner(c, f, *a))
+    got = frame_queries.footprints(catalog, frames, 1).collect()
+    assert sorted(got) == sorted(r for r in want if r.place == 1) and len(got) == 9
+    assert len(offered) > 1 and sum(offered) < 0.6 * 4005 * 9
+    assert sorted(frame_queries.footprints(catalog, frames, 4).collect()) == sorted(want)
