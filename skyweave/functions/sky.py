@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,16 +144,36 @@ def _derivative(terms: dict[tuple[int, int], Column], by: int) -> dict[tuple[int
 def undistorted(df: DataFrame, u: str, v: str, a: dict[tuple[int, int], Column], b: dict[tuple[int, int], Column], steps: int = 6) -> DataFrame:
     """Replaces (u, v), offsets with distortion, by those without: solves u + A(u, v) = U and
     v + B(u, v) = V by Newton's method from (U, V). Adds ``sip_residual``, the largest difference
-    that is left in pixels. A step is one projection over the columns of the one before, so that
-    the expressions don't grow."""
-    out = df.withColumns({"_goal_u": F.col(u), "_goal_v": F.col(v)})
-    x, y = F.col(u), F.col(v)
-    for _ in range(steps):
-        out = out.withColumns({"_f": x + sip_polynomial(x, y, a) - F.col("_goal_u"), "_g": y + sip_polynomial(x, y, b) - F.col("_goal_v"), "_fu": 1.0 + sip_polynomial(x, y, _derivative(a, 0)), "_fv": sip_polynomial(x, y, _derivative(a, 1)), "_gu": sip_polynomial(x, y, _derivative(b, 0)), "_gv": 1.0 + sip_polynomial(x, y, _derivative(b, 1))})
-        det = F.col("_fu") * F.col("_gv") - F.col("_fv") * F.col("_gu")
-        out = out.withColumns({u: x - F.try_divide(F.col("_f") * F.col("_gv") - F.col("_g") * F.col("_fv"), det), v: y - F.try_divide(F.col("_g") * F.col("_fu") - F.col("_f") * F.col("_gu"), det)})
-    left = F.greatest(F.abs(x + sip_polynomial(x, y, a) - F.col("_goal_u")), F.abs(y + sip_polynomial(x, y, b) - F.col("_goal_v")))
-    return out.withColumn("sip_residual", left).drop("_goal_u", "_goal_v", "_f", "_g", "_fu", "_fv", "_gu", "_gv")
+    that is left in pixels. Six steps as columns are more code than the JVM compiles, so batches are
+    solved with NumPy; a place without a solution is null."""
+    kinds = [(side, t) for side, terms in (("a", a), ("b", b)) for t in terms]
+
+    @F.pandas_udf("u double, v double, residual double")
+    def solve(goal_u: pd.Series, goal_v: pd.Series, *values: pd.Series) -> pd.DataFrame:
+        gu, gv = goal_u.to_numpy(float), goal_v.to_numpy(float)
+        of = {k: c.to_numpy(float) for k, c in zip(kinds, values, strict=True)}
+
+        def poly(side: str, x: np.ndarray, y: np.ndarray, du: int = 0, dv: int = 0) -> np.ndarray:
+            out = np.zeros_like(x)
+            for (own, (p, q)), c in of.items():
+                if own == side and p >= du and q >= dv:
+                    out = out + c * ((p if du else 1) * (q if dv else 1)) * x ** (p - du) * y ** (q - dv)
+            return out
+
+        x, y = gu.copy(), gv.copy()
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                f, g = x + poly("a", x, y) - gu, y + poly("b", x, y) - gv
+                fu, fv, gx, gy = 1.0 + poly("a", x, y, 1), poly("a", x, y, 0, 1), poly("b", x, y, 1), 1.0 + poly("b", x, y, 0, 1)
+                det = fu * gy - fv * gx
+                det[det == 0] = np.nan
+                x, y = x - (f * gy - g * fv) / det, y - (g * fu - f * gx) / det
+            left = np.maximum(np.abs(x + poly("a", x, y) - gu), np.abs(y + poly("b", x, y) - gv))
+        return pd.DataFrame({"u": x, "v": y, "residual": left})
+
+    terms = [F.coalesce(c.cast("double"), F.lit(0.0)) for side in (a, b) for c in side.values()]
+    out = df.withColumn("_solved", solve(F.col(u).cast("double"), F.col(v).cast("double"), *terms))
+    return out.withColumns({u: F.col("_solved")["u"], v: F.col("_solved")["v"], "sip_residual": F.col("_solved")["residual"]}).drop("_solved")
 
 
 def pixel_to_world(x: Column, y: Column, wcs: dict[str, Column], a: dict[tuple[int, int], Column] | None = None, b: dict[tuple[int, int], Column] | None = None) -> tuple[Column, Column]:

@@ -134,3 +134,13 @@ def test_full_frames_meet_the_brightest_alone(spark, monkeypatch):
     assert sorted(got) == sorted(r for r in want if r.place == 1) and len(got) == 9
     assert len(offered) > 1 and sum(offered) < 0.6 * 4005 * 9
     assert sorted(frame_queries.footprints(catalog, frames, 4).collect()) == sorted(want)
+
+
+def test_distortion_is_solved_in_batches(spark):
+    """The inverse is one step of the plan, not a dozen columns; a missing coefficient counts as 0, a null place stays null."""
+    df = spark.createDataFrame([(10.0, 20.0, 1e-4, None), (None, 1.0, 1e-4, 0.0)], "u double, v double, a_20 double, b_02 double")
+    out = sky.undistorted(df, "u", "v", {(2, 0): F.col("a_20")}, {(0, 2): F.col("b_02")})
+    got = out.collect()
+    assert math.isclose(got[0].u + 1e-4 * got[0].u ** 2, 10.0, abs_tol=1e-9) and got[0].v == 20.0 and got[0].sip_residual < 1e-9
+    assert got[1].u is None and got[1].sip_residual is None
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Project") <= 3
