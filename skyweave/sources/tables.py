@@ -7,7 +7,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyweave.functions.sky import cells_of_boxes, in_ra_range, sky_prefilter
@@ -237,3 +237,8 @@ def flattened(df: DataFrame, separator: str = "_") -> DataFrame:
 def prefixed(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     """Columns named after the backend that made them, but for the keys."""
     return df.select(*keys, *(F.col(c).alias(f"{prefix}_{c}") for c in df.columns if c not in keys))
+
+
+def backends(df: DataFrame, keys: Sequence[str], sides: dict[str, dict[str, Column]]) -> DataFrame:
+    """What several backends made of the same rows side by side, named as by ``prefixed``."""
+    return df.select(*keys, *(value.alias(f"{prefix}_{name}") for prefix, columns in sides.items() for name, value in columns.items()))
