@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyweave.functions.numeric import rounded
 from skyweave.operators import bands, spectra
 from skyweave.plans.fixtures import Tables
 from skyweave.plans.registry import query
@@ -118,7 +119,7 @@ def channel_percentiles(t: Tables) -> DataFrame:
 
 @query("a28_binned_median", "select target_id, cast(floor(cwave_um/0.05e0) as bigint) as bin, round(median(aperture_flux_uJy), 5) as median_flux, count(*) as n from spectra_points group by 1, 2")
 def binned_median(t: Tables) -> DataFrame:
-    return spectra.binned_median(t.points, 0.05).withColumn("median_flux", F.round("median_flux", 5))
+    return spectra.binned_median(t.points, 0.05).withColumn("median_flux", rounded(F.col("median_flux"), 5))
 
 
 @query("a29_backend_pivot", "select detector, round(avg(case when kind = 'a' then f end), 5) as a, round(avg(case when kind = 'p' then f end), 5) as p from (select detector, 'a' as kind, aperture_flux_uJy as f from spectra_points union all select detector, 'p', psf_flux_uJy from spectra_points) group by 1")
