@@ -21,6 +21,8 @@ POINT_COLUMNS = {
 }
 #: Points below which a series is no example; rows of a shard.
 LEAST_POINTS, SHARD_ROWS = 8, 512
+#: Bits that mark the targets of a dataset by their hash.
+MARK_BITS = 1 << 23
 #: Hexadecimal digits of the hash that deal examples into numbered groups.
 _GROUP_DIGITS = 3
 
@@ -54,8 +56,8 @@ def example_key(run: str = "run_name", target: str = "target_id") -> Column:
 
 def quality_of(points: DataFrame) -> DataFrame:
     """Quality of every (run, target) series, to nine decimals, so that equal series rank alike."""
-    q = spectrum_quality(points.withColumn("target_id", F.struct("run_name", "target_id")))
-    return q.select("target_id.run_name", "target_id.target_id", "category", F.round("score", 9).alias("quality_score"), "n_usable")
+    q = spectrum_quality(points, "run_name")
+    return q.select("run_name", "target_id", "category", F.round("score", 9).alias("quality_score"), "n_usable")
 
 
 def target_table(points: DataFrame, truth: DataFrame, quality: DataFrame | None = None) -> DataFrame:
@@ -97,10 +99,22 @@ def select_targets(points: DataFrame, truth: DataFrame, categories: Sequence[str
     return targets.withColumn("split_id", data_split(F.coalesce("source_id", "target_id")))
 
 
+def near_targets(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """All points of the targets, and few others: a target sets one of MARK_BITS bits by its hash, and
+    a point stays if its bit is set. The marks go out in words of 64 bits, as many rows at most
+    as there are words, so that the points of other targets aren't shuffled."""
+    at = F.pmod(F.xxhash64("run_name", "target_id"), F.lit(MARK_BITS))
+    placed = {"_word": F.shiftright(at, 6), "_bit": F.expr("shiftleft(1L, cast(_at % 64 as int))")}
+    marks = targets.withColumn("_at", at).withColumns(placed).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = points.withColumn("_at", at).withColumns(placed).join(F.broadcast(marks), "_word")
+    return held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*points.columns)
+
+
 def select_points(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """Points of the targets with split, injection mark and place along their series."""
+    """Points of the targets with split, injection mark and place along their series. ``targets``
+    is read twice and should be a stored table."""
     marks = targets.select(F.col("run_name").alias("_run"), F.col("target_id").alias("_target"), "split_id", "is_injected_target")
-    chosen = points.join(marks, F.col("run_name").eqNullSafe(F.col("_run")) & F.col("target_id").eqNullSafe(F.col("_target"))).drop("_run", "_target")
+    chosen = near_targets(points, targets).join(marks, F.col("run_name").eqNullSafe(F.col("_run")) & F.col("target_id").eqNullSafe(F.col("_target"))).drop("_run", "_target")
     order = [F.col(c) for c in ("cwave_um", "image_id", "detector", "aperture_flux_uJy", "psf_flux_uJy")]
     return windows.numbered(chosen, ["run_name", "target_id"], "cwave_um", 0.05, order, "point_index")
 

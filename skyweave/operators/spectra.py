@@ -38,14 +38,16 @@ def paired_delta(injected: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
-def spectrum_quality(points: DataFrame) -> DataFrame:
-    """Weighted quality score of each spectrum, its reasons and category."""
+def spectrum_quality(points: DataFrame, *also: str) -> DataFrame:
+    """Weighted quality score of each spectrum, its reasons and category. ``also`` names columns that
+    tell spectra of one target apart."""
+    keys = ["target_id", *also]
     a, p, u, x = (F.col(c) for c in ("aperture_flux_uJy", "psf_flux_uJy", "aperture_flux_unc_uJy", "cwave_um"))
     flag = F.coalesce("fatal_flag_present", F.lit(False))
     good = ~flag & x.isNotNull() & a.isNotNull()
     both = ~flag & a.isNotNull() & p.isNotNull()
     # one shuffle: the windows and the aggregate all work on a target's rows, usable ones first
-    series = Window.partitionBy("target_id")
+    series = Window.partitionBy(*keys)
     along = series.orderBy(F.col("_good").desc(), "cwave_um", "aperture_flux_uJy", "psf_flux_uJy")
     rows = points.withColumns({"_flag": flag, "_good": good, "_both": both})
     rows = rows.withColumns({"_left": F.when(F.lag("_good").over(along), F.lag(a).over(along)), "_right": F.when(F.lead("_good").over(along), F.lead(a).over(along)), "_mid": F.median(F.when(F.col("_good"), a)).over(series)})
@@ -54,7 +56,7 @@ def spectrum_quality(points: DataFrame) -> DataFrame:
     larger = F.greatest(F.abs(a), F.abs(p))
     n_good = F.count_if("_good")
     mad, sd = F.median(usable(F.abs(a - F.col("_mid")))), F.stddev_pop(usable(a))
-    q = rows.groupBy("target_id").agg(
+    q = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_flag").cast("long")).alias("n_flagged"), n_good.alias("usable"), ((F.max(usable(x)) - F.min(usable(x))) * 1000.0).alias("span_nm"),
         F.median(usable(F.when(u > 0, F.abs(ratio(a, u))))).alias("median_snr"), F.count_if(F.col("_good") & (u > 0)).alias("n_snr"), F.when(n_good >= 3, F.when(mad > 0, MAD_TO_SIGMA * mad).when(sd > 0, sd)).alias("scale"),
         F.median(usable(F.abs(a - 0.5 * (F.col("_left") + F.col("_right"))))).alias("jag"), F.count_if("_both").alias("n_both"), F.corr(shared(a), shared(p)).alias("corr"), F.median(shared(F.when(larger > 0, F.abs(a - p) / F.when(larger > 0, larger)))).alias("frac_delta"),
@@ -75,7 +77,7 @@ def spectrum_quality(points: DataFrame) -> DataFrame:
     ]
     q = q.withColumn("score", total).withColumn("hard", reasons(*hard)).withColumn("reasons", reasons(*hard, ((F.col("n_snr") >= 5) & (F.col("median_snr") < 1.0), "low_median_snr")))
     category = F.when((F.col("score") >= 70) & (F.col("hard") == ""), "good").when((F.col("score") >= 45) & (F.col("flag_fraction") <= 0.35) & (F.col("usable") >= 25), "review").otherwise("bad")
-    return q.select("target_id", F.col("n").alias("n_measurements"), F.col("usable").alias("n_usable"), "flag_fraction", "smoothness", "agreement", "snr_score", "corr", "frac_delta", "span_nm", "score", category.alias("category"), "reasons")
+    return q.select(*keys, F.col("n").alias("n_measurements"), F.col("usable").alias("n_usable"), "flag_fraction", "smoothness", "agreement", "snr_score", "corr", "frac_delta", "span_nm", "score", category.alias("category"), "reasons")
 
 
 def quality_gate(points: DataFrame, quality: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def dataset_targets(t: Tables) -> DataFrame:
 def shard_table(t: Tables) -> DataFrame:
     """Tensor shards written and read back: examples, labels and mask of each."""
     points, truth, config = _survey(t)
-    chosen = dataset.select_targets(points, truth, config["categories"], config["most"], quality=stored(dataset.quality_of(points), "quality"))
+    chosen = stored(dataset.select_targets(points, truth, config["categories"], config["most"], quality=stored(dataset.quality_of(points), "quality")), "targets")
     shards = dataset.tensor_shards(dataset.select_points(points, chosen), truth, config["max_points"], config["low_nm"], config["high_nm"], config["shard_rows"])
     out = fresh_folder(t.spark, "tensor-shards")
     dataset.write_shards(shards, out)

@@ -5,6 +5,7 @@ import json
 import logging
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobs import log_status, training_shards
 from skyweave.operators import dataset
@@ -200,3 +201,13 @@ def test_command_lines_start_and_stop_their_own_session(tmp_path):
     assert second.returncode == 0 and "read" not in "".join(x for x in second.stderr.splitlines() if "jobs.log_status" in x) and "wrote 200 stages" in second.stderr
     shards = start(f"{root}/jobs/training_shards.py", "--config", f"{root}/jobs/training_shards.json", "--input", data, "--out", f"{tmp_path}/shards")
     assert shards.returncode == 0 and "examples to" in shards.stderr, shards.stderr[-2000:]
+
+
+def test_points_of_other_targets_are_left_out_before_they_are_shuffled(spark):
+    name = F.when(F.col("id") % 1000 != 999, F.concat(F.lit("t"), (F.col("id") % 1000).cast("string")))
+    points = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "r").alias("run_name"), name.alias("target_id"), "id")
+    wanted = points.where("id in (0, 7, 500, 999)").select("run_name", "target_id")
+    near = dataset.near_targets(points, wanted)
+    ids = {r.id for r in near.select("id").collect()}
+    assert ids >= {i for i in range(20_000) if i % 1000 in (0, 7, 500, 999)} and len(ids) < 400 and near.columns == points.columns
+    assert dataset.near_targets(points, wanted.limit(0)).count() == 0
