@@ -49,10 +49,14 @@ def _stage(stage):
 
 @_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator doesn't predict as toxic."""
-    model = op7_toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    """Documents that the toxicity operator doesn't predict as toxic. Texts go to the workers in
+    batches of bounded bytes."""
     name = fresh(docs, "_toxicity")
-    return op7_toxicity.score_documents(docs, model, name).where(F.col(name)["predicted"] == 0).select(*docs.columns)
+    # the result is written here, where the bound on batches holds
+    with op1_tokens.small_batches(spark):
+        model = op7_toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+        kept, _ = store(op7_toxicity.score_documents(docs, model, name).where(F.col(name)["predicted"] == 0).select(*docs.columns), "clean")
+    return kept
 
 
 @_stage

@@ -51,6 +51,8 @@ LEAST_ODDS, LEAST_COUNT, PRIOR, REST_SCORE = 2.0, 3, (0.5, 0.01), -0.35
 SIGNIFICANT = 0.05
 _WORD = re.compile(r"\w+")
 _MEMO_WORDS = 200_000
+#: Units that a task counts at once.
+COUNTED_UNITS = 50_000
 
 
 def units(word: str) -> list[str]:
@@ -207,12 +209,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicModel:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple[str, int], int] = Counter()
+
+        def flush() -> pd.DataFrame:
+            rows = pd.DataFrame([(u, n if t else 0, 0 if t else n) for (u, t), n in total.items()], columns=["unit", "n1", "n0"])
+            total.clear()
+            return rows
+
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["_label"]):
                 total["\x00docs", toxic] += 1
                 total.update((u, toxic) for u in {u for w in set(_WORD.findall((text or "").lower())) for u in units(w)})
+                if len(total) >= COUNTED_UNITS:  # counts are summed later: a task holds no more than these
+                    yield flush()
         if total:
-            yield pd.DataFrame([(u, n if t else 0, 0 if t else n) for (u, t), n in total.items()], columns=["unit", "n1", "n0"])
+            yield flush()
 
     counts = texts.where(~F.col("_back")).withColumn("_s", _sketch()("text")).dropDuplicates(["_s", "_label"]).select("text", "_label").mapInPandas(count, "unit string, n1 long, n0 long").groupBy("unit").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     kept = counts.where((F.col("n1") >= LEAST_COUNT) | F.col("unit").startswith("\x00")).toPandas()  # bounded by the sample
