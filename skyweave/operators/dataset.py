@@ -66,10 +66,11 @@ def target_table(points: DataFrame, truth: DataFrame, quality: DataFrame | None
     keys = ["run_name", "target_id"]
     along = F.struct(F.col("cwave_um").isNull(), "cwave_um", "image_id", "detector")
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), along)).alias(c)
-    targets = points.groupBy(*keys).agg(
+    # a number is the first key: the rows of an aggregate over names are sorted, and runs share their first letters
+    targets = points.groupBy(F.xxhash64("target_id", "run_name").alias("_hash"), *keys).agg(
         F.first("run_kind").alias("run_kind"), F.count(F.lit(1)).alias("n_points"), F.count_if("point_injection_applied").alias("injected_points"), F.min("cwave_um").alias("wavelength_min_um"),
         F.max("cwave_um").alias("wavelength_max_um"), first("source_id"), first("phot_g_mean_mag"),
-    )
+    ).drop("_hash")
     lines = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("injection_count"), F.min("injected_line_nm").alias("line_min_nm"), F.max("injected_line_nm").alias("line_max_nm"), F.max("find_me_snr").alias("max_find_me_snr"))
     joined = targets.join(quality_of(points) if quality is None else quality, keys, "left").join(lines, keys, "left").fillna(0, ["injection_count"])
     return joined.withColumn("is_injected_target", F.col("injection_count") > 0)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from skyweave.functions.numeric import MAD_TO_SIGMA, clip01, ratio
 from skyweave.functions.strings import reasons
@@ -38,6 +45,105 @@ def paired_delta(injected: DataFrame, baseline: DataFrame) -> DataFrame:
     )
 
 
+#: What ``series_facts`` tells of a series.
+FACTS = "n long, n_flagged long, usable long, span_nm double, median_snr double, n_snr long, _mad double, _sd double, jag double, n_both long, corr double, frac_delta double"
+
+
+def series_facts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, medians and moments of every series of (keys, _x, _a, _p, _u, _flag, _good, _both) rows. One
+    shuffle and one sort; a batch of many series is worked on at once, and the series at its end
+    waits for its other rows."""
+    schema = T.StructType([*(rows.schema[k] for k in keys), *T.StructType.fromDDL(FACTS)])
+    arrow = to_arrow_schema(schema)
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        """Rows, but the first, whose key isn't that of the row before."""
+        new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+        for k in keys:
+            one, two = batch.column(k)[:-1], batch.column(k)[1:]
+            new |= pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False) | pc.xor(one.is_valid(), two.is_valid()).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(new) + 1
+
+    def facts(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.concat_batches(held)
+        first = np.concatenate([[0], starts(batch)])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, batch.num_rows)))
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(first)) for k in keys), *_facts(batch, group, len(first))], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last row held goes before the batch, so that a series ending there is seen
+            seen = starts(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), batch]) if held else batch) - bool(held)
+            if len(seen):
+                if held or seen[-1]:
+                    yield facts([*held, batch.slice(0, seen[-1])])
+                held = []
+                batch = batch.slice(seen[-1])
+            held.append(batch)
+        if held:
+            yield facts(held)
+
+    # rows sort by a number before they sort by names
+    dealt = rows.repartition(*keys).withColumn("_hash", F.xxhash64(*keys)).sortWithinPartitions("_hash", *keys).drop("_hash")
+    return dealt.mapInArrow(run, schema)
+
+
+def _middles(values: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """(median of each group's values, how many they are); NaN counts as the largest number."""
+    v, n = values[np.lexsort((values, group))], np.bincount(group, minlength=groups)
+    at = np.cumsum(n) - n
+    low, high = (np.where(n > 0, np.append(v, 0.0)[np.minimum(at + np.maximum(k, 0), len(v))], 0.0) for k in ((n - 1) // 2, n // 2))
+    return 0.5 * low + 0.5 * high, n
+
+
+def _facts(batch: pa.RecordBatch, group: np.ndarray, groups: int) -> list[pa.Array]:
+    """The columns of FACTS for rows whose groups ascend."""
+    plain = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+    number = lambda c: pc.fill_null(batch.column(c), 0.0).to_numpy(zero_copy_only=False)
+    known_p, known_u = (batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("_p", "_u"))
+    x, a, p, u = (number(c) for c in ("_x", "_a", "_p", "_u"))
+    # in the order of the wavelengths, so that sums don't depend on the order in which rows come
+    order = np.lexsort((u, p, known_p, a, x, group))
+    x, a, p, u, known_u, good, both, flag = (v[order] for v in (x, a, p, u, known_u, plain("_good"), plain("_both"), plain("_flag")))
+    above = lambda v: (v > 0) | np.isnan(v)
+    count = lambda m: np.bincount(group[m], minlength=groups)
+    total = lambda v, g: np.bincount(g, weights=v, minlength=groups)
+    real = lambda v, none: pa.array(v.astype(float), pa.float64(), mask=none)
+    with np.errstate(all="ignore"):
+        g, along, place = group[good], a[good], x[good]
+        mid, n_good = _middles(along, g, groups)
+        none, at = n_good == 0, np.cumsum(n_good) - n_good
+        span = np.zeros(groups)
+        if len(g):
+            some = at[~none]
+            span[~none] = (np.maximum.reduceat(place, some) - np.fmin.reduceat(place, some)) * 1000.0
+        mad, _ = _middles(np.abs(along - mid[g]), g, groups)
+        # moments about a value of the series, so that those of equal numbers are exactly 0
+        off = along - mid[g]
+        off = off - (total(off, g) / n_good)[g]
+        sd = np.sqrt(total(off * off, g) / n_good)
+        inner = np.flatnonzero(g[2:] == g[:-2]) + 1 if len(g) > 2 else np.zeros(0, dtype=np.int64)
+        jag, n_jag = _middles(np.abs(along[inner] - 0.5 * (along[inner - 1] + along[inner + 1])), g[inner], groups)
+        sure = good & known_u & above(u)
+        snr, n_snr = _middles(np.abs(a[sure] / u[sure]), group[sure], groups)
+        n_both, h = count(both), group[both]
+        da, dp = (v[both] - v[both][np.searchsorted(h, h)] for v in (a, p))
+        da, dp = (v - (total(v, h) / n_both)[h] for v in (da, dp))
+        power = total(da * da, h) * total(dp * dp, h)
+        corr = total(da * dp, h) / np.sqrt(power)
+        larger = np.maximum(np.abs(a), np.abs(p))
+        shared = both & above(larger)
+        delta, n_delta = _middles(np.abs(a[shared] - p[shared]) / larger[shared], group[shared], groups)
+    whole = lambda v: pa.array(v, pa.int64())
+    return [
+        whole(np.bincount(group, minlength=groups)), whole(count(flag)), whole(n_good), real(span, none), real(snr, n_snr == 0), whole(n_snr), real(mad, none), real(sd, none), real(jag, n_jag == 0), whole(n_both),
+        real(corr, (n_both < 2) | (power == 0)), real(delta, n_delta == 0),
+    ]
+
+
 def spectrum_quality(points: DataFrame, *also: str) -> DataFrame:
     """Weighted quality score of each spectrum, its reasons and category. ``also`` names columns that
     tell spectra of one target apart."""
@@ -46,21 +152,9 @@ def spectrum_quality(points: DataFrame, *also: str) -> DataFrame:
     flag = F.coalesce("fatal_flag_present", F.lit(False))
     good = ~flag & x.isNotNull() & a.isNotNull()
     both = ~flag & a.isNotNull() & p.isNotNull()
-    # one shuffle: the windows and the aggregate all work on a target's rows, usable ones first
-    series = Window.partitionBy(*keys)
-    along = series.orderBy(F.col("_good").desc(), "cwave_um", "aperture_flux_uJy", "psf_flux_uJy")
-    rows = points.withColumns({"_flag": flag, "_good": good, "_both": both})
-    rows = rows.withColumns({"_left": F.when(F.lag("_good").over(along), F.lag(a).over(along)), "_right": F.when(F.lead("_good").over(along), F.lead(a).over(along)), "_mid": F.median(F.when(F.col("_good"), a)).over(series)})
-    usable = lambda c: F.when(F.col("_good"), c)
-    shared = lambda c: F.when(F.col("_both"), c)
-    larger = F.greatest(F.abs(a), F.abs(p))
-    n_good = F.count_if("_good")
-    mad, sd = F.median(usable(F.abs(a - F.col("_mid")))), F.stddev_pop(usable(a))
-    q = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("_flag").cast("long")).alias("n_flagged"), n_good.alias("usable"), ((F.max(usable(x)) - F.min(usable(x))) * 1000.0).alias("span_nm"),
-        F.median(usable(F.when(u > 0, F.abs(ratio(a, u))))).alias("median_snr"), F.count_if(F.col("_good") & (u > 0)).alias("n_snr"), F.when(n_good >= 3, F.when(mad > 0, MAD_TO_SIGMA * mad).when(sd > 0, sd)).alias("scale"),
-        F.median(usable(F.abs(a - 0.5 * (F.col("_left") + F.col("_right"))))).alias("jag"), F.count_if("_both").alias("n_both"), F.corr(shared(a), shared(p)).alias("corr"), F.median(shared(F.when(larger > 0, F.abs(a - p) / F.when(larger > 0, larger)))).alias("frac_delta"),
-    )
+    rows = points.select(*keys, *(c.cast("double").alias(n) for c, n in ((x, "_x"), (a, "_a"), (p, "_p"), (u, "_u"))), flag.alias("_flag"), good.alias("_good"), both.alias("_both"))
+    q = series_facts(rows, keys)
+    q = q.withColumn("scale", F.when(F.col("usable") >= 3, F.when(F.col("_mad") > 0, MAD_TO_SIGMA * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd"))))
     fraction = F.col("n_flagged") / F.col("n")
     rough = F.col("jag") / F.col("scale")
     smooth = F.when(F.col("usable") < 8, 0.0).when(F.col("scale").isNull(), 0.5).otherwise(clip01(1.0 / (1.0 + F.greatest(rough, F.lit(0.0)))))
