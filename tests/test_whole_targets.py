@@ -48,3 +48,24 @@ def test_pieces_of_one_target_do_not_share_their_points(spark):
         count = sum(abs(w - line) <= 0.18 and math.exp(-0.5 * ((w - line) / sigma(w)) ** 2) >= 1e-3 for w in wave)
         assert got.get(750.0 + k, 0) == count
     assert {r.line_nm: r.support for r in packed} == got
+
+
+def test_a_lone_point_responds_by_the_library(monkeypatch):
+    """Arrays' exponentials may differ in the last digit from the library's, which SQL takes."""
+    import numpy as np
+    import pyarrow as pa
+
+    seen = []
+
+    def fold(part, of_cell, near, quiet, point, line, t, every):
+        seen.append(t)
+        return np.arange(near.shape[1]), (np.zeros(near.shape[1]),)
+
+    exact = np.exp
+    monkeypatch.setattr(np, "exp", lambda v: np.nextafter(exact(v), 1.0))
+    schema = pa.schema([("target_id", pa.string()), ("line_nm", pa.float64()), ("q", pa.float64())])
+    points_of_t = pa.RecordBatch.from_pydict({"target_id": ["t"] * 3, "cwave_um": [0.7625, 1.0, 1.001], "cband_um": [0.7625 / 60, 1 / 60, 1.001 / 60]})
+    list(bands._fold(np.array([750.0, 775.0, 1000.0]), 0.18, 0.001, 0.25, 1e-3, fold, schema)(iter([points_of_t])))
+    sigma = np.sqrt(np.array([0.7625 / 60]) ** 2 + 0.001**2)[0] / 2.354820045
+    want = [math.exp(-0.5 * float(np.float_power((0.7625 - line) / sigma, 2.0))) for line in (0.75, 0.775)]
+    assert np.concatenate(seen)[:2].tolist() == want
