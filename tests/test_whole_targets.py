@@ -69,3 +69,17 @@ def test_a_lone_point_responds_by_the_library(monkeypatch):
     sigma = np.sqrt(np.array([0.7625 / 60]) ** 2 + 0.001**2)[0] / 2.354820045
     want = [math.exp(-0.5 * float(np.float_power((0.7625 - line) / sigma, 2.0))) for line in (0.75, 0.775)]
     assert np.concatenate(seen)[:2].tolist() == want
+
+
+def test_windows_of_lists_with_missing_lines(spark):
+    """The bounded part of a list holds every cell within reach, whatever lines are missing."""
+    import random
+
+    from skyweave.plans import scan_queries
+
+    random.seed(5)
+    lists = [[750.0 + k for k in range(4251) if random.random() < share and not low < k < high] for share, low, high in ((1.0, -1, 0), (0.7, -1, 0), (0.05, -1, 0), (1.0, 100, 4100), (1.0, 0, 3000), (0.9, 1200, 4251))]
+    rows = [(f"t{n}", [(x, x / 7) for x in own], peak) for n, own in enumerate(lists) for peak in (own[0], own[len(own) // 2], own[-1], 850.0, 4849.0)]
+    table = spark.createDataFrame(rows, "target_id string, cells array<struct<line_nm: double, q: double>>, peak_nm double")
+    got = sorted((r.target_id, r.peak_nm, r.line_nm) for r in scan_queries._around(table, 1.0).collect())
+    assert got == sorted((t, peak, x) for t, cells, peak in rows for x, _ in cells if abs(x - peak) <= 80)
